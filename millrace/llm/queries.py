@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, simhash
+from millrace.llm import bpe, decontaminate, grading, simhash, substring, warc
 from millrace.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,84 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grading.scored(docs, grading.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), im AS (
+  SELECT item_id, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0
+), ip AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[a : a + m - 1], ' ') AS p FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS a FROM im)
+), dp AS (
+  SELECT doc_id, m, a, array_to_string(w[a : a + m - 1], ' ') AS p
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS a FROM d, (SELECT DISTINCT m FROM im) WHERE len(w) >= m)
+), h AS (
+  SELECT doc_id, item_id, a, m FROM dp JOIN ip USING (m, p)
+), n AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + m)) AS pos FROM (SELECT DISTINCT doc_id, a, m FROM h)) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, a, md5(array_to_string(w[a : a + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS a FROM d WHERE len(w) >= 50)
+), f AS (
+  SELECT k, min(doc_id) AS low FROM p GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, a + 50)) AS at FROM p JOIN f USING (k) WHERE doc_id > low
+), each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d
+), kept AS (
+  SELECT each.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY each.at) AS words FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.at = gone.at GROUP BY each.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op10_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages
+), m AS (
+  SELECT h, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY h
+)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN last IS NOT NULL AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN m ON p.h = m.h
+""",
+}
