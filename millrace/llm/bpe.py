@@ -38,9 +38,11 @@ WINDOW = 128
 AGREE = 32
 CHUNK = 32_768
 OVERLAP = 1_024
-CACHED = 200_000
+CACHED = 400_000
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: A piece that stays one between any others of its kind; special strings are left to the library one by one.
+SAFE_PIECE = re.compile(r" [^\s<>|](?:[^<>|]*[^\s<>|])?")
 
 
 class Encoder:
@@ -54,11 +56,14 @@ class Encoder:
         self.lib.no_padding()
         self.leaf, self.window, self.agree, self.chunk, self.overlap = leaf, window, agree, chunk, overlap
         self.cache: dict[str, bytes] = {}
-        added = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
-        self.width = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), np.int64)
+        added = {t.content for t in self.lib.get_added_tokens_decoder().values()}
+        # each character of a byte-level token stands for one byte: printable Latin-1 for itself, the others for those from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of_char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+        self.bytes = [b""] * self.lib.get_vocab_size(with_added_tokens=True)
         for token, i in self.lib.get_vocab(with_added_tokens=True).items():
-            # each character of a byte-level token stands for one byte; added tokens are plain text
-            self.width[i] = len(token.encode()) if token in added else len(token)
+            self.bytes[i] = token.encode() if token in added else bytes(of_char[c] for c in token)
+        self.width = np.array([len(x) for x in self.bytes], np.int64)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,13 +76,30 @@ class Encoder:
         if len(cache) + len(new) > CACHED:
             cache.clear()
             new = {p for pieces in cut for p in pieces}
-        short = [p for p in new if len(p) <= self.leaf]
-        fresh = dict(zip(short, (np.array(x, "<u4").tobytes() for x in self.plain(short))))
+        fresh = self.together([p for p in new if len(p) <= 64 and SAFE_PIECE.fullmatch(p)])
+        short = [p for p in new if len(p) <= self.leaf and p not in fresh]
+        fresh |= zip(short, (np.array(x, "<u4").tobytes() for x in self.plain(short)))
         fresh |= {p: np.array(self.tree(p), "<u4").tobytes() for p in new if len(p) > self.leaf}
         if len(fresh) <= CACHED:
             cache |= {p: x for p, x in fresh.items() if len(p) <= 64}
         return [b"".join([cache[p] if p in cache else fresh[p] for p in pieces]) for pieces in cut]
 
+    def together(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that begin with their only space: as one text, of which each is a piece."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(pieces), 4_096):
+            part = pieces[at : at + 4_096]
+            ids = np.array(self.plain(["".join(part)])[0], "<u4")
+            ends = 4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in part])) + 1)
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(part, ends.tolist()):
+                out[p], begin = raw[begin:end], end
+        return out
+
+    def decode(self, ids: bytes) -> str:
+        """As the library decodes without skipping special tokens: the tokens' bytes, joined."""
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
     def tree(self, text: str) -> list[int]:
         """Tree concatenation of one unsplit text."""
         leaves = [text]
@@ -206,7 +228,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
         ids = e.ids(texts)
-        return zip(ids, e.lib.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False))
+        return zip(ids, map(e.decode, ids))
 
     return per_text(docs, "ids binary, decoded string", rows)
 
@@ -217,8 +239,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
         ids = e.ids(texts)
-        decoded = e.lib.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
-        return ((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for x, d in zip(ids, decoded))
+        return ((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(e.decode(x).encode()).hexdigest()) for x in ids)
 
     return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 

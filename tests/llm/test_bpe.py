@@ -39,6 +39,7 @@ def test_ids_and_counts_equal_the_library(lib):
         want = lib.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, t[:80]
         assert e.count(t) == len(want), t[:80]
+        assert e.decode(got) == lib.decode(want, skip_special_tokens=False) == t
 
 
 def test_default_sizes_on_long_unsplit_text(lib):
