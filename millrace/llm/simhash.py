@@ -187,11 +187,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     # a component without any id is told apart by its smallest fingerprint's group instead
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    winners = found.groupBy(group.alias("g")).agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.mark").alias("_mark")).distinct()
+    winners = found.groupBy(group.alias("g")).agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_simhash_id"), F.col("w.mark").alias("_simhash_mark")).distinct()
     names = docs.columns
-    marked = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_mark": text_mark(F.col("text"))})
-    kept = marked.join(winners, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_mark") == F.col("_mark")), "left_semi")
-    return kept.dropDuplicates(["_row_id", "_row_mark"]).select(*names)
+    marked = docs.withColumns({"_simhash_row_id": F.col("doc_id").cast("long"), "_simhash_row_mark": text_mark(F.col("text"))})
+    kept = marked.join(winners, F.col("_simhash_row_id").eqNullSafe(F.col("_simhash_id")) & (F.col("_simhash_row_mark") == F.col("_simhash_mark")), "left_semi")
+    return kept.dropDuplicates(["_simhash_row_id", "_simhash_row_mark"]).select(*names)
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:
