@@ -178,7 +178,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     first = members.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = members.join(first, "root").select("fp", "component_id")
     by_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "mark", "fp", "component_id")
+    # written, so that the join stands on two plain exchanges, of which Spark can split a fingerprint of many copies
+    return marked.join(stash(by_fp, "simhash-by-fp"), "fp").select("doc_id", "mark", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
