@@ -3,7 +3,8 @@
 Every document is both a reference and parsed against the others. It is cut into blocks around anchors: the anchor of a
 window of ``WINDOW`` words is its least hash of ``GRAM`` consecutive words, and the windows in a row that have the same
 anchor make a block. A window's anchor depends on the window's words alone, so equal windows of two documents lie in
-blocks with equal anchors, and looking up the anchor finds every reference block that could hold a match.
+blocks with equal anchors, and looking up the anchor finds every reference block that could hold a match. Anchors are hashes, not places,
+so a text that repeats itself has few blocks.
 
 The parse is greedy: a block that stands whole in a document with a smaller id is taken whole, and neighbouring pieces
 join into the longest factors. At factor boundaries, where a document's block shares an anchor with reference blocks of
@@ -88,10 +89,11 @@ def cut(w: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
     first, second = (Rolling(h, b) for b in BASES)
     at = np.arange(len(w) - gram + 1)
     grams = first.ranges(at, at + gram)
-    least = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(n)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    # by value, not by place: a word that repeats for pages makes one block
+    least = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).min(axis=1)
+    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     counts = np.diff(np.concatenate([starts, [n]]))
-    return grams[least[starts]].view(np.int64), second.ranges(starts, starts + counts + window - 1).view(np.int64), starts, counts
+    return least[starts].view(np.int64), second.ranges(starts, starts + counts + window - 1).view(np.int64), starts, counts
 
 
 def lists(parts: Iterable[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -168,14 +170,17 @@ def digest(w: list[bytes], gone: np.ndarray, keep_text: bool) -> tuple[int, int,
 
 
 def finish(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Digests of rows (doc_id, mark, text, spans, at): factors from whole blocks and from single windows."""
+    """Digests of rows (doc_id, mark, text, spans, first, second, at, found_first, found_second): factors from whole blocks
+    and from the single windows that were found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 w = words(r["text"])
-                gone = covered(len(w), [(s["start"], s["stop"]) for s in r["spans"]] + [(a, a + window) for a in r["at"] or ()])
+                found = set(zip(r["found_first"] or (), r["found_second"] or ()))
+                single = [(a, a + window) for x, y, a in zip(r["first"], r["second"], r["at"]) if (x, y) in found]
+                gone = covered(len(w), [(s["start"], s["stop"]) for s in r["spans"]] + single)
                 out.append(digest(w, gone, keep_text))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "mark", "n_words", "n_removed", "kept_sha256", "kept"])
 
@@ -191,18 +196,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bo
 
     # the index: anchors that two documents or more have
     shared = flat.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("content") == F.max("content")).alias("alike")).where("low < high").select("anchor", "low", "alike")
+    # written, so that it is broadcast if small, and else joined without an aggregate below, when hot keys can be split
+    shared = stash(shared, "substring-shared")
     met = stash(flat.join(shared, "anchor").where("NOT alike OR doc_id > low"), "substring-met")
     other = met.where("NOT alike")
     earliest = other.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
-    marked = other.join(earliest, ["anchor", "content"]).select("doc_id", "mark", "start", "windows", (F.col("doc_id") == F.col("first")).alias("open"))
+    marked = other.join(stash(earliest, "substring-earliest"), ["anchor", "content"]).select("doc_id", "mark", "start", "windows", (F.col("doc_id") == F.col("first")).alias("open"))
     pieces = met.where("alike").select("doc_id", "mark", "start", "windows", F.lit(False).alias("open")).unionAll(marked)
     by_doc = pieces.distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "open")).alias("pieces"))
     parsed = stash(parse(rows.join(by_doc, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "pieces"), window, keep_text), "substring-parsed")
 
     # factor boundaries: windows of blocks whose anchor has other contents
     waiting = parsed.where("text IS NOT NULL")
-    single = waiting.select("doc_id", "mark", F.explode(F.arrays_zip("first", "second", "at")).alias("w")).select("doc_id", "mark", F.col("w.first").alias("first"), F.col("w.second").alias("second"), F.col("w.at").alias("at"))
+    single = waiting.select("doc_id", "mark", F.explode(F.array_distinct(F.arrays_zip("first", "second"))).alias("w")).select("doc_id", "mark", "w.first", "w.second")
     index = single.groupBy("first", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("first", "second", "low")
-    found = single.join(index, ["first", "second"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("found"))
-    done = finish(waiting.select("doc_id", "mark", "text", "spans").join(found, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "spans", F.col("found").alias("at")), window, keep_text)
+    found = single.join(stash(index, "substring-index"), ["first", "second"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list("first").alias("found_first"), F.collect_list("second").alias("found_second"))
+    done = finish(waiting.select("doc_id", "mark", "text", "spans", "first", "second", "at").join(found, ["doc_id", "mark"], "left"), window, keep_text)
     return parsed.where("text IS NULL").select(*done.columns).unionAll(done)
