@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Control characters to strip (tab, line feed and carriage return stay), and Unicode white space to trim.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-_SPACES = r"[\s\u0085   -     　]+"
+_SPACES = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 OUTER_SPACE = rf"^{_SPACES}|{_SPACES}$"
 MAX_BYTES = 500
 

@@ -120,12 +120,14 @@ class VersionedTable:
             raise RuntimeError(f"version {number} of {self.path} was written by another load")
         return number
 
+    def _value(self) -> Column:
+        return F.coalesce(F.col(self.partition).cast("string"), F.lit("__null__"))
+
     def _write(self, rows: DataFrame, touched: Sequence[str]) -> dict[str, str]:
         """New folders for ``touched`` partitions."""
         place = f"{self.path}/data/{uuid.uuid4().hex}"
-        value = F.col(self.partition).cast("string")
         # one writer lays out all touched partitions; each becomes a folder of its own, the column stays inside too
-        rows.withColumn("__part", value).write.partitionBy("__part").parquet(place)
+        rows.withColumn("__part", self._value()).write.partitionBy("__part").parquet(place)
         _, fs, _ = self._fs()
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         found = {}
@@ -137,7 +139,7 @@ class VersionedTable:
 
     def touched(self, rows: DataFrame) -> list[str]:
         """The partition values of ``rows``: as many as there are partitions, not rows."""
-        return sorted(r[0] for r in rows.select(F.col(self.partition).cast("string")).distinct().collect())
+        return sorted(r[0] for r in rows.select(self._value()).distinct().collect())
 
     def replace(self, rows: DataFrame) -> int:
         """All of the table becomes ``rows``; an empty load is refused."""
