@@ -27,9 +27,6 @@ REPEATED_PERCENT = 50
 MIN_CHARS, MAX_CLASS = 200, 0.27
 MIN_COMMON, MAX_WORD = 100, 0.3
 
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-
 #: Common words by language.
 COMMON = {
     "en": "the of and to in is that for it as was with be by on this are from at or".split(),
@@ -51,22 +48,24 @@ def counted(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select("doc_id", "lang", "text", words(text).alias("w"), lines.alias("lines"))
     n = F.size("w")
-    # a three-word window: its hash first, to sort quickly, then its words, so that equal neighbours are equal windows
-    window = F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("at")))
-    rows = rows.select("doc_id", "lang", "text", "w", "lines", F.array_sort(window).alias("s"))
+    # three-word windows by 64 bits of hash, which tell the windows of one text apart; most texts have no two alike, and
+    # only the others' windows are sorted, so that equal ones are neighbours
+    hashes = F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
+    rows = rows.select("doc_id", "lang", "text", "w", "lines", hashes.alias("h"))
+    ordered = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    rows = rows.select("doc_id", "lang", "text", "w", "lines", F.when(F.size(F.array_distinct("h")) < F.size("h"), ordered).otherwise(F.array().cast("array<struct<h: bigint, at: int>>")).alias("s"))
     s = F.col("s")
-    same = lambda x, y: x["h"].eqNullSafe(y["h"]) & x["a"].eqNullSafe(y["a"]) & x["b"].eqNullSafe(y["b"]) & x["c"].eqNullSafe(y["c"])
-    twice = F.array_sort(F.transform(F.filter(s, lambda x, i: (F.coalesce(i > 0, F.lit(False)) & same(x, F.get(s, i - 1))) | same(x, F.get(s, i + 1))), lambda x: x["at"]))
+    twice = F.sort_array(F.transform(F.filter(s, lambda x, i: (x["h"].eqNullSafe(F.when(i > 0, F.get(s, i - 1)["h"]))) | x["h"].eqNullSafe(F.get(s, i + 1)["h"])), lambda x: x["at"]))
     covered = F.aggregate(twice, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda acc, at: F.struct(at.alias("last"), (acc["n"] + F.least(F.lit(3), at - acc["last"])).alias("n")), lambda acc: acc["n"])
-    chars, solid, plain = F.length("text"), F.length(F.translate("text", SPACE, "")), F.length(F.translate("text", SYMBOLS, ""))
-    letters, capitals = F.length(F.regexp_replace("text", r"\P{L}+", "")), F.length(F.regexp_replace("text", r"\P{Lu}+", ""))
-    digits = chars - F.length(F.translate("text", "0123456789", ""))
+    only = lambda kind: F.length(F.regexp_replace("text", f"[^{kind}]++", ""))
+    chars, solid, symbols = F.length("text"), F.length(F.array_join("w", "")), only(r"#*$%&|<>")
+    letters, capitals, digits = F.length(F.regexp_replace("text", r"\P{L}++", "")), only(r"\p{Lu}"), only("0-9")
     listed = F.lit(None)
     for k, v in COMMON.items():
         listed = F.when(F.col("lang") == k, F.array(*map(F.lit, v))).otherwise(listed)
     every = sorted({x for v in COMMON.values() for x in v})
     rows = rows.select(
-        "doc_id", "lang", n.cast("long").alias("n_words"), solid.cast("long").alias("word_chars"), (chars - plain).cast("long").alias("n_symbols"),
+        "doc_id", "lang", n.cast("long").alias("n_words"), solid.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
         chars.alias("chars"), letters.alias("letters"), capitals.alias("capitals"), digits.alias("digits"),
         listed.cast("array<string>").alias("listed"), F.filter("w", lambda x: x.isin(every)).alias("met"),
