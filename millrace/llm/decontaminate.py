@@ -160,7 +160,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "mark", "n_words", "starts", "ends", "items"])
 
     # rows that repeat id and text are one group, dealt out again by its count; spans of a group are those of one text
-    grouped = every.groupBy("doc_id", "mark", "n_words").agg(F.sum("times").alias("times"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.collect_set(F.struct("starts", "ends")).alias("s"))
+    grouped = every.groupBy("doc_id", "mark", "n_words").agg(F.sum("times").alias("times"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.collect_set(F.struct("starts", "ends")).alias("s"))
     flat = grouped.where("times > 0").select("doc_id", "mark", "n_words", F.flatten("s.starts").alias("starts"), F.flatten("s.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
     return flat.mapInArrow(join_spans, f"doc_id long, mark long, {HITS}")
 
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """(doc_id, mark, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
     found = hits(docs, benchmark, window, block_bytes)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    items = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    items = F.sha2(F.array_join(F.sort_array("items"), ","), 256)
     out = found.select("doc_id", "mark", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
