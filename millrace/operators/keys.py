@@ -61,25 +61,27 @@ def encoded(keys: Sequence[str]) -> Column:
     return F.concat_ws(",", *map(part, keys))
 
 
-def fingerprint(rows: DataFrame, keys: Sequence[str], buckets: int = 4096) -> DataFrame:
+def fingerprint(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(fingerprint): one digest for a set of keys, whatever their order and repetition.
 
-    Keys are digested in buckets by their own digest, then the buckets' digests in order, so no task holds all keys."""
-    digest = rows.select(F.sha2(encoded(keys), 256).alias("d")).distinct()
-    bucket = F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % buckets
-    each = digest.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"].cast("string"), F.lit("="), x["d"])), "\n")
-    return each.agg(F.sha2(whole, 256).alias("fingerprint"))
+    A tree: keys' digests are digested by their first six hex digits, those by their first three, and those together. The
+    digests spread evenly, so even a thousand thousand million keys make lists of some ten thousand each."""
+    level = rows.select(F.sha2(encoded(keys), 256).alias("d")).distinct().select(F.left("d", F.lit(6)).alias("b"), "d")
+    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], F.lit("="), x["d"])), "\n"), 256)
+    low = level.groupBy("b").agg(digest.alias("d"))
+    middle = low.groupBy(F.left("b", F.lit(3)).alias("p")).agg(digest.alias("d")).select(F.col("p").alias("b"), "d")
+    return middle.agg(digest.alias("fingerprint"))
 
 
 def out_of_order(rows: DataFrame, keys: Sequence[str], page: str, position: str) -> DataFrame:
     """Rows whose key isn't greater than that of the row before, in the order of pages and positions.
 
-    Within a page a window compares neighbours; across pages only each page's first and last key meet."""
+    Within a page a window compares neighbours; across pages, which are numbered in a row, only each page's first and last
+    key meet, by an equi-join."""
     key = F.struct(*keys)
     inside = rows.withColumn("__last", F.lag(key).over(Window.partitionBy(page).orderBy(position)))
     ends = rows.groupBy(page).agg(F.min_by(key, position).alias("__first"), F.max_by(key, position).alias("__end"), F.min(position).alias("__at"))
-    across = ends.withColumn("__last", F.lag("__end").over(Window.orderBy(page))).where(F.col("__first") <= F.col("__last"))
+    across = ends.join(ends.select((F.col(page) + 1).alias(page), F.col("__end").alias("__last")), page).where(F.col("__first") <= F.col("__last"))
     bad_first = rows.join(across.select(page, F.col("__at").alias(position)), [page, position], "left_semi")
     return inside.where(key <= F.col("__last")).drop("__last").unionByName(bad_first)
 

@@ -116,8 +116,7 @@ def abnormal(runs: DataFrame, recent: int = 100, limit: int = 5) -> DataFrame:
     return last.where(F.col("status") != "success").orderBy(F.desc("start_time"), F.desc("run_id")).limit(limit)
 
 
-def listed(runs: DataFrame, status: str | None = None, task: str | None = None, start: datetime | None = None, last_day: datetime | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of runs, newest first, with the total beside it."""
+def filtered(runs: DataFrame, status: str | None = None, task: str | None = None, start: datetime | None = None, last_day: datetime | None = None) -> DataFrame:
     if status:
         runs = runs.where(F.col("status") == status)
     if task:
@@ -126,8 +125,26 @@ def listed(runs: DataFrame, status: str | None = None, task: str | None = None,
         runs = runs.where(F.col("start_time") >= time(start))
     if last_day:
         runs = runs.where(F.col("start_time") < time(last_day + timedelta(days=1)))
+    return runs
+
+
+def listed(runs: DataFrame, status: str | None = None, task: str | None = None, start: datetime | None = None, last_day: datetime | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of the runs that fit, newest first."""
     size = max(1, min(100, size))
-    return runs.orderBy(F.desc("start_time"), F.desc("run_id")).offset((max(1, page) - 1) * size).limit(size)
+    return filtered(runs, status, task, start, last_day).orderBy(F.desc("start_time"), F.desc("run_id")).offset((max(1, page) - 1) * size).limit(size)
+
+
+def task_counts(runs: DataFrame, as_of: datetime) -> DataFrame:
+    """Runs of each task by state, and those of the day."""
+    day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+    status = F.col("status")
+    return runs.groupBy("task_name").agg(F.count("*").alias("n"), F.count_if(status == "running").alias("running"), F.count_if(status.isin(*FAILED)).alias("failed"), F.count_if(F.col("start_time") >= time(day)).alias("today"))
+
+
+def sorted_forms(forms: DataFrame, by: str = "name", ascending: bool = True) -> DataFrame:
+    """Forms by name, errors or last load; what is missing counts as least."""
+    key = {"name": F.col("form_name"), "errors": F.coalesce("n_errors", F.lit(0)), "last": F.coalesce(F.col("last_sync").cast("string"), F.lit(""))}[by]
+    return forms.orderBy(key if ascending else key.desc(), "form_name")
 
 
 def log_tail(events: DataFrame, as_of: datetime, wanted: str | None = None, form: str | None = None, days: int | None = None, limit: int = 50) -> DataFrame:

@@ -16,10 +16,10 @@ from millrace.functions import display as D
 from millrace.functions import text as X
 from millrace.operators import gates, merge
 from millrace.operators import keys as K
-from millrace.plans import reports, runs
+from millrace.plans import reports, runs, sync
 from millrace.plans.storage import shared_folder
 from millrace.sources import envelopes, reads
-from millrace.sources.spec import TableSpec, catalogue, category_order, enabled, normalize, scan
+from millrace.sources.spec import TableSpec, catalogue, category_order, enabled, normalize, priority, scan
 from millrace.streaming import loads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +284,28 @@ def k12_run_results(spark, sf_dir):
     return spark.read.schema(h.schema).parquet(path)
 
 
+@query("k4_snapshot_load", "SELECT o_orderkey AS order_key, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0")
+def k4_snapshot_load(spark, sf_dir):
+    """A second snapshot takes the first one's place, through the load job and its checks."""
+    t = merge.VersionedTable(spark, f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}", "status")
+    spec = TableSpec("Snapshot", ["o_orderkey", "o_orderstatus"], {"order_key": "bigint", "status": "string"}, ["status", "order_key"], {"o_orderkey": "order_key", "o_orderstatus": "status"})
+    for part in (orders(spark, sf_dir), orders(spark, sf_dir).where("o_orderkey % 2 = 0")):
+        done = sync.load(t, spec, part, "snapshot", "2024-01-01 00:00:00", [F.col("order_key")])
+        if done.status != "success":
+            raise RuntimeError(done.reason)
+    return t.read().select("order_key", "status")
+
+
+@query("q13_full_load", "SELECT o_orderkey AS order_key, o_orderstatus AS status FROM orders WHERE o_orderkey % 997 <> 0")
+def q13_full_load(spark, sf_dir):
+    """A full load finds the orphans, checks them and deletes them."""
+    t = merge.VersionedTable(spark, f"{shared_folder(spark)}/full-{uuid.uuid4().hex}", "status")
+    spec = TableSpec("Full", ["o_orderkey", "o_orderstatus"], {"order_key": "bigint", "status": "string"}, ["status", "order_key"], {"o_orderkey": "order_key", "o_orderstatus": "status"})
+    sync.load(t, spec, orders(spark, sf_dir), "reset", "2024-01-01 00:00:00", [F.col("order_key")])
+    sync.load(t, spec, orders(spark, sf_dir).where("o_orderkey % 997 <> 0"), "full", "2024-01-02 00:00:00", [F.col("order_key")])
+    return t.read().select("order_key", "status")
+
+
 # ----------------------------------------------------------------------------------------------- mapping and cleaning
 
 
@@ -388,8 +410,9 @@ def g2_key_counts(spark, sf_dir):
 
 @query("g4_fingerprint", """
 WITH k AS (SELECT DISTINCT sha256(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || ',' || length(o_orderstatus) || ':' || o_orderstatus) AS d FROM orders),
-b AS (SELECT CAST(('0x' || substr(d, 1, 8)) AS BIGINT) % 4096 AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM k GROUP BY 1)
-SELECT sha256(string_agg(b || '=' || d, chr(10) ORDER BY b)) AS fingerprint FROM b""")
+l AS (SELECT left(d, 6) AS b, sha256(string_agg(left(d, 6) || '=' || d, chr(10) ORDER BY d)) AS d FROM k GROUP BY 1),
+m AS (SELECT left(b, 3) AS p, sha256(string_agg(b || '=' || d, chr(10) ORDER BY b)) AS d FROM l GROUP BY 1)
+SELECT sha256(string_agg(p || '=' || d, chr(10) ORDER BY p)) AS fingerprint FROM m""")
 def g4_fingerprint(spark, sf_dir):
     return K.fingerprint(orders(spark, sf_dir), ["o_orderkey", "o_orderstatus"])
 
@@ -626,6 +649,49 @@ def t5_stale_runs(spark, sf_dir):
     return runs.stale(history(spark, sf_dir), AS_OF).select("run_id", "status")
 
 
+@query("g7_watermark", "SELECT strftime(max(o_orderdate) - INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') AS mark FROM orders")
+def g7_watermark(spark, sf_dir):
+    return reads.watermark(orders(spark, sf_dir), "o_orderdate", 3).select(D.clock(F.col("mark"), "full").alias("mark"))
+
+
+@query("g25_task_counts", HISTORY + "SELECT task_name, count(*) AS n, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE start_time >= TIMESTAMP '2024-01-20') AS today FROM h GROUP BY 1")
+def g25_task_counts(spark, sf_dir):
+    return runs.task_counts(history(spark, sf_dir), AS_OF)
+
+
+@query("g29_page_total", HISTORY + "SELECT count(*) AS total FROM h WHERE status = 'failed' AND task_name = 'task2'")
+def g29_page_total(spark, sf_dir):
+    return runs.filtered(history(spark, sf_dir), "failed", "task2").agg(F.count("*").alias("total"))
+
+
+@query("o8_run_events", HISTORY + "SELECT run_id, created_at, level FROM h WHERE form_name = 'form4' ORDER BY created_at, run_id")
+def o8_run_events(spark, sf_dir):
+    return history(spark, sf_dir).where("form_name = 'form4'").select("run_id", "created_at", runs.level(F.col("level")).alias("level")).orderBy("created_at", "run_id")
+
+
+@query("o9_form_sort", HISTORY + "SELECT form_name, count(*) FILTER (WHERE level = 'ERROR') AS n_errors FROM h GROUP BY 1 ORDER BY n_errors DESC, form_name")
+def o9_form_sort(spark, sf_dir):
+    h = history(spark, sf_dir)
+    return runs.sorted_forms(runs.form_overview(h.select("form_name").distinct(), h, h, h, h.where("false")), "errors", False).select("form_name", "n_errors")
+
+
+@query("o10_priority_groups", "SELECT n_name, n_nationkey % 3 AS level FROM nation ORDER BY level, n_name")
+def o10_priority_groups(spark, sf_dir):
+    name = F.element_at(F.array(F.lit("仓库"), F.lit("别的"), F.lit("生产订单主表")), F.col("n_nationkey") % 3 + 1)
+    return table(spark, sf_dir, "nation").select("n_name", priority(name).alias("level")).orderBy("level", "n_name")
+
+
+@query("w6_last_run", HISTORY + "SELECT max(start_time) AS last_time, arg_max(run_id, (start_time, run_id)) AS run_id FROM h")
+def w6_last_run(spark, sf_dir):
+    return history(spark, sf_dir).agg(F.max("start_time").alias("last_time"), F.max_by("run_id", F.struct("start_time", "run_id")).alias("run_id"))
+
+
+@query("s13_duration_texts", "SELECT event_id, CASE WHEN value < 60 THEN CAST(round(value) AS BIGINT) || '秒' ELSE CAST(floor(value / 60) AS BIGINT) || '分' || CAST(round(value % 60) AS BIGINT) || '秒' END AS took, '¥' || printf('%.2f', value) AS cost, strftime(ts, '%m-%d') AS day FROM events")
+def s13_duration_texts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", D.duration_text(F.col("value")).alias("took"), D.money(F.col("value")).alias("cost"), D.clock(F.col("ts"), "day").alias("day"))
+
+
 # ------------------------------------------------------------------------------------------------------------ reports
 
 
@@ -750,9 +816,47 @@ def j4_direct_uses(spark, sf_dir):
     return reports.direct_uses(edges, materials, CHILD).select("parent_id", "top_name", "replace_group")
 
 
+@query("u1_customer_union", "SELECT o_custkey AS customer FROM orders WHERE o_totalprice > 400000 UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 49")
+def u1_customer_union(spark, sf_dir):
+    o = orders(spark, sf_dir)
+    big = o.where("o_totalprice > 400000").select(F.col("o_custkey").alias("customer"))
+    back = lines(spark, sf_dir).where("l_returnflag = 'R' AND l_quantity > 49").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"))
+    return big.union(table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")).union(back).distinct()
+
+
+@query("g13_freight", "SELECT CASE WHEN l_suppkey % 10 = 0 THEN '[未维护客户]' ELSE CAST(l_suppkey AS VARCHAR) END AS customer, round(sum(CAST(l_tax AS DECIMAL(18,4))), 2) AS freight FROM lineitem GROUP BY 1")
+def g13_freight(spark, sf_dir):
+    payer = F.coalesce(F.nullif(F.trim(F.when(F.col("l_suppkey") % 10 == 0, "  ").otherwise(F.col("l_suppkey").cast("string"))), F.lit("")), F.lit(reports.NO_CUSTOMER))
+    return lines(spark, sf_dir).groupBy(payer.alias("customer")).agg(F.round(F.sum(reports.number("l_tax")), 2).alias("freight"))
+
+
+@query("g14_returns", "SELECT l_suppkey, round(sum(CAST(l_quantity AS DECIMAL(18,4)) * coalesce(CAST(p_retailprice AS DECIMAL(18,4)), 0)), 2) AS returned FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1")
+def g14_returns(spark, sf_dir):
+    prices = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), reports.number("p_retailprice").alias("price"))
+    back = lines(spark, sf_dir).where("l_returnflag = 'R'").join(prices, "l_partkey", "left")
+    return back.groupBy("l_suppkey").agg(F.round(F.sum(reports.number("l_quantity") * F.coalesce("price", F.lit(0).cast(reports.MONEY))), 2).alias("returned"))
+
+
+@query("g12_dimension", "SELECT c_mktsegment AS customer, max(c_name) AS number, max(CAST(c_nationkey AS VARCHAR)) AS type FROM customer GROUP BY 1")
+def g12_dimension(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.trim("c_mktsegment").alias("customer"), "c_name", F.col("c_nationkey").cast("string").alias("n"))
+    return c.groupBy("customer").agg(F.max("c_name").alias("number"), F.max("n").alias("type"))
+
+
 # ---------------------------------------------------------------------------------------------------------- streaming
 
 
+@query("t2_resume_after_key", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) // 2 FROM orders)")
+def t2_resume_after_key(spark, sf_dir):
+    """A load resumes after the last key that an earlier one wrote durably."""
+    o = orders(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    half = F.floor(o.agg(F.max("o_orderkey")).first()[0] / F.lit(2))
+    written = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}"
+    o.where(F.col("o_orderkey") <= half).write.parquet(written)
+    last = spark.read.schema(o.schema).parquet(written).agg(F.max("o_orderkey")).first()[0]
+    return o.where(K.after([("o_orderkey", last)]))
+
+
 @query("t1_stream_upsert", "SELECT o_orderkey, year(o_orderdate) AS y, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def t1_stream_upsert(spark, sf_dir):
     """Changes that land as files are merged by a stream, twice: the second call finds nothing new."""
