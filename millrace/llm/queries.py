@@ -36,7 +36,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(table(spark, sf_dir, "documents"))
+    return rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,45 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
+def distance_sql(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of counts; null if one is empty."""
+    share = lambda x: f"({x}[i] / nullif(list_sum({x}), 0))"
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({share(p)} + {share(q)}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(share(p))} + {part(share(q))})) / 2, 0))"
+
+
+def rules_sql() -> str:
+    listed = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in rules.COMMON.items())
+    width = max(map(len, rules.COMMON.values())) + 1
+    sums = lambda name, n: "[" + ", ".join(f"coalesce(sum({name}[{i}]), 0)" for i in range(1, n + 1)) + "]"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, CASE lang {listed} END AS listed
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+), g AS (
+  SELECT doc_id, a, w[a] AS x, w[a + 1] AS y, w[a + 2] AS z FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS a FROM d WHERE len(w) >= 3)
+), r AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(a, a + 3)) AS pos FROM (SELECT doc_id, a FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x, y, z) > 1)) GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, lang, listed, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS letters,
+    length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS capitals, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, list_transform(listed, lambda k: len(list_filter(w, lambda x: x = k))::DOUBLE) AS met
+  FROM d LEFT JOIN r USING (doc_id)
+), h AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [(letters - capitals)::DOUBLE, capitals, digits, chars - word_chars, n_symbols, chars - letters - digits - (chars - word_chars) - n_symbols] AS classes, CASE WHEN listed IS NULL THEN [] ELSE list_append(met, n_words - list_sum(met)) END AS commons FROM c
+), q AS (
+  SELECT lang, {sums("classes", 6)} AS class_ref, {sums("commons", width)} AS word_ref FROM h WHERE NOT base_failed GROUP BY lang
+), j AS (
+  SELECT h.*, class_ref, word_ref[1 : len(commons)] AS word_ref FROM h LEFT JOIN q ON h.lang IS NOT DISTINCT FROM q.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (chars < {rules.MIN_CHARS} OR coalesce({distance_sql("classes", "class_ref")}, 0) <= {rules.MAX_CLASS}) AND (len(commons) = 0 OR n_words < {rules.MIN_COMMON} OR coalesce({distance_sql("commons", "word_ref")}, 0) <= {rules.MAX_WORD}) AS kept
+FROM j"""
+
+
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": rules_sql(),
     "op7_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
