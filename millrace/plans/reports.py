@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.plans.storage import reliable
 
 MONEY = "decimal(18,4)"
 
@@ -94,10 +95,6 @@ def monthly_fees(receivable: DataFrame, months: Range, product: str, customer: s
     return per.join(rates, "ym").groupBy("customer").agg(F.sum(F.col("q") * F.col("rate")).alias("management_fee"))
 
 
-def sums(rows: DataFrame, key: Column, value: Column, alias: str) -> DataFrame:
-    return rows.groupBy(key.alias("customer")).agg(F.sum(value).alias(alias))
-
-
 def prefix_sums(names: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """(customer, value): sum over rows whose name is a prefix of the customer's, or the other way round.
 
@@ -124,32 +121,36 @@ def profitability(receivable: DataFrame, payable: DataFrame, balance: DataFrame,
     customer, biz_date, amount. ``customer``: only this one; in the balance, names that contain it."""
     exact = (lambda c: c == customer) if customer else (lambda c: F.lit(True))
     like = (lambda c: c.contains(customer)) if customer else (lambda c: F.lit(True))
-    sales = sums(sold(receivable, months, product).where(exact(name("customer_name"))), name("customer_name"), number("quantity"), "quantity")
-    fees = monthly_fees(receivable, months, product, customer)
     entries = balance.where(months.periods("year", "period") & (F.trim("detail_name") != "") & like(name("detail_name")))
-    credit = sums(entries.where(F.col("account").isin(*CREDIT_ACCOUNTS)), name("detail_name"), number("credit"), "credit")
-    fines = sums(entries.where(F.col("account") == FINE_ACCOUNT), X.before_slash(F.col("detail_name")), number("debit"), "fine")
     payer = F.coalesce(F.nullif(name("customer"), F.lit("")), F.lit(NO_CUSTOMER))
     carried = payable.where((F.col("material_name") == freight) & (F.trim(F.col("account_type").cast("string")) == ACCOUNT_TYPE) & months.days("bill_date") & exact(payer))
-    freights = carried.groupBy(payer.alias("customer")).agg(F.round(F.sum(number("amount")), 2).alias("freight"))
     back = returns.where((name("customer_name") != "") & months.days("bill_date") & exact(name("customer_name")))
     prices = materials.select(F.col("number").alias("material_number"), number("price").alias("price"))
-    returned = back.join(prices, "material_number", "left").groupBy(name("customer_name").alias("customer")).agg(F.round(F.sum(number("quantity") * F.coalesce("price", F.lit(0).cast(MONEY))), 2).alias("returned"))
-    cost = sums(costs.where((F.trim(F.coalesce("customer", F.lit(""))) != "") & months.month_text("biz_date") & exact(name("customer"))), name("customer"), number("amount"), "cost")
+    spent = costs.where((F.trim(F.coalesce("customer", F.lit(""))) != "") & months.month_text("biz_date") & exact(name("customer")))
+    parts = {
+        "quantity": sold(receivable, months, product).where(exact(name("customer_name"))).select(name("customer_name").alias("customer"), number("quantity").alias("v")),
+        "credit": entries.where(F.col("account").isin(*CREDIT_ACCOUNTS)).select(name("detail_name").alias("customer"), number("credit").alias("v")),
+        "own_fine": entries.where(F.col("account") == FINE_ACCOUNT).select(X.before_slash(F.col("detail_name")).alias("customer"), number("debit").alias("v")),
+        "freight": carried.select(payer.alias("customer"), number("amount").alias("v")),
+        "returned": back.join(prices, "material_number", "left").select(name("customer_name").alias("customer"), (number("quantity") * F.coalesce("price", F.lit(0).cast(MONEY))).alias("v")),
+        "cost": spent.select(name("customer").alias("customer"), number("amount").alias("v")),
+        "management_fee": monthly_fees(receivable, months, product, customer).select("customer", F.col("management_fee").alias("v")),
+    }
+    # the customers are those of any part: one aggregation over all parts gives them and their sums, without joins
+    every = None
+    for measure, rows in parts.items():
+        tagged = rows.select("customer", F.lit(measure).alias("measure"), F.col("v").cast("decimal(38,8)").alias("v"))
+        every = tagged if every is None else every.unionByName(tagged)
+    per = reliable(every.groupBy("customer").agg(*(F.sum(F.when(F.col("measure") == m, F.col("v"))).alias(m) for m in parts)))
     known = customers.where(name("name") != "").groupBy(name("name").alias("customer")).agg(*(F.max(c).alias(f"customer_{c}") for c in ("number", "seller", "type")))
-
-    everyone = sales.select("customer")
-    for x in (credit, fines, freights, returned, cost):
-        everyone = everyone.union(x.select("customer"))
-    everyone = everyone.distinct()
-    out = everyone
-    for x in (known, sales, credit, freights, fees, returned, prefix_sums(everyone, fines, "fine"), cost):
-        out = out.join(x, "customer", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    fined = per.where("own_fine IS NOT NULL").select("customer", F.col("own_fine").alias("fine"))
+    out = per.join(known, "customer", "left").join(prefix_sums(per, fined, "fine"), "customer", "left")
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
     cents = lambda c: F.round(F.coalesce(c, F.lit(0)), 4).cast("decimal(18,2)").alias(c)
+    rounded = [F.round(F.coalesce(c, F.lit(0)), 2).alias(c) for c in ("freight", "returned")]
     # the final result has a row for each customer, so one sorted partition numbers it
     line = F.row_number().over(Window.orderBy("customer")).alias("line")
-    return out.select(line, "customer", "customer_number", "customer_seller", "customer_type", *map(zero, ("quantity", "freight", "returned", "management_fee")), F.lit(0).cast("decimal(18,2)").alias("rebate"), *map(cents, ("credit", "fine", "cost"))).orderBy("customer")
+    return out.select(line, "customer", "customer_number", "customer_seller", "customer_type", zero("quantity", "decimal(28,4)"), *rounded, zero("management_fee", "decimal(38,8)"), F.lit(0).cast("decimal(18,2)").alias("rebate"), *map(cents, ("credit", "fine", "cost"))).orderBy("customer")
 
 
 def where_used(edges: DataFrame, materials: DataFrame, child: str, all_edges: bool = True, rounds: int = 64) -> DataFrame:
@@ -157,8 +158,6 @@ def where_used(edges: DataFrame, materials: DataFrame, child: str, all_edges: bo
 
     edges: parent_id, child_number, replace_group; materials: id, number. Without ``all_edges``, edges of a replacement
     group don't count. Each round joins the newest assemblies with their parents, and is checkpointed."""
-    from millrace.plans.storage import reliable
-
     if not all_edges:
         edges = edges.where(F.coalesce("replace_group", F.lit(0)) == 0)
     up = materials.join(edges, F.col("child_number") == F.col("number")).select(F.col("id").alias("node"), "parent_id").distinct()

@@ -1,8 +1,9 @@
-"""Reliable checkpoints in the folder that the session's executors share."""
+"""Intermediate tables in the folder that the session's executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,8 @@ _local: str | None = None
 
 
 def reliable(frame: DataFrame) -> DataFrame:
-    """``frame``, computed, with its lineage cut, in files that survive a lost executor."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint()
+    """``frame``, computed once, with its lineage cut, as a table that survives a lost executor and whose size Spark
+    knows: later joins broadcast it only where it is small."""
+    path = f"{shared_folder(frame.sparkSession)}/step-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
