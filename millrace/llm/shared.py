@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+        # with its scheme: a bare path is Spark's default file system, and others would take it for a local one
+        path = spark._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
+        return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _local
     if _local is None:
