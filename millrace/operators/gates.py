@@ -37,16 +37,16 @@ def orphan_decision(counts: DataFrame) -> DataFrame:
     """counts: source, previous, target, orphans, duplicates, filtered (long), partial (boolean)."""
     c = F.col
     blocked = [
-        (c("source") <= 0, "source snapshot is empty"),
-        (c("duplicates") > 0, "source has duplicate keys"),
-        (c("partial"), "snapshot write is partial"),
-        (c("filtered") > 0, "load filtered rows"),
-        ((c("orphans") < 0) | (c("target") < 0) | (c("orphans") > c("target")), "counts are invalid"),
+        (c("source") <= 0, "nothing in the source"),
+        (c("duplicates") > 0, "keys repeat in the source"),
+        (c("partial"), "not all rows were written"),
+        (c("filtered") > 0, "the load dropped rows"),
+        ((c("orphans") < 0) | (c("target") < 0) | (c("orphans") > c("target")), "the counts contradict each other"),
         ((c("previous") > 0) & (c("source") * 100 < c("previous") * LEAST_SOURCE_PERCENT), "source fell by more than a tenth"),
     ]
     few = (c("target") > 0) & (c("orphans") <= AUTO_ROWS) & (c("orphans") * 100 <= c("target") * AUTO_PERCENT)
-    decision, reason = F.lit("approval_required"), F.lit("orphans exceed the automatic limit")
-    for test, d, r in ((few, "auto_approved", "orphans are within the automatic limit"), (c("orphans") == 0, "auto_approved", "no orphans"), *((t, "blocked", why) for t, why in reversed(blocked))):
+    decision, reason = F.lit("approval_required"), F.lit("too many orphans to delete unasked")
+    for test, d, r in ((few, "auto_approved", "few enough orphans to delete"), (c("orphans") == 0, "auto_approved", "no orphans"), *((t, "blocked", why) for t, why in reversed(blocked))):
         decision, reason = F.when(test, d).otherwise(decision), F.when(test, r).otherwise(reason)
     return counts.select("*", decision.alias("decision"), reason.alias("reason"))
 
