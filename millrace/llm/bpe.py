@@ -12,8 +12,8 @@ such a run the pre-tokenizer has no boundary, and a BPE encoding is right when e
 the tokens may change over there. The window grows until both sides agree, at last to both halves, which is exact.
 
 Overlap resynchronisation (:func:`Encoder.count`), for texts longer than ``CHUNK``: overlapping chunks are encoded with
-offsets and spliced at a token start, common to both, that is one of the boundaries proven above; where an overlap has
-none, it is widened, at last to the end of the text.
+offsets and spliced at a token start, common to both, that is one of the boundaries proven above, or inside a run over
+which both agree; where an overlap has neither, it is widened, at last to the last boundary.
 
 Defined results: a null text is empty and has no tokens; repeated rows each get a result; special strings inside texts
 become special tokens, as is the library's default; other columns are ignored.
@@ -150,32 +150,42 @@ class Encoder:
 
     def count(self, text: str) -> int:
         """Tokens of a text longer than a chunk, by overlapping chunks."""
-        total, at = 0, 0  # up to at, a proven boundary, all is counted
+        total, at = 0, 0  # up to at, a boundary of the whole text's encoding, all is counted
         first = self.chunked(text, 0, min(len(text), self.chunk))
         while True:
-            begin, end, starts = first
+            begin, end, starts, ids = first
             if end == len(text):
-                return total + len(starts) - bisect_left(starts, at)
+                return total + len(ids) - bisect_left(starts, at)
             overlap = self.overlap
             while True:
                 begin2 = max(at, end - overlap)
                 following = self.chunked(text, begin2, min(len(text), begin2 + max(self.chunk, 2 * overlap)))
-                common = set(starts).intersection(following[2])
-                cut = next((p for p in sorted(common) if begin2 < p < end - 1 and SAFE.match(text, p)), None)
+                cut = self.spliced(text, first, following)
                 if cut is not None:
                     break
-                if begin2 == at:  # no boundary in all of the chunk: encode on from the last one
-                    following = self.chunked(text, at, min(len(text), end + max(self.chunk, overlap)))
+                if begin2 == at:  # no boundary in all of the chunk: encode twice as far from the last one
+                    following = self.chunked(text, at, min(len(text), at + 2 * (end - at)))
                     cut = at
                     break
                 overlap *= 2
             total += bisect_left(starts, cut) - bisect_left(starts, at)
             at, first = cut, following
 
-    def chunked(self, text: str, begin: int, end: int) -> tuple[int, int, list[int]]:
+    def spliced(self, text: str, first: tuple, following: tuple) -> int | None:
+        """Where the first chunk's encoding may go on as the following one's."""
+        end, begin = first[1], following[0]
+        common = set(first[2]).intersection(following[2])
+        cut = next((p for p in sorted(common) if begin < p < end - 1 and SAFE.match(text, p)), None)
+        if cut is None and begin < end and text[begin:end].isascii():
+            run = self.agreed(first[3], first[2], following[3], following[2], text[begin:end].encode(), begin, (begin, end))
+            cut = first[2][run[0]] if run else None
+        return cut
+
+    def chunked(self, text: str, begin: int, end: int) -> tuple[int, int, list[int], list[int]]:
+        """(begin, end, starts and the end, ids)."""
         e = self.lib.encode(text[begin:end], add_special_tokens=False)
         # a token inside a character has that character's offset, and so isn't taken for a start: starts only grow
-        return begin, end, list(accumulate((begin + o[0] for o in self.byte_starts(e, text[begin:end])), max))
+        return begin, end, [*accumulate((begin + o[0] for o in self.byte_starts(e, text[begin:end])), max), end], e.ids
 
     def byte_starts(self, e, text: str) -> list[tuple[int, int]]:
         """Where each token starts: the library trims a leading space off its offsets, so they follow from the widths."""
