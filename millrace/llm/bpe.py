@@ -54,9 +54,11 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.leaf, self.window, self.agree, self.chunk, self.overlap = leaf, window, agree, chunk, overlap
+        self.leaf, self.window, self.chunk, self.overlap = leaf, window, chunk, overlap
         self.cache: dict[str, bytes] = {}
         added = {t.content for t in self.lib.get_added_tokens_decoder().values()}
+        # a run that is longer than any special string isn't inside one
+        self.agree = max(agree, 1 + max((len(t.encode()) for t in added), default=0))
         # each character of a byte-level token stands for one byte: printable Latin-1 for itself, the others for those from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         of_char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
