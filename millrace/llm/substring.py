@@ -132,7 +132,7 @@ def factors(gone: np.ndarray) -> list[tuple[int, int]]:
 
 
 #: What the parse leaves of a document: its digest, or its text for the check at factor boundaries.
-PARSED = "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start: int, stop: int>>, text string, first array<long>, second array<long>, at array<int>"
+PARSED = "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start: int, stop: int>>, text string, first array<long>, second array<long>, at array<int>, which array<int>"
 
 
 def parse(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
@@ -151,13 +151,17 @@ def parse(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
                     opened = [np.arange(p["start"], p["start"] + p["windows"]) for p in pieces or () if p["open"]]
                     if not opened:
                         gone = covered(len(w), whole)
-                        out.append((*digest(w, gone, keep_text), [], None, *[np.zeros(0, np.int64)] * 3))
+                        out.append((*digest(w, gone, keep_text), [], None, *[np.zeros(0, np.int64)] * 4))
                         continue
                     h, at = hashed(w), np.concatenate(opened)
-                    hashes = [Rolling(h, b).ranges(at, at + window).view(np.int64) for b in BASES]
-                    out.append((len(w), 0, None, None, [{"start": a, "stop": b} for a, b in whole], text, *hashes, at))
+                    hashes = [Rolling(h, b).ranges(at, at + window).view(np.int64).tolist() for b in BASES]
+                    # different windows of the text, and which of them each place has
+                    number: dict[tuple[int, int], int] = {}
+                    which = np.array([number.setdefault(x, len(number)) for x in zip(*hashes)], np.int64)
+                    different = np.array(list(number), np.int64)
+                    out.append((len(w), 0, None, None, [{"start": a, "stop": b} for a, b in whole], text, different[:, 0], different[:, 1], at, which))
                 columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), span, pa.string()))]
-                columns += [lists((o[6 + i] for o in out), k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+                columns += [lists((o[6 + i] for o in out), k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], names)
 
     return rows.mapInArrow(run, PARSED)
@@ -170,19 +174,22 @@ def digest(w: list[bytes], gone: np.ndarray, keep_text: bool) -> tuple[int, int,
 
 
 def finish(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Digests of rows (doc_id, mark, text, spans, first, second, at, found_first, found_second): factors from whole blocks
-    and from the single windows that were found."""
+    """Digests of rows (doc_id, mark, text, spans, first, second, at, which, found): factors from whole blocks and from the
+    single windows that were found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                w = words(r["text"])
-                found = set(zip(r["found_first"] or (), r["found_second"] or ()))
-                single = [(a, a + window) for x, y, a in zip(r["first"], r["second"], r["at"]) if (x, y) in found]
-                gone = covered(len(w), [(s["start"], s["stop"]) for s in r["spans"]] + single)
-                out.append(digest(w, gone, keep_text))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "mark", "n_words", "n_removed", "kept_sha256", "kept"])
+            for begin in range(0, len(batch), 64):
+                part = batch.slice(begin, 64)
+                out = []
+                for r in part.to_pylist():
+                    w = words(r["text"])
+                    found = {(x["first"], x["second"]) for x in r["found"] or ()}
+                    known = [x in found for x in zip(r["first"], r["second"])]
+                    single = [(a, a + window) for a, i in zip(r["at"], r["which"]) if known[i]]
+                    out.append(digest(w, covered(len(w), [(s["start"], s["stop"]) for s in r["spans"]] + single), keep_text))
+                columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], ["doc_id", "mark", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, kept string")
 
@@ -208,8 +215,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bo
 
     # factor boundaries: windows of blocks whose anchor has other contents
     waiting = parsed.where("text IS NOT NULL")
-    single = waiting.select("doc_id", "mark", F.explode(F.array_distinct(F.arrays_zip("first", "second"))).alias("w")).select("doc_id", "mark", "w.first", "w.second")
+    single = waiting.select("doc_id", "mark", F.explode(F.arrays_zip("first", "second")).alias("w")).select("doc_id", "mark", "w.first", "w.second")
     index = single.groupBy("first", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("first", "second", "low")
-    found = single.join(stash(index, "substring-index"), ["first", "second"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list("first").alias("found_first"), F.collect_list("second").alias("found_second"))
-    done = finish(waiting.select("doc_id", "mark", "text", "spans", "first", "second", "at").join(found, ["doc_id", "mark"], "left"), window, keep_text)
+    found = single.join(stash(index, "substring-index"), ["first", "second"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "second")).alias("found"))
+    done = finish(waiting.select("doc_id", "mark", "text", "spans", "first", "second", "at", "which").join(found, ["doc_id", "mark"], "left"), window, keep_text)
     return parsed.where("text IS NULL").select(*done.columns).unionAll(done)
