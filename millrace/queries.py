@@ -375,7 +375,7 @@ def p18_redaction(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.redacted(raw).alias("message"))
 
 
-@query("s4_cut_bytes", None)
+@query("s4_cut_bytes", "SELECT doc_id, cut, strlen(cut) AS n_bytes FROM (SELECT doc_id, CASE WHEN strlen(text) <= 500 THEN text ELSE left(text, list_max(list_filter(range(125, 501), lambda n: strlen(left(text, n)) <= 500))) END AS cut FROM documents)")
 def s4_cut_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.cut_bytes(F.col("text")).alias("cut"), F.octet_length(X.cut_bytes(F.col("text"))).alias("n_bytes"))
 
