@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from datetime import datetime
 from typing import Any
@@ -64,9 +63,6 @@ def closed_period(day: Column) -> tuple[Column, Column]:
     return F.year(before), F.month(before)
 
 
-_WINDOW_TARGET = re.compile(r"^[a-z0-9_]+__next_[0-9a-f]{8}$")
-
-
 def manifest_faults(tables: DataFrame) -> DataFrame:
     """(table, fault) of each broken rule of a manifest's mappings: manifest_kind, contract_hash, table, target_table,
     primary_key, storage_key, cursor_key, mode."""
