@@ -5,12 +5,13 @@ on top is information-theoretic sanitisation. An entity is a value of a base spa
 characters on either side. The corpus gives the shares of documents that hold the entity, p(e), the term, p(t), and the
 term in a context of the entity, p(e, t). A term discloses an entity when their pointwise mutual information
 log2(p(e, t) / (p(e) p(t))) reaches the share ``DISCLOSED`` of the entity's information -log2 p(e), which it has in full
-when the term only occurs with the entity. Estimates need support: ``SUPPORT`` different contexts, so that copies of one
-text, however many, show nothing. Disclosing terms become spans of kind "term" in the entity's contexts, and the
-sanitiser generalises them like the entities.
+when the term only occurs with the entity. That is p(e | t) >= p(e)^(1 - DISCLOSED), and as counts are small, Chernoff's
+bound decides: counts such as those found would come from a smaller p(e | t) with a probability of ``DOUBT`` at most. Copies
+prove nothing: a pair counts once for each different text with a context of its own, and ``LEAST`` such are needed. Disclosing terms
+become spans of kind "term" wherever they stand in the corpus, and the sanitiser generalises them like the entities.
 
 All of this is DataFrame expressions. Texts are scanned and never shuffled; contexts and terms are pre-aggregated. Terms
-are counted over the whole corpus before the counts meet the terms with support, so that what the join makes grows with
+are counted over the whole corpus before the counts meet the terms with contexts enough, so that what the join makes grows with
 the vocabulary and not with the words.
 
 Defined results: a null text is empty, and stays null when sanitised; repeated rows each get a result; spans are sorted
@@ -20,13 +21,16 @@ ignored by the finder and kept by the sanitiser.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stash
 
 REACH = 60
-SUPPORT = 5
+LEAST = 2
+DOUBT = 0.1
 DISCLOSED = 0.8
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -109,34 +113,42 @@ def found(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", F.md5("text").alias("mark"), "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("contexts"))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(mark, extra): spans of terms that disclose an entity, for texts that have any. ``rows``: what :func:`found` gave."""
+def disclosing(docs: DataFrame, rows: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED) -> DataFrame:
+    """(mark, extra): spans of the terms that disclose any entity, for all texts that hold such terms. ``rows``: what :func:`found` gave."""
     each = rows.where("contexts IS NOT NULL").select("mark", F.explode("contexts").alias("c")).select("mark", "c.entity", "c.context", "c.terms")
-    terms = each.select("mark", "entity", "context", F.explode("terms").alias("t")).select("mark", "entity", "context", F.col("t.value").alias("term"), "t.start", "t.stop")
+    terms = each.select("mark", "entity", "context", F.explode("terms.value").alias("term"))
     # documents are counted by row: a row's own repeats count once
     by_row = rows.where("contexts IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["value"].alias("term"))))))).alias("x")).select("x.*")
     both = by_row.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    seen = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = stash(seen.join(both, ["entity", "term"]).select("entity", "term", "n_both"), "pii-pairs")
+    seen = terms.groupBy("entity", "term", "context").agg(F.min("mark").alias("mark")).groupBy("entity", "term").agg(F.count_distinct("mark").alias("contexts")).where(F.col("contexts") >= LEAST)
+    pairs = stash(seen.join(both, ["entity", "term"]), "pii-pairs")
     if pairs.isEmpty():
         return rows.where("false").select("mark", F.array().cast(SPAN).alias("extra"))
 
     wanted = stash(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = docs.select(F.md5(whole).alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))).alias("term"))
     held = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     entities = rows.where("contexts IS NOT NULL").select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = rows.count()
-    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
-    flagged = pairs.join(held, "term").join(entities, "entity").where(pmi >= F.lit(disclosed) * F.log2(F.lit(float(n)) / F.col("n_entity"))).where(pmi > 0).select("entity", "term")
-    hit = terms.join(stash(flagged, "pii-flagged"), ["entity", "term"])
-    span = F.struct(F.col("start"), F.lit(KINDS.index("term")).alias("rank"), F.col("stop"), F.col("term").alias("value"))
-    return stash(hit.select("mark", span.alias("s")).distinct().groupBy("mark").agg(F.collect_list("s").cast(SPAN).alias("extra")), "pii-extra")
-
-
-def personal_data(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+    counts = pairs.join(held, "term").join(entities, "entity").where(F.col("n_entity") < n)
+    together = F.col("contexts")
+    share = together / (together + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0)))
+    least = F.pow(F.col("n_entity") / F.lit(float(n)), F.lit(1 - disclosed))
+    apart = share * F.log(share / least) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - least))).otherwise(0.0)
+    flagged = stash(counts.where(share > least).where(together / share * apart >= F.lit(-math.log(doubt))).select("term").distinct(), "pii-flagged")
+    # texts are only scanned for positions where they hold flagged terms
+    hits = stash(words.join(flagged, "term").groupBy("mark").agg(F.collect_set("term").alias("flagged")), "pii-hits")
+    texts = docs.select(F.md5(whole).alias("mark"), whole.alias("text")).join(hits.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.min("text").alias("text")).join(hits, "mark")
+    spots = located(F.col("text"), TERM, "term", lambda v: F.array_contains("flagged", F.lower(v)))
+    free = F.filter("spots", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    return stash(texts.select("mark", spots.alias("spots"), base_spans(F.col("text")).alias("base")).select("mark", F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["stop"].alias("stop"), F.lower(t["value"]).alias("value"))).cast(SPAN).alias("extra")), "pii-extra")
+
+
+def personal_data(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED) -> DataFrame:
     """(doc_id, spans, all_spans) of every row."""
     rows = stash(found(docs), "pii-found")
-    extra = disclosing(docs, rows, support, disclosed)
+    extra = disclosing(docs, rows, doubt, disclosed)
     every = F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "extra")))
     return rows.select("doc_id", "mark", "spans").join(extra, "mark", "left").select("doc_id", "spans", every.alias("all_spans"))
 
@@ -150,10 +162,10 @@ def report(docs: DataFrame) -> DataFrame:
     return personal_data(docs).select("doc_id", *counts, F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
 
 
-def sanitised(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def sanitised(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in angle brackets."""
     names = docs.columns
-    extra = disclosing(docs, stash(found(docs), "pii-found"), support, disclosed).select(F.col("mark").alias("_pii_mark"), F.col("extra").alias("_pii_extra"))
+    extra = disclosing(docs, stash(found(docs), "pii-found"), doubt, disclosed).select(F.col("mark").alias("_pii_mark"), F.col("extra").alias("_pii_extra"))
     text = F.col("text").cast("string")
     marked = docs.withColumns({"_pii_mark": F.md5(F.coalesce(text, F.lit(""))), "_pii_base": base_spans(F.coalesce(text, F.lit("")))})
     spans = F.when(F.col("_pii_extra").isNull(), F.col("_pii_base")).otherwise(F.sort_array(F.concat("_pii_base", "_pii_extra")))

@@ -76,3 +76,19 @@ def test_disclosing_terms(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(docs).count() == 0 and pii.sanitised(docs).count() == 0
+
+
+def test_few_contexts_and_all_occurrences(spark):
+    words = lambda i: "plain words of this long filler text number %d which all the documents hold and which say nothing" % i
+    rows = [(i, words(i)) for i in range(3000)]
+    rows += [(4000, f"{words(1)} Meyerling mail boss@firm.com"), (4001, f"{words(2)} other Meyerling text boss@firm.com {words(3)} meyerling {words(4)}")]
+    rows += [(4100 + i, "Copyterm near 10.1.2.3 here") for i in range(3)] + [(4200, "Lonely near 10.9.2.3 here")]
+    rows += [(4300 + i, f"Twicecopied 10.8.2.3 {words(5)} twicecopied text 10.8.2.3") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in pii.report(docs).collect()}
+    for i, t in rows[3000:3002]:
+        at = [m.start() for m in re.finditer("meyerling", t.lower())]
+        assert [s for s in got[i].split(",") if s.startswith("term")] == [f"term:{a}:{a + 9}" for a in at]
+    assert not any("term" in s for i, s in got.items() if i not in (4000, 4001))
+    clean = {x.doc_id: x.text for x in pii.sanitised(docs).collect()}
+    assert clean[4001].count("<TERM>") == 2 and "eyerling" not in clean[4001]
