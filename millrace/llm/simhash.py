@@ -170,25 +170,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, mark, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, mark, fp, component_id, root) of every row of ``docs`` (doc_id, text); root is the component's least fingerprint."""
     marked = stash(fingerprints(docs, shingle), "simhash-rows")
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
     roots = components(links(fps, radius))
     members = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct()).join(fps, "fp")
     first = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = members.join(first, "root").select("fp", "component_id")
-    by_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    linked = members.join(first, "root").select("fp", "component_id", "root")
+    by_fp = fps.join(linked, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # written, so that the join stands on two plain exchanges, of which Spark can split a fingerprint of many copies
-    return marked.join(stash(by_fp, "simhash-by-fp"), "fp").select("doc_id", "mark", "fp", "component_id")
+    return marked.join(stash(by_fp, "simhash-by-fp"), "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays."""
     found = stash(simhash_components(docs, radius, shingle), "simhash-components")
-    # a component without any id is told apart by its smallest fingerprint's group instead
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    winners = found.groupBy(group.alias("g")).agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_simhash_id"), F.col("w.mark").alias("_simhash_mark")).distinct()
+    winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_simhash_id"), F.col("w.mark").alias("_simhash_mark")).distinct()
     names = docs.columns
     marked = docs.withColumns({"_simhash_row_id": F.col("doc_id").cast("long"), "_simhash_row_mark": text_mark(F.col("text"))})
     kept = marked.join(winners, F.col("_simhash_row_id").eqNullSafe(F.col("_simhash_id")) & (F.col("_simhash_row_mark") == F.col("_simhash_mark")), "left_semi")

@@ -101,3 +101,12 @@ def test_masks_cover():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+
+
+def test_components_with_one_id_or_none_stay_apart(spark):
+    same = " ".join("w%d" % i for i in range(400))
+    edited = (same.replace("w%d " % k, "x ", 1) for k in range(399))
+    near = next(t for t in edited if 0 < (plain_fingerprint(same) ^ plain_fingerprint(t)).bit_count() <= 3)
+    rows = [(7, "one text of this id"), (7, "and quite another one that shares it"), (None, same), (None, near)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(x.doc_id) for x in kept) == ["7", "7", "None"]
