@@ -1,29 +1,38 @@
 """Main text of web pages, by nearest-URL page differencing.
 
-A page is cut into lines, one per block of its markup. Lines in scripts, menus, headers, footers, sidebars, notices,
-adverts, forms and comments, as elements, roles and class names tell, are dropped at once. Lines within an article or
-main element are kept: what two articles share, such as a quoted passage or a licence, is part of both. All other lines
-are decided by differencing: each page is paired with the page whose URL path is nearest in its host, the lines of both
-are aligned by longest common subsequence, and shared lines are deleted, as a site's pages share them.
-
-Nearest is the neighbour in the order of (host, path) with the longer common path. Only pages with undecided lines take
-part, as line hashes, not texts. The order is a range sort with a running number over its partitions, so no host, however
-large, has to fit one task; neighbours meet by an equi-join on the number.
-
-Defined results: a null html is empty and has no text; a page without article or main element and without a neighbour in
-its host keeps its undecided lines; repeated rows each get a result, as one page of the pairing; unclosed and crossing
-tags end where their parents do; a null url belongs to an empty host; other columns are ignored.
+A page is cut into lines, one per block of its markup. Every page is paired with the page of its host whose URL path is
+nearest, among those that have other lines; the lines of both are aligned by longest common subsequence, and the lines
+that they share are deleted, as a site's pages share them. Two things hold against that: what stands in an article or main
+element stays, as a quoted passage or a licence that two articles share is part of both; and of the lines that
+differencing leaves, those that elements, roles and class names mark as menus, headers, footers, sidebars, notices,
+adverts, forms or comments go as well, as a page may have its own. Scripts, styles and the like are no lines at all.
+
+What is left outside an article goes if the article has more text. If it has less, the article element is a mere card, and
+its lines are decided by differencing like the others.
+
+Nearest is the neighbour in the order of (host, path) with the longer common path. Pages with equal lines, as when a page
+is crawled twice, are one in that order, so none is compared with its own copy. The order is a range sort with a running
+number, dealt out in runs of ``RUN`` numbers and their two outer neighbours, so no host, however large, has to fit a
+task. Only hashes of lines are compared; the texts, packed, meet what was shared in one join.
+
+Defined results: a null html is empty and has no text; a page without another in its host shares nothing; repeated rows
+each get a result; unclosed and crossing tags end where their parents do; a null url belongs to an empty host; other
+columns are ignored. Very long pages: the alignment takes memory in proportion to the lines of both pages, and time to
+their product once equal ends and lines that the other page lacks are set aside.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +58,11 @@ _WORD = re.compile(r"[A-Za-z]+")
 _RAW_END = {k: re.compile(rf"</{k}\b[^>]*(?:>|$)", re.I) for k in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "canvas", "object")}
 _SPACE = re.compile(r"\s+")
 
-DROPPED, KEPT, OPEN = 0, 1, 2
+SILENCED, FRAMED, ARTICLE, OPEN = range(4)
+#: Pages of so many numbers in a row are aligned by one task.
+RUN = 256
+#: Alignments of up to so many pairs of lines take one table.
+CELLS = 1_000_000
 
 
 def framing(attributes: str) -> bool:
@@ -63,14 +76,14 @@ def framing(attributes: str) -> bool:
 
 
 def lines(html: str) -> list[tuple[str, int]]:
-    """(text, verdict) of each line of a page that isn't dropped, in page order."""
+    """(text, verdict) of each line of a page, in page order; the verdict is what markup says: FRAMED, ARTICLE or OPEN."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements, and the verdict that holds inside
     parts: list[str] = []
     verdict = OPEN
 
     def flush() -> None:
-        if parts and verdict != DROPPED:
+        if parts and verdict != SILENCED:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 out.append((text, verdict))
@@ -120,12 +133,14 @@ def lines(html: str) -> list[tuple[str, int]]:
             flush()
         if name in VOID or m[3].rstrip().endswith("/") and name not in MAIN | FRAME and name in INLINE:
             continue
-        if verdict == DROPPED or name in FRAME or name in SILENT or name not in ("html", "body", "article", "main") and framing(m[3]):
-            inside = DROPPED
+        if verdict == SILENCED or name in SILENT:
+            inside = SILENCED
+        elif verdict == FRAMED or name in FRAME or name not in ("html", "body", "article", "main") and framing(m[3]):
+            inside = FRAMED
         elif name == "header":
-            inside = KEPT if verdict == KEPT else DROPPED  # an article's own header holds its title
+            inside = ARTICLE if verdict == ARTICLE else FRAMED  # an article's own header holds its title
         elif name in MAIN:
-            inside = KEPT
+            inside = ARTICLE
         else:
             inside = verdict
         if inside != verdict:
@@ -133,26 +148,36 @@ def lines(html: str) -> list[tuple[str, int]]:
         stack.append((name, inside))
         verdict = inside
     flush()
-    # where a page has an article, what stands outside it isn't the article
-    return [x for x in out if x[1] == KEPT] if any(v == KEPT for _, v in out) else out
-
-
-def shared(a: list[int], b: list[int]) -> list[int]:
-    """Positions of ``a`` in a longest common subsequence with ``b``; common ends go first, the rest by rows of numpy."""
-    begin = 0
-    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
-        begin += 1
-    end = 0
-    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
-        end += 1
-    x, y = np.array(a[begin : len(a) - end], np.int64), np.array(b[begin : len(b) - end], np.int64)
-    # lines that the other page doesn't have can't be shared
-    xi, y = np.flatnonzero(np.isin(x, y)), y[np.isin(y, x)]
-    x = x[xi]
-    longest = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x)):
-        longest[i + 1, 1:] = np.maximum.accumulate(np.maximum(longest[i, 1:], np.where(y == x[i], longest[i, :-1] + 1, 0)))
-    i, j, middle = len(x), len(y), []
+    return out
+
+
+def common(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Positions of ``x`` in a longest common subsequence with ``y``: by one table, or in halves where it would be large."""
+    if not len(x) or not len(y):
+        return []
+
+    def row(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+        longest = np.zeros(len(y) + 1, np.int32)
+        yield longest
+        for v in x:
+            following = np.zeros_like(longest)
+            np.maximum.accumulate(np.maximum(longest[1:], np.where(y == v, longest[:-1] + 1, 0)), out=following[1:])
+            longest = following
+            yield longest
+
+    def last(rows: Iterator[np.ndarray]) -> np.ndarray:
+        return deque(rows, maxlen=1)[0]
+
+    if len(x) == 1:
+        return [0] if (y == x[0]).any() else []
+    if len(x) * len(y) > CELLS:
+        # the split of y at which the halves of x have most in common with its parts
+        half = len(x) // 2
+        above, below = last(row(x[:half], y)), last(row(x[: half - 1 : -1], y[::-1]))
+        cut = int((above + below[::-1]).argmax())
+        return common(x[:half], y[:cut]) + [half + i for i in common(x[half:], y[cut:])]
+    longest = np.stack(list(row(x, y)))
+    i, j, out = len(x), len(y), []
     while i and j:
         if longest[i, j] == longest[i - 1, j]:
             i -= 1
@@ -160,75 +185,141 @@ def shared(a: list[int], b: list[int]) -> list[int]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            middle.append(begin + int(xi[i]))
-    return [*range(begin), *reversed(middle), *range(len(a) - end, len(a))]
+            out.append(i)
+    return out[::-1]
 
 
-def read(pages: DataFrame) -> DataFrame:
-    """(page_id, url, key, host, path, texts, hashes) of every row: hashes of undecided lines, empty where all are decided."""
+def shared(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of ``a`` in a longest common subsequence with ``b``: equal ends first, then what the rest has in common."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    begin = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    end = min(int(differ[0]) if len(differ) else n, n - begin)
+    x, y = a[begin : len(a) - end], b[begin : len(b) - end]
+    at = np.flatnonzero(np.isin(x, y))
+    middle = common(x[at], y[np.isin(y, x)])
+    return [*range(begin), *(begin + int(at[i]) for i in middle), *range(len(a) - end, len(a))]
+
+
+def hashed(found: list[tuple[str, int]]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t) for t, _ in found], np.uint64).view(np.int64)
+
+
+def addressed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, path, html) of every row."""
+    rest = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+
+
+def sign(host: str, hashes: np.ndarray) -> str:
+    """Names the pages of a host that have equal lines."""
+    return xxhash.xxh3_128_hexdigest(host.encode() + b"\0" + hashes.tobytes())
+
+
+def hashes(pages: DataFrame) -> DataFrame:
+    """(sign, host, path, hashes) of every page with lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                made = [hashed(lines(x.as_py())) for x in part.column("html")]
+                signs = [sign(h, x) for h, x in zip(part.column("host").to_pylist(), made)]
+                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), part.column("host"), part.column("path"), pa.array(made, pa.list_(pa.int64()))], ["sign", "host", "path", "hashes"])
+
+    return addressed(pages).select("host", "path", "html").mapInArrow(run, "sign string, host string, path string, hashes array<long>").where("size(hashes) > 0")
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, sign, texts) of every row: the lines that may stay, each behind the letter of its verdict, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                texts, hashes = [], []
-                for x in part.column("html"):
-                    found = lines(x.as_py())
-                    undecided = any(v == OPEN for _, v in found)
-                    # decided pages are joined here
-                    texts.append([t for t, _ in found] if undecided else [" ".join(t for t, _ in found)])
-                    hashes.append([xxhash.xxh64_intdigest(t) - 2**63 for t, _ in found] if undecided else [])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "key", "host", "path")), pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "url", "key", "host", "path", "texts", "hashes"])
-
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.md5(F.concat_ws("\x00", F.col("page_id").cast("string"), url, F.md5(html))).alias("key"), F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), html.alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, key string, host string, path string, texts array<string>, hashes array<long>")
+                signs, texts = [], []
+                for host, html in zip(part.column("host").to_pylist(), part.column("html")):
+                    found = lines(html.as_py())
+                    signs.append(sign(host, hashed(found)))
+                    # a line has no line break, its white space being single spaces; framed lines only keep their places
+                    texts.append(pack("\n".join("" if v == FRAMED else "ao"[v == OPEN] + t for t, v in found).encode()))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(signs, pa.string()), pa.array(texts, pa.binary())], ["page_id", "url", "sign", "texts"])
+
+    return addressed(pages).select("page_id", "url", "host", "html").mapInArrow(run, "page_id long, url string, sign string, texts binary")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, host, path, hashes) with their number in the order of (host, path, key)."""
-    ordered = stash(rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}), "html-order")
+    """``rows`` (sign, host, path, hashes) with their number in the order of (host, path, sign)."""
+    ordered = stash(rows.repartitionByRange("host", "path", "sign").sortWithinPartitions("host", "path", "sign").withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}), "html-order")
     counts = {r.part: r.n for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per partition
     starts, total = [], 0
-    for i in range(max(counts) + 1):
+    for i in range(max(counts, default=0) + 1):
         starts.append(total)
         total += counts.get(i, 0)
     return ordered.withColumn("number", F.get(F.array(*map(F.lit, starts)), F.col("part")).cast("long") + F.col("place")).drop("part", "place")
 
 
 def common_prefix(a: str, b: str) -> int:
-    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return n
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def deletions(rows: DataFrame) -> DataFrame:
-    """(key, shared): positions of the lines that each page shares with its nearest page."""
-    pages = numbered(rows.dropDuplicates(["key"]))
-    left, right = (pages.select((F.col("number") + d).alias("number"), F.col("host").alias(f"host{d}"), F.col("path").alias(f"path{d}"), F.col("hashes").alias(f"hashes{d}")) for d in (1, -1))
-    near = pages.join(left, "number", "left").join(right, "number", "left")
+def differences(rows: DataFrame) -> DataFrame:
+    """(sign, shared): positions of the lines that the pages of this sign share with their nearest page, if any."""
+    one = rows.groupBy("sign").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.first("hashes").alias("hashes"))
+    # a run also gets the page before it and the page behind it
+    runs = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("number") + d) / RUN)))
+    dealt = numbered(one).withColumn("run", F.explode(runs)).repartition("run").sortWithinPartitions("run", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = [], []
-            for r in batch.to_pylist():
-                sides = [(common_prefix(r["path"], r[f"path{d}"]), r[f"hashes{d}"]) for d in (1, -1) if r[f"host{d}"] == r["host"]]
-                keys.append(r["key"])
-                found.append(shared(r["hashes"], max(sides, key=lambda s: s[0])[1]) if sides else [])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["key", "shared"])
-
-    return near.mapInArrow(run, "key string, shared array<long>").where("size(shared) > 0")
+        def align(near: list[dict]) -> tuple[str, list[int]] | None:
+            """What the middle one of three pages in a row shares with the nearer of the others."""
+            before, page, after = near
+            if page is None or page["number"] // RUN != page["run"]:
+                return None
+            sides = [(common_prefix(page["path"], x["path"]), x["hashes"]) for x in (before, after) if x and x["host"] == page["host"] and x["run"] == page["run"]]
+            found = shared(page["hashes"], max(sides, key=lambda s: s[0])[1]) if sides else []
+            return (page["sign"], found) if found else None
+
+        near: list = [None, None, None]
+        for batch in itertools.chain(batches, [None]):
+            out = []
+            table = [None] if batch is None else [{k: batch.column(k)[i].as_py() for k in ("sign", "host", "path", "number", "run")} | {"hashes": np.asarray(batch.column("hashes")[i].values)} for i in range(len(batch))]
+            for x in table:
+                near = [*near[1:], x]
+                out.append(align(near))
+            out = [x for x in out if x]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([p for _, p in out], pa.list_(pa.int32()))], ["sign", "shared"])
+
+    return dealt.select("sign", "host", "path", "hashes", "number", "run").mapInArrow(run, "sign string, shared array<int>")
+
+
+def assembled(found: list[tuple[str, str]], gone: set[int]) -> tuple[str, int]:
+    """The text of a page's lines, as (letter of verdict, text), and how many lines differencing deleted."""
+    whole = sum(len(t) for v, t in found if v == "a")
+    left = sum(len(t) for i, (v, t) in enumerate(found) if v == "o" and i not in gone)
+    if whole >= left:
+        kept = [t for v, t in found if v == "a"]
+        return " ".join(kept), sum(1 for i in gone if found[i][0] != "a")
+    return " ".join(t for i, (v, t) in enumerate(found) if v and i not in gone), len(gone)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
-    rows = stash(read(pages), "html-lines")
-    undecided = rows.where("size(hashes) > 0").select("key", "host", "path", "hashes")
-    if undecided.isEmpty():
-        text = F.array_join("texts", " ")
-    else:
-        rows = rows.join(stash(deletions(undecided), "html-shared"), "key", "left")
-        kept = F.filter("texts", lambda t, i: ~F.array_contains("shared", i.cast("long")))
-        text = F.array_join(F.when(F.col("shared").isNull(), F.col("texts")).otherwise(kept), " ")
-    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    """(page_id, url, text, n_chars, n_shared) of every row of ``pages`` (page_id, url, html); n_shared counts the lines
+    that went as the nearest page has them."""
+    gone = stash(differences(stash(hashes(pages), "html-lines")), "html-shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                made = []
+                for texts, shared in zip(part.column("texts"), part.column("shared")):
+                    raw = unpack(texts.as_py()).decode()
+                    made.append(assembled([(x[:1], x[1:]) for x in raw.split("\n")], set(shared.as_py() or ())))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([t for t, _ in made], pa.string()), pa.array([len(t) for t, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int64())], ["page_id", "url", "text", "n_chars", "n_shared"])
+
+    rows = packed(pages).join(gone, "sign", "left").select("page_id", "url", "texts", "shared")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")
