@@ -1,22 +1,24 @@
 """Byte-level BPE: ids, decoded text and token counts of whole texts, exactly as the tokenizers library gives them.
 
-Short pieces. A text is cut before each single space that stands between two characters that aren't white space. The
+Leaves. A text is cut before each single space that stands between two characters that aren't white space. The
 pre-tokenizer always has a boundary there: only its white-space alternatives run across white space, and those can't
 start before it; every other alternative takes a space only as its first character. So the pieces' ids, joined, are the
 text's ids. The library encodes each piece that a worker hasn't met lately; others come from a bounded cache.
 
-Tree concatenation (:func:`Encoder.tree`), for pieces longer than ``LEAF``: the halves are encoded apart, down to
-leaves, which go to the library as one batch and so in parallel. At each join a window around it is encoded anew. Where
-the window and one side have the same tokens over ``AGREE`` bytes or more of letters or digits only, they agree: inside
-such a run the pre-tokenizer has no boundary, and a BPE encoding is right when each pair of neighbouring tokens is, so
-the tokens may change over there. The window grows until both sides agree, at last to both halves, which is exact.
+Tree concatenation (:func:`Encoder.tree`), for every text longer than ``LEAF``: it is halved down to leaves, and the
+leaves of all texts of a batch are encoded together. Then halves are joined, level by level. At each join a window around
+it is encoded anew. It agrees with one side where both have the same tokens between two of the boundaries proven above;
+or, in text without such boundaries, over ``AGREE`` bytes or more of letters or digits only: inside such a run the
+pre-tokenizer has no boundary, and a BPE encoding is right when each pair of neighbouring tokens is, so the tokens may
+change over there. The window grows until both sides agree, at last to both halves, which is exact.
 
 Overlap resynchronisation (:func:`Encoder.count`), for texts longer than ``CHUNK``: overlapping chunks are encoded with
 offsets and spliced at a token start, common to both, that is one of the boundaries proven above, or inside a run over
 which both agree; where an overlap has neither, it is widened, at last to the last boundary.
 
 Defined results: a null text is empty and has no tokens; repeated rows each get a result; special strings inside texts
-become special tokens, as is the library's default; other columns are ignored.
+become special tokens, as is the library's default; other columns are ignored. Very long texts take memory in proportion
+to their length, and the joins only re-encode windows around their halves' ends.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 8_192
-WINDOW = 128
+LEAF = 4_096
+WINDOW = 64
 AGREE = 32
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -70,8 +72,14 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def ids(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """The ids of each text as little-endian unsigned 32-bit integers, and the joins of its tree."""
+        leaves = [self.halved(t) for t in texts]
+        parts = iter(self.pieced([x for xs in leaves for x in xs]))
+        return [self.tree(xs, [next(parts) for _ in xs]) for xs in leaves]
+
+    def pieced(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, put together from its pieces."""
         cut = [SAFE.split(t) for t in texts]
         cache = self.cache
         new = {p for pieces in cut for p in pieces if p not in cache}
@@ -79,9 +87,8 @@ class Encoder:
             cache.clear()
             new = {p for pieces in cut for p in pieces}
         fresh = self.together([p for p in new if len(p) <= 64 and SAFE_PIECE.fullmatch(p)])
-        short = [p for p in new if len(p) <= self.leaf and p not in fresh]
-        fresh |= zip(short, (np.array(x, "<u4").tobytes() for x in self.plain(short)))
-        fresh |= {p: np.array(self.tree(p), "<u4").tobytes() for p in new if len(p) > self.leaf}
+        other = [p for p in new if p not in fresh]
+        fresh |= zip(other, (np.array(x, "<u4").tobytes() for x in self.plain(other)))
         if len(fresh) <= CACHED:
             cache |= {p: x for p, x in fresh.items() if len(p) <= 64}
         return [b"".join([cache[p] if p in cache else fresh[p] for p in pieces]) for pieces in cut]
@@ -102,36 +109,56 @@ class Encoder:
         """As the library decodes without skipping special tokens: the tokens' bytes, joined."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
-    def tree(self, text: str) -> list[int]:
-        """Tree concatenation of one unsplit text."""
+    def halved(self, text: str) -> list[str]:
+        """The leaves of a text's tree, a power of two of them, so that the same halves are joined again."""
         leaves = [text]
         while max(map(len, leaves)) > self.leaf:
             leaves = [half for x in leaves for half in (x[: len(x) // 2], x[len(x) // 2 :])]
-        parts = [(x, i) for x, i in zip(leaves, self.plain(leaves))]
+        return leaves
+
+    def tree(self, leaves: list[str], ids: list[bytes]) -> tuple[bytes, int]:
+        """Tree concatenation of a text's leaves: its ids, and how many joins it took."""
+        parts, joins = list(zip(leaves, (np.frombuffer(x, "<u4") for x in ids))), 0
         while len(parts) > 1:
+            joins += len(parts) // 2
             parts = [(a + b, self.join(a, i, b, j)) for (a, i), (b, j) in zip(parts[::2], parts[1::2])]
-        return parts[0][1]
+        return parts[0][1].tobytes(), joins
 
-    def join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
+    def join(self, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
         size = self.window
         while size < max(len(left), len(right)):
             a, b = left[-size:], right[:size]
-            a0, middle = len(left.encode()) - len(a.encode()), (a + b).encode()
-            ids = self.plain([a + b])[0]
-            mine = self.starts(ids, a0)
-            cut = a0 + len(a.encode())
-            lefts, rights = self.starts(left_ids, 0), self.starts(right_ids, cut)
-            x = self.agreed(left_ids, lefts, ids, mine, middle, a0, (a0, cut))
-            y = self.agreed(ids, mine, right_ids, rights, middle, a0, (cut, a0 + len(middle)))
-            if x and y:
-                return left_ids[: x[0]] + ids[x[1] : y[0]] + right_ids[y[1] :]
+            text, cut = (a + b).encode(), len(a.encode())
+            ids = np.array(self.plain([a + b])[0], "<u4")
+            mine = self.starts(ids, 0)
+            # tokens of either side within the window; places are bytes from its start
+            before, after = left_ids[-cut:] if cut else left_ids[:0], right_ids[: len(text) - cut]
+            before = before[np.cumsum(self.width[before][::-1])[::-1] <= cut]
+            after = after[np.cumsum(self.width[after]) <= len(text) - cut]
+            # a window that takes in a whole half begins or ends with it
+            x = (0, 0) if len(a) == len(left) else self.same(before, self.starts(before, cut - int(self.width[before].sum())), ids, mine, a, 0, -2)
+            y = (len(ids), len(after)) if len(b) == len(right) else self.same(ids, mine, after, self.starts(after, cut), b, cut, 0)
+            x = x or self.agreed(before, self.starts(before, cut - int(self.width[before].sum())), ids, mine, text, 0, (0, cut))
+            y = y or self.agreed(ids, mine, after, self.starts(after, cut), text, 0, (cut, len(text)))
+            if x and y and x[1] <= y[0]:
+                return np.concatenate([left_ids[: 0 if len(a) == len(left) else len(left_ids) - len(before) + x[0]], ids[x[1] : y[0]], right_ids[y[1] :] if len(b) < len(right) else right_ids[:0]])
             size *= 2
-        return self.plain([left + right])[0]
+        return np.frombuffer(self.pieced([left + right])[0], "<u4")
+
+    def same(self, p: np.ndarray, ps: list[int], q: np.ndarray, qs: list[int], text: str, base: int, which: int) -> tuple[int, int] | None:
+        """(i, j): p up to i may go on as q from j, as both have the same tokens between two neighbouring boundaries of
+        ``text``, of which ``which`` is the first; i is where the first of them stands."""
+        found = [m.start() for m in SAFE.finditer(text)][which:][:2]
+        if len(found) < 2:
+            return None
+        begin, end = (base + len(text[:at].encode()) for at in found)
+        (i, k), (j, n) = ((bisect_left(s, begin), bisect_left(s, end)) for s in (ps, qs))
+        return (i, j) if k < len(ps) and n < len(qs) and ps[i] == qs[j] == begin and ps[k] == qs[n] == end and np.array_equal(p[i:k], q[j:n]) else None
 
     def starts(self, ids: list[int], at: int) -> list[int]:
         return [at, *(at + np.cumsum(self.width[ids])).tolist()]
 
-    def agreed(self, p: list[int], ps: list[int], q: list[int], qs: list[int], text: bytes, base: int, span: tuple[int, int]) -> tuple[int, int] | None:
+    def agreed(self, p: np.ndarray | list[int], ps: list[int], q: np.ndarray | list[int], qs: list[int], text: bytes, base: int, span: tuple[int, int]) -> tuple[int, int] | None:
         """(i, j): p up to i may go on as q from j, as both have the same tokens around that start."""
         i = bisect_left(ps, span[0])
         run = None
@@ -235,25 +262,24 @@ def per_text(docs: DataFrame, schema: str, rows: Callable[[list[str]], Iterable[
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids binary, text) of every row: the ids as little-endian unsigned 32-bit integers, and their decoding."""
+    """(doc_id, ids, decoded) of every row: the ids as little-endian unsigned 32-bit integers, and their decoding."""
 
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
-        ids = e.ids(texts)
-        return zip(ids, map(e.decode, ids))
+        return ((x, e.decode(x)) for x, _ in e.ids(texts))
 
     return per_text(docs, "ids binary, decoded string", rows)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): :func:`encode` with digests taken where the ids are made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins): :func:`encode` with digests taken where the ids are made,
+    and the joins of each text's tree."""
 
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
-        ids = e.ids(texts)
-        return ((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(e.decode(x).encode()).hexdigest()) for x in ids)
+        return ((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(e.decode(x).encode()).hexdigest(), n) for x, n in e.ids(texts))
 
-    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long", rows)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -261,7 +287,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
-        short = iter(e.ids([t for t in texts if len(t) <= e.chunk]))
+        short = iter(e.pieced([t for t in texts if len(t) <= e.chunk]))
         for t in texts:
             n = len(next(short)) // 4 if len(t) <= e.chunk else e.count(t)
             yield len(t.encode()), n, n > limit

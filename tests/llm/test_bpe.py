@@ -35,11 +35,15 @@ def small():
 
 def test_ids_and_counts_equal_the_library(lib):
     e, cases = small(), list(texts())
-    for t, got in zip(cases, e.ids(cases)):
+    joins = 0
+    for t, (got, n) in zip(cases, e.ids(cases)):
+        joins += n
         want = lib.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, t[:80]
         assert e.count(t) == len(want), t[:80]
         assert e.decode(got) == lib.decode(want, skip_special_tokens=False) == t
+        assert (n > 0) == (len(t) > e.leaf)
+    assert joins > 1_000
 
 
 def test_default_sizes_on_long_unsplit_text(lib):
@@ -48,7 +52,21 @@ def test_default_sizes_on_long_unsplit_text(lib):
     for a in ("abcdefghij", "é漢a", "01"):
         t = "".join(r.choice(a) for _ in range(60_000))
         want = lib.encode(t, add_special_tokens=False).ids
-        assert e.tree(t) == want and e.count(t) == len(want)
+        assert e.ids([t]) == [(np.array(want, "<u4").tobytes(), 15)] and e.count(t) == len(want)
+
+
+def test_windows_stay_small_in_ordinary_text(lib):
+    r = random.Random(4)
+    t = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(1, 9))) for _ in range(40_000))
+    e, sizes = bpe.Encoder(PATH), []
+    plain = e.plain
+    e.plain = lambda texts: sizes.extend(map(len, texts)) or plain(texts)
+    leaves = e.halved(t)
+    parts = e.pieced(leaves)
+    sizes.clear()
+    got, joins = e.tree(leaves, parts)
+    assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert joins == len(leaves) - 1 >= 31 and sum(sizes) <= joins * 4 * bpe.WINDOW
 
 
 def test_frames(spark, lib):
@@ -58,7 +76,7 @@ def test_frames(spark, lib):
     want = []
     for i, t, _ in rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
-        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest(), 7 if i == 3 else 0))
     assert got == sorted(want, key=str)
     counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in bpe.token_counts(docs, PATH).collect()}
     assert counts[3] == (20_000, want[-1][1], True) and counts[None] == (0, 0, False)
