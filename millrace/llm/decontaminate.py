@@ -6,26 +6,35 @@ before that block could stand where it stands in some pattern. A shift of zero m
 block; a bucket of patterns under a hash of that suffix is then compared word by word. Most positions of a clean text
 are never looked at, as most blocks occur in no pattern and move the search by the pattern's length less one.
 
-The benchmark is cut into blocks of at most about ``BLOCK_BYTES`` of text, each broadcast on its own, so what is
-broadcast has a bound whatever the benchmark's size. With one block, documents are read once and nothing is shuffled;
-with more, each block's hits are gathered by document row, as spans rather than texts.
+The benchmark is cut into blocks of about ``BLOCK_WORDS`` words, items of over ``PIECE`` words into pieces that overlap by
+a window less one, so that a block's bound doesn't depend on what the items look like. One block at a time comes to the
+driver and is broadcast, and each worker builds its tables as arrays, some 40 bytes a word. With one block, documents are
+read once and nothing is shuffled; with more, each block's hits are written before the next block is taken, and gathered
+by document row, as spans rather than texts.
 
 Defined results: a null text has no words, and an item without words no pattern; items with a null id mark hits but are
-not listed; repeated rows each get a result; an item that is listed twice counts once; other columns are ignored.
+not listed; repeated rows each get a result; an item that is listed twice counts once; other columns are ignored. Very long
+texts are searched whole, in memory in proportion to their words.
 """
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import text_mark
+from millrace.llm.shared import stash, text_mark
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
+BLOCK_WORDS = 1_000_000
+PIECE = 10_000
+#: Words of the suffix that chooses a bucket.
+SUFFIX = 3
 
 #: ASCII letters in lower case; digits; all other ASCII separates words. Bytes of other characters are word bytes.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -35,53 +44,93 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TO_WORDS).split()
 
 
+_M64, _STEP, _SPREAD = 2**64 - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def mixed(columns):
+    """Hash of word numbers: of one sequence as int, of many as one array for each place."""
+    out = columns[0] * 0
+    for c in columns:
+        out = out * _STEP + c + 1 & _M64 if isinstance(out, int) else out * np.uint64(_STEP) + c + np.uint64(1)
+    return out * _SPREAD & _M64 if isinstance(out, int) else out * np.uint64(_SPREAD)
+
+
 class Patterns:
-    """Shift tables and suffix buckets for patterns of one length."""
+    """Shift table and suffix buckets for the patterns of one length: those of ``flat``, words by number, that begin at ``at``."""
 
-    def __init__(self, length: int):
-        self.length = length
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[int, list[tuple[tuple[bytes, ...], list[str]]]] = {}
+    def __init__(self, length: int, flat: np.ndarray, at: np.ndarray, items: np.ndarray, known: dict[bytes, int], names: list[str | None]):
+        self.length, self.flat, self.known, self.names = length, flat, known, names
         self.block = min(2, length)
-
-    def add(self, pattern: tuple[bytes, ...], item: list[str]) -> None:
-        m, b = self.length, self.block
-        for end in range(b, m + 1):
-            block = pattern[end - b : end]
-            self.shift[block] = min(self.shift.get(block, m - b + 1), m - end)
-        same = self.bucket.setdefault(hash(pattern[-3:]), [])
-        for known, items in same:
-            if known == pattern:
-                items += [i for i in item if i not in items]
-                return
-        same.append((pattern, list(item)))
-
-    def search(self, text: list[bytes]) -> Iterator[tuple[int, list[str]]]:
+        word = lambda k: flat[at + k].astype(np.uint64)
+        bits = min(24, max(12, (4 * len(at)).bit_length()))
+        self.down = 64 - bits
+        shift = np.full(2**bits, length - self.block + 1, np.uint8)
+        for end in range(self.block, length + 1):
+            np.minimum.at(shift, mixed([word(k) for k in range(end - self.block, end)]) >> np.uint64(self.down), length - end)
+        self.shift = shift.tobytes()
+        suffix, full = mixed([word(k) for k in range(max(0, length - SUFFIX), length)]), mixed([word(k) for k in range(length)])
+        order = np.lexsort((items, full, suffix))
+        at, items, suffix, full = at[order], items[order], suffix[order], full[order]
+        # an item's own repeats
+        again = np.concatenate([[False], (items[1:] == items[:-1]) & np.all([flat[at[1:] + k] == flat[at[:-1] + k] for k in range(length)], axis=0)])
+        self.at, self.items, self.suffix, self.full = (x[~again] for x in (at, items, suffix, full))
+        held = np.zeros(2**bits, np.uint8)
+        held[self.suffix >> np.uint64(self.down)] = 1
+        self.held = held.tobytes()
+
+    def search(self, text: list[bytes]) -> Iterator[tuple[int, list[str | None]]]:
         """(start, items) of each occurrence."""
-        m, b, shift, bucket, n = self.length, self.block, self.shift, self.bucket, len(text)
-        least, end = m - b + 1, m
+        m, b, shift, held, down, known, n = self.length, self.block, self.shift, self.held, self.down, self.known.get, len(text)
+        end = m
         while end <= n:
-            step = shift.get(tuple(text[end - b : end]), least)
+            last = known(text[end - 1])
+            if last is None:
+                end += m
+                continue
+            if b == 2:
+                first = known(text[end - 2])
+                if first is None:
+                    end += m - 1
+                    continue
+                step = shift[((((first + 1 & _M64) * _STEP + last + 1) & _M64) * _SPREAD & _M64) >> down]
+            else:
+                step = shift[((last + 1) * _SPREAD & _M64) >> down]
             if step:
                 end += step
                 continue
-            window = tuple(text[end - m : end])
-            for pattern, items in bucket.get(hash(window[-3:]), ()):
-                if pattern == window:
-                    yield end - m, items
+            window = [known(x) for x in text[end - m : end]]
+            if None not in window:
+                suffix = mixed(window[-SUFFIX:])
+                if held[suffix >> down]:
+                    found = self.bucket(suffix, window)
+                    if found:
+                        yield end - m, found
             end += 1
 
+    def bucket(self, suffix: int, window: list[int]) -> list[str | None]:
+        """Items of the patterns in a suffix's bucket that are ``window``, word by word."""
+        low, high = (int(np.searchsorted(self.suffix, np.uint64(suffix), side)) for side in ("left", "right"))
+        full = np.uint64(mixed(window))
+        low, high = (low + int(np.searchsorted(self.full[low:high], full, side)) for side in ("left", "right"))
+        return [self.names[self.items[i]] for i in range(low, high) if self.flat[self.at[i] : self.at[i] + self.length].tolist() == window]
+
 
 def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Patterns]:
-    tables: dict[int, Patterns] = {}
-    for item, text in items:
+    """Tables of one block's items, one for each length of pattern."""
+    known: dict[bytes, int] = {}
+    flat, names = array("i"), [i for i, _ in items]
+    starts: dict[int, list[np.ndarray]] = {}
+    owners: dict[int, list[np.ndarray]] = {}
+    for number, (_, text) in enumerate(items):
         w = words(text)
-        m = min(window, len(w))
-        for at in range(len(w) - m + 1) if m else ():
-            if m not in tables:
-                tables[m] = Patterns(m)
-            tables[m].add(tuple(w[at : at + m]), [] if item is None else [item])
-    return list(tables.values())
+        if w:
+            m = min(window, len(w))
+            at = np.arange(len(flat), len(flat) + len(w) - m + 1)
+            starts.setdefault(m, []).append(at)
+            owners.setdefault(m, []).append(np.full(len(at), number))
+            flat.extend([known.setdefault(x, len(known)) for x in w])
+    numbers = np.array(flat, np.int32)
+    return [Patterns(m, numbers, np.concatenate(starts[m]), np.concatenate(owners[m]), known, names) for m in starts]
 
 
 def find(text: list[bytes], tables: list[Patterns]) -> tuple[list[tuple[int, int]], list[str]]:
@@ -91,7 +140,7 @@ def find(text: list[bytes], tables: list[Patterns]) -> tuple[list[tuple[int, int
     for t in tables:
         for at, found in t.search(text):
             spans.append((at, at + t.length))
-            items.update(found)
+            items.update(i for i in found if i is not None)
     return merged(spans), sorted(items)
 
 
@@ -105,14 +154,40 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark's (item_id, text), block by block; each block alone comes to the driver."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-total // block_bytes) or 1
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's (item_id, text), block by block; each block alone comes to the driver, when it is asked for."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    # words are two bytes at least, with what separates them
+    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0] <= 2 * block_words:
+        yield [(r.item_id, r.text) for r in items.collect()]
+        return
+    size = min(PIECE, block_words)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text")):
+                w = words(text.as_py())
+                for at in range(0, max(1, len(w) - window + 1), size) if w else ():
+                    part = w[at : at + size + window - 1]
+                    out.append((item, b" ".join(part).decode(), len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["item_id", "text", "n"])
+
+    pieces = stash(items.mapInArrow(cut, "item_id string, text string, n long").distinct(), "benchmark-pieces")
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words) or 1
     for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r.item_id, r.text) for r in part.collect()]
+        yield [(r.item_id, r.text) for r in pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text").collect()]
+
+
+_built: dict[str, list[Patterns]] = {}
+
+
+def built(key: str, items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
+    """Tables of a worker's block; those of an earlier block go."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(items, window)
+    return _built[key]
 
 
 HITS = "n_words long, starts array<long>, ends array<long>, items array<string>"
@@ -120,17 +195,15 @@ HITS = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> DataFrame:
     """Hits of one block of the benchmark in every row of ``docs`` (doc_id, mark, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
-    made: list[list[Patterns]] = []
+    held, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(build(held.value, window))
+        tables = built(key, held.value, window)
         for batch in batches:
             n, spans, found = [], [], []
             for x in batch.column("text"):
                 w = words(x.as_py())
-                s, i = find(w, made[0])
+                s, i = find(w, tables)
                 n.append(len(w))
                 spans.append(s)
                 found.append(i)
@@ -140,16 +213,18 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: in
     return docs.mapInArrow(run, f"doc_id long, mark long, {HITS}")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, mark, n_words, starts, ends, items) of every row: hit spans of words and the items that occur."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    found = [scan(rows, items, window) for items in blocks(benchmark, block_bytes)]
-    if len(found) == 1:
-        return found[0]
-    every = found[0].withColumn("times", F.lit(1))
-    for x in found[1:]:
+    parts = blocks(benchmark, window, block_words)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return scan(rows, first, window)
+    every = stash(scan(rows, first, window), "benchmark-hits").withColumn("times", F.lit(1))
+    while second is not None:
         # rows without hits are only needed once
-        every = every.unionAll(x.withColumn("times", F.lit(0)).where("size(starts) > 0"))
+        every = every.unionAll(stash(scan(rows, second, window).where("size(starts) > 0"), "benchmark-hits").withColumn("times", F.lit(0)))
+        second = next(parts, None)
 
     def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,31 +240,34 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     return flat.mapInArrow(join_spans, f"doc_id long, mark long, {HITS}")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, mark, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    found = hits(docs, benchmark, window, block_bytes)
+    found = hits(docs, benchmark, window, block_words)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     items = F.sha2(F.array_join(F.sort_array("items"), ","), 256)
     out = found.select("doc_id", "mark", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window. With one block this is a filter in the same scan."""
-    parts = list(blocks(benchmark, block_bytes))
-    for items in parts:
-        held = docs.sparkSession.sparkContext.broadcast(items)
-        made: list[list[Patterns]] = []
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window. With one block this is a filter in the same scan; with more, what
+    each block leaves is written before the next is taken."""
+
+    def cleaned(docs: DataFrame, items: list[tuple[str | None, str | None]]) -> DataFrame:
+        held, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], held=held, made=made) -> Iterator[pa.RecordBatch]:
-            if not made:
-                made.append(build(held.value, window))
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = built(key, held.value, window)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
-                keep = pa.array([not any(next(t.search(w), None) for t in made[0]) for w in (words(x.as_py()) for x in batch.column(at))], pa.bool_())
-                yield batch.filter(keep)
+                yield batch.filter(pa.array([not any(next(t.search(w), None) for t in tables) for w in (words(x.as_py()) for x in batch.column(at))], pa.bool_()))
+
+        return docs.mapInArrow(clean, docs.schema)
 
-        docs = docs.mapInArrow(clean, docs.schema)
+    parts = blocks(benchmark, window, block_words)
+    docs, following = cleaned(docs, next(parts)), next(parts, None)
+    while following is not None:
+        docs, following = cleaned(stash(docs, "benchmark-clean"), following), next(parts, None)
     return docs
 
 
