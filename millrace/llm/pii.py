@@ -16,12 +16,15 @@ the vocabulary and not with the words.
 
 Defined results: a null text is empty, and stays null when sanitised; repeated rows each get a result; spans are sorted
 by start, then kind; where spans overlap, the sanitiser writes the first's sign over their union; other columns are
-ignored by the finder and kept by the sanitiser.
+ignored by the finder and kept by the sanitiser. Very long texts, and texts of tens of thousands of spans, take time and
+memory in proportion to both: lists are built in blocks, substrings taken from pieces of the text, and terms are held
+against neighbouring spans only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,46 @@ IP_RANGE = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 TERM = r"\p{L}{4,}+"
 
 SPAN = "array<struct<start: int, rank: int, stop: int, value: string>>"
+#: Lists are built in blocks of so many elements, and texts cut into pieces of 2**PIECE characters.
+BLOCK, PIECE = 256, 10
+#: No more spans without overlap than this reach into a context on either side, as none is shorter than five characters.
+NEAR = REACH // 5 + 2
+
+
+def given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """An array of ``kind``: what ``step`` makes of each item in order. It takes the state and an item, and gives the next
+    state, whether there is an element, and the element. Blocks of elements are filled and then joined, as each addition
+    copies the list that it adds to."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(acc: Column, x: Column) -> Column:
+        following, made, element = step(acc["state"], x)
+        return F.struct(following.alias("state"), F.when(made, F.concat(acc["out"], F.array(element.cast(kind)))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        filled = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), add)
+        return given(filled, lambda v: F.struct(v["state"].alias("state"), F.concat(acc["out"], F.array(v["out"])).alias("out")))
+
+    def all_blocks(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(v) - 1, F.lit(0)), 8)), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.aggregate(parts, F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), block)["out"])
+
+    return given(items, all_blocks)
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % 2**PIECE), F.lit(0))
+
+
+def cut(parts: Column, begin: Column, size: Column) -> Column:
+    """The substring of a text in :func:`pieces`; a plain substring would count characters from the text's start."""
+    first, last = F.shiftright(begin, PIECE), F.shiftright(begin + size, PIECE)
+    return F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), begin - F.shiftleft(first, PIECE) + 1, size)
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -68,13 +111,13 @@ def located(text: Column, pattern: str, kind: str, check=None) -> Column:
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), m.alias("value")))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("stop"), x["value"].alias("value")))
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("stop"), x["value"].alias("value"))
         ok = x["value"].isNotNull() & (check(x["value"]) if check else F.lit(True))
-        return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(ok, F.concat(acc["spans"], span.cast(SPAN))).otherwise(acc["spans"]).alias("spans"))
+        return start + F.coalesce(x["size"], F.lit(0)), ok, span
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), add)["spans"]
+    return folded(both, F.lit(0), SPAN[6:-1], step)
 
 
 def base_spans(text: Column) -> Column:
@@ -89,21 +132,48 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def united(spans: Column) -> Column:
+    """For sorted spans: (number, first, start, far) of the union of overlapping spans that each belongs to; far is where the
+    spans up to this one end."""
+
+    def step(state: Column, s: Column) -> tuple[Column, Column, Column]:
+        first = (state["number"] < 0) | (s["start"] >= state["far"])
+        number, far = state["number"] + first.cast("int"), F.greatest(state["far"], s["stop"])
+        return F.struct(number.alias("number"), far.alias("far")), F.lit(True), F.struct(number.alias("number"), first.alias("first"), s["start"].alias("start"), far.alias("far"))
+
+    return folded(spans, F.struct(F.lit(-1).alias("number"), F.lit(0).alias("far")), "struct<number: int, first: boolean, start: int, far: int>", step)
+
+
 def contexts(text: Column, spans: Column) -> Column:
     """For each base span: its entity, the terms around it, and a mark of the context."""
 
-    def around(s: Column) -> Column:
+    def around(s: Column, u: Column, parts: Column, unions: Column) -> Column:
         begin = F.greatest(s["start"] - REACH, F.lit(0))
-        left, right = F.substring(text, begin + 1, s["start"] - begin), F.substring(text, s["stop"] + 1, F.lit(REACH))
+        left, right = cut(parts, begin, s["start"] - begin), cut(parts, s["stop"], F.lit(REACH))
         # a term that the context's edge may have cut isn't one
         lefts = F.filter(located(left, TERM, "term"), lambda t: (t["start"] > 0) | (begin == 0))
         rights = F.filter(located(right, TERM, "term"), lambda t: t["stop"] < REACH)
         moved = lambda terms, by: F.transform(terms, lambda t: F.struct((t["start"] + by).alias("start"), t["rank"].alias("rank"), (t["stop"] + by).alias("stop"), F.lower(t["value"]).alias("value")))
         terms = F.concat(moved(lefts, begin), moved(rights, s["stop"]))
-        free = F.filter(terms, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+        near = F.slice(unions, F.greatest(u["number"] - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR + 1))
+        free = F.filter(terms, lambda t: ~F.exists(near, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
         return F.struct(F.md5(F.concat(s["rank"].cast("string"), F.lower(F.translate(s["value"], " ().-", "")))).alias("entity"), F.md5(F.concat_ws("\x00", left, right)).alias("context"), free.alias("terms"))
 
-    return F.transform(spans, around)
+    def each(v: Column) -> Column:
+        lasts = F.filter(v["of"], lambda x, i: F.coalesce(F.get(v["of"], i + 1)["first"], F.lit(True)))
+        unions = F.zip_with(F.filter(v["of"], lambda x: x["first"]), lasts, lambda a, b: F.struct(a["start"].alias("start"), b["far"].alias("stop")))
+        return given(unions, lambda known: F.zip_with(v["spans"], v["of"], lambda s, u: around(s, u, v["parts"], known)))
+
+    return given(F.struct(spans.alias("spans"), united(spans).alias("of"), pieces(text).alias("parts")), each)
+
+
+def free_terms(base: Column, terms: Column) -> Column:
+    """Those of ``terms`` that no base span overlaps: none before reaches into them, and none behind begins in them."""
+    is_base = lambda s: s["rank"] < len(KINDS) - 1
+    entry = "struct<start: int, rank: int, stop: int, value: string, free: boolean>"
+    fields = lambda s: [s[k].alias(k) for k in ("start", "rank", "stop", "value")]
+    ahead = folded(F.sort_array(F.concat(base, terms)), F.lit(0), entry, lambda far, s: (F.when(is_base(s), F.greatest(far, s["stop"])).otherwise(far), F.lit(True), F.struct(*fields(s), (~is_base(s) & (far <= s["start"])).alias("free"))))
+    return folded(F.reverse(ahead), F.lit(2**31 - 1), SPAN[6:-1], lambda following, s: (F.when(is_base(s), s["start"]).otherwise(following), s["free"] & (following >= s["stop"]), F.struct(*fields(s))))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -141,7 +211,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, doubt: float = DOUBT, disclosed
     hits = stash(words.join(flagged, "term").groupBy("mark").agg(F.collect_set("term").alias("flagged")), "pii-hits")
     texts = docs.select(F.md5(whole).alias("mark"), whole.alias("text")).join(hits.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.min("text").alias("text")).join(hits, "mark")
     spots = located(F.col("text"), TERM, "term", lambda v: F.array_contains("flagged", F.lower(v)))
-    free = F.filter("spots", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    free = free_terms(F.col("base"), F.col("spots"))
     return stash(texts.select("mark", spots.alias("spots"), base_spans(F.col("text")).alias("base")).select("mark", F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["stop"].alias("stop"), F.lower(t["value"]).alias("value"))).cast(SPAN).alias("extra")), "pii-extra")
 
 
@@ -172,11 +242,15 @@ def sanitised(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSE
     rows = marked.join(extra, "_pii_mark", "left").withColumn("_pii_spans", spans)
     signs = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def put(acc: Column, s: Column) -> Column:
-        free = s["start"] >= acc["at"]
-        piece = F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.get(signs, s["rank"]))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(free, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, s["stop"]), s["start"] >= at, F.struct(at.alias("begin"), s["start"].alias("stop"), s["rank"].alias("rank"))
+
+    def put(v: Column) -> Column:
+        signed = F.transform(v["places"], lambda p: F.concat(cut(v["parts"], p["begin"], p["stop"] - p["begin"]), F.get(signs, p["rank"])))
+        return F.concat(F.array_join(signed, ""), cut(v["parts"], v["last"], F.length("text") - v["last"]))
 
-    last = F.aggregate("_pii_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    clean = F.when(F.col("text").isNull() | (F.size("_pii_spans") == 0), F.col("text")).otherwise(last)
+    places = folded(F.col("_pii_spans"), F.lit(0), "struct<begin: int, stop: int, rank: int>", step)
+    last = F.array_max(F.transform("_pii_spans", lambda s: s["stop"]))
+    signed = given(F.struct(places.alias("places"), pieces(F.col("text")).alias("parts"), last.alias("last")), put)
+    clean = F.when(F.col("text").isNull() | (F.size("_pii_spans") == 0), F.col("text")).otherwise(signed)
     return rows.withColumn("text", clean).select(*names)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,6 +74,40 @@ def test_disclosing_terms(spark):
     assert "<TERM> at" in clean[0] and "<EMAIL>" in clean[0] and clean[9] == rows[9][1]
 
 
+def test_many_spans_in_one_long_text(spark):
+    """Time in proportion to the spans: 50,000 addresses, between words and in one run, and overlapping kinds."""
+    many = " ".join("mail user%d@firm%d.com" % (i, i % 7) for i in range(50_000))
+    run = ",".join("10.%d.%d.%d" % (i % 256, i // 256, i % 100) for i in range(10_000))
+    mixed_kinds = " ".join("+49 171 555%04d 10.0.%d.%d x@%d.0.0.1.de" % (i, i % 200, i % 100, i % 250) for i in range(2_000))
+    rows = [(1, many), (2, run), (3, mixed_kinds), (4, "é" * 5000 + " a@b.de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {x.doc_id: x.spans.split(",") for x in pii.report(docs).collect()}
+    clean = {x.doc_id: x.text for x in pii.sanitised(docs).collect()}
+    assert time.time() - began < 600
+    for i, t in rows:
+        assert [x for x in got[i] if x[:4] != "term"] == [f"{k}:{a}:{b}" for a, _, b, k in plain(t)], i
+    assert clean[1] == " ".join(["mail <EMAIL>"] * 50_000) and clean[2] == ",".join(["<IP>"] * 10_000) and clean[4] == "é" * 5000 + " <EMAIL>"
+
+
+def test_terms_are_free_of_spans_around_them(spark):
+    """Terms of contexts against all spans of the text."""
+    r = random.Random(8)
+    parts = ["Term", "worduser@mail.com", "10.0.0.1", "+49 171 2345678", "1.2.3.4@x.de", "ééééname@x.com", "Other", "of", "4111 1111 1111 1111", "+4111111111111111"]
+    rows = [(i, r.choice([" ", ""]).join(r.choice(parts) for _ in range(30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for x in pii.found(docs).collect():
+        t = dict(rows)[x.doc_id]
+        spans = plain(t)
+        assert len(x.contexts or []) == len(spans)
+        for (a, _, b, _), c in zip(spans, x.contexts or []):
+            low = max(0, a - pii.REACH)
+            want = [(low + m.start(), low + m.end()) for m in re.finditer(r"[^\W\d_]{4,}", t[low:a]) if m.start() > 0 or low == 0]
+            want += [(b + m.start(), b + m.end()) for m in re.finditer(r"[^\W\d_]{4,}", t[b : b + pii.REACH]) if m.end() < pii.REACH]
+            want = [(p, q, t[p:q].lower()) for p, q in want if not any(u < q and p < v for u, _, v, _ in spans)]
+            assert [(y.start, y.stop, y.value) for y in c.terms] == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(docs).count() == 0 and pii.sanitised(docs).count() == 0
