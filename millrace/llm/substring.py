@@ -6,18 +6,24 @@ anchor make a block. A window's anchor depends on the window's words alone, so e
 blocks with equal anchors, and looking up the anchor finds every reference block that could hold a match. Anchors are hashes, not places,
 so a text that repeats itself has few blocks.
 
-The parse is greedy: a block that stands whole in a document with a smaller id is taken whole, and neighbouring pieces
-join into the longest factors. At factor boundaries, where a document's block shares an anchor with reference blocks of
-other content, it is parsed window by window, against the index of the windows of all such blocks; a block's earliest
-document stands for its copies there. Factors are the words covered by windows that an earlier document has; as each is
-at least one window long, they are the duplicate spans.
+A factor is a run of words that stands in one reference document with a smaller id. The parse is greedy. A block that
+stands whole in such a document is one factor. Where a block shares its anchor with reference blocks of other content, the
+blocks of the anchor are parsed one against the other, in the order of their documents: a window that the index of the
+reference blocks before has, by hash and then word by word, begins a factor, which is extended as far as its words and the
+reference's are the same. Windows inside a factor need no look; the next one looked up is the first that reaches over the
+factor's end, and so each window across a factor boundary is checked. Windows that no factor covers join the index. Each
+factor is a window long at least; the words of the factors are the duplicate spans. Neighbouring pieces with the same
+reference document that overlap by a window less one are one factor.
+
+An anchor of over ``GROUP`` different contents, such as the edge of a passage that very many documents hold, isn't parsed in
+one task: its windows are dealt out by 128 bits of hash, and each finds its first document in an index over all of them.
 
 Blocks, not pairs of documents, meet in a shuffle, and copies are pre-aggregated to their smallest id. Texts go through a
-shuffle once; those that need the check at factor boundaries, once more. Windows are told apart by 128 bits of hash.
+shuffle once; those with blocks to parse, once more. Whole blocks are told apart by the hashes of anchor and content.
 
 Defined results: a null text has no words; a document of fewer words than a window keeps all; rows that repeat an id
 don't remove each other's words; a row with a null id neither loses words nor makes others lose any; other columns are
-ignored.
+ignored. Very long texts are cut and parsed in time and memory in proportion to their words.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from millrace.llm.shared import stash, text_mark
 
 WINDOW = 50
 GRAM = 20
+#: Different contents of an anchor that are parsed in one task.
+GROUP = 256
 
 #: Odd multipliers of two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -126,19 +134,60 @@ def covered(n: int, spans: Iterable[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def factors(gone: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-    return list(zip(edges[::2], edges[1::2]))
-
-
-#: What the parse leaves of a document: its digest, or its text for the check at factor boundaries.
-PARSED = "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start: int, stop: int>>, text string, first array<long>, second array<long>, at array<int>, which array<int>"
+class Reference:
+    """The blocks of one anchor, in the order of their documents, and an index of their windows."""
+
+    def __init__(self, window: int):
+        self.window, self.blocks, self.index = window, [], {}
+
+    def parse(self, doc: int, w: list[bytes]) -> list[tuple[int, int, int]]:
+        """Factors (start, stop, reference document) of a block of ``doc``, which then is a reference block itself."""
+        size, known = self.window, self.index
+        at = np.arange(len(w) - size + 1)
+        keys = Rolling(hashed(w), BASES[0]).ranges(at, at + size).tolist()
+        number, out, i = len(self.blocks), [], 0
+        self.blocks.append((doc, w))
+        while i < len(keys):
+            held = [(b, p) for b, p in known.get(keys[i], ()) if self.blocks[b][1][p : p + size] == w[i : i + size]]
+            found = next(((b, p) for b, p in held if self.blocks[b][0] < doc), None)
+            if found is None:
+                if not held:
+                    known.setdefault(keys[i], []).append((number, i))
+                i += 1
+                continue
+            ref, other = self.blocks[found[0]]
+            stop, p = i + size, found[1] + size
+            while stop < len(w) and p < len(other) and w[stop] == other[p]:
+                stop, p = stop + 1, p + 1
+            out.append((i, stop, ref))
+            i = stop - size + 1
+        return out
+
+
+def factors(spans: Iterable[tuple[int, int, int]], window: int) -> list[tuple[int, int, int]]:
+    """Pieces (start, stop, reference) joined to factors."""
+    out: list[tuple[int, int, int]] = []
+    for ref, start, stop in sorted((r, a, b) for a, b, r in spans):
+        if out and out[-1][2] == ref and start <= out[-1][1] - (window - 1):
+            out[-1] = (out[-1][0], max(stop, out[-1][1]), ref)
+        else:
+            out.append((start, stop, ref))
+    return sorted(out)
+
+
+SPANS = "array<struct<start: int, stop: int, ref: long>>"
+DONE = "doc_id long, mark long, n_words long, n_removed long, n_factors long, kept_sha256 string, kept string"
+#: What the parse leaves of a document: its digest, or its text and what is to be parsed of it.
+PARSED = f"{DONE}, spans {SPANS}, text string, blocks array<struct<anchor: long, start: int, words: string>>, first array<long>, second array<long>, at array<int>, which array<int>"
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ref", pa.int64())]))
+_BLOCK = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("words", pa.string())]))
+_DIGEST = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
 
 def parse(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Greedy parse of rows (doc_id, mark, text, pieces): finished documents get their digests; others their windows."""
-    names = [x.split()[0] for x in PARSED.split(", ") if not x.startswith("stop")]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    """Rows (doc_id, mark, text, pieces) whose pieces are whole factors get their digests; others what is to be parsed."""
+    names = ["doc_id", "mark", "n_words", "n_removed", "n_factors", "kept_sha256", "kept", "spans", "text", "blocks", "first", "second", "at", "which"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,35 +196,55 @@ def parse(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 out: list[tuple] = []
                 for text, pieces in zip(part.column("text").to_pylist(), part.column("pieces").to_pylist()):
                     w = words(text)
-                    whole = [(p["start"], p["start"] + p["windows"] + window - 1) for p in pieces or () if not p["open"]]
-                    opened = [np.arange(p["start"], p["start"] + p["windows"]) for p in pieces or () if p["open"]]
+                    whole = [(p["start"], p["start"] + p["windows"] + window - 1, p["ref"]) for p in pieces or () if not p["open"]]
+                    opened = [p for p in pieces or () if p["open"]]
                     if not opened:
-                        gone = covered(len(w), whole)
-                        out.append((*digest(w, gone, keep_text), [], None, *[np.zeros(0, np.int64)] * 4))
+                        out.append((*digest(w, whole, window, keep_text), [], None, None, *[np.zeros(0, np.int64)] * 4))
                         continue
-                    h, at = hashed(w), np.concatenate(opened)
-                    hashes = [Rolling(h, b).ranges(at, at + window).view(np.int64).tolist() for b in BASES]
+                    cuts = [{"anchor": p["anchor"], "start": p["start"], "words": b" ".join(w[p["start"] : p["start"] + p["windows"] + window - 1]).decode()} for p in opened if not p["hot"]]
+                    at = np.concatenate([np.zeros(0, np.int64), *(np.arange(p["start"], p["start"] + p["windows"]) for p in opened if p["hot"])])
+                    hashes = []
+                    if len(at):
+                        h = hashed(w)
+                        hashes = [Rolling(h, b).ranges(at, at + window).view(np.int64).tolist() for b in BASES]
                     # different windows of the text, and which of them each place has
                     number: dict[tuple[int, int], int] = {}
                     which = np.array([number.setdefault(x, len(number)) for x in zip(*hashes)], np.int64)
-                    different = np.array(list(number), np.int64)
-                    out.append((len(w), 0, None, None, [{"start": a, "stop": b} for a, b in whole], text, different[:, 0], different[:, 1], at, which))
-                columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), span, pa.string()))]
-                columns += [lists((o[6 + i] for o in out), k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                    different = np.array(list(number), np.int64).reshape(-1, 2)
+                    out.append((len(w), 0, 0, None, None, [{"start": a, "stop": b, "ref": r} for a, b, r in whole], text, cuts, different[:, 0], different[:, 1], at, which))
+                columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((*_DIGEST, _SPAN, pa.string(), _BLOCK))]
+                columns += [lists((o[8 + i] for o in out), k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], names)
 
     return rows.mapInArrow(run, PARSED)
 
 
-def digest(w: list[bytes], gone: np.ndarray, keep_text: bool) -> tuple[int, int, str, str | None]:
+def digest(w: list[bytes], spans: list[tuple[int, int, int]], window: int, keep_text: bool) -> tuple[int, int, int, str, str | None]:
+    gone = covered(len(w), ((a, b) for a, b, _ in spans))
     n = int(gone.sum())
     kept = b" ".join([x for x, g in zip(w, gone.tolist()) if not g] if n else w)
-    return len(w), n, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None
+    return len(w), n, len(factors(spans, window)), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None
+
+
+def relative(groups: DataFrame, window: int) -> DataFrame:
+    """(doc_id, mark, spans): factors of the blocks of each anchor; ``groups`` has the blocks of an anchor in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column("blocks"):
+                reference, out = Reference(window), []
+                for b in sorted(group.as_py(), key=lambda b: (b["doc_id"], b["mark"], b["start"])):
+                    spans = [{"start": b["start"] + x, "stop": b["start"] + y, "ref": r} for x, y, r in reference.parse(b["doc_id"], words(b["words"]))]
+                    if spans:
+                        out.append((b["doc_id"], b["mark"], spans))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), _SPAN))], ["doc_id", "mark", "spans"])
+
+    return groups.select("blocks").mapInArrow(run, f"doc_id long, mark long, spans {SPANS}")
 
 
 def finish(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Digests of rows (doc_id, mark, text, spans, first, second, at, which, found): factors from whole blocks and from the
-    single windows that were found."""
+    """Digests of rows (doc_id, mark, text, spans, more, first, second, at, which, found): factors from whole blocks, from the
+    parse of the others, and from the single windows that were found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,19 +252,20 @@ def finish(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 part = batch.slice(begin, 64)
                 out = []
                 for r in part.to_pylist():
-                    w = words(r["text"])
-                    found = {(x["first"], x["second"]) for x in r["found"] or ()}
-                    known = [x in found for x in zip(r["first"], r["second"])]
-                    single = [(a, a + window) for a, i in zip(r["at"], r["which"]) if known[i]]
-                    out.append(digest(w, covered(len(w), [(s["start"], s["stop"]) for s in r["spans"]] + single), keep_text))
-                columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], ["doc_id", "mark", "n_words", "n_removed", "kept_sha256", "kept"])
+                    spans = [(s["start"], s["stop"], s["ref"]) for x in (r["spans"], *(r["more"] or ())) for s in x]
+                    if r["found"]:
+                        found = {(x["first"], x["second"]): x["low"] for x in r["found"]}
+                        known = [found.get(x) for x in zip(r["first"], r["second"])]
+                        spans += [(a, a + window, known[i]) for a, i in zip(r["at"], r["which"]) if known[i] is not None]
+                    out.append(digest(words(r["text"]), spans, window, keep_text))
+                columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(_DIGEST)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], [x.split()[0] for x in DONE.split(", ")])
 
-    return rows.mapInArrow(run, "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.mapInArrow(run, DONE)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """(doc_id, mark, n_words, n_removed, kept_sha256, kept) of every row; kept is the text that is left, if asked for."""
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, group: int = GROUP) -> DataFrame:
+    """(doc_id, mark, n_words, n_removed, n_factors, kept_sha256, kept) of every row; kept is the text that is left, if asked for."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
     cut_up = stash(blocks(rows, window, gram), "substring-blocks")
     zipped = F.explode(F.arrays_zip("anchors", "contents", "starts", "windows")).alias("b")
@@ -207,16 +277,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bo
     shared = stash(shared, "substring-shared")
     met = stash(flat.join(shared, "anchor").where("NOT alike OR doc_id > low"), "substring-met")
     other = met.where("NOT alike")
-    earliest = other.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
-    marked = other.join(stash(earliest, "substring-earliest"), ["anchor", "content"]).select("doc_id", "mark", "start", "windows", (F.col("doc_id") == F.col("first")).alias("open"))
-    pieces = met.where("alike").select("doc_id", "mark", "start", "windows", F.lit(False).alias("open")).unionAll(marked)
-    by_doc = pieces.distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "open")).alias("pieces"))
+    earliest = stash(other.groupBy("anchor", "content").agg(F.min("doc_id").alias("ref")), "substring-earliest")
+    hot = stash(earliest.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > group).select("anchor", F.lit(True).alias("hot")), "substring-hot")
+    marked = other.join(earliest, ["anchor", "content"]).join(hot, "anchor", "left").select("doc_id", "mark", "anchor", "start", "windows", "ref", (F.col("doc_id") == F.col("ref")).alias("open"), F.col("hot").isNotNull().alias("hot"))
+    pieces = met.where("alike").select("doc_id", "mark", "anchor", "start", "windows", F.col("low").alias("ref"), F.lit(False).alias("open"), F.lit(False).alias("hot")).unionAll(marked)
+    by_doc = pieces.distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "start", "windows", "ref", "open", "hot")).alias("pieces"))
     parsed = stash(parse(rows.join(by_doc, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "pieces"), window, keep_text), "substring-parsed")
 
-    # factor boundaries: windows of blocks whose anchor has other contents
+    # blocks whose anchor has other contents: those of an anchor meet, each different one once, or their windows do
     waiting = parsed.where("text IS NOT NULL")
+    groups = waiting.select("doc_id", "mark", F.explode("blocks").alias("b")).groupBy("b.anchor").agg(F.collect_set(F.struct("doc_id", "mark", F.col("b.start").alias("start"), F.col("b.words").alias("words"))).alias("blocks")).where("size(blocks) > 1")
+    more = relative(groups, window).groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("more"))
     single = waiting.select("doc_id", "mark", F.explode(F.arrays_zip("first", "second")).alias("w")).select("doc_id", "mark", "w.first", "w.second")
     index = single.groupBy("first", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("first", "second", "low")
-    found = single.join(stash(index, "substring-index"), ["first", "second"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "second")).alias("found"))
-    done = finish(waiting.select("doc_id", "mark", "text", "spans", "first", "second", "at", "which").join(found, ["doc_id", "mark"], "left"), window, keep_text)
+    found = single.join(stash(index, "substring-index"), ["first", "second"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "second", "low")).alias("found"))
+    done = finish(waiting.select("doc_id", "mark", "text", "spans", "first", "second", "at", "which").join(more, ["doc_id", "mark"], "left").join(found, ["doc_id", "mark"], "left"), window, keep_text)
     return parsed.where("text IS NULL").select(*done.columns).unionAll(done)
