@@ -9,12 +9,13 @@ others as revisits of it, without the payload. Equal payloads meet as digests: t
 that occur twice or more are joined back, so a payload that a third of all pages share adds no page to any one task.
 
 Tasks write archives to a shared folder through pyarrow's file systems, each under the name of its attempt; a row names
-each archive that a task finished, and only archives so named are read back. So a lost executor leaves at most a file
-that nobody reads.
+each archive that a task finished. Tasks that read open the archives so named, and no others. So a lost executor leaves at
+most a file that nobody reads, and no archive goes through a shuffle.
 
 Defined results: a null html is an empty payload; rows that tie for the largest id of a payload are all responses; rows
 with a null id and a payload that another row has are revisits of it, or all responses if no row has an id; a null url is
-an empty target; other columns are ignored.
+an empty target; other columns are ignored. A very long payload is one record, held whole in memory where it is written and
+read; records over ``SAMPLE_RECORD`` bytes aren't used for the dictionary.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ REVISIT = 1_000
 #: An archive is closed beyond so many bytes, so that reading one fits a task's memory.
 ARCHIVE_BYTES = 16_000_000
 #: A dictionary is built from up to so many records and bytes, and has up to so many bytes itself.
-SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 1_000_000, 32_768
+SAMPLES, SAMPLE_BYTES, SAMPLE_RECORD, DICTIONARY_BYTES = 200, 1_000_000, 131_072, 32_768
+#: Archives that a task reads where there are many.
+TOGETHER = 8
 LEVEL = 3
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, and a data frame.
@@ -87,7 +90,8 @@ class Archive:
     def begin(self) -> None:
         dictionary = None
         try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, self.held)) // 8), [x[:16_384] for x in self.held])
+            samples = [x for x in self.held if len(x) <= SAMPLE_RECORD]
+            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples)
         except zstandard.ZstdError:
             pass  # too few records
         if dictionary:
@@ -144,8 +148,10 @@ def kinds(pages: DataFrame, revisit: int = REVISIT) -> DataFrame:
     # 160 and 256 bits of digest and the length tell payloads apart; the digests are made in the scan
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     key = F.when(F.octet_length("html") >= revisit, F.sha2("html", 256))
+    # the others can't meet any; keys of their own keep them from meeting in one task
+    spread = F.coalesce(key, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
     same = rows.select("page_id", key.alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1 AND refers_to IS NOT NULL").select("key", "refers_to")
-    return rows.withColumn("key", key).join(stash(same, "warc-same"), "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
+    return rows.withColumn("key", spread).join(stash(same, "warc-same"), "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, revisit: int = REVISIT, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -179,21 +185,25 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 def read(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records of ``archives`` (name): ids, type and digest, and the payload of responses if asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     schema = RECORD + ", payload binary" * payloads
+    count = archives.count()
+    tasks = max(1, min(count, max(3 * spark.sparkContext.defaultParallelism, count // TOGETHER)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(folder)
         for batch in batches:
-            for content in batch.column("content"):
+            for name in batch.column("name").to_pylist():
+                with system.open_input_stream(f"{path}/{name}", compression=None) as source:
+                    content = source.read()
                 out: list[tuple] = []
-                for raw in frames(content.as_py()):
+                for raw in frames(content):
                     out.append(row(parsed(raw), payloads))
                     if len(out) == 1_000:
                         yield made(out, schema)
                         out = []
                 yield made(out, schema)
 
-    return files.join(archives.select("name"), "name", "left_semi").select("content").mapInArrow(run, schema)
+    return archives.select("name").repartition(tasks).mapInArrow(run, schema)
 
 
 def row(r: dict, payloads: bool) -> tuple:
