@@ -12,7 +12,8 @@ alternating large-star and small-star steps. Exact copies are one fingerprint th
 
 Defined results: a null text is empty; a text without words has fingerprint zero, which links like any other; a text of
 one or two words is one shingle. Repeated rows each get a result. A null id is never a component's id unless all ids of
-the component are null. Other columns of the input are ignored.
+the component are null. Other columns of the input are ignored. Very long texts are hashed whole, in memory in proportion to
+their words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import shared_dir, stash, text_mark
+from millrace.llm.shared import stash, text_mark
 
 RADIUS = 3
 BITS = 64
@@ -142,26 +143,26 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that is reachable. Nodes without edges have no row.
 
-    Large-star and small-star steps alternate until the edges form stars; each round is checkpointed to the shared
-    folder. Minima are pre-aggregated and joined back, so that a hot node's edges need not meet in one task."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    Large-star and small-star steps alternate until the edges form stars; each step is written to the shared folder. Minima
+    are pre-aggregated and written too, before they are joined back: the join then stands on plain exchanges, of which Spark
+    can split a hot node's, so that its edges need not meet in one task."""
 
     def to_least(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs, "components-pairs")
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u")
+        return pairs.join(stash(least, "components-least"), "u")
 
     def mark(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    edges = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct().checkpoint()
+    edges = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    edges = stash(edges, "components-edges")
     before = mark(edges)
     while before[0]:
         both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionAll(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         large = to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = to_least(large)
-        edges = small.where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst")).unionAll(small.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct().checkpoint()
+        edges = stash(small.where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst")).unionAll(small.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct(), "components-edges")
         after = mark(edges)
         if after == before:
             break
