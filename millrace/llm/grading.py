@@ -8,15 +8,16 @@ Features are each different word of the text (in lower case) with its first thre
 bytes, so that inflected words share weight, and the shape of the text in coarse steps: the shares of symbols, marks,
 digits, capitals, repeated words and repeated lines.
 
-Training takes a bounded sample of the labelled rows: the ``SAMPLE`` rows with the least hash of id and text, the same at
-any size of the input. Their features come to the driver as hashed integers, where features that tell grades apart are
+Training takes a bounded sample of the labelled rows: the ``SAMPLE`` ids with the least hash among the labelled ids that
+have a document, drawn from ids alone, so that texts are read once. Their features come to the driver as hashed integers, where features that tell grades apart are
 chosen by their z score, and weights and thresholds are fitted by full-batch gradient descent. What is broadcast are
 2**``HASH_BITS`` weights.
 
 Defined results: a null text is empty, and an empty text is rejected without regard to the model, as it holds nothing to
 keep; without labelled rows of two grades or more there is no model, every score is 0, and documents with words stay;
 labels with nulls or for unknown documents are left out, and of several labels for an id the lowest grade counts;
-repeated rows each get a result; other columns are ignored.
+of several texts for an id, that with the least mark is the sample's; repeated rows each get a result; other columns are
+ignored. Very long texts are read whole, in memory in proportion to their different words.
 """
 
 from __future__ import annotations
@@ -167,10 +168,11 @@ def grade(quality: Column, toxic: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, quality, toxic)."""
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade"))
-    # the sample is drawn from ids and marks alone; only its texts are then read
-    drawn = docs.select(F.col("doc_id").cast("long").alias("id"), text_mark(F.col("text")).alias("mark")).where("id IS NOT NULL").join(rated, "id").distinct().orderBy(F.xxhash64("id", "mark"), "id", "mark").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(drawn, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL")
+    # a bounded number of rows, whatever the size of the input
+    drawn = rated.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "id")
+    chosen = texts.select("id", "grade", text_mark(F.col("text")).alias("mark"), "text").groupBy("id", "grade").agg(F.min(F.struct("mark", "text")).alias("first")).select("id", "grade", F.col("first.mark").alias("mark"), F.col("first.text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
