@@ -25,6 +25,11 @@ def rate_text(success: Column, total: Column) -> Column:
     return F.when(total == 0, "--").when(success == total, "100%").otherwise(F.format_string("%.0f%%", rate))
 
 
+def forms_text(success: Column, forms: Column) -> Column:
+    """Successful forms of a run in whole percent, '-' where it has none."""
+    return F.when(F.coalesce(forms, F.lit(0)) == 0, "-").otherwise(F.concat(F.round(percent(success, forms)).cast("long").cast("string"), F.lit("%")))
+
+
 def change_percent(now: Column, before: Column) -> Column:
     """Change against the day before in percent; null if that is 0 or missing."""
     return F.when(before != 0, (now - before).cast("double") * 100 / before)

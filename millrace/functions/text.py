@@ -66,11 +66,6 @@ def date_only(c: Column) -> Column:
     return F.date_trunc("day", c.cast("string").try_cast("timestamp_ntz")).cast("timestamp_ntz")
 
 
-def or_default(c: Column, value: str) -> Column:
-    """A configured default where the value is null or blank. A blank default stays blank."""
-    return F.coalesce(blank_to_null(F.trim(c)), F.lit(value))
-
-
 def parsed_instant(c: Column, zone: str = "Asia/Shanghai") -> Column:
     """RFC 3339, else a zone-less time in ``zone``; in UTC, zone-less."""
     marked = c.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$")

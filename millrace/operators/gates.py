@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import keys as K
 from millrace.operators.merge import orphans
+from millrace.plans.storage import numbered
 
 #: Limits of an automatic delete, and of a source's decline, in whole numbers.
 AUTO_ROWS, AUTO_PERCENT, LEAST_SOURCE_PERCENT = 1000, 1, 90
@@ -60,6 +63,48 @@ def reconcile_counts(source: DataFrame, target: DataFrame, keys: Sequence[str],
     return one_row(s, t, gone, K.fingerprint(source, keys)).select("*", *fixed)
 
 
+class Approvals:
+    """Approvals of deletes, each good for one use. Using one takes a marker file that only one writer can create, so two
+    loads can't use the same approval."""
+
+    SCHEMA = "snapshot_id string, table string, fingerprint string, orphan_count long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def grant(self, rows: DataFrame) -> None:
+        """``rows``: snapshot_id, table, fingerprint, orphan_count."""
+        rows.select("snapshot_id", "table", "fingerprint", F.col("orphan_count").cast("long").alias("orphan_count")).write.mode("append").parquet(f"{self.path}/granted")
+
+    def _marker(self, row) -> tuple:
+        name = hashlib.sha256("\x00".join(map(str, (row.snapshot_id, row.table, row.fingerprint, row.orphan_count))).encode()).hexdigest()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/used/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def read(self) -> DataFrame:
+        """Granted approvals with used_at, null where unused: a row for each decision that a person has taken."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/granted")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], f"{self.SCHEMA}, used_at string")
+        out = []
+        for row in self.spark.read.schema(self.SCHEMA).parquet(str(path.toString())).distinct().collect():
+            marker, fs = self._marker(row)
+            used = fs.getFileStatus(marker).getModificationTime() if fs.exists(marker) else None
+            out.append((*row, None if used is None else str(used)))
+        return self.spark.createDataFrame(out, f"{self.SCHEMA}, used_at string")
+
+    def use(self, decision: DataFrame) -> bool:
+        """Whether an unused approval covers the decision, one row; it is used up then."""
+        for row in approved(decision, self.read()).select("snapshot_id", "table", "fingerprint", F.col("orphans").alias("orphan_count")).collect():
+            marker, fs = self._marker(row)
+            try:
+                fs.create(marker, False).close()
+                return True
+            except Py4JJavaError:  # another load was faster
+                continue
+        return False
+
+
 def approved(decisions: DataFrame, approvals: DataFrame) -> DataFrame:
     """Decisions that an unused approval of the same snapshot, table, fingerprint and count covers."""
     unused = approvals.where("used_at IS NULL").select("snapshot_id", "table", "fingerprint", F.col("orphan_count").alias("orphans")).distinct()
@@ -89,6 +134,13 @@ def snapshot_gate(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("*", *verdict("snapshot", [(c("fetched") <= 0, "nothing was fetched"), (c("key_columns") <= 0, "no key columns"), (c("written") <= 0, "nothing was written"), (c("written") < c("fetched"), "fewer rows were written than fetched")], "validated", "aborted"))
 
 
+def states(snapshots: DataFrame) -> DataFrame:
+    """snapshots: fetched, written, key_columns, and reconciled, whether the target was found to hold the snapshot and no
+    more: (state, reason), from writing over validated to reconciled, or aborted."""
+    judged = snapshot_gate(snapshots).drop("gate")
+    return judged.withColumn("state", F.when((F.col("status") == "validated") & F.col("reconciled"), "reconciled").otherwise(F.col("status"))).drop("status")
+
+
 def count_gate(fetched: DataFrame, target: DataFrame) -> DataFrame:
     """After a reset the target has as many rows as were fetched, and some."""
     c = one_row(fetched.agg(F.count("*").alias("n_fetched")), target.agg(F.count("*").alias("n_target")))
@@ -96,14 +148,17 @@ def count_gate(fetched: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(events: DataFrame, run: str, status: str, order: Sequence[str]) -> DataFrame:
-    """Events whose status may not follow the one before in their run."""
-    from pyspark.sql import Window
+    """Events whose status may not follow the one before in their run.
 
-    before = F.lag(status).over(Window.partitionBy(run).orderBy(*order))
+    Events are numbered in the order of runs and times by a range sort, and each meets the one before it by an equi-join on
+    the number, so that no task holds a run's events."""
+    every = numbered(events, run, *order)
+    before = every.select((F.col("__number") + 1).alias("__number"), F.col(run).alias("__run"), F.col(status).alias("previous_status"))
     legal = F.lit(False)
     for a, b in TRANSITIONS.items():
         legal = legal | ((F.col("previous_status") == a) & F.col(status).isin(*b))
-    return events.withColumn("previous_status", before).where(F.col("previous_status").isNotNull() & ~legal)
+    met = every.join(before, "__number").where(F.col(run).eqNullSafe(F.col("__run")))
+    return met.where(F.col("previous_status").isNotNull() & ~F.coalesce(legal, F.lit(False))).drop("__number", "__run")
 
 
 def recovery_plan(runs: DataFrame, checkpoints: DataFrame, recovered: DataFrame, large: Sequence[str]) -> DataFrame:

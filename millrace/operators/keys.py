@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import numbered
+
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -20,8 +22,8 @@ def identifier(name: str) -> str:
     return name
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, (left[k].eqNullSafe(right[k]) for k in keys))
+def is_identifier(name: Column) -> Column:
+    return F.coalesce(name.rlike(rf"\A{_NAME.pattern}\z"), F.lit(False))
 
 
 def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,12 +78,13 @@ def fingerprint(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def out_of_order(rows: DataFrame, keys: Sequence[str], page: str, position: str) -> DataFrame:
     """Rows whose key isn't greater than that of the row before, in the order of pages and positions.
 
-    Within a page a window compares neighbours; across pages, which are numbered in a row, only each page's first and last
-    key meet, by an equi-join."""
+    Within a page a window compares neighbours. Across pages only each page's first and last key meet: the pages that there
+    are, a row each, are numbered by a range sort, as their own numbers may have gaps, and neighbours meet by an equi-join."""
     key = F.struct(*keys)
     inside = rows.withColumn("__last", F.lag(key).over(Window.partitionBy(page).orderBy(position)))
     ends = rows.groupBy(page).agg(F.min_by(key, position).alias("__first"), F.max_by(key, position).alias("__end"), F.min(position).alias("__at"))
-    across = ends.join(ends.select((F.col(page) + 1).alias(page), F.col("__end").alias("__last")), page).where(F.col("__first") <= F.col("__last"))
+    ends = numbered(ends, page)
+    across = ends.join(ends.select((F.col("__number") + 1).alias("__number"), F.col("__end").alias("__last")), "__number").where(F.col("__first") <= F.col("__last"))
     bad_first = rows.join(across.select(page, F.col("__at").alias(position)), [page, position], "left_semi")
     return inside.where(key <= F.col("__last")).drop("__last").unionByName(bad_first)
 

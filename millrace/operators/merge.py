@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import keys as K
+from millrace.plans.storage import reliable
 
 
 def last_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -64,6 +66,7 @@ def load_counts(rows: DataFrame) -> DataFrame:
 
 
 def retained(rows: DataFrame, stamp: str, cutoff: Column) -> DataFrame:
+    """Old rows go away."""
     return rows.where(F.col(stamp) >= cutoff)
 
 
@@ -72,16 +75,38 @@ def soft_deleted(rows: DataFrame, stamp: str, cutoff: Column, now: Column) -> Da
     return rows.withColumn("deleted_at", F.when(F.col(stamp) < cutoff, now))
 
 
+#: How often a load starts over when others are faster.
+ATTEMPTS = 5
+
+
+class Conflict(RuntimeError):
+    """Another load has written a version since this one read the table."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """``number``: 0 where the table has none yet; ``folders``: partition value to folder; ``batches``: stream to the last of
+    its batches that the table holds."""
+
+    number: int
+    folders: dict[str, str]
+    batches: dict[str, int]
+
+
 @dataclass(frozen=True)
 class VersionedTable:
     """A table of Parquet folders, one for each partition and version, and manifests that name the current ones.
 
-    A load writes new folders for the partitions that it touches and then a new manifest, under a name that no other
-    writer can take too. Readers take the last manifest, so a failed load changes nothing, and old readers keep theirs."""
+    A load reads a version, writes new folders for the partitions that it touches, and then the manifest of the next number,
+    under a name that only one writer can take. If another load has taken it meanwhile, nothing is lost: this one reads the
+    table again and starts over, some times, or fails. Readers take the last manifest, so a failed load changes nothing, and
+    old readers keep theirs."""
 
     spark: SparkSession
     path: str
     partition: str
+    #: Rows of a file at most.
+    file_rows: int = 10_000_000
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -92,13 +117,20 @@ class VersionedTable:
         _, fs, folder = self._fs()
         return sorted(int(x.getPath().getName().removesuffix(".json")) for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json")) if fs.exists(folder) else []
 
-    def current(self) -> dict[str, str]:
-        """Partition value to folder."""
+    def version(self) -> Version:
         known = self.versions()
         if not known:
-            return {}
+            return Version(0, {}, {})
         text = self.spark.read.text(f"{self.path}/manifests/{known[-1]}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        return Version(known[-1], **json.loads(text))
+
+    def current(self) -> dict[str, str]:
+        """Partition value to folder."""
+        return self.version().folders
+
+    def columns(self) -> DataFrame:
+        """(column, type, nullable) of the table as it is read: columns of files may all be null."""
+        return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in self.read().schema], "column string, type string, nullable boolean")
 
     def read(self, schema=None) -> DataFrame:
         folders = sorted(set(self.current().values()))
@@ -107,27 +139,52 @@ class VersionedTable:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(*folders)
 
-    def commit(self, folders: dict[str, str]) -> int:
+    def commit(self, folders: dict[str, str], read: Version, batch: tuple[str, int] | None = None) -> int:
+        """The version after ``read``, if no other load has written it. ``batch``: a stream and the batch that it now holds."""
         jvm, fs, folder = self._fs()
         fs.mkdirs(folder)
-        number = (self.versions() or [0])[-1] + 1
-        hidden, final = (jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f".{uuid.uuid4().hex}", f"{number}.json"))
+        number = read.number + 1
+        hidden, final = (fs.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, n)) for n in (f".{uuid.uuid4().hex}", f"{number}.json"))
         out = fs.create(hidden, False)
-        out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps({"folders": folders, "batches": read.batches | dict([batch] if batch else [])}, sort_keys=True).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(hidden, final):
+        try:
+            if fs.getScheme() == "file":
+                # a local rename would overwrite; a second link of the name fails
+                link = lambda p: jvm.java.nio.file.Paths.get(p.toUri())
+                jvm.java.nio.file.Files.createLink(link(final), link(hidden))
+                fs.delete(hidden, False)
+            else:
+                # unlike a file system's own rename, this one never overwrites
+                none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(hidden, final, none)
+        except Py4JJavaError as e:
             fs.delete(hidden, False)
-            raise RuntimeError(f"version {number} of {self.path} was written by another load")
+            if fs.exists(final):
+                raise Conflict(f"version {number} of {self.path} was written by another load") from e
+            raise
         return number
 
+    def _retried(self, attempt: Callable[[Version], int]) -> int:
+        """``attempt`` on the current version, and again on the next where another load was faster."""
+        for left in range(ATTEMPTS - 1, -1, -1):
+            try:
+                return attempt(self.version())
+            except Conflict:
+                if not left:
+                    raise
+        raise AssertionError
+
     def _value(self) -> Column:
         return F.coalesce(F.col(self.partition).cast("string"), F.lit("__null__"))
 
     def _write(self, rows: DataFrame, touched: Sequence[str]) -> dict[str, str]:
         """New folders for ``touched`` partitions."""
         place = f"{self.path}/data/{uuid.uuid4().hex}"
-        # one writer lays out all touched partitions; each becomes a folder of its own, the column stays inside too
-        rows.withColumn("__part", self._value()).write.partitionBy("__part").parquet(place)
+        # each partition goes to one task, or to several where it is large, and so gets few files of a good size; the
+        # partition's column stays inside its files too
+        dealt = rows.withColumn("__part", self._value()).hint("rebalance", F.col("__part"))
+        dealt.write.option("maxRecordsPerFile", self.file_rows).partitionBy("__part").parquet(place)
         _, fs, _ = self._fs()
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         found = {}
@@ -143,24 +200,46 @@ class VersionedTable:
 
     def replace(self, rows: DataFrame) -> int:
         """All of the table becomes ``rows``; an empty load is refused."""
+        rows = reliable(rows)
         touched = self.touched(rows)
         if not touched:
             raise ValueError("refusing to replace a table with nothing")
-        return self.commit(self._write(rows, touched))
+        return self._retried(lambda now: self.commit(self._write(rows, touched), now))
+
+    def merge(self, rows: DataFrame, keys: Sequence[str], batch: tuple[str, int] | None = None) -> int:
+        """Upsert ``rows``, whose keys hold the partition, reading and writing the partitions that they touch.
 
-    def merge(self, rows: DataFrame, keys: Sequence[str]) -> int:
-        """Upsert ``rows``, whose keys hold the partition, reading and writing the partitions that they touch."""
+        ``batch``: a stream and the number of its batch; a batch that the table holds already isn't merged again."""
         if self.partition not in keys:
             raise ValueError(f"{self.partition} is not part of the key")
-        touched, now = self.touched(rows), self.current()
-        old = [now[x] for x in touched if x in now]
-        merged = upsert(self.spark.read.schema(rows.schema).parquet(*old), rows, keys) if old else rows
-        return self.commit({k: v for k, v in now.items() if k not in touched} | self._write(merged, touched))
+        rows = reliable(rows)
+        touched = self.touched(rows)
+
+        def attempt(now: Version) -> int:
+            if batch and now.batches.get(batch[0], -1) >= batch[1]:
+                return now.number
+            old = [now.folders[x] for x in touched if x in now.folders]
+            merged = upsert(self.spark.read.schema(rows.schema).parquet(*old), rows, keys) if old else rows
+            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | self._write(merged, touched), now, batch)
+
+        return self._retried(attempt)
 
     def delete(self, gone: DataFrame, keys: Sequence[str]) -> int:
-        """Rows with the keys of ``gone``, which hold the partition, go away."""
-        touched, now = [x for x in self.touched(gone) if x in self.current()], self.current()
-        if not touched:
-            return (self.versions() or [0])[-1]
-        left = delete_keys(self.spark.read.parquet(*(now[x] for x in touched)), gone, keys)
-        return self.commit({k: v for k, v in now.items() if k not in touched} | self._write(left, touched))
+        """Rows with the keys of ``gone`` go away. The keys hold the partition, and none may be missing or occur twice."""
+        gone = reliable(gone.select(*keys))
+        if self.partition not in keys:
+            raise ValueError(f"{self.partition} is not part of the key")
+        if not gone.where(~K.complete(keys)).isEmpty():
+            raise ValueError("keys to delete are missing")
+        if K.counts(gone, keys).first().n_duplicates:
+            raise ValueError("keys to delete repeat")
+        asked = self.touched(gone)
+
+        def attempt(now: Version) -> int:
+            touched = [x for x in asked if x in now.folders]
+            if not touched:
+                return now.number
+            left = delete_keys(self.spark.read.parquet(*(now.folders[x] for x in touched)), gone, keys)
+            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | self._write(left, touched), now)
+
+        return self._retried(attempt)

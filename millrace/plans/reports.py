@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.plans.storage import reliable
+from millrace.plans.storage import numbered, reliable
 
 MONEY = "decimal(18,4)"
 
@@ -112,6 +112,34 @@ def prefix_sums(names: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     return down.unionByName(up).groupBy("customer").agg(F.sum(value).alias(value))
 
 
+def anyone(c: Column) -> Column:
+    return F.lit(True)
+
+
+def dimension(customers: DataFrame) -> DataFrame:
+    """(customer, customer_number, customer_seller, customer_type): the largest of each attribute of a name."""
+    return customers.where(name("name") != "").groupBy(name("name").alias("customer")).agg(*(F.max(c).alias(f"customer_{c}") for c in ("number", "seller", "type")))
+
+
+def carried(payable: DataFrame, product: str, months: Range = Range(), wanted: Callable[[Column], Column] = anyone) -> DataFrame:
+    """(customer, v): amounts of freight; who isn't named has a name of their own."""
+    payer = F.coalesce(F.nullif(name("customer"), F.lit("")), F.lit(NO_CUSTOMER))
+    kept = (F.col("material_name") == product) & (F.trim(F.col("account_type").cast("string")) == ACCOUNT_TYPE)
+    return payable.where(kept & months.days("bill_date") & wanted(payer)).select(payer.alias("customer"), number("amount").alias("v"))
+
+
+def returned(returns: DataFrame, materials: DataFrame, months: Range = Range(), wanted: Callable[[Column], Column] = anyone) -> DataFrame:
+    """(customer, v): quantities that came back, at the material's price; without a price they count nothing."""
+    back = returns.where((name("customer_name") != "") & months.days("bill_date") & wanted(name("customer_name")))
+    prices = materials.select(F.col("number").alias("material_number"), number("price").alias("price"))
+    return back.join(prices, "material_number", "left").select(name("customer_name").alias("customer"), (number("quantity") * F.coalesce("price", F.lit(0).cast(MONEY))).alias("v"))
+
+
+def cent_sums(rows: DataFrame, measure: str) -> DataFrame:
+    """(customer, measure): sums of ``v``, to the cent."""
+    return rows.groupBy("customer").agg(F.round(F.sum("v"), 2).alias(measure))
+
+
 def profitability(receivable: DataFrame, payable: DataFrame, balance: DataFrame, customers: DataFrame, returns: DataFrame, materials: DataFrame, costs: DataFrame, product: str, freight: str, months: Range = Range(), customer: str | None = None) -> DataFrame:
     """One numbered row for each customer that occurs in any source.
 
@@ -119,20 +147,16 @@ def profitability(receivable: DataFrame, payable: DataFrame, balance: DataFrame,
     material_name, account_type, amount; balance: year, period, account, detail_name, debit, credit; customers: name,
     number, seller, type; returns: bill_date, customer_name, material_number, quantity; materials: number, price; costs:
     customer, biz_date, amount. ``customer``: only this one; in the balance, names that contain it."""
-    exact = (lambda c: c == customer) if customer else (lambda c: F.lit(True))
-    like = (lambda c: c.contains(customer)) if customer else (lambda c: F.lit(True))
+    exact = (lambda c: c == customer) if customer else anyone
+    like = (lambda c: c.contains(customer)) if customer else anyone
     entries = balance.where(months.periods("year", "period") & (F.trim("detail_name") != "") & like(name("detail_name")))
-    payer = F.coalesce(F.nullif(name("customer"), F.lit("")), F.lit(NO_CUSTOMER))
-    carried = payable.where((F.col("material_name") == freight) & (F.trim(F.col("account_type").cast("string")) == ACCOUNT_TYPE) & months.days("bill_date") & exact(payer))
-    back = returns.where((name("customer_name") != "") & months.days("bill_date") & exact(name("customer_name")))
-    prices = materials.select(F.col("number").alias("material_number"), number("price").alias("price"))
     spent = costs.where((F.trim(F.coalesce("customer", F.lit(""))) != "") & months.month_text("biz_date") & exact(name("customer")))
     parts = {
         "quantity": sold(receivable, months, product).where(exact(name("customer_name"))).select(name("customer_name").alias("customer"), number("quantity").alias("v")),
         "credit": entries.where(F.col("account").isin(*CREDIT_ACCOUNTS)).select(name("detail_name").alias("customer"), number("credit").alias("v")),
         "own_fine": entries.where(F.col("account") == FINE_ACCOUNT).select(X.before_slash(F.col("detail_name")).alias("customer"), number("debit").alias("v")),
-        "freight": carried.select(payer.alias("customer"), number("amount").alias("v")),
-        "returned": back.join(prices, "material_number", "left").select(name("customer_name").alias("customer"), (number("quantity") * F.coalesce("price", F.lit(0).cast(MONEY))).alias("v")),
+        "freight": carried(payable, freight, months, exact),
+        "returned": returned(returns, materials, months, exact),
         "cost": spent.select(name("customer").alias("customer"), number("amount").alias("v")),
         "management_fee": monthly_fees(receivable, months, product, customer).select("customer", F.col("management_fee").alias("v")),
     }
@@ -142,35 +166,30 @@ def profitability(receivable: DataFrame, payable: DataFrame, balance: DataFrame,
         tagged = rows.select("customer", F.lit(measure).alias("measure"), F.col("v").cast("decimal(38,8)").alias("v"))
         every = tagged if every is None else every.unionByName(tagged)
     per = reliable(every.groupBy("customer").agg(*(F.sum(F.when(F.col("measure") == m, F.col("v"))).alias(m) for m in parts)))
-    known = customers.where(name("name") != "").groupBy(name("name").alias("customer")).agg(*(F.max(c).alias(f"customer_{c}") for c in ("number", "seller", "type")))
     fined = per.where("own_fine IS NOT NULL").select("customer", F.col("own_fine").alias("fine"))
-    out = per.join(known, "customer", "left").join(prefix_sums(per, fined, "fine"), "customer", "left")
+    out = per.join(dimension(customers), "customer", "left").join(prefix_sums(per, fined, "fine"), "customer", "left")
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
     cents = lambda c: F.round(F.coalesce(c, F.lit(0)), 4).cast("decimal(18,2)").alias(c)
     rounded = [F.round(F.coalesce(c, F.lit(0)), 2).alias(c) for c in ("freight", "returned")]
-    # the final result has a row for each customer, so one sorted partition numbers it
-    line = F.row_number().over(Window.orderBy("customer")).alias("line")
-    return out.select(line, "customer", "customer_number", "customer_seller", "customer_type", zero("quantity", "decimal(28,4)"), *rounded, zero("management_fee", "decimal(38,8)"), F.lit(0).cast("decimal(18,2)").alias("rebate"), *map(cents, ("credit", "fine", "cost"))).orderBy("customer")
+    line = (F.col("__number") + 1).cast("int").alias("line")
+    return numbered(out, "customer").select(line, "customer", "customer_number", "customer_seller", "customer_type", zero("quantity", "decimal(28,4)"), *rounded, zero("management_fee", "decimal(38,8)"), F.lit(0).cast("decimal(18,2)").alias("rebate"), *map(cents, ("credit", "fine", "cost"))).orderBy("customer")
 
 
-def where_used(edges: DataFrame, materials: DataFrame, child: str, all_edges: bool = True, rounds: int = 64) -> DataFrame:
+def where_used(edges: DataFrame, materials: DataFrame, child: str, all_edges: bool = True) -> DataFrame:
     """(top_id): assemblies that contain ``child`` at any depth and are in no other; cycles end the walk.
 
     edges: parent_id, child_number, replace_group; materials: id, number. Without ``all_edges``, edges of a replacement
-    group don't count. Each round joins the newest assemblies with their parents, and is checkpointed."""
+    group don't count. Each round joins the newest assemblies with their parents, and is written; the walk ends where a
+    round finds no assembly that isn't known, however deep that is."""
     if not all_edges:
         edges = edges.where(F.coalesce("replace_group", F.lit(0)) == 0)
     up = materials.join(edges, F.col("child_number") == F.col("number")).select(F.col("id").alias("node"), "parent_id").distinct()
     up = reliable(up)
     seen = reliable(edges.where(F.col("child_number") == child).select(F.col("parent_id").alias("node")).distinct())
     front = seen
-    for _ in range(rounds):
+    while not front.isEmpty():
         front = reliable(front.join(up, "node").select(F.col("parent_id").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if front.isEmpty():
-            break
         seen = reliable(seen.union(front))
-    else:
-        raise RuntimeError(f"{child} is still found in new assemblies after {rounds} rounds")
     return seen.join(up.select("node").distinct(), "node", "left_anti").select(F.col("node").alias("top_id"))
 
 

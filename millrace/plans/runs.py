@@ -141,6 +141,11 @@ def task_counts(runs: DataFrame, as_of: datetime) -> DataFrame:
     return runs.groupBy("task_name").agg(F.count("*").alias("n"), F.count_if(status == "running").alias("running"), F.count_if(status.isin(*FAILED)).alias("failed"), F.count_if(F.col("start_time") >= time(day)).alias("today"))
 
 
+def enabled_schedules(jobs: DataFrame) -> DataFrame:
+    """(n_jobs, n_enabled); a null flag is off."""
+    return jobs.agg(F.count("*").alias("n_jobs"), F.count_if(F.coalesce("enabled", F.lit(False))).alias("n_enabled"))
+
+
 def sorted_forms(forms: DataFrame, by: str = "name", ascending: bool = True) -> DataFrame:
     """Forms by name, errors or last load; what is missing counts as least."""
     key = {"name": F.col("form_name"), "errors": F.coalesce("n_errors", F.lit(0)), "last": F.coalesce(F.col("last_sync").cast("string"), F.lit(""))}[by]

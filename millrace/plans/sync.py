@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import gates, merge
@@ -20,60 +20,95 @@ MODES = ("incremental", "full", "reset", "snapshot")
 
 @dataclass(frozen=True)
 class LoadResult:
+    """``status``: success, partial (loaded, but rows were left out or orphans stayed), failed or dry_run; ``snapshot``: the
+    state of the snapshot that was written, see :func:`millrace.operators.gates.states`."""
+
     name: str
     status: str
     reason: str
     fetched: int
     written: int
     deleted: int
+    filtered: int = 0
+    snapshot: str = ""
 
 
-def load(table: merge.VersionedTable, spec: TableSpec, landed: DataFrame, mode: str, stamp: str, order: Sequence, changed: str | None = None, overlap_days: int = 0, dry_run: bool = False, allow_delete: bool = True, approvals: DataFrame | None = None, previous: int = 0) -> LoadResult:
-    """Load one table. A failed check changes nothing, as versions are committed last.
+def load(
+    table: merge.VersionedTable, spec: TableSpec, landed: DataFrame, mode: str, stamp: str, order: Sequence[Column], changed: str | None = None, overlap_days: int = 0,
+    dry_run: bool = False, allow_delete: bool = True, approvals: gates.Approvals | None = None, previous: int = 0,
+) -> LoadResult:
+    """Load one table. A check that fails in front of the write changes nothing, as versions are committed last.
 
     incremental: rows changed since the target's watermark are merged. full: all rows are merged and orphans deleted, if
-    the checks allow. reset and snapshot: the target becomes the source; their reads ignore the watermark."""
+    the checks allow. reset and snapshot: the target becomes the source; their reads ignore the watermark.
+
+    Rows with values that don't fit their columns are left out, counted, and keep orphans from being deleted, as do rows
+    that the target doesn't hold after the write. Where the spec names a date in the key, no key may have two dates, nor
+    another date in the target than in the source. ``approvals`` may allow more orphans than go unasked; each is used once.
+    ``allow_delete`` is off while a load recovers or stops."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    rows = normalize(scan(landed, spec), spec, stamp)
-    schema = rows.schema
-    target = table.read(schema)
+    every = normalize(scan(landed, spec), spec, stamp, bad="__bad")
+    target = table.read(every.drop("__bad").schema)
     if mode == "incremental" and changed:
-        rows = reads.changed_since(rows, target, changed, overlap_days)
-    rows = reliable(rows)
-    counts = gates.one_row(K.counts(rows, spec.keys), rows.agg(F.count_if(~K.complete(spec.keys)).alias("n_incomplete"))).first()
+        every = reads.changed_since(every, target, changed, overlap_days)
+    every = reliable(every)
+    rows = every.where("NOT __bad").drop("__bad")
+    counts = gates.one_row(K.counts(rows, spec.keys), rows.agg(F.count_if(~K.complete(spec.keys)).alias("n_incomplete")), every.agg(F.count("*").alias("fetched"), F.count_if("__bad").alias("filtered"))).first()
+
+    def result(status: str, reason: str, written: int = 0, deleted: int = 0, snapshot: str = "") -> LoadResult:
+        return LoadResult(spec.name, status, reason, counts.fetched, written, deleted, counts.filtered, snapshot)
+
+    if counts.fetched == 0:
+        return result("success", "no changes") if mode == "incremental" else result("failed", "source is empty")
     if counts.n_rows == 0:
-        ok = mode == "incremental"
-        return LoadResult(spec.name, "success" if ok else "failed", "no changes" if ok else "source is empty", 0, 0, 0)
+        return result("failed", "no row fits the table")
     if counts.n_incomplete:
-        return LoadResult(spec.name, "failed", "keys are missing", counts.n_rows, 0, 0)
-    single = merge.last_of_key(rows, spec.keys, order)
+        return result("failed", "keys are missing")
+    if spec.date and mode in ("incremental", "full"):
+        dates = gates.date_gate(rows, target, spec.identity, spec.date).first()
+        if dates.status != "passed":
+            return result("failed", dates.reason)
     if dry_run:
-        return LoadResult(spec.name, "dry_run", "nothing was written", counts.n_rows, 0, 0)
-    if mode in ("reset", "snapshot"):
+        return result("dry_run", "nothing was written")
+    single = reliable(merge.last_of_key(rows, spec.keys, order))
+    replaces = mode in ("reset", "snapshot")
+    if replaces:
         table.replace(single)
-        return LoadResult(spec.name, "success", "replaced", counts.n_rows, counts.n_keys, 0)
-    if mode == "incremental":
+    else:
         table.merge(single, spec.keys)
-        return LoadResult(spec.name, "success", "merged", counts.n_rows, counts.n_keys, 0)
-    found = gates.reconcile_counts(rows, target, spec.keys, previous)
-    decision = gates.orphan_decision(found).first()
-    gone = merge.orphans(target, rows, spec.keys)
-    allowed = decision.decision == "auto_approved"
-    if decision.decision == "approval_required" and approvals is not None:
-        asked = gates.orphan_decision(found).withColumns({"snapshot_id": F.lit(stamp), "table": F.lit(spec.table_name)})
-        allowed = not gates.approved(asked, approvals).isEmpty()
-    table.merge(single, spec.keys)
+    now = table.read(single.schema)
+    written = K.semi(now, single, spec.keys).count()
+
+    def state(reconciled: bool) -> tuple[str, str]:
+        row = gates.states(now.sparkSession.createDataFrame([(counts.n_keys, written, len(spec.keys), reconciled)], "fetched long, written long, key_columns int, reconciled boolean")).first()
+        return row.state, row.reason
+
+    if replaces:
+        same = gates.count_gate(single, now).first()
+        snapshot, why = state(same.status == "passed")
+        if same.status != "passed" or snapshot == "aborted":
+            return result("failed", same.reason if same.status != "passed" else why, written, 0, snapshot)
+        return result("partial" if counts.filtered else "success", "replaced", written, 0, snapshot)
+    if mode == "incremental":
+        return result("partial" if counts.filtered else "success", "merged", written, 0, state(False)[0])
+    short = written < counts.n_keys
+    found = reliable(gates.orphan_decision(gates.reconcile_counts(rows, target, spec.keys, previous, counts.filtered, short)))
+    decision = found.first()
+    wanted = allow_delete and decision.orphans > 0 and decision.decision != "blocked"
+    if wanted and decision.decision == "approval_required":
+        wanted = approvals is not None and approvals.use(found.withColumns({"snapshot_id": F.lit(stamp), "table": F.lit(spec.table_name)}))
     deleted = 0
-    if allow_delete and allowed and decision.orphans:
-        before = target.count()
-        gone = reliable(gone)
-        table.delete(gone, spec.keys)
-        deleted = decision.orphans
-        left = merge.orphans(table.read(schema), rows, spec.keys).count()
-        if left:
-            return LoadResult(spec.name, "failed", f"{left} of {before} rows stayed that should have gone", counts.n_rows, counts.n_keys, deleted)
-    return LoadResult(spec.name, "success" if allowed else "partial", decision.reason, counts.n_rows, counts.n_keys, deleted)
+    if wanted:
+        table.delete(merge.orphans(target, rows, spec.keys), spec.keys)
+        now, before = table.read(single.schema), now.count()
+        deleted = before - now.count()
+        left = merge.orphans(now, rows, spec.keys).count()
+        if left or deleted != decision.orphans:
+            return result("failed", f"{left} rows stayed that should have gone", written, deleted, state(False)[0])
+    done = not decision.orphans or wanted
+    reason = decision.reason if decision.decision == "blocked" or allow_delete else "orphans stay, as deletes are off"
+    return result("success" if done and decision.decision != "blocked" else "partial", reason, written, deleted, state(done and decision.decision != "blocked")[0])
 
 
 def run_all(jobs: dict[str, Callable[[], LoadResult]], at_once: int = 8) -> list[LoadResult]:
@@ -95,5 +130,5 @@ def run_all(jobs: dict[str, Callable[[], LoadResult]], at_once: int = 8) -> list
 
 def results(spark, done: Sequence[LoadResult], run_id: str) -> DataFrame:
     """One row for each table of a run, to append to its history."""
-    rows = [(run_id, r.name, r.status, r.reason, r.fetched, r.written, r.deleted) for r in done]
-    return spark.createDataFrame(rows, "run_id string, form_name string, status string, reason string, fetched long, written long, deleted long")
+    rows = [(run_id, r.name, r.status, r.reason, r.fetched, r.written, r.deleted, r.filtered, r.snapshot) for r in done]
+    return spark.createDataFrame(rows, "run_id string, form_name string, status string, reason string, fetched long, written long, deleted long, filtered long, snapshot string")

@@ -21,7 +21,8 @@ PRIORITY = {
 @dataclass(frozen=True)
 class TableSpec:
     """``fields``: source fields; ``columns``: target column to type; ``mapping``: source field to target column;
-    ``defaults``: target column to a value for null or blank; ``filters``: conjunction; ``date_only``: columns cut to days."""
+    ``defaults``: target column to a value for null or blank; ``filters``: conjunction; ``date_only``: columns cut to days;
+    ``date``: the key column whose value, the row's partition, may not change from load to load."""
 
     name: str
     fields: Sequence[str]
@@ -34,6 +35,7 @@ class TableSpec:
     date_only: Sequence[str] = ()
     increment: str | None = None
     table: str | None = None
+    date: str | None = None
 
     def __post_init__(self):
         for c in (*self.columns, *self.keys):
@@ -46,6 +48,11 @@ class TableSpec:
     def table_name(self) -> str:
         return self.table or self.name.replace(" ", "").lower()
 
+    @property
+    def identity(self) -> list[str]:
+        """The key without its date."""
+        return [k for k in self.keys if k != self.date]
+
     def sources(self, column: str) -> list[str]:
         """Source fields for a target column, first choice first: its own name, then mapped fields, then fields that
         match without regard to case, then the part of a field before its dot."""
@@ -75,12 +82,19 @@ def scan(rows: DataFrame, spec: TableSpec) -> DataFrame:
     return rows.select(*(quoted(f) for f in spec.fields if f in rows.columns))
 
 
-def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
+def whole(text: Column, kind: str) -> Column:
+    """A whole number of any size that its type holds, also where it comes as 12.0 or 1.2E1; null where it has a fraction."""
+    exact = text.try_cast("decimal(38,12)")
+    return F.coalesce(text.try_cast(kind), F.when(exact == F.floor(exact), exact.cast("decimal(38,0)")).try_cast(kind))
+
+
+def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaults: dict[str, str] | None = None, bad: str | None = None) -> DataFrame:
     """Mapped to the target's columns: first source that isn't null, cleaned and typed; then defaults and the load stamp.
 
-    ``defaults`` of a manifest give way to the spec's own."""
+    ``defaults`` of a manifest give way to the spec's own. ``bad`` names a column that says whether a value that is there,
+    and not blank, isn't a number of its column's type: such a row can't be loaded as it is."""
     every = (defaults or {}) | spec.defaults
-    out = []
+    out, unfit = [], F.lit(False)
     for column, kind in spec.columns.items():
         sources = [quoted(f) for f in spec.sources(column) if f in rows.columns]
         if not sources and column not in every:
@@ -91,13 +105,16 @@ def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaul
         elif kind == "string":
             value = X.normalized(value)
         else:
-            # whole numbers may come as 12.0
-            value = X.trim_all(value).try_cast("double").try_cast(kind) if kind in ("int", "bigint", "long") else X.trim_all(value).try_cast(kind)
+            text = X.blank_to_null(X.trim_all(value))
+            value = whole(text, kind) if kind in ("int", "bigint", "long") else text.try_cast(kind)
+            unfit = unfit | (text.isNotNull() & value.isNull())
         if column in every:
             value = F.coalesce(value, F.lit(every[column]).cast(kind))
         out.append(value.alias(column))
     if stamp is not None:
         out.append(F.lit(stamp).cast("timestamp_ntz").alias("sync_time"))
+    if bad is not None:
+        out.append(unfit.alias(bad))
     return rows.select(*out)
 
 
@@ -105,6 +122,35 @@ def increment_field(spec: TableSpec, by_table: dict[str, str], default: str = "F
     return by_table.get(spec.table_name) or spec.increment or default
 
 
+def table_names(name: Column, mapped: dict[str, str] | None = None) -> Column:
+    """The table of a form: mapped, else the form's name in lower case without spaces."""
+    own = F.lower(F.replace(name, F.lit(" "), F.lit("")))
+    return F.coalesce(looked_up(name, mapped), own) if mapped else own
+
+
+def increment_fields(form: Column, by_table: dict[str, str], by_form: dict[str, str], default: str = "FModifyDate", mapped: dict[str, str] | None = None) -> Column:
+    """The change field of a form: that of its table, else its own, else the default."""
+    return F.coalesce(looked_up(table_names(form, mapped), by_table), looked_up(form, by_form), F.lit(default))
+
+
+def looked_up(key: Column, known: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in known.items() for x in kv))[key] if known else F.lit(None).cast("string")
+
+
+def cursor_faults(specs: DataFrame) -> DataFrame:
+    """(form_name, missing): cursor keys of specs (form_name, fields, cursor) that aren't among the fields that are read."""
+    return specs.select("form_name", F.explode(F.array_except("cursor", "fields")).alias("missing"))
+
+
+def key_columns(spec: TableSpec, rows: DataFrame) -> DataFrame:
+    """(table, position, column, n_values): a table's keys in their order, and the different values that rows have."""
+    per = [rows.agg(F.count_distinct(F.struct(k)).alias("n_values")).select(F.lit(spec.table_name).alias("table"), F.lit(i).alias("position"), F.lit(k).alias("column"), "n_values") for i, k in enumerate(spec.keys, 1)]
+    out = per[0]
+    for p in per[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def priority(name: Column) -> Column:
     pairs = [F.lit(x) for k, v in PRIORITY.items() for x in (k, v)]
     return F.coalesce(F.create_map(*pairs)[name], F.lit(1))

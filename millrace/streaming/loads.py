@@ -13,12 +13,12 @@ from millrace.operators import merge
 
 
 def upsert_stream(changes: DataFrame, table: merge.VersionedTable, keys: Sequence[str], order: Sequence[Column], checkpoint: str) -> StreamingQuery:
-    """Merge what has landed since the last call, then stop. The checkpoint holds the position; the merge is idempotent,
-    so a batch that is replayed after a failure changes nothing."""
+    """Merge what has landed since the last call, then stop. The checkpoint holds the position, and the table's version the
+    last batch of this checkpoint that it holds, so a batch that is replayed after a failure isn't merged again."""
 
     def put(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            table.merge(merge.last_of_key(batch, keys, order), keys)
+            table.merge(merge.last_of_key(batch, keys, order), keys, (checkpoint, number))
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

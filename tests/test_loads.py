@@ -177,13 +177,153 @@ def test_full_load_deletes_the_one_orphan(spark):
     kept = sync.load(t, SPEC, landed(spark, every[:80]), "full", **args)
     assert (kept.status, kept.deleted, t.read().count()) == ("partial", 0, 100)
     print_of = gates.reconcile_counts(normalize(landed(spark, every[:80]), SPEC), t.read(), SPEC.keys).first().fingerprint
-    approvals = spark.createDataFrame([("2024-01-01 00:00:00", "orders", print_of, 20, None)], "snapshot_id string, table string, fingerprint string, orphan_count long, used_at string")
+    approvals = gates.Approvals(spark, f"{shared_folder(spark)}/approvals-{uuid.uuid4().hex}")
+    assert sync.load(t, SPEC, landed(spark, every[:80]), "full", approvals=approvals, **args).deleted == 0
+    approvals.grant(spark.createDataFrame([("2024-01-01 00:00:00", "orders", print_of, 20), ("2024-01-01 00:00:00", "orders", print_of, 21)], gates.Approvals.SCHEMA))
     assert sync.load(t, SPEC, landed(spark, every[:80]), "full", approvals=approvals, **args).deleted == 20
+    # the approval is used up, and the one for another count never counts
+    sync.load(t, SPEC, landed(spark, every[:100]), "full", **args)
+    assert (again := sync.load(t, SPEC, landed(spark, every[:80]), "full", approvals=approvals, **args)).deleted == 0 and again.status == "partial"
+    assert sorted(r.used_at is not None for r in approvals.read().collect()) == [False, True]
+    sync.load(t, SPEC, landed(spark, every[:80]), "reset", **args)
     assert sync.load(t, SPEC, landed(spark, []), "full", **args).status == "failed" and t.read().count() == 80
     assert sync.load(t, SPEC, landed(spark, [(None, "d1", "1")]), "full", **args).reason == "keys are missing"
     assert sync.load(t, SPEC, landed(spark, [("7", "d1", "9")]), "incremental", **args).status == "success" and t.read().where("id = 7 AND price = 9").count() == 1
 
 
+def test_whole_numbers_of_any_size(spark):
+    raw = spark.createDataFrame([(x,) for x in ("9007199254740993", "9223372036854775807", "-9007199254740993", "12.0", "1.2E1", "12.7", "9223372036854775808", "x", " ", None, " 7 ")], "n string")
+    spec = TableSpec("x", ["n"], {"n": "bigint"}, ["n"])
+    got = [tuple(r) for r in normalize(raw, spec, bad="bad").collect()]
+    assert got == [(9007199254740993, False), (2**63 - 1, False), (-9007199254740993, False), (12, False), (12, False), (None, True), (None, True), (None, True), (None, False), (None, False), (7, False)]
+
+
+def test_two_loads_at_once_lose_nothing(spark):
+    schema = "id int, p string, v string"
+    t = new_table(spark, "p")
+    t.replace(spark.createDataFrame([(1, "a", "old"), (2, "b", "old")], schema))
+    before = t.version()
+    other = merge.VersionedTable(spark, t.path, "p")
+    other.merge(spark.createDataFrame([(2, "b", "new")], schema), ["p", "id"])
+    with pytest.raises(merge.Conflict):
+        t.commit(before.folders, before)
+    assert sorted_rows(t.read()) == [(1, "a", "old"), (2, "b", "new")] and t.versions() == [1, 2]
+    # between a load's read and its commit another one commits: it starts over
+    write, meanwhile = merge.VersionedTable._write, []
+
+    def slow(self, rows, touched):
+        if not meanwhile:
+            meanwhile.append(1)
+            other.merge(spark.createDataFrame([(3, "b", "theirs"), (4, "a", "theirs")], schema), ["p", "id"])
+        return write(self, rows, touched)
+
+    merge.VersionedTable._write = slow
+    try:
+        t.merge(spark.createDataFrame([(1, "a", "mine")], schema), ["p", "id"])
+    finally:
+        merge.VersionedTable._write = write
+    assert sorted_rows(t.read()) == [(1, "a", "mine"), (2, "b", "new"), (3, "b", "theirs"), (4, "a", "theirs")] and t.versions() == [1, 2, 3, 4]
+
+
+def test_keys_to_delete_are_complete_and_unique(spark):
+    t = new_table(spark, "p")
+    t.replace(spark.createDataFrame([(1, "a"), (2, "a")], "id int, p string"))
+    for gone in ([(1, "a"), (1, "a")], [(None, "a")], [(1, " ")]):
+        with pytest.raises(ValueError):
+            t.delete(spark.createDataFrame(gone, "id int, p string"), ["p", "id"])
+    with pytest.raises(ValueError):
+        t.delete(spark.createDataFrame([(1,)], "id int"), ["id"])
+    assert t.versions() == [1]
+
+
+def test_few_files_for_each_partition(spark):
+    t = merge.VersionedTable(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", "p", file_rows=1_000)
+    t.replace(spark.range(6_000).selectExpr("id", "CAST(id % 3 AS STRING) AS p").repartition(16))
+    files = spark.read.parquet(*t.current().values()).select("p", F.input_file_name().alias("f")).groupBy("p", "f").count().groupBy("p").agg(F.count("*").alias("files"), F.max("count").alias("most"))
+    assert sorted_rows(files) == [(str(i), 2, 1_000) for i in range(3)]
+
+
+def test_page_order_with_gaps(spark):
+    rows = spark.createDataFrame([(0, 0, 5), (2, 0, 3), (7, 0, 9), (7, 1, 10), (40, 0, 10)], "page int, pos int, k int")
+    assert sorted_rows(K.out_of_order(rows, ["k"], "page", "pos").select("page", "pos")) == [(2, 0), (40, 0)]
+
+
+def test_a_date_that_moves_is_refused(spark):
+    t = new_table(spark, "day")
+    spec = TableSpec("orders", ["id", "day", "price"], {"id": "bigint", "day": "string", "price": "decimal(18,4)"}, ["day", "id"], date="day")
+    args = dict(stamp="2024-01-01 00:00:00", order=[F.col("price").desc()])
+    sync.load(t, spec, landed(spark, [("1", "d1", "1"), ("2", "d2", "1")]), "reset", **args)
+    for rows, why in (([("1", "d2", "2")], "a key moves to another date"), ([("9", "d1", "1"), ("9", "d2", "1")], "a key has several dates")):
+        for mode in ("incremental", "full"):
+            got = sync.load(t, spec, landed(spark, rows), mode, **args)
+            assert (got.status, got.reason, t.versions()) == ("failed", why, [1])
+    assert sync.load(t, spec, landed(spark, [("1", "d1", "2")]), "incremental", **args).status == "success"
+
+
+def test_rows_that_do_not_fit_keep_orphans(spark):
+    t = new_table(spark, "day")
+    args = dict(stamp="2024-01-01 00:00:00", order=[F.col("price").desc()])
+    every = [(str(i), f"d{i % 3}", "1.5") for i in range(200)]
+    got = sync.load(t, SPEC, landed(spark, every), "reset", **args)
+    assert (got.status, got.snapshot, got.written) == ("success", "reconciled", 200)
+    bad = every[:198] + [("5.5", "d1", "1"), ("300", "d1", "cheap")]
+    got = sync.load(t, SPEC, landed(spark, bad), "full", **args)
+    assert (got.status, got.reason, got.fetched, got.filtered, got.written, got.deleted, got.snapshot) == ("partial", "the load dropped rows", 200, 2, 198, 0, "validated")
+    assert t.read().count() == 200
+    got = sync.load(t, SPEC, landed(spark, every[:199]), "full", allow_delete=False, **args)
+    assert (got.status, got.deleted, got.snapshot, t.read().count()) == ("partial", 0, "validated", 200)
+    got = sync.load(t, SPEC, landed(spark, every[:199]), "full", **args)
+    assert (got.status, got.deleted, got.snapshot, t.read().count()) == ("success", 1, "reconciled", 199)
+    assert sync.load(t, SPEC, landed(spark, [("x", "d1", "1")]), "full", **args).reason == "no row fits the table"
+
+
+def test_rows_that_were_not_written_keep_orphans(spark, monkeypatch):
+    t = new_table(spark, "day")
+    args = dict(stamp="2024-01-01 00:00:00", order=[F.col("price").desc()])
+    every = [(str(i), f"d{i % 3}", "1.5") for i in range(200)]
+    sync.load(t, SPEC, landed(spark, every), "reset", **args)
+    put = merge.VersionedTable.merge
+    monkeypatch.setattr(merge.VersionedTable, "merge", lambda self, rows, keys: put(self, rows.where("id <> 777"), keys))
+    got = sync.load(t, SPEC, landed(spark, every[:199] + [("777", "d1", "1")]), "full", **args)
+    assert (got.status, got.reason, got.deleted, got.snapshot) == ("partial", "not all rows were written", 0, "aborted")
+
+
+def test_large_table_goes_on_where_its_run_was(spark):
+    from millrace.plans import resume
+
+    rows = spark.range(100).selectExpr("id", "CAST(id % 4 AS STRING) AS p", "id * 2 AS v")
+    t, positions = new_table(spark, "p"), resume.Positions(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}")
+    go = lambda run, ranges=None: resume.load_large(t, "big", rows, ["p", "id"], ["id"], run, positions, 30, ranges)
+    assert go("r1", 2) == "stopped" and positions.get("big") == ("r1", [59], 60) and t.read().count() == 60
+    assert go("r2", 1) == "stopped" and positions.get("big") == ("r2", [29], 30)  # not the owner: from the start
+    assert go("r2") == "done" and positions.get("big") is None and t.read().count() == 100
+    assert t.versions() == list(range(1, 7))
+
+
+def test_deep_assembly(spark):
+    materials = spark.range(90).selectExpr("id", "CAST(id AS STRING) AS number", "'n' AS name")
+    edges = spark.range(1, 90).selectExpr("id AS parent_id", "CAST(id - 1 AS STRING) AS child_number", "0 AS replace_group")
+    assert sorted_rows(reports.where_used(edges, materials, "0")) == [(89,)]
+
+
+def test_stale_stream(spark):
+    from millrace.streaming import loads
+
+    home = f"{shared_folder(spark)}/s-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([("r1", "running", datetime(2024, 1, 1, 11, 50)), ("r1", "running", datetime(2024, 1, 1, 11, 54)), ("r2", "running", datetime(2024, 1, 1, 11, 50)), ("r2", "running", datetime(2024, 1, 1, 11, 59)), ("r3", "running", datetime(2024, 1, 1, 11, 40)), ("r3", "success", datetime(2024, 1, 1, 11, 41))], "run_id string, status string, last_heartbeat timestamp_ntz")
+    rows.write.parquet(f"{home}/landed")
+    found = []
+    loads.stale_stream(spark.readStream.schema(rows.schema).parquet(f"{home}/landed"), lambda: datetime(2024, 1, 1, 12), lambda b, n: found.extend(r.run_id for r in b.collect()), f"{home}/checkpoint").awaitTermination()
+    assert found == ["r1"]
+
+
+def test_batch_that_the_table_holds_is_not_merged_again(spark):
+    t = new_table(spark, "p")
+    rows = spark.createDataFrame([(1, "a", "x")], "id int, p string, v string")
+    assert t.merge(rows, ["p", "id"], ("s", 0)) == 1 and t.merge(rows, ["p", "id"], ("s", 0)) == 1 and t.merge(rows, ["p", "id"], ("s", 1)) == 2
+    assert t.version().batches == {"s": 1} and t.merge(rows, ["p", "id"], ("other", 0)) == 3
+
+
 def test_groups_run_in_order():
     seen = []
 
