@@ -16,10 +16,10 @@ from millrace.functions import display as D
 from millrace.functions import text as X
 from millrace.operators import gates, merge
 from millrace.operators import keys as K
-from millrace.plans import reports, runs, sync
+from millrace.plans import reports, resume, runs, sync
 from millrace.plans.storage import shared_folder
 from millrace.sources import envelopes, reads
-from millrace.sources.spec import TableSpec, catalogue, category_order, enabled, normalize, priority, scan
+from millrace.sources.spec import TableSpec, catalogue, category_order, cursor_faults, enabled, increment_fields, key_columns, normalize, priority, scan, table_names
 from millrace.streaming import loads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,18 +172,18 @@ def a11_enabled_forms(spark, sf_dir):
     return enabled(forms, forms.where(F.col("form_name").startswith("S")))
 
 
-@query("a12_catalogue_merge", "SELECT n_name AS form_name, 'stored' AS origin FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_name, 'file' FROM nation WHERE n_nationkey >= 10")
+@query("a12_catalogue_merge", "SELECT c_name AS form_name, 'stored' AS origin FROM customer WHERE c_custkey % 5 < 2 UNION ALL SELECT c_name, 'file' FROM customer WHERE c_custkey % 5 >= 2")
 def a12_catalogue_merge(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    stored = n.where("n_nationkey < 10").select(F.col("n_name").alias("form_name"), F.lit("stored").alias("origin"))
-    return catalogue(stored, n.where("n_nationkey >= 5").select(F.col("n_name").alias("form_name"), F.lit("file").alias("origin")))
+    n = table(spark, sf_dir, "customer")
+    stored = n.where("c_custkey % 5 < 2").select(F.col("c_name").alias("form_name"), F.lit("stored").alias("origin"))
+    return catalogue(stored, n.where("c_custkey % 5 >= 1").select(F.col("c_name").alias("form_name"), F.lit("file").alias("origin")))
 
 
 def manifest(spark, sf_dir):
-    h = F.sha2(F.col("n_name"), 256)
-    k = F.col("n_nationkey")
-    name = F.lower(F.col("n_name"))
-    return table(spark, sf_dir, "nation").select(
+    h = F.sha2(F.col("c_name"), 256)
+    k = F.col("c_custkey")
+    name = F.lower(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select(
         F.when(k % 11 == 3, "other").otherwise("window").alias("manifest_kind"), F.when(k % 7 == 2, F.lit("short")).otherwise(h).alias("contract_hash"), name.alias("table"),
         F.concat(name, F.lit("__next_"), F.when(k % 5 == 1, F.lit("ffffffff")).when(k % 7 == 2, F.lit("short")).otherwise(F.substring(h, 1, 8))).alias("target_table"),
         F.array(F.lit("id")).alias("primary_key"), F.array(F.lit("id")).alias("storage_key"), F.when(k % 6 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("id"))).alias("cursor_key"),
@@ -192,14 +192,14 @@ def manifest(spark, sf_dir):
 
 
 @query("a15_manifest_faults", """
-SELECT lower(n_name) AS "table", fault FROM nation, LATERAL (
-  SELECT 'manifest kind' AS fault WHERE n_nationkey % 11 = 3 UNION ALL SELECT 'contract hash' WHERE n_nationkey % 7 = 2
-  UNION ALL SELECT 'target table' WHERE n_nationkey % 5 = 1 UNION ALL SELECT 'cursor key' WHERE n_nationkey % 6 = 4 AND n_nationkey % 2 = 0)""")
+SELECT lower(c_name) AS "table", fault FROM customer, LATERAL (
+  SELECT 'manifest kind' AS fault WHERE c_custkey % 11 = 3 UNION ALL SELECT 'contract hash' WHERE c_custkey % 7 = 2
+  UNION ALL SELECT 'target table' WHERE c_custkey % 5 = 1 UNION ALL SELECT 'cursor key' WHERE c_custkey % 6 = 4 AND c_custkey % 2 = 0)""")
 def a15_manifest_faults(spark, sf_dir):
     return reads.manifest_faults(manifest(spark, sf_dir))
 
 
-@query("a16_window_mappings", "SELECT lower(n_name) AS \"table\", 'a = 1' AS filter FROM nation WHERE n_nationkey % 4 = 0")
+@query("a16_window_mappings", "SELECT lower(c_name) AS \"table\", 'a = 1' AS filter FROM customer WHERE c_custkey % 4 = 0")
 def a16_window_mappings(spark, sf_dir):
     return reads.window_mappings(manifest(spark, sf_dir), "w1").select("table", "filter")
 
@@ -330,11 +330,11 @@ def p3_number_narrowing(spark, sf_dir):
     return normalize(landed, TableSpec("l", landed.columns, {"ID": "bigint", "LINE": "int", "QTY": "bigint", "RATE": "decimal(18,4)"}, ["ID", "LINE"]))
 
 
-@query("p4_text_cleaning", r"SELECT doc_id, nullif(regexp_replace(trim(substr(text, 1, 80), E' \n\t\r'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '') AS t, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'x' || doc_id END AS b FROM documents")
+@query("p4_text_cleaning", r"SELECT doc_id, nullif(CASE WHEN strlen(c) <= 500 THEN c ELSE left(c, list_max(list_filter(range(125, 501), lambda n: strlen(left(c, n)) <= 500))) END, '') AS t, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'x' || doc_id END AS b FROM (SELECT doc_id, regexp_replace(trim(text, E' \n\t\r'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS c FROM documents)")
 def p4_text_cleaning(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     blank = F.when(F.col("doc_id") % 2 == 0, F.lit(" \t　")).otherwise(F.concat(F.lit("\x07 x"), F.col("doc_id"), F.lit("\x01 ")))
-    return d.select("doc_id", X.normalized(F.substring("text", 1, 80)).alias("t"), X.trim_all(X.normalized(blank)).alias("b"))
+    return d.select("doc_id", X.normalized(F.col("text")).alias("t"), X.trim_all(X.normalized(blank)).alias("b"))
 
 
 @query("p5_datetime", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate + INTERVAL 51256 SECOND END AS at, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS day FROM orders")
@@ -440,22 +440,22 @@ def j1_orphan_keys(spark, sf_dir):
 
 
 @query("q8_orphan_decisions", """
-WITH c AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 8 = 0 THEN 0 ELSE 9900 END AS source, CASE WHEN n_nationkey % 8 = 5 THEN 12000 ELSE 9900 END AS previous, 10000 AS target,
-  CASE WHEN n_nationkey % 8 = 6 THEN 0 WHEN n_nationkey % 8 = 7 THEN 101 WHEN n_nationkey % 8 = 4 THEN 20000 ELSE 100 END AS orphans, CASE WHEN n_nationkey % 8 = 1 THEN 1 ELSE 0 END AS duplicates, CASE WHEN n_nationkey % 8 = 3 THEN 2 ELSE 0 END AS filtered, n_nationkey % 8 = 2 AS partial FROM nation)
+WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN 0 ELSE 9900 END AS source, CASE WHEN c_custkey % 8 = 5 THEN 12000 ELSE 9900 END AS previous, 10000 AS target,
+  CASE WHEN c_custkey % 8 = 6 THEN 0 WHEN c_custkey % 8 = 7 THEN 101 WHEN c_custkey % 8 = 4 THEN 20000 ELSE 100 END AS orphans, CASE WHEN c_custkey % 8 = 1 THEN 1 ELSE 0 END AS duplicates, CASE WHEN c_custkey % 8 = 3 THEN 2 ELSE 0 END AS filtered, c_custkey % 8 = 2 AS partial FROM customer)
 SELECT id, CASE WHEN source <= 0 OR duplicates > 0 OR partial OR filtered > 0 OR orphans > target OR source * 100 < previous * 90 THEN 'blocked' WHEN orphans = 0 OR (orphans <= 1000 AND orphans * 100 <= target) THEN 'auto_approved' ELSE 'approval_required' END AS decision FROM c""")
 def q8_orphan_decisions(spark, sf_dir):
-    k = F.col("n_nationkey") % 8
+    k = F.col("c_custkey") % 8
     long = lambda c: c.cast("long")
-    c = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("id"), long(F.when(k == 0, 0).otherwise(9900)).alias("source"), long(F.when(k == 5, 12000).otherwise(9900)).alias("previous"), long(F.lit(10000)).alias("target"),
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), long(F.when(k == 0, 0).otherwise(9900)).alias("source"), long(F.when(k == 5, 12000).otherwise(9900)).alias("previous"), long(F.lit(10000)).alias("target"),
         long(F.when(k == 6, 0).when(k == 7, 101).when(k == 4, 20000).otherwise(100)).alias("orphans"), long(F.when(k == 1, 1).otherwise(0)).alias("duplicates"), long(F.when(k == 3, 2).otherwise(0)).alias("filtered"), (k == 2).alias("partial"),
     )
     return gates.orphan_decision(c).select("id", "decision")
 
 
-@query("q9_approvals", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 0")
+@query("q9_approvals", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
 def q9_approvals(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("snapshot_id"), F.lit("t").alias("table"), F.sha2("n_name", 256).alias("fingerprint"), (F.col("n_nationkey") * 100).alias("orphans"))
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("snapshot_id"), F.lit("t").alias("table"), F.sha2("c_name", 256).alias("fingerprint"), (F.col("c_custkey") * 100).alias("orphans"))
     a = n.where("id % 3 = 0").select("snapshot_id", "table", "fingerprint", F.col("orphans").alias("orphan_count"), F.when(F.col("id") % 2 == 1, F.lit("used")).alias("used_at"))
     return gates.approved(n, a).select("id")
 
@@ -465,10 +465,10 @@ def q5_key_gate(spark, sf_dir):
     return gates.key_gate(lines(spark, sf_dir), ["l_orderkey", "l_linenumber"])
 
 
-@query("q6_snapshot_gate", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'nothing was fetched' WHEN n_nationkey % 5 = 1 THEN 'no key columns' WHEN n_nationkey % 5 = 2 THEN 'nothing was written' WHEN n_nationkey % 5 = 3 THEN 'fewer rows were written than fetched' ELSE 'ok' END AS reason, CASE WHEN n_nationkey % 5 = 4 THEN 'validated' ELSE 'aborted' END AS status FROM nation")
+@query("q6_snapshot_gate", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'nothing was fetched' WHEN c_custkey % 5 = 1 THEN 'no key columns' WHEN c_custkey % 5 = 2 THEN 'nothing was written' WHEN c_custkey % 5 = 3 THEN 'fewer rows were written than fetched' ELSE 'ok' END AS reason, CASE WHEN c_custkey % 5 = 4 THEN 'validated' ELSE 'aborted' END AS status FROM customer")
 def q6_snapshot_gate(spark, sf_dir):
-    k = F.col("n_nationkey") % 5
-    s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(k == 0, 0).otherwise(9).alias("fetched"), F.when(k == 2, 0).when(k == 3, 8).otherwise(9).alias("written"), F.when(k == 1, 0).otherwise(1).alias("key_columns"))
+    k = F.col("c_custkey") % 5
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 0, 0).otherwise(9).alias("fetched"), F.when(k == 2, 0).when(k == 3, 8).otherwise(9).alias("written"), F.when(k == 1, 0).otherwise(1).alias("key_columns"))
     return gates.snapshot_gate(s).select("id", "reason", "status")
 
 
@@ -675,10 +675,10 @@ def o9_form_sort(spark, sf_dir):
     return runs.sorted_forms(runs.form_overview(h.select("form_name").distinct(), h, h, h, h.where("false")), "errors", False).select("form_name", "n_errors")
 
 
-@query("o10_priority_groups", "SELECT n_name, n_nationkey % 3 AS level FROM nation ORDER BY level, n_name")
+@query("o10_priority_groups", "SELECT c_name, c_custkey % 3 AS level FROM customer ORDER BY level, c_name")
 def o10_priority_groups(spark, sf_dir):
-    name = F.element_at(F.array(F.lit("仓库"), F.lit("别的"), F.lit("生产订单主表")), F.col("n_nationkey") % 3 + 1)
-    return table(spark, sf_dir, "nation").select("n_name", priority(name).alias("level")).orderBy("level", "n_name")
+    name = F.element_at(F.array(F.lit("仓库"), F.lit("别的"), F.lit("生产订单主表")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_name", priority(name).alias("level")).orderBy("level", "c_name")
 
 
 @query("w6_last_run", HISTORY + "SELECT max(start_time) AS last_time, arg_max(run_id, (start_time, run_id)) AS run_id FROM h")
@@ -826,21 +826,21 @@ def u1_customer_union(spark, sf_dir):
 
 @query("g13_freight", "SELECT CASE WHEN l_suppkey % 10 = 0 THEN '[未维护客户]' ELSE CAST(l_suppkey AS VARCHAR) END AS customer, round(sum(CAST(l_tax AS DECIMAL(18,4))), 2) AS freight FROM lineitem GROUP BY 1")
 def g13_freight(spark, sf_dir):
-    payer = F.coalesce(F.nullif(F.trim(F.when(F.col("l_suppkey") % 10 == 0, "  ").otherwise(F.col("l_suppkey").cast("string"))), F.lit("")), F.lit(reports.NO_CUSTOMER))
-    return lines(spark, sf_dir).groupBy(payer.alias("customer")).agg(F.round(F.sum(reports.number("l_tax")), 2).alias("freight"))
+    payable = lines(spark, sf_dir).select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("bill_date"), F.when(F.col("l_suppkey") % 10 == 0, "  ").otherwise(F.col("l_suppkey").cast("string")).alias("customer"), F.lit("freight").alias("material_name"), F.lit(" 3").alias("account_type"), F.col("l_tax").alias("amount"))
+    return reports.cent_sums(reports.carried(payable, "freight"), "freight")
 
 
 @query("g14_returns", "SELECT l_suppkey, round(sum(CAST(l_quantity AS DECIMAL(18,4)) * coalesce(CAST(p_retailprice AS DECIMAL(18,4)), 0)), 2) AS returned FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1")
 def g14_returns(spark, sf_dir):
-    prices = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), reports.number("p_retailprice").alias("price"))
-    back = lines(spark, sf_dir).where("l_returnflag = 'R'").join(prices, "l_partkey", "left")
-    return back.groupBy("l_suppkey").agg(F.round(F.sum(reports.number("l_quantity") * F.coalesce("price", F.lit(0).cast(reports.MONEY))), 2).alias("returned"))
+    materials = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("number"), F.col("p_retailprice").alias("price"))
+    back = lines(spark, sf_dir).where("l_returnflag = 'R'").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("bill_date"), F.col("l_suppkey").cast("string").alias("customer_name"), F.col("l_partkey").alias("material_number"), F.col("l_quantity").alias("quantity"))
+    return reports.cent_sums(reports.returned(back, materials), "returned").select(F.col("customer").cast("long").alias("l_suppkey"), "returned")
 
 
 @query("g12_dimension", "SELECT c_mktsegment AS customer, max(c_name) AS number, max(CAST(c_nationkey AS VARCHAR)) AS type FROM customer GROUP BY 1")
 def g12_dimension(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.trim("c_mktsegment").alias("customer"), "c_name", F.col("c_nationkey").cast("string").alias("n"))
-    return c.groupBy("customer").agg(F.max("c_name").alias("number"), F.max("n").alias("type"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_name").alias("number"), F.col("c_mktsegment").alias("seller"), F.col("c_nationkey").cast("string").alias("type"))
+    return reports.dimension(c).select("customer", F.col("customer_number").alias("number"), F.col("customer_type").alias("type"))
 
 
 # ---------------------------------------------------------------------------------------------------------- streaming
@@ -881,3 +881,292 @@ def t7_stream_daily_counts(spark, sf_dir):
     put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{home}/out")
     stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{home}/out")
+
+
+# ------------------------------------------------------------------------------------------- whole loads, and refusals
+
+
+def new_table(spark, partition, **more):
+    return merge.VersionedTable(spark, f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", partition, **more)
+
+
+STAMP, LATER = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
+LOAD_SPEC = TableSpec("Loads", ["o_orderkey", "o_orderstatus", "o_totalprice"], {"order_key": "bigint", "status": "string", "price": "decimal(18,4)"}, ["status", "order_key"], {"o_orderkey": "order_key", "o_orderstatus": "status", "o_totalprice": "price"})
+DATED_SPEC = TableSpec("Dated", ["o_orderkey", "o_orderdate", "o_totalprice"], {"order_key": "bigint", "y": "int", "price": "decimal(18,4)"}, ["y", "order_key"], {"o_orderkey": "order_key", "o_orderdate": "y", "o_totalprice": "price"}, date="y")
+
+
+def last():
+    return [F.col("price").desc()]
+
+
+def loaded(spark, sf_dir):
+    """A table of all orders."""
+    t = new_table(spark, "status")
+    sync.load(t, LOAD_SPEC, orders(spark, sf_dir), "reset", STAMP, last())
+    return t
+
+
+def outcome(spark, done: sync.LoadResult, t: merge.VersionedTable) -> DataFrame:
+    """One row: how a load ended, and the target's rows and sum of keys after it."""
+    row = sync.results(spark, [done], "r1").drop("run_id", "form_name")
+    return gates.one_row(row, t.read().agg(F.count("*").alias("n_target"), F.sum("order_key").alias("keys")))
+
+
+OUTCOME = "SELECT '{status}' AS status, '{reason}' AS reason, {fetched} AS fetched, {written} AS written, {deleted} AS deleted, {filtered} AS filtered, '{snapshot}' AS snapshot, {n_target} AS n_target, {keys} AS keys FROM orders"
+
+
+def outcome_sql(status, reason, fetched="count(*)", written="0", deleted="0", filtered="0", snapshot="", n_target="count(*)", keys="sum(o_orderkey)"):
+    return OUTCOME.format(status=status, reason=reason, fetched=fetched, written=written, deleted=deleted, filtered=filtered, snapshot=snapshot, n_target=n_target, keys=keys)
+
+
+@query("q1_empty_source", outcome_sql("failed", "source is empty", fetched="0"))
+def q1_empty_source(spark, sf_dir):
+    """A full load of nothing fails, and the target stays."""
+    t = loaded(spark, sf_dir)
+    return outcome(spark, sync.load(t, LOAD_SPEC, orders(spark, sf_dir).where("o_orderkey < 0"), "full", LATER, last()), t)
+
+
+@query("q4_missing_keys", outcome_sql("failed", "keys are missing"))
+def q4_missing_keys(spark, sf_dir):
+    """One row in seven has no status, which is part of the key."""
+    t = loaded(spark, sf_dir)
+    landed = orders(spark, sf_dir).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")))
+    return outcome(spark, sync.load(t, LOAD_SPEC, landed, "full", LATER, last()), t)
+
+
+@query("q7_rows_left_out", outcome_sql("partial", "the load dropped rows", fetched="count(*) FILTER (WHERE o_orderkey % 211 <> 0)", written="count(*) FILTER (WHERE o_orderkey % 211 <> 0 AND o_orderkey % 5 <> 0)", filtered="count(*) FILTER (WHERE o_orderkey % 211 <> 0 AND o_orderkey % 5 = 0)", snapshot="validated"))
+def q7_rows_left_out(spark, sf_dir):
+    """Every fifth row has a price that is no number: the others are loaded, and orphans stay."""
+    t = loaded(spark, sf_dir)
+    landed = orders(spark, sf_dir).where("o_orderkey % 211 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, "cheap").otherwise(F.col("o_totalprice").cast("string")))
+    return outcome(spark, sync.load(t, LOAD_SPEC, landed, "full", LATER, last()), t)
+
+
+@query("q14_no_cleanup", outcome_sql("partial", "orphans stay, as deletes are off", fetched="count(*) FILTER (WHERE o_orderkey % 997 <> 0)", written="count(*) FILTER (WHERE o_orderkey % 997 <> 0)", snapshot="validated"))
+def q14_no_cleanup(spark, sf_dir):
+    """A load that recovers doesn't delete orphans."""
+    t = loaded(spark, sf_dir)
+    return outcome(spark, sync.load(t, LOAD_SPEC, orders(spark, sf_dir).where("o_orderkey % 997 <> 0"), "full", LATER, last(), allow_delete=False), t)
+
+
+@query("q8_load_needs_approval", outcome_sql("partial", "too many orphans to delete unasked", fetched="count(*) FILTER (WHERE o_orderkey % 17 <> 0)", written="count(*) FILTER (WHERE o_orderkey % 17 <> 0)", snapshot="validated"))
+def q8_load_needs_approval(spark, sf_dir):
+    t = loaded(spark, sf_dir)
+    return outcome(spark, sync.load(t, LOAD_SPEC, orders(spark, sf_dir).where("o_orderkey % 17 <> 0"), "full", LATER, last()), t)
+
+
+_KEPT17 = "count(*) FILTER (WHERE o_orderkey % 17 <> 0)"
+
+
+@query("q9_approval_used_once", f"SELECT 1 AS use, 'success' AS status, count(*) FILTER (WHERE o_orderkey % 17 = 0) AS deleted, {_KEPT17} AS written FROM orders UNION ALL SELECT 2, 'partial', 0, {_KEPT17} FROM orders")
+def q9_approval_used_once(spark, sf_dir):
+    """An approval allows one load to delete its orphans; when they come back, the next load isn't allowed to."""
+    t, rows = loaded(spark, sf_dir), orders(spark, sf_dir)
+    fewer = rows.where("o_orderkey % 17 <> 0")
+    found = gates.reconcile_counts(normalize(scan(fewer, LOAD_SPEC), LOAD_SPEC, LATER), t.read(), LOAD_SPEC.keys)
+    approvals = gates.Approvals(spark, f"{shared_folder(spark)}/approvals-{uuid.uuid4().hex}")
+    approvals.grant(found.select(F.lit(LATER).alias("snapshot_id"), F.lit(LOAD_SPEC.table_name).alias("table"), "fingerprint", F.col("orphans").alias("orphan_count")))
+    done = []
+    for _ in range(2):
+        done.append(sync.load(t, LOAD_SPEC, fewer, "full", LATER, last(), approvals=approvals))
+        sync.load(t, LOAD_SPEC, rows, "incremental", LATER, last())
+    uses = [sync.results(spark, [d], str(i)) for i, d in enumerate(done, 1)]
+    return uses[0].unionAll(uses[1]).select(F.col("run_id").cast("int").alias("use"), "status", "deleted", "written")
+
+
+@query("q10_load_refused", outcome_sql("failed", "a key moves to another date"))
+def q10_load_refused(spark, sf_dir):
+    """The year of an order is part of its key; a load in which some orders have another year than in the target changes nothing."""
+    t = new_table(spark, "y")
+    year = lambda d: d.withColumn("o_orderdate", F.year("o_orderdate").cast("string"))
+    sync.load(t, DATED_SPEC, year(orders(spark, sf_dir)), "reset", STAMP, last())
+    moved = orders(spark, sf_dir).withColumn("o_orderdate", F.when(F.col("o_orderkey") % 50 == 0, F.expr("o_orderdate + INTERVAL 1 YEAR")).otherwise(F.col("o_orderdate")))
+    return outcome(spark, sync.load(t, DATED_SPEC, year(moved), "full", LATER, last()), t)
+
+
+@query("q11_reset_is_counted", outcome_sql("success", "replaced", fetched="2 * count(*) FILTER (WHERE o_orderkey % 3 = 0)", written="count(*) FILTER (WHERE o_orderkey % 3 = 0)", snapshot="reconciled", n_target="count(*) FILTER (WHERE o_orderkey % 3 = 0)", keys="sum(o_orderkey) FILTER (WHERE o_orderkey % 3 = 0)"))
+def q11_reset_is_counted(spark, sf_dir):
+    """After a reset the target's rows are counted against the source's keys, each of which landed twice."""
+    t, third = loaded(spark, sf_dir), orders(spark, sf_dir).where("o_orderkey % 3 = 0")
+    return outcome(spark, sync.load(t, LOAD_SPEC, third.unionAll(third), "reset", LATER, last()), t)
+
+
+@query("q6_snapshot_states", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 IN (0, 1, 2, 3) THEN 'aborted' WHEN c_custkey % 2 = 0 THEN 'reconciled' ELSE 'validated' END AS state FROM customer")
+def q6_snapshot_states(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 0, 0).otherwise(9).alias("fetched"), F.when(k == 2, 0).when(k == 3, 8).otherwise(9).alias("written"), F.when(k == 1, 0).otherwise(1).alias("key_columns"), (F.col("c_custkey") % 2 == 0).alias("reconciled"))
+    return gates.states(s).select("id", "state")
+
+
+@query("q2_cursor_keys", "SELECT CAST(user_id AS VARCHAR) AS form_name, k AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS fields FROM events GROUP BY 1), (SELECT unnest(['click', 'purchase', 'none']) AS k) WHERE NOT list_contains(fields, k)")
+def q2_cursor_keys(spark, sf_dir):
+    """Specs whose cursor keys aren't among the fields that they read."""
+    specs = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("form_name")).agg(F.collect_set("event_type").alias("fields"))
+    return cursor_faults(specs.withColumn("cursor", F.array(*map(F.lit, ("click", "purchase", "none")))))
+
+
+@query("k2_file_sizes", "SELECT o_orderstatus AS status, count(*) AS n_rows, CAST(count(*) > 2000 AS BOOLEAN) AS several_files, TRUE AS within FROM orders GROUP BY 1")
+def k2_file_sizes(spark, sf_dir):
+    """Files of a table hold a bounded number of rows, and a small partition is one file."""
+    t = new_table(spark, "status", file_rows=2000)
+    t.replace(orders(spark, sf_dir).select("o_orderkey", F.col("o_orderstatus").alias("status")))
+    files = spark.read.parquet(*t.current().values()).groupBy("status", F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
+    return files.groupBy("status").agg(F.sum("n").alias("n_rows"), (F.count("*") > 1).alias("several_files"), (F.max("n") <= 2000).alias("within"))
+
+
+@query("k9_dry_run_load", outcome_sql("dry_run", "nothing was written", fetched="count(*) FILTER (WHERE o_orderkey % 3 = 0)"))
+def k9_dry_run_load(spark, sf_dir):
+    t = loaded(spark, sf_dir)
+    return outcome(spark, sync.load(t, LOAD_SPEC, orders(spark, sf_dir).where("o_orderkey % 3 = 0"), "full", LATER, last(), dry_run=True), t)
+
+
+@query("k12_results_of_loads", "SELECT 'r1' AS run_id, 'Loads' AS form_name, 'success' AS status, count(*) AS fetched, count(*) AS written, 0 AS deleted FROM orders UNION ALL SELECT 'r2', 'Loads', 'success', count(*) FILTER (WHERE o_orderkey % 997 <> 0), count(*) FILTER (WHERE o_orderkey % 997 <> 0), count(*) FILTER (WHERE o_orderkey % 997 = 0) FROM orders")
+def k12_results_of_loads(spark, sf_dir):
+    """The results of two runs, appended to the history of loads and read back."""
+    t, path = new_table(spark, "status"), f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    for run, mode, rows in (("r1", "reset", orders(spark, sf_dir)), ("r2", "full", orders(spark, sf_dir).where("o_orderkey % 997 <> 0"))):
+        done = sync.run_all({LOAD_SPEC.name: lambda mode=mode, rows=rows: sync.load(t, LOAD_SPEC, rows, mode, LATER, last())})
+        sync.results(spark, done, run).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("run_id", "form_name", "status", "fetched", "written", "deleted")
+
+
+@query("k11_log_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def k11_log_retention(spark, sf_dir):
+    return merge.retained(table(spark, sf_dir, "events"), "ts", F.lit(datetime(2024, 1, 15)).cast("timestamp_ntz")).select("event_id")
+
+
+@query("k5_delete_from_table", "SELECT o_orderkey AS order_key FROM orders WHERE o_orderkey % 9 <> 0")
+def k5_delete_from_table(spark, sf_dir):
+    """Keys, complete and unique, are deleted from a stored table; keys that aren't are refused."""
+    t = loaded(spark, sf_dir)
+    gone = t.read().where("order_key % 9 = 0").select("status", "order_key")
+    for wrong in (gone.unionAll(gone), gone.withColumn("status", F.lit(None).cast("string"))):
+        try:
+            t.delete(wrong, LOAD_SPEC.keys)
+        except ValueError:
+            continue
+        raise RuntimeError("a key list with a fault was taken")
+    t.delete(gone, LOAD_SPEC.keys)
+    return t.read().select("order_key")
+
+
+@query("t2_resumed_load", "SELECT o_orderkey AS order_key, o_orderstatus AS status FROM orders")
+def t2_resumed_load(spark, sf_dir):
+    """A large table's load stops after two ranges of a fifth, and its run goes on from the saved position."""
+    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
+    t, positions = new_table(spark, "status"), resume.Positions(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}")
+    size = rows.count() // 5 + 1
+    for ranges in (2, None):
+        resume.load_large(t, "orders", rows, ["status", "order_key"], ["order_key"], "r1", positions, size, ranges)
+    return t.read()
+
+
+@query("t5_stale_stream", HISTORY + ", l AS (SELECT form_name AS run_id, max(last_heartbeat) AS last_heartbeat, arg_max(status, (last_heartbeat, run_id)) AS status FROM h GROUP BY 1) SELECT run_id, status FROM l WHERE status IN ('running', 'stopping') AND last_heartbeat < TIMESTAMP '2030-01-01'")
+def t5_stale_stream(spark, sf_dir):
+    """Heartbeats that land as files; forms stand in for runs."""
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    h = history(spark, sf_dir)
+    last_beat = F.max_by("status", F.struct("last_heartbeat", "run_id"))
+    rows = h.groupBy(F.col("form_name").alias("run_id")).agg(F.max("last_heartbeat").alias("last_heartbeat"), last_beat.alias("status"))
+    rows.write.parquet(f"{home}/landed")
+    put = lambda batch, number: batch.write.mode("append").parquet(f"{home}/out")
+    loads.stale_stream(spark.readStream.schema(rows.schema).parquet(f"{home}/landed"), lambda: datetime(2030, 1, 1, 0, 5), put, f"{home}/checkpoint").awaitTermination()
+    return spark.read.schema("run_id string, last_heartbeat timestamp_ntz, status string").parquet(f"{home}/out").select("run_id", "status")
+
+
+@query("a13_target_schema", "SELECT * FROM (VALUES ('order_key', 'bigint'), ('status', 'string'), ('price', 'decimal(18,4)'), ('sync_time', 'timestamp_ntz')) v(\"column\", type), (SELECT TRUE AS nullable), (SELECT count(*) AS n_filled FROM orders)")
+def a13_target_schema(spark, sf_dir):
+    """The columns of a stored table, and how many of its rows fill each."""
+    t = loaded(spark, sf_dir)
+    filled = t.read().agg(*(F.count(c).alias(c) for c in t.read().columns)).unpivot([], t.read().columns, "column", "n_filled")
+    return t.columns().join(filled, "column")
+
+
+@query("a14_key_lookup", "SELECT 'loads' AS \"table\", 1 AS position, 'status' AS \"column\", count(DISTINCT o_orderstatus) AS n_values FROM orders UNION ALL SELECT 'loads', 2, 'order_key', count(DISTINCT o_orderkey) FROM orders")
+def a14_key_lookup(spark, sf_dir):
+    return key_columns(LOAD_SPEC, normalize(scan(orders(spark, sf_dir), LOAD_SPEC), LOAD_SPEC))
+
+
+@query("p3_large_numbers", "SELECT 9007199254740993 + o_orderkey AS ID, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN o_orderkey % 3 = 1 THEN NULL ELSE 9223372036854775807 END AS QTY, o_orderkey % 3 = 1 AS bad FROM orders")
+def p3_large_numbers(spark, sf_dir):
+    """Numbers beyond those that a double holds stay exact; a whole one may come as 12.0; a fraction is a bad value."""
+    k = F.col("o_orderkey")
+    qty = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(".0"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".7"))).otherwise("9223372036854775807")
+    landed = orders(spark, sf_dir).select((F.lit(9007199254740993) + k).cast("string").alias("ID"), qty.alias("QTY"))
+    return normalize(landed, TableSpec("o", landed.columns, {"ID": "bigint", "QTY": "bigint"}, ["ID"]), bad="bad")
+
+
+@query("p14_nullable_columns", "SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS note FROM orders")
+def p14_nullable_columns(spark, sf_dir):
+    """A column that had no nulls takes them with a later load."""
+    t = new_table(spark, "status")
+    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"), F.coalesce("o_orderpriority", F.lit("")).alias("note"))
+    t.replace(rows)
+    t.merge(rows.where("order_key % 4 = 0").withColumn("note", F.lit(None).cast("string")), ["status", "order_key"])
+    return t.read().select("order_key", "note")
+
+
+@query("p15_table_names", "SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'little' ELSE lower(replace('Form ' || p_type || ' X', ' ', '')) END AS t FROM part")
+def p15_table_names(spark, sf_dir):
+    name = F.when(F.col("p_type") == "SMALL", F.lit("SMALL")).otherwise(F.concat(F.lit("Form "), F.col("p_type"), F.lit(" X")))
+    return table(spark, sf_dir, "part").select("p_partkey", table_names(name, {"SMALL": "little"}).alias("t"))
+
+
+@query("p16_increment_fields", "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'FDATE' WHEN 'PROMO' THEN 'FAUDIT' ELSE 'FModifyDate' END AS f FROM part")
+def p16_increment_fields(spark, sf_dir):
+    """A table's field goes before its form's."""
+    return table(spark, sf_dir, "part").select("p_partkey", increment_fields(F.col("p_type"), {"small": "FDATE"}, {"SMALL": "FOTHER", "PROMO": "FAUDIT"}).alias("f"))
+
+
+@query("c19_identifiers", "SELECT doc_id, regexp_full_match(left(text, strpos(text || ' ', ' ') - 1), '[A-Za-z_][A-Za-z0-9_]*') AS ok FROM documents")
+def c19_identifiers(spark, sf_dir):
+    """Whether a text's first word may stand in SQL unquoted."""
+    return table(spark, sf_dir, "documents").select("doc_id", K.is_identifier(F.substring_index("text", " ", 1)).alias("ok"))
+
+
+@query("s23_column_lookup", "SELECT l_orderkey, l_shipdate, l_quantity FROM lineitem")
+def s23_column_lookup(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    return rows.select(*reports.columns_of(rows, ["L_ORDERKEY", "L_ShipDate", "missing", "l_quantity"]))
+
+
+@query("g32_enabled_schedules", "SELECT count(*) AS n_jobs, count(*) FILTER (WHERE user_id % 3 = 0) AS n_enabled FROM (SELECT DISTINCT user_id FROM events)")
+def g32_enabled_schedules(spark, sf_dir):
+    jobs = table(spark, sf_dir, "events").select("user_id").distinct()
+    return runs.enabled_schedules(jobs.withColumn("enabled", F.when(F.col("user_id") % 3 == 0, True).when(F.col("user_id") % 3 == 1, False)))
+
+
+@query("g35_successful_forms", "SELECT o_orderkey AS run_id, CASE WHEN count(l_orderkey) = 0 THEN '-' ELSE CAST(round(100.0 * count(*) FILTER (WHERE l_returnflag <> 'R') / count(l_orderkey)) AS BIGINT) || '%' END AS forms FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def g35_successful_forms(spark, sf_dir):
+    """Orders as runs, their lines as forms, returned ones as failures."""
+    forms = lines(spark, sf_dir).select(F.col("l_orderkey").alias("run_id"), F.lit(1).cast("long").alias("total_records"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"))
+    per = runs.rollup(forms).select("run_id", "success_forms", "form_count")
+    return orders(spark, sf_dir).select(F.col("o_orderkey").alias("run_id")).join(per, "run_id", "left").select("run_id", D.forms_text(F.col("success_forms"), F.col("form_count")).alias("forms"))
+
+
+@query("j12_run_errors", HISTORY + ", e AS (SELECT task_name AS run_id, created_at, form_name, 'failed with token=*** at ' || status AS message FROM h WHERE level = 'ERROR') SELECT run_id, count(*) AS n_errors, max(created_at) AS last_at, arg_max(form_name, (created_at, form_name, message)) AS last_form FROM e GROUP BY 1")
+def j12_run_errors(spark, sf_dir):
+    """Tasks as runs, with their errors as sorted lists."""
+    h = history(spark, sf_dir).withColumns({"run_id": F.col("task_name"), "message": F.concat(F.lit("failed with token=abc at "), F.col("status"))})
+    out = runs.details(h.select("run_id").distinct(), h.groupBy("run_id", "form_name").agg(F.max("status").alias("status"), F.sum("total_records").alias("total_records")), h)
+    last_error = F.element_at("errors", -1)
+    return out.where("errors IS NOT NULL").select("run_id", F.size("errors").cast("long").alias("n_errors"), last_error["created_at"].alias("last_at"), last_error["form_name"].alias("last_form"))
+
+
+@query("w3_page_gaps", """
+WITH p AS (SELECT o_orderkey // 100 AS page, o_orderkey % 100 AS pos, CASE WHEN o_orderkey // 100 % 9 = 0 THEN o_orderkey - 600 ELSE o_orderkey END AS k FROM orders WHERE o_orderkey // 100 % 3 = 0)
+SELECT page, pos, k FROM p QUALIFY k <= lag(k) OVER (ORDER BY page, pos)""")
+def w3_page_gaps(spark, sf_dir):
+    """Pages whose numbers have gaps; every third page that there is begins too low."""
+    page = F.floor(F.col("o_orderkey") / 100)
+    rows = orders(spark, sf_dir).where(page % 3 == 0).select(page.alias("page"), (F.col("o_orderkey") % 100).alias("pos"), F.when(page % 9 == 0, F.col("o_orderkey") - 600).otherwise(F.col("o_orderkey")).alias("k"))
+    return K.out_of_order(rows, ["k"], "page", "pos").select("page", "pos", "k")
+
+
+ONE = "Customer#000000007"
+
+
+@query("c10_one_customer", PROFIT.replace("FROM oc WHERE year(o_orderdate) = 1998),\ncredit", f"FROM oc WHERE year(o_orderdate) = 1998 AND contains(CASE WHEN o_orderkey % 8 = 0 THEN left(c_name, 17) || '/x' ELSE c_name END, '{ONE}')),\ncredit").replace("FROM e LEFT JOIN", f"FROM (FROM e WHERE contains(customer, '{ONE}')) AS e LEFT JOIN"))
+def c10_one_customer(spark, sf_dir):
+    """The report of one customer: by its name, in the balance by names that contain it; rates are those of all customers."""
+    return reports.profitability(*report_tables(spark, sf_dir), product="motor", freight="freight", months=reports.Range("1998-01", "1998-12"), customer=ONE)
