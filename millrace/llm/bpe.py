@@ -238,8 +238,14 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def sent(docs: DataFrame, path: str) -> str:
+    """``path``, after its file has been sent along for executors that don't have it."""
+    docs.sparkSession.sparkContext.addFile(path)
+    return path
+
+
 def local(path: str) -> str:
-    """``path`` where executors have it, else the copy that SparkContext.addFile sent."""
+    """``path`` where executors have it, else the copy that :func:`sent` sent."""
     import os
 
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
@@ -263,6 +269,7 @@ def per_text(docs: DataFrame, schema: str, rows: Callable[[list[str]], Iterable[
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row: the ids as little-endian unsigned 32-bit integers, and their decoding."""
+    sent(docs, path)
 
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
@@ -274,6 +281,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins): :func:`encode` with digests taken where the ids are made,
     and the joins of each text's tree."""
+    sent(docs, path)
 
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))
@@ -284,6 +292,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
+    sent(docs, path)
 
     def rows(texts: list[str]) -> Iterable[tuple]:
         e = encoder(local(path))

@@ -36,11 +36,22 @@ def stash(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and read it back: lineage is cut, lost executors cost nothing, and Spark
     knows the table's size, so that it broadcasts it only when it is small."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stash_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def stash_dir(spark: SparkSession) -> str:
+    """The application's own folder for intermediate tables."""
+    return f"{shared_dir(spark)}/stash-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once nothing reads results that stand on them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stash_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -50,7 +50,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit integer."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, n, 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(">i8")[0])

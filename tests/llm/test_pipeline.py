@@ -89,11 +89,22 @@ def test_stages(spark, tmp_path):
     folder = f"file://{tmp_path}"
     fixture(folder, spark)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, folder).columns == docs.columns, name
+    for name, stage in corpus_pipeline.STAGES:
+        assert name == "tokens" or stage(spark, docs, folder).columns == docs.columns, name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
 
 
+def test_stages_define_nulls_and_long_texts(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    fixture(folder, spark)
+    long = "word1 word2 good text here " * 30_000
+    rows = [(1, None, None, None, None), (2, "", None, None, 0), (None, "some words of no id", None, None, None), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, long + "more", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS mark", "1 AS fp")
+    kept = {name: sorted((r.doc_id for r in stage(spark, docs, folder).collect()), key=str) for name, stage in corpus_pipeline.STAGES}
+    assert kept["near_duplicates"] == [1, 3, None] and kept["decontamination"] == kept["personal_data"] == kept["tokens"] == [1, 2, 3, 3, 4, None]
+    assert not {1, 2} & set(kept["quality_classifier"])
+
+
 def test_one_query_for_each_operator():
     names = [re.match(r"op(\d+)_", n)[1] for n in QUERIES]
     assert sorted(map(int, names)) == list(range(1, 11))

@@ -110,3 +110,11 @@ def test_components_with_one_id_or_none_stay_apart(spark):
     rows = [(7, "one text of this id"), (7, "and quite another one that shares it"), (None, same), (None, near)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(x.doc_id) for x in kept) == ["7", "7", "None"]
+
+
+def test_very_long_text(spark):
+    long = " ".join("w%d" % (i % 1000) for i in range(300_000))
+    docs = spark.createDataFrame([(5, long), (4, long + " end"), (9, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.simhash_components(docs).collect()}
+    assert got[5].component_id == got[4].component_id == 4 and got[9].component_id == 9
+    assert got[5].fp == simhash.fingerprint(long)
