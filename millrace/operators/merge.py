@@ -198,21 +198,22 @@ class VersionedTable:
         """The partition values of ``rows``: as many as there are partitions, not rows."""
         return sorted(r[0] for r in rows.select(self._value()).distinct().collect())
 
-    def replace(self, rows: DataFrame) -> int:
-        """All of the table becomes ``rows``; an empty load is refused."""
-        rows = reliable(rows)
+    def replace(self, rows: DataFrame, stored: bool = False) -> int:
+        """All of the table becomes ``rows``; an empty load is refused. ``stored``: rows are a written table already."""
+        rows = rows if stored else reliable(rows)
         touched = self.touched(rows)
         if not touched:
             raise ValueError("refusing to replace a table with nothing")
         return self._retried(lambda now: self.commit(self._write(rows, touched), now))
 
-    def merge(self, rows: DataFrame, keys: Sequence[str], batch: tuple[str, int] | None = None) -> int:
+    def merge(self, rows: DataFrame, keys: Sequence[str], batch: tuple[str, int] | None = None, stored: bool = False) -> int:
         """Upsert ``rows``, whose keys hold the partition, reading and writing the partitions that they touch.
 
-        ``batch``: a stream and the number of its batch; a batch that the table holds already isn't merged again."""
+        ``batch``: a stream and the number of its batch; a batch that the table holds already isn't merged again.
+        ``stored``: rows are a written table already."""
         if self.partition not in keys:
             raise ValueError(f"{self.partition} is not part of the key")
-        rows = reliable(rows)
+        rows = rows if stored else reliable(rows)
         touched = self.touched(rows)
 
         def attempt(now: Version) -> int:

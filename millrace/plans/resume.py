@@ -58,7 +58,7 @@ def load_large(table: merge.VersionedTable, form: str, rows: DataFrame, keys: Se
         page = reliable(reads.keyset_page(rows, cursor, last, size))
         found = page.agg(F.count("*").alias("n"), F.max(F.struct(*cursor)).alias("last")).first()
         if found.n:
-            table.merge(page, keys)
+            table.merge(page, keys, stored=True)
             last, done = list(found.last), done + found.n
             positions.put(form, run, last, done)
         if found.n < size:

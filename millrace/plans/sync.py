@@ -74,9 +74,9 @@ def load(
     single = reliable(merge.last_of_key(rows, spec.keys, order))
     replaces = mode in ("reset", "snapshot")
     if replaces:
-        table.replace(single)
+        table.replace(single, stored=True)
     else:
-        table.merge(single, spec.keys)
+        table.merge(single, spec.keys, stored=True)
     now = table.read(single.schema)
     written = K.semi(now, single, spec.keys).count()
 

@@ -283,7 +283,7 @@ def test_rows_that_were_not_written_keep_orphans(spark, monkeypatch):
     every = [(str(i), f"d{i % 3}", "1.5") for i in range(200)]
     sync.load(t, SPEC, landed(spark, every), "reset", **args)
     put = merge.VersionedTable.merge
-    monkeypatch.setattr(merge.VersionedTable, "merge", lambda self, rows, keys: put(self, rows.where("id <> 777"), keys))
+    monkeypatch.setattr(merge.VersionedTable, "merge", lambda self, rows, keys, **more: put(self, rows.where("id <> 777"), keys, **more))
     got = sync.load(t, SPEC, landed(spark, every[:199] + [("777", "d1", "1")]), "full", **args)
     assert (got.status, got.reason, got.deleted, got.snapshot) == ("partial", "not all rows were written", 0, "aborted")
 
