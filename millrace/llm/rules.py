@@ -12,7 +12,7 @@ shared folder, and references are summed from them and joined back by language.
 
 Defined results: a null text has no words and fails the base rules; languages compare as given, and null is one of them;
 a language without a word list is compared by character classes alone; repeated rows each get a result; other columns are
-ignored, and a missing ``lang`` counts as null.
+ignored, and a missing ``lang`` counts as null. Very long texts are counted whole, in memory in proportion to their words.
 """
 
 from __future__ import annotations
