@@ -13,7 +13,7 @@ from millrace.operators import gates, merge
 from millrace.operators import keys as K
 from millrace.plans.storage import reliable
 from millrace.sources import reads
-from millrace.sources.spec import PRIORITY, TableSpec, normalize, scan
+from millrace.sources.spec import PRIORITY, TableSpec, increment_field, normalize, scan
 
 MODES = ("incremental", "full", "reset", "snapshot")
 
@@ -33,13 +33,20 @@ class LoadResult:
     snapshot: str = ""
 
 
+def changed_column(spec: TableSpec) -> str | None:
+    """The target column of the spec's change field, if the table has it."""
+    field = increment_field(spec, {})
+    return next((c for c in spec.columns if field in spec.sources(c)), None)
+
+
 def load(
     table: merge.VersionedTable, spec: TableSpec, landed: DataFrame, mode: str, stamp: str, order: Sequence[Column], changed: str | None = None, overlap_days: int = 0,
     dry_run: bool = False, allow_delete: bool = True, approvals: gates.Approvals | None = None, previous: int = 0,
 ) -> LoadResult:
     """Load one table. A check that fails in front of the write changes nothing, as versions are committed last.
 
-    incremental: rows changed since the target's watermark are merged. full: all rows are merged and orphans deleted, if
+    incremental: rows changed since the target's watermark are merged; ``changed`` is the column that says so, by default
+    that of the spec's change field, and without one all rows are merged. full: all rows are merged and orphans deleted, if
     the checks allow. reset and snapshot: the target becomes the source; their reads ignore the watermark.
 
     Rows with values that don't fit their columns are left out, counted, and keep orphans from being deleted, as do rows
@@ -50,6 +57,7 @@ def load(
         raise ValueError(f"mode is one of {MODES}")
     every = normalize(scan(landed, spec), spec, stamp, bad="__bad")
     target = table.read(every.drop("__bad").schema)
+    changed = changed or changed_column(spec)
     if mode == "incremental" and changed:
         every = reads.changed_since(every, target, changed, overlap_days)
     every = reliable(every)
