@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, decontaminate, grading, html, pii, rules, simhash, substring, warc
-from millrace.llm.shared import table
+from millrace.llm.shared import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,47 +18,51 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    found = simhash.simhash_components(texts(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(texts(spark, sf_dir))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.main_text(table(spark, sf_dir, "pages"))
+    return html.main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file())
+    return bpe.digests(texts(spark, sf_dir), tokenizer_file())
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+    return rules.judged(texts(spark, sf_dir)).drop("class_distance", "word_distance")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
+    return bpe.token_counts(texts(spark, sf_dir), tokenizer_file())
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return grading.scored(docs, grading.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring.dedup(texts(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archived(spread(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Query] = {

@@ -56,6 +56,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a row group, as Parquet writers make them by default. One task reads it.
+ROW_GROUP = 128 * 2**20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan's rows, dealt out over all cores where it has fewer files than that and none is likely to have more than one
+    row group: the operators' work on a text costs many times its shuffle. The rows are the same either way."""
+    cores, plan = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution()
+    if plan.toRdd().getNumPartitions() >= 4 * cores:
+        return rows
+    files, size = len(rows.inputFiles()), int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if files < cores and size <= files * ROW_GROUP else rows
+
+
 def text_mark(text: Column) -> Column:
     """With the id, it tells apart rows that repeat an id with other texts."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
