@@ -153,7 +153,6 @@ def components(edges: DataFrame) -> DataFrame:
     can split a hot node's, so that its edges need not meet in one task."""
 
     def to_least(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs, "components-pairs")
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return pairs.join(stash(least, "components-least"), "u")
 
@@ -166,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionAll(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         large = to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = to_least(large)
+        small = to_least(stash(large, "components-pairs"))
         edges = stash(small.where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst")).unionAll(small.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct(), "components-edges")
         after = mark(edges)
         if after == before:
