@@ -107,14 +107,15 @@ class Model:
 
 def fit(rows: Iterable[tuple[np.ndarray, int]], grades: int = GRADES, rounds: int = 150, least_z: float = 4.5, penalty: float = 1e-3) -> Model:
     """Fit on (slots, grade) rows; the same rows in the same order give the same model."""
-    rows = list(rows)
+    rows = [(np.asarray(s, np.int32), g) for s, g in rows]
     size = 2**HASH_BITS
     y = np.array([g for _, g in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(size, np.int32), np.full(grades - 1, -50.0))
     n = len(rows)
-    cols = np.concatenate([np.unique(s) for s, _ in rows])
-    owner = np.repeat(np.arange(n), [len(np.unique(s)) for s, _ in rows])
+    different = [np.unique(s) for s, _ in rows]
+    cols, owner = np.concatenate(different), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in different])
+    del different
     seen = np.bincount(cols, minlength=size).astype(float)
     chosen = np.zeros(size, bool)
     for k in range(1, grades):
@@ -128,10 +129,9 @@ def fit(rows: Iterable[tuple[np.ndarray, int]], grades: int = GRADES, rounds: in
         z = np.abs(x / a - (seen - x) / b) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / a + 1 / b))
         chosen |= (seen >= 3) & (z >= least_z)
     used = np.flatnonzero(chosen)
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    cols = np.concatenate([s for s, _ in rows])
-    owner = np.repeat(np.arange(n), [len(s) for s, _ in rows])
+    cols, owner = np.concatenate([s for s, _ in rows]), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s, _ in rows])
     inside = chosen[cols]
     cols, owner = place[cols[inside]], owner[inside]
     w = np.zeros(len(used))
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = chosen.mapInArrow(run, "id long, mark long, grade int, slots binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], r["mark"]))
-    return fit([(np.frombuffer(r["slots"], np.int32).astype(np.int64), r["grade"]) for r in found])
+    return fit((np.frombuffer(r["slots"], np.int32), r["grade"]) for r in found)
 
 
 def scored(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
