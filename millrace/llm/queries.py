@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, grading, html, pii, rules, simhash, substring, warc
+from millrace.llm import bpe, decontaminate, divergence, grading, html, laesa, minhash, pii, rules, simhash, substring, warc
 from millrace.llm.shared import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spread(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(texts(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(texts(spark, sf_dir))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.clusters(spread(table(spark, sf_dir, "embeddings"))).drop("measured")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -76,8 +88,12 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op11_minhash": op11_minhash,
+    "op12_divergence": op12_divergence,
+    "op13_clusters": op13_clusters,
 }
 
+
 def distance_sql(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of counts; null if one is empty."""
     share = lambda x: f"({x}[i] / nullif(list_sum({x}), 0))"
@@ -115,7 +131,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j"""
 
 
+def clusters_sql() -> str:
+    """Every distance in full, round by round."""
+    distance = f"list_sum(list_transform(range(1, {laesa.SIZE + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    met = lambda k: f"(SELECT v.id, v.x, c.k, {distance} AS d FROM v, c{k} c QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY d, c.k) = 1)"
+    floor = "CASE WHEN s % n < 0 THEN (s - s % n - n) // n ELSE (s - s % n) // n END"
+    rounds = "".join(
+        f"""), s{k} AS (
+  SELECT k, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT k, x, unnest(range(1, {laesa.SIZE + 1})) AS pos FROM {met(k - 1)}) GROUP BY k, pos
+), c{k} AS (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{k - 1} c LEFT JOIN (SELECT k, list(CAST({floor} AS BIGINT) ORDER BY pos) AS x FROM s{k} GROUP BY k) m ON c.k = m.k
+"""
+        for k in range(1, laesa.ROUNDS + 1)
+    )
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor({laesa.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {laesa.SIZE} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS k, x FROM v QUALIFY k < {laesa.CLUSTERS}
+{rounds}), a AS (
+  SELECT id, k, d FROM {met(laesa.ROUNDS)}
+)
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a JOIN v USING (id) JOIN c{laesa.ROUNDS} c ON c.k = a.k"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_clusters": clusters_sql(),
+    "op11_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM d
+), u AS (
+  SELECT s, len(s) AS n, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY s
+), e AS (
+  SELECT id, n, unnest(s) AS x FROM u
+), f AS (
+  -- two sets of this similarity share one of their rarest fifths
+  SELECT id, n, x FROM e JOIN (SELECT x, count(*) AS held FROM e GROUP BY x) USING (x) QUALIFY row_number() OVER (PARTITION BY id ORDER BY held, x) <= n - (80 * n + 99) // 100 + 1
+), p AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM f a JOIN f b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), l AS (
+  SELECT a, b FROM p JOIN u x ON x.id = a JOIN u y ON y.id = b WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), sides AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT id AS a, id AS b FROM u UNION SELECT r.a, t.b FROM reach r JOIN sides t ON r.b = t.a
+), g AS (
+  SELECT a AS id, min(b) AS root FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(g.root, s.doc_id) AS component_id, s.doc_id = coalesce(g.root, s.doc_id) AS kept
+FROM s LEFT JOIN u ON s.s = u.s LEFT JOIN g ON g.id = u.id""",
+    "op12_divergence": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT lang, source, doc_id, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT x.lang, x.source, coalesce(s.n, 0) AS n, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source) LEFT JOIN v ON v.lang = x.lang
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p, 1 + (1000000000 * (k.n + 5)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS x, b.source AS y, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) s ON s.lang = a.lang AND s.x = a.source AND s.y = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 50""",
     "op5_quality_rules": rules_sql(),
     "op7_decontamination": r"""
 WITH d AS (

@@ -73,3 +73,14 @@ def spread(rows: DataFrame) -> DataFrame:
 def text_mark(text: Column) -> Column:
     """With the id, it tells apart rows that repeat an id with other texts."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer until ``rows`` has no column of that name, in letters of either case."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
