@@ -37,8 +37,8 @@ SIMILAR = 80
 BANDS, ROWS = 40, 5
 #: MinHash values of a text: those of the buckets, and as many more, which make estimates sharper.
 VALUES = 2 * BANDS * ROWS
-#: Bits of an odd sketch, and standard deviations of an estimate that a candidate may fall short.
-BITS, DOUBT = 1024, 5
+#: Bits of a bitmap, and standard deviations by which a candidate's may differ too much.
+BITS, DOUBT = 1024, 5.0
 #: Texts of a block that meet those of another, at most about so many.
 BLOCK, OTHERS = 512, 4096
 #: A task keeps about so many shingles of texts met before.
@@ -73,24 +73,47 @@ def bands(least: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))]
 
 
-def odd_sketch(least: np.ndarray) -> bytes:
-    """Each value, with its place, flips one bit."""
-    mixed = (least ^ _PLACES) * np.uint64(0x9E3779B97F4A7C15)
+def parities(values: np.ndarray) -> bytes:
+    """A bitmap in which each of ``values``, well mixed, has flipped one bit."""
+    mixed = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return np.packbits(np.bincount((mixed >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).tobytes()
 
 
-def similarity(flipped: np.ndarray) -> np.ndarray:
-    """The estimate from how many bits two sketches differ in."""
-    return 1 + BITS / (4 * VALUES) * np.log(np.maximum(1 - 2 * np.asarray(flipped) / BITS, 1 / BITS))
+def odd_sketch(hashes: np.ndarray, least: np.ndarray) -> bytes:
+    """Two bitmaps: of the MinHash values, each with its place, and of the shingles themselves."""
+    return parities(least ^ _PLACES) + parities(hashes)
 
 
-def least_estimate(percent: int = SIMILAR) -> float:
-    """``DOUBT`` standard deviations under the similarity: the values that differ vary, and so do flips that meet in a bit."""
+def odd_bits(flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits of a bitmap so many flips leave odd: mean and variance."""
+    left = np.exp(-2 * flips / BITS)
+    return BITS / 2 * (1 - left), np.maximum(BITS / 4 * (1 - left**2) - flips * left**2, 0)
+
+
+def estimates(sizes: np.ndarray, by_values: np.ndarray, by_set: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, whether it may reach ``percent``) of pairs with so many shingles in both texts together, whose sketches
+    differ in so many bits.
+
+    At the similarity, a number of values differ that varies like a sample's, and the sets differ in a number of shingles that
+    is fixed; bits that flips have met in vary too. A pair may reach it unless one of its bitmaps has ``DOUBT`` standard
+    deviations too many. The bitmap of sets is the sharper one up to some thousand shingles, and says nothing beyond."""
     j = percent / 100
-    flips = 2 * VALUES * (1 - j)
-    hidden = BITS / 4 * (np.exp(4 * flips / BITS) - 1) - flips
-    return j - DOUBT * (j * (1 - j) / VALUES + hidden / (2 * VALUES) ** 2) ** 0.5
+    most, hidden = odd_bits(np.float64(2 * VALUES * (1 - j)))
+    slope = np.exp(-4 * VALUES * (1 - j) / BITS)
+    bound = most + DOUBT * (hidden + 4 * VALUES * j * (1 - j) * slope**2) ** 0.5
+    gone = sizes * (1 - j) / (1 + j)
+    set_most, set_hidden = odd_bits(gone)
+    may = (by_values <= bound) & (by_set <= set_most + DOUBT * set_hidden**0.5 + 1e-6)
+    flips = lambda x: -BITS / 2 * np.log(np.maximum(1 - 2 * x / BITS, 1 / BITS))
+    apart = np.minimum(flips(by_set), sizes)
+    sharp = gone < BITS
+    return np.where(sharp, (sizes - apart) / (sizes + apart), 1 - flips(by_values) / (2 * VALUES)), may
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many bits each of two sketches' bitmaps differ."""
+    return tuple(np.bitwise_count((x ^ y).reshape(-1, 2, BITS // 64)).sum(axis=2, dtype=np.int64).T)
 
 
 def alike_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -106,7 +129,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(x, shingle) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             least = [signature(x) for x in sets]
-            columns = [batch.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, least), pa.list_(pa.int64())), pa.array(map(odd_sketch, least), pa.binary())]
+            columns = [batch.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, least), pa.list_(pa.int64())), pa.array(map(odd_sketch, sets, least), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "bands", "odd"])
 
     texts = docs.select(text_mark(F.col("text")).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -122,15 +145,14 @@ def estimated(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     own = rows.select(F.col("mark").alias("src"), F.col("size").alias("n"), F.col("odd").alias("x"))
     other = rows.select(F.col("mark").alias("dst"), F.col("size").alias("m"), F.col("odd").alias("y"))
     both = pairs.join(own, "src").join(other, "dst").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
-            alike = similarity(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(alike)], ["src", "dst", "alike"]).filter(pa.array(alike >= least))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64) for c in ("x", "y"))
+            like, may = estimates(np.asarray(batch.column("sizes")).astype(np.float64), *differing(x, y), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(like)], ["src", "dst", "alike"]).filter(pa.array(may))
 
-    return both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long, alike double")
+    return both.select("src", "dst", (F.col("n") + F.col("m")).alias("sizes"), "x", "y").mapInArrow(run, "src long, dst long, alike double")
 
 
 def wanted_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -166,9 +188,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     return stash(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"), "minhash-links")
 
 
-def rooted(edges: DataFrame) -> DataFrame:
-    """(mark, root) of all texts that have links."""
-    roots = components(edges)
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(mark, root) of all texts that have links, from those before and new ones."""
+    if links.isEmpty():
+        return found
+    roots = components(found.select(F.col("mark").alias("src"), F.col("root").alias("dst")).unionAll(links))
     return stash(roots.select(F.col("node").alias("mark"), "root").unionAll(roots.select(F.col("root").alias("mark"), "root").distinct()), "minhash-roots")
 
 
@@ -194,14 +218,17 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: in
     met = stash(members.groupBy("mark").agg(F.sum("held").alias("met")), "minhash-met")
     members = stash(members.select("band", "mark").join(met, "mark"), "minhash-members")
     open_, before = members.withColumns({"root": F.col("mark"), "rest": F.lit(True)}), None
-    tried = edges = docs.sparkSession.createDataFrame([], "src long, dst long")
+    tried = docs.sparkSession.createDataFrame([], "src long, dst long")
+    found = tried.select(F.col("src").alias("mark"), F.col("dst").alias("root"))
     while True:
         pairs = stash(led(open_), "minhash-led")
         likely = estimated(pairs.select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti"), rows, percent)
         best = pairs.join(likely, ["src", "dst"]).groupBy("mark").agg(F.max(F.struct("alike", "src", "dst")).alias("best"))
         chosen = stash(best.select("best.src", "best.dst").distinct(), "minhash-chosen")
-        tried, edges = tried.unionAll(chosen), edges.unionAll(confirmed(docs, chosen, shingle, percent))
-        found = rooted(edges)
+        if chosen.isEmpty():
+            break
+        tried = tried.unionAll(chosen)
+        found = joined(found, confirmed(docs, chosen, shingle, percent))
         open_ = still_open(members, found)
         rest = open_.where("rest").count()
         if not rest:
@@ -210,27 +237,21 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: in
             break
         before = rest
     left = stash(alike(open_, rows, percent).join(tried, ["src", "dst"], "left_anti"), "minhash-left")
-    for most_alike in (True, False):
-        if left.isEmpty():
-            break
-        if most_alike:
-            sides = left.select(F.explode(F.array("src", "dst")).alias("mark"), F.struct("alike", "src", "dst").alias("x"))
-            some = stash(sides.groupBy("mark").agg(F.max("x").alias("x")).select("x.src", "x.dst").distinct(), "minhash-chosen")
-        else:
-            some = left.select("src", "dst")
-        edges = edges.unionAll(confirmed(docs, some, shingle, percent))
-        found = rooted(edges)
-        if most_alike:
-            by = lambda c: found.select(F.col("mark").alias(c), F.col("root").alias(f"{c}_root"))
-            rest_ = left.join(some, ["src", "dst"], "left_anti").join(by("src"), "src", "left").join(by("dst"), "dst", "left")
-            left = stash(rest_.where(~F.col("src_root").eqNullSafe(F.col("dst_root")) | F.col("src_root").isNull()).select("src", "dst"), "minhash-left")
-    return found
+    if left.isEmpty():
+        return found
+    sides = left.select(F.explode(F.array("src", "dst")).alias("mark"), F.struct("alike", "src", "dst").alias("x"))
+    chosen = stash(sides.groupBy("mark").agg(F.max("x").alias("x")).select("x.src", "x.dst").distinct(), "minhash-chosen")
+    found = joined(found, confirmed(docs, chosen, shingle, percent))
+    root = lambda c: found.select(F.col("mark").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = ~F.coalesce(F.col("src_root"), F.col("src")).eqNullSafe(F.coalesce(F.col("dst_root"), F.col("dst")))
+    rest = left.select("src", "dst").join(chosen, ["src", "dst"], "left_anti").join(root("src"), "src", "left").join(root("dst"), "dst", "left").where(apart)
+    rest = stash(rest.select("src", "dst"), "minhash-left")
+    return found if rest.isEmpty() else joined(found, confirmed(docs, rest, shingle, percent))
 
 
 def alike(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(src, dst, alike): pairs that share a bucket, but not a component, of which one at least is of the bucket's rest, and
     whose sizes and sketches allow the similarity; each from the first bucket that both are in."""
-    least = least_estimate(percent)
     size = open_.groupBy("band").agg(F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / OTHERS).cast("int").alias("parts"))
     own = open_.select("band", "mark", "root", "rest").join(stash(size, "minhash-sizes"), "band")
     place = lambda n: F.pmod(F.xxhash64("mark", "band"), F.col(n)).cast("int")
@@ -253,8 +274,8 @@ def alike(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                 for i in np.flatnonzero(asks).tolist():
                     # two of the rest ask for each other, so one of them is enough
                     j = others[(root[others] != root[i]) & (~rest[others] | (mark[others] < mark[i])) & (np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * percent)]
-                    like = similarity(np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64))
-                    j, like = j[like >= least], like[like >= least]
+                    like, may = estimates((size[j] + size[i]).astype(np.float64), *differing(odd[j], odd[i]), percent)
+                    j, like = j[may], like[may]
                     here = keys[i][(keys[j] == keys[i]).argmax(axis=1)] == band
                     out.append((np.maximum(mark[i], mark[j[here]]), np.minimum(mark[i], mark[j[here]]), like[here]))
             columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]

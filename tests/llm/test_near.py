@@ -1,10 +1,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import near
+from millrace.llm import minhash, near
 
 
 def sets(text):
@@ -12,9 +11,9 @@ def sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-@pytest.mark.parametrize("block", [near.BLOCK, 3])
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
 def test_all_near_copies_go(spark, monkeypatch, block):
-    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(4)
     rows = [(None, "no id"), (7, "an id of two texts which differ"), (7, "so both of these have to stay"), (8, None), (9, " ")]
     for g in range(25):
@@ -55,28 +54,6 @@ def test_all_near_copies_go(spark, monkeypatch, block):
     assert sum(x.doc_id == 7 for x in got) == 2
 
 
-@pytest.mark.parametrize("block", [near.BLOCK, 5])
-def test_blocks_give_every_alike_pair_of_a_bucket_once(spark, monkeypatch, block):
-    monkeypatch.setattr(near, "BLOCK", block)
-    r = random.Random(9)
-    rows = []
-    for g in range(3):
-        base = ["c%d" % r.randrange(5000) for _ in range(200)]
-        for j in range(40):
-            words = list(base)
-            for _ in range(r.randrange(14)):
-                words[r.randrange(len(words))] = "edit%d" % r.randrange(10**6)
-            rows.append((100 * g + j, " ".join(words)))
-    made = near.buckets(spark.createDataFrame(rows, "doc_id long, text string")).cache()
-    keyed = made.select("mark", F.explode("bands").alias("band"))
-    held = keyed.groupBy("band").agg(F.count("*").alias("held")).where("held > 1")
-    root = {x.mark: x.mark % 4 for x in made.collect()}
-    members = keyed.join(held, "band").withColumn("root", F.pmod("mark", F.lit(4)))
-    known, want = made.collect(), set()
-    for i, x in enumerate(known):
-        for y in known[:i]:
-            near_enough = min(x.size, y.size) >= 0.8 * max(x.size, y.size) and sum(a == b for a, b in zip(x.values, y.values)) / len(x.values) >= near.ALIKE
-            if near_enough and root[x.mark] != root[y.mark] and any(a == b for a, b in zip(x.bands, y.bands)):
-                want.add((max(x.mark, y.mark), min(x.mark, y.mark)))
-    got = sorted(map(tuple, near.alike(made, members).collect()))
-    assert got == sorted(want) and len(got) > 100
+def test_other_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 10, 20, "x"), (2, "a b c d e f", 11, 21, "y"), (3, "quite another text than these", 12, 22, "z")], "doc_id long, text string, row_id long, ROW_MARK long, won_id string")
+    assert sorted(map(tuple, near.keep_one(docs).collect())) == [(1, "a b c d e f", 10, 20, "x"), (3, "quite another text than these", 12, 22, "z")]
