@@ -147,6 +147,15 @@ def count_gate(fetched: DataFrame, target: DataFrame) -> DataFrame:
     return c.select(*verdict("counts", [(F.col("n_fetched") == 0, "source is empty"), (F.col("n_fetched") != F.col("n_target"), "counts differ")]), "n_fetched", "n_target")
 
 
+def publish_gate(counts: DataFrame) -> DataFrame:
+    """counts: fetched, duplicates, filtered, staged, previous (long): whether a staged version may take the table's place. It
+    holds each fetched key, nothing was left out, and the source hasn't fallen by more than a tenth."""
+    c = F.col
+    fell = (c("previous") > 0) & (c("fetched") * 100 < c("previous") * LEAST_SOURCE_PERCENT)
+    checks = [(c("fetched") <= 0, "source is empty"), (c("filtered") > 0, "the load dropped rows"), (fell, "source fell by more than a tenth"), (c("staged") != c("fetched") - c("duplicates"), "counts differ")]
+    return counts.select("*", *verdict("publish", checks))
+
+
 def illegal_transitions(events: DataFrame, run: str, status: str, order: Sequence[str]) -> DataFrame:
     """Events whose status may not follow the one before in their run.
 

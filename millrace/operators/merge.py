@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from millrace.operators import keys as K
-from millrace.plans.storage import reliable
+from millrace.plans.storage import create_once, names, reliable
 
 
 def last_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -75,6 +76,63 @@ def soft_deleted(rows: DataFrame, stamp: str, cutoff: Column, now: Column) -> Da
     return rows.withColumn("deleted_at", F.when(F.col(stamp) < cutoff, now))
 
 
+#: Decimal digits of the whole numbers' types.
+_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def common(a: DataType, b: DataType) -> str | None:
+    """The least type that holds all values of both, if there is one that loses nothing."""
+    x, y = a.simpleString(), b.simpleString()
+    if x == y:
+        return x
+    for one, two in ((x, y), (y, x)):
+        if one == "void" or (one, two) in (("float", "double"), ("date", "timestamp_ntz")):
+            return two
+    if x in _DIGITS and y in _DIGITS:
+        return max(x, y, key=_DIGITS.__getitem__)
+    sizes = [(_DIGITS[t.simpleString()], 0) if t.simpleString() in _DIGITS else (t.precision - t.scale, t.scale) if t.typeName() == "decimal" else None for t in (a, b)]
+    if None in sizes:
+        return None
+    whole, scale = (max(v) for v in zip(*sizes))
+    return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else None
+
+
+def widened(stored: StructType | None, landed: StructType) -> StructType:
+    """The columns of a table after ``landed`` rows: those it has, in types that hold both, and new ones behind them. Names
+    meet without regard to case. A column whose values the stored type and the landed one can't both hold is refused."""
+    fields = {f.name.lower(): StructField(f.name, f.dataType) for f in (stored or StructType())}
+    for f in landed:
+        own = fields.setdefault(f.name.lower(), StructField(f.name, f.dataType))
+        kind = common(own.dataType, f.dataType)
+        if kind is None:
+            raise ValueError(f"column {own.name} holds {own.dataType.simpleString()}, and {f.dataType.simpleString()} has landed")
+        if kind != own.dataType.simpleString():
+            fields[f.name.lower()] = StructType.fromDDL(f"`{own.name}` {kind}").fields[0]
+    return StructType(list(fields.values()))
+
+
+def conformed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """``rows`` in the columns of ``schema``; those that they lack are null."""
+    own = {c.lower(): c for c in rows.columns}
+    return rows.select(*((F.col(f"`{own[f.name.lower()]}`") if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def upsert_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], newer: str | None = None) -> DataFrame:
+    """Source rows, one for each key, replace the target's in the columns that they have; columns that they lack keep the
+    target's values, and are null for new keys. With ``newer``, a column that both have, a row replaces only one in which it
+    isn't greater; a null there is less than any value."""
+    has = {c.lower() for c in source.columns}
+    absent = [c for c in target.columns if c.lower() not in has]
+    fresh = conformed(source, StructType([f for f in target.schema if f.name.lower() in has]))
+    if absent or newer:
+        before = target.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *absent, *([F.col(newer).alias("__newer")] if newer else []))
+        met = fresh.join(before, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys)), "left")
+        if newer:
+            met = met.where(F.col("__newer").isNull() | F.coalesce(F.col(newer) >= F.col("__newer"), F.lit(False)))
+        fresh = reliable(met.select(*target.columns))
+    return upsert(target, fresh, keys)
+
+
 #: How often a load starts over when others are faster.
 ATTEMPTS = 5
 
@@ -86,21 +144,35 @@ class Conflict(RuntimeError):
 @dataclass(frozen=True)
 class Version:
     """``number``: 0 where the table has none yet; ``folders``: partition value to folder; ``batches``: stream to the last of
-    its batches that the table holds."""
+    its batches that the table holds; ``schemas``: each schema that the table has had, as JSON, the current one last;
+    ``layout``: partition value to the number of the schema that its files were written with."""
 
     number: int
     folders: dict[str, str]
     batches: dict[str, int]
+    schemas: list[str] = field(default_factory=list)
+    layout: dict[str, int] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Folders of a version that isn't published: nobody reads them yet."""
+
+    folders: dict[str, str]
+    schema: StructType
+    place: str
 
 
 @dataclass(frozen=True)
 class VersionedTable:
-    """A table of Parquet folders, one for each partition and version, and manifests that name the current ones.
+    """A table of Parquet folders, one for each partition and version, and manifests that name the current ones and the
+    table's schema.
 
     A load reads a version, writes new folders for the partitions that it touches, and then the manifest of the next number,
     under a name that only one writer can take. If another load has taken it meanwhile, nothing is lost: this one reads the
     table again and starts over, some times, or fails. Readers take the last manifest, so a failed load changes nothing, and
-    old readers keep theirs."""
+    old readers keep theirs. Columns are the manifest's: no file's footer decides them, and a landing that lacks some leaves
+    their values as they are."""
 
     spark: SparkSession
     path: str
@@ -109,13 +181,11 @@ class VersionedTable:
     file_rows: int = 10_000_000
 
     def _fs(self):
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
-        return jvm, folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        _, fs, folder = self._fs()
-        return sorted(int(x.getPath().getName().removesuffix(".json")) for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json")) if fs.exists(folder) else []
+        return sorted(int(n.removesuffix(".json")) for n in names(self.spark, f"{self.path}/manifests") if n.endswith(".json"))
 
     def version(self) -> Version:
         known = self.versions()
@@ -128,41 +198,48 @@ class VersionedTable:
         """Partition value to folder."""
         return self.version().folders
 
+    def schema(self, now: Version | None = None) -> StructType | None:
+        """The table's columns; none before its first version."""
+        now = now or self.version()
+        if now.schemas:
+            return StructType.fromJson(json.loads(now.schemas[-1]))
+        return self.spark.read.parquet(*now.folders.values()).schema if now.folders else None
+
     def columns(self) -> DataFrame:
         """(column, type, nullable) of the table as it is read: columns of files may all be null."""
-        return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in self.read().schema], "column string, type string, nullable boolean")
-
-    def read(self, schema=None) -> DataFrame:
-        folders = sorted(set(self.current().values()))
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(*folders)
-
-    def commit(self, folders: dict[str, str], read: Version, batch: tuple[str, int] | None = None) -> int:
-        """The version after ``read``, if no other load has written it. ``batch``: a stream and the batch that it now holds."""
-        jvm, fs, folder = self._fs()
-        fs.mkdirs(folder)
+        return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), True) for f in self.schema() or ()], "column string, type string, nullable boolean")
+
+    def _rows(self, now: Version, folders: dict[str, str], schema: StructType) -> DataFrame:
+        """Rows of some partitions in the columns of ``schema``, each file read by the schema that it was written with."""
+        by: dict[int, set[str]] = {}
+        for value, folder in folders.items():
+            by.setdefault(now.layout.get(value, -1), set()).add(folder)
+        parts = []
+        for k, found in sorted(by.items()):
+            reader = self.spark.read.schema(StructType.fromJson(json.loads(now.schemas[k]))) if k >= 0 else self.spark.read
+            parts.append(conformed(reader.parquet(*sorted(found)), schema))
+        return reduce(DataFrame.unionAll, parts)
+
+    def read(self, schema: StructType | str | None = None) -> DataFrame:
+        """The last version, in the table's own columns or in those of ``schema``."""
+        now = self.version()
+        own, wanted = self.schema(now), StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if not now.folders:
+            return self.spark.createDataFrame([], wanted or own)
+        return self._rows(now, now.folders, wanted or own)
+
+    def commit(self, folders: dict[str, str], read: Version, batch: tuple[str, int] | None = None, schema: StructType | None = None, written: Sequence[str] = ()) -> int:
+        """The version after ``read``, if no other load has written it. ``batch``: a stream and the batch that it now holds.
+        ``written``: partitions whose files have ``schema``, which becomes the table's."""
+        schemas, layout = list(read.schemas), dict(read.layout)
+        if schema is not None:
+            if not schemas or schemas[-1] != schema.json():
+                schemas.append(schema.json())
+            layout |= dict.fromkeys(written, len(schemas) - 1)
         number = read.number + 1
-        hidden, final = (fs.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, n)) for n in (f".{uuid.uuid4().hex}", f"{number}.json"))
-        out = fs.create(hidden, False)
-        out.write(bytearray(json.dumps({"folders": folders, "batches": read.batches | dict([batch] if batch else [])}, sort_keys=True).encode()))
-        out.close()
-        try:
-            if fs.getScheme() == "file":
-                # a local rename would overwrite; a second link of the name fails
-                link = lambda p: jvm.java.nio.file.Paths.get(p.toUri())
-                jvm.java.nio.file.Files.createLink(link(final), link(hidden))
-                fs.delete(hidden, False)
-            else:
-                # unlike a file system's own rename, this one never overwrites
-                none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(hidden, final, none)
-        except Py4JJavaError as e:
-            fs.delete(hidden, False)
-            if fs.exists(final):
-                raise Conflict(f"version {number} of {self.path} was written by another load") from e
-            raise
+        manifest = {"folders": folders, "batches": read.batches | dict([batch] if batch else []), "schemas": schemas, "layout": {k: v for k, v in layout.items() if k in folders}}
+        if not create_once(self.spark, f"{self.path}/manifests", f"{number}.json", json.dumps(manifest, sort_keys=True).encode()):
+            raise Conflict(f"version {number} of {self.path} was written by another load")
         return number
 
     def _retried(self, attempt: Callable[[Version], int]) -> int:
@@ -178,14 +255,14 @@ class VersionedTable:
     def _value(self) -> Column:
         return F.coalesce(F.col(self.partition).cast("string"), F.lit("__null__"))
 
-    def _write(self, rows: DataFrame, touched: Sequence[str]) -> dict[str, str]:
+    def _write(self, rows: DataFrame, touched: Sequence[str], place: str | None = None) -> dict[str, str]:
         """New folders for ``touched`` partitions."""
-        place = f"{self.path}/data/{uuid.uuid4().hex}"
+        place = place or f"{self.path}/data/{uuid.uuid4().hex}"
         # each partition goes to one task, or to several where it is large, and so gets few files of a good size; the
         # partition's column stays inside its files too
         dealt = rows.withColumn("__part", self._value()).hint("rebalance", F.col("__part"))
         dealt.write.option("maxRecordsPerFile", self.file_rows).partitionBy("__part").parquet(place)
-        _, fs, _ = self._fs()
+        fs = self._fs()
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         found = {}
         for x in touched:
@@ -198,30 +275,54 @@ class VersionedTable:
         """The partition values of ``rows``: as many as there are partitions, not rows."""
         return sorted(r[0] for r in rows.select(self._value()).distinct().collect())
 
-    def replace(self, rows: DataFrame, stored: bool = False) -> int:
-        """All of the table becomes ``rows``; an empty load is refused. ``stored``: rows are a written table already."""
+    def stage(self, rows: DataFrame, stored: bool = False) -> Staged:
+        """Write ``rows`` as all of the table, to be looked at before :meth:`publish`; an empty load is refused. Columns of the
+        table that they lack stay and are null; those that they have take their types. ``stored``: rows are a written table
+        already."""
         rows = rows if stored else reliable(rows)
         touched = self.touched(rows)
         if not touched:
             raise ValueError("refusing to replace a table with nothing")
-        return self._retried(lambda now: self.commit(self._write(rows, touched), now))
+        has = {f.name.lower() for f in rows.schema}
+        kept = [f for f in self.schema() or () if f.name.lower() not in has]
+        schema, place = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), *kept]), f"{self.path}/data/{uuid.uuid4().hex}"
+        return Staged(self._write(conformed(rows, schema), touched, place), schema, place)
+
+    def staged(self, made: Staged) -> DataFrame:
+        return self.spark.read.schema(made.schema).parquet(*sorted(made.folders.values()))
+
+    def publish(self, made: Staged) -> int:
+        """What was staged becomes the table, whatever others have written meanwhile."""
+        return self._retried(lambda now: self.commit(made.folders, now, None, made.schema, list(made.folders)))
+
+    def discard(self, made: Staged) -> None:
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(made.place), True)
+
+    def replace(self, rows: DataFrame, stored: bool = False) -> int:
+        """All of the table becomes ``rows``, see :meth:`stage`."""
+        return self.publish(self.stage(rows, stored))
 
-    def merge(self, rows: DataFrame, keys: Sequence[str], batch: tuple[str, int] | None = None, stored: bool = False) -> int:
+    def merge(self, rows: DataFrame, keys: Sequence[str], batch: tuple[str, int] | None = None, stored: bool = False, newer: str | None = None) -> int:
         """Upsert ``rows``, whose keys hold the partition, reading and writing the partitions that they touch.
 
-        ``batch``: a stream and the number of its batch; a batch that the table holds already isn't merged again.
-        ``stored``: rows are a written table already."""
+        Stored values of columns that ``rows`` lack stay; columns that the table lacks are added, and types are widened where
+        that loses nothing, else the merge is refused. ``newer``: a column by which a row replaces only one that isn't newer,
+        see :func:`upsert_columns`. ``batch``: a stream and the number of its batch; a batch that the table holds already
+        isn't merged again. ``stored``: rows are a written table already."""
         if self.partition not in keys:
             raise ValueError(f"{self.partition} is not part of the key")
+        rows = rows.drop(*(f.name for f in rows.schema if f.dataType.simpleString() == "void"))
         rows = rows if stored else reliable(rows)
         touched = self.touched(rows)
 
         def attempt(now: Version) -> int:
             if batch and now.batches.get(batch[0], -1) >= batch[1]:
                 return now.number
-            old = [now.folders[x] for x in touched if x in now.folders]
-            merged = upsert(self.spark.read.schema(rows.schema).parquet(*old), rows, keys) if old else rows
-            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | self._write(merged, touched), now, batch)
+            schema = widened(self.schema(now), rows.schema)
+            old = {x: now.folders[x] for x in touched if x in now.folders}
+            merged = upsert_columns(self._rows(now, old, schema), rows, keys, newer) if old else conformed(rows, schema)
+            folders = self._write(merged, touched)
+            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | folders, now, batch, schema, list(folders))
 
         return self._retried(attempt)
 
@@ -237,10 +338,11 @@ class VersionedTable:
         asked = self.touched(gone)
 
         def attempt(now: Version) -> int:
-            touched = [x for x in asked if x in now.folders]
+            touched = {x: now.folders[x] for x in asked if x in now.folders}
             if not touched:
                 return now.number
-            left = delete_keys(self.spark.read.parquet(*(now.folders[x] for x in touched)), gone, keys)
-            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | self._write(left, touched), now)
+            schema = self.schema(now)
+            folders = self._write(delete_keys(self._rows(now, touched, schema), gone, keys), list(touched))
+            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | folders, now, None, schema, list(folders))
 
         return self._retried(attempt)

@@ -21,7 +21,8 @@ MODES = ("incremental", "full", "reset", "snapshot")
 @dataclass(frozen=True)
 class LoadResult:
     """``status``: success, partial (loaded, but rows were left out or orphans stayed), failed or dry_run; ``snapshot``: the
-    state of the snapshot that was written, see :func:`millrace.operators.gates.states`."""
+    state of the snapshot that was written, see :func:`millrace.operators.gates.states`; ``unread``: rows with a time that is
+    no time, which becomes null; ``absent``: columns of the spec of which no field has landed."""
 
     name: str
     status: str
@@ -31,6 +32,8 @@ class LoadResult:
     deleted: int
     filtered: int = 0
     snapshot: str = ""
+    unread: int = 0
+    absent: tuple[str, ...] = ()
 
 
 def changed_column(spec: TableSpec) -> str | None:
@@ -43,29 +46,32 @@ def load(
     table: merge.VersionedTable, spec: TableSpec, landed: DataFrame, mode: str, stamp: str, order: Sequence[Column], changed: str | None = None, overlap_days: int = 0,
     dry_run: bool = False, allow_delete: bool = True, approvals: gates.Approvals | None = None, previous: int = 0,
 ) -> LoadResult:
-    """Load one table. A check that fails in front of the write changes nothing, as versions are committed last.
+    """Load one table. A check that fails changes nothing in front of the write, as versions are committed last.
 
     incremental: rows changed since the target's watermark are merged; ``changed`` is the column that says so, by default
     that of the spec's change field, and without one all rows are merged. full: all rows are merged and orphans deleted, if
-    the checks allow. reset and snapshot: the target becomes the source; their reads ignore the watermark.
+    the checks allow. reset and snapshot: the target becomes the source; their reads ignore the watermark. They are staged,
+    counted and then published: rows that don't fit, a source that fell by more than a tenth of ``previous``, or a staged
+    count other than that of the fetched keys leave the old version in force.
 
-    Rows with values that don't fit their columns are left out, counted, and keep orphans from being deleted, as do rows
-    that the target doesn't hold after the write. Where the spec names a date in the key, no key may have two dates, nor
+    In the other modes rows with values that don't fit their columns are left out, counted, and keep orphans from being
+    deleted, as do rows that the target doesn't hold after the write. Columns of which no field landed keep their values. Where the spec names a date in the key, no key may have two dates, nor
     another date in the target than in the source. ``approvals`` may allow more orphans than go unasked; each is used once.
     ``allow_delete`` is off while a load recovers or stops."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    every = normalize(scan(landed, spec), spec, stamp, bad="__bad")
-    target = table.read(every.drop("__bad").schema)
+    every = normalize(scan(landed, spec), spec, stamp, bad="__bad", unread="__unread")
+    absent = tuple(c for c in spec.columns if c not in every.columns)
+    target = table.read(every.drop("__bad", "__unread").schema)
     changed = changed or changed_column(spec)
     if mode == "incremental" and changed:
         every = reads.changed_since(every, target, changed, overlap_days)
     every = reliable(every)
-    rows = every.where("NOT __bad").drop("__bad")
-    counts = gates.one_row(K.counts(rows, spec.keys), rows.agg(F.count_if(~K.complete(spec.keys)).alias("n_incomplete")), every.agg(F.count("*").alias("fetched"), F.count_if("__bad").alias("filtered"))).first()
+    rows = every.where("NOT __bad").drop("__bad", "__unread")
+    counts = gates.one_row(K.counts(rows, spec.keys), rows.agg(F.count_if(~K.complete(spec.keys)).alias("n_incomplete")), every.agg(F.count("*").alias("fetched"), F.count_if("__bad").alias("filtered"), F.count_if("__unread").alias("unread"))).first()
 
     def result(status: str, reason: str, written: int = 0, deleted: int = 0, snapshot: str = "") -> LoadResult:
-        return LoadResult(spec.name, status, reason, counts.fetched, written, deleted, counts.filtered, snapshot)
+        return LoadResult(spec.name, status, reason, counts.fetched, written, deleted, counts.filtered, snapshot, counts.unread, absent)
 
     if counts.fetched == 0:
         return result("success", "no changes") if mode == "incremental" else result("failed", "source is empty")
@@ -81,23 +87,25 @@ def load(
         return result("dry_run", "nothing was written")
     single = reliable(merge.last_of_key(rows, spec.keys, order))
     replaces = mode in ("reset", "snapshot")
-    if replaces:
-        table.replace(single, stored=True)
-    else:
+    made = table.stage(single, stored=True) if replaces else None
+    if not replaces:
         table.merge(single, spec.keys, stored=True)
-    now = table.read(single.schema)
+    now = table.staged(made) if made else table.read(single.schema)
     written = K.semi(now, single, spec.keys).count()
 
     def state(reconciled: bool) -> tuple[str, str]:
         row = gates.states(now.sparkSession.createDataFrame([(counts.n_keys, written, len(spec.keys), reconciled)], "fetched long, written long, key_columns int, reconciled boolean")).first()
         return row.state, row.reason
 
-    if replaces:
-        same = gates.count_gate(single, now).first()
-        snapshot, why = state(same.status == "passed")
-        if same.status != "passed" or snapshot == "aborted":
-            return result("failed", same.reason if same.status != "passed" else why, written, 0, snapshot)
-        return result("partial" if counts.filtered else "success", "replaced", written, 0, snapshot)
+    if made:
+        row = (counts.fetched, counts.n_duplicates, counts.filtered, now.count(), previous)
+        checked = gates.publish_gate(now.sparkSession.createDataFrame([row], "fetched long, duplicates long, filtered long, staged long, previous long")).first()
+        snapshot, why = state(checked.status == "passed")
+        if checked.status != "passed" or snapshot != "reconciled":
+            table.discard(made)
+            return result("failed", checked.reason if checked.status != "passed" else why, snapshot="aborted")
+        table.publish(made)
+        return result("success", "replaced", written, 0, snapshot)
     if mode == "incremental":
         return result("partial" if counts.filtered else "success", "merged", written, 0, state(False)[0])
     short = written < counts.n_keys

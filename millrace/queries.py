@@ -1060,17 +1060,81 @@ def k5_delete_from_table(spark, sf_dir):
     return t.read().select("order_key")
 
 
+def order_keys(spark, sf_dir) -> DataFrame:
+    return orders(spark, sf_dir).select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
+
+
+def new_positions(spark) -> resume.Positions:
+    return resume.Positions(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}")
+
+
 @query("t2_resumed_load", "SELECT o_orderkey AS order_key, o_orderstatus AS status FROM orders")
 def t2_resumed_load(spark, sf_dir):
     """A large table's load stops after two ranges of a fifth, and its run goes on from the saved position."""
-    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
-    t, positions = new_table(spark, "status"), resume.Positions(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}")
+    rows, t, positions = order_keys(spark, sf_dir), new_table(spark, "status"), new_positions(spark)
     size = rows.count() // 5 + 1
     for ranges in (2, None):
         resume.load_large(t, "orders", rows, ["status", "order_key"], ["order_key"], "r1", positions, size, ranges)
     return t.read()
 
 
+@query("t2_repeated_cursor", "SELECT 'refused' AS status, 0 AS n_loaded, count(*) AS n_repeated FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)")
+def t2_repeated_cursor(spark, sf_dir):
+    """Lines by their order's key alone: the cursor isn't unique, so the load is refused and loads nothing."""
+    rows = lines(spark, sf_dir).select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    t = new_table(spark, "flag")
+    done = resume.load_large(t, "lines", rows, ["flag", "order_key", "line"], ["order_key"], "r1", new_positions(spark), rows.count() // 4 + 1)
+    return spark.createDataFrame([(done.status, t.read(rows.schema).count(), done.repeated)], "status string, n_loaded long, n_repeated long")
+
+
+@query("t2_skipped_keys", "SELECT 'partial' AS status, count(*) FILTER (WHERE o_orderkey % 10 > 1) AS n_loaded, count(*) FILTER (WHERE o_orderkey % 10 < 2) AS n_skipped, sum(o_orderkey) FILTER (WHERE o_orderkey % 10 > 1) AS keys FROM orders")
+def t2_skipped_keys(spark, sf_dir):
+    """Rows without a cursor key, null or blank, have no place in the order: they are left out and counted."""
+    k = F.col("o_orderkey")
+    cursor = F.when(k % 10 == 0, None).when(k % 10 == 1, " ").otherwise(F.lpad(k.cast("string"), 12, "0"))
+    rows = orders(spark, sf_dir).select(k.alias("order_key"), F.col("o_orderstatus").alias("status"), cursor.alias("cursor"))
+    t = new_table(spark, "status")
+    done = resume.load_large(t, "orders", rows, ["status", "order_key"], ["cursor"], "r1", new_positions(spark), rows.count() // 3 + 1)
+    return t.read().agg(F.lit(done.status).alias("status"), F.count("*").alias("n_loaded"), F.lit(done.skipped).cast("long").alias("n_skipped"), F.sum("order_key").alias("keys"))
+
+
+@query("q12_recovery_run", "SELECT 'done' AS status, count(*) AS n_rows, sum(o_orderkey) AS keys, TRUE AS fenced, TRUE AS closed FROM orders")
+def q12_recovery_run(spark, sf_dir):
+    """A run of all orders stops in the middle; the run that recovers it takes over its position and loads the rest, after
+    which the stopped run can write no more, and the position is closed."""
+    rows, t, positions = order_keys(spark, sf_dir), new_table(spark, "status"), new_positions(spark)
+    size, keys = rows.count() // 4 + 1, ["status", "order_key"]
+    resume.load_large(t, "orders", rows, keys, ["order_key"], "r1", positions, size, 2)
+    mine = positions.get("orders")
+    abnormal = spark.createDataFrame([("r1", "orders", loads.ABNORMAL)], "run_id string, form_name string, status string")
+    marks = spark.createDataFrame([("orders", "r1", mine.rows)], "form_name string, run_id string, position long")
+    plan = gates.recovery_plan(abnormal, marks, spark.createDataFrame([], "parent_run_id string, status string"), ["orders"])
+    done = resume.recover(t, plan, "orders", rows, keys, ["order_key"], "r2", positions, size)
+    try:
+        positions.move("orders", mine, [0], 0)
+        fenced = False
+    except resume.Fenced:
+        fenced = True
+    return t.read().agg(F.lit(done.status).alias("status"), F.count("*").alias("n_rows"), F.sum("order_key").alias("keys"), F.lit(fenced).alias("fenced"), F.lit(positions.get("orders") is None).alias("closed"))
+
+
+@query("t1_stream_newer", "SELECT o_orderkey, year(o_orderdate) AS y, o_totalprice + 3 AS o_totalprice, 3 AS seq FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, year(o_orderdate), o_totalprice + 2, 2 FROM orders WHERE o_orderkey % 3 <> 0")
+def t1_stream_newer(spark, sf_dir):
+    """Changes land newest first: the second batch's are older than what the table holds, but for keys that it hasn't met."""
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    part = lambda d, n: d.select("o_orderkey", F.year("o_orderdate").alias("y"), (F.col("o_totalprice") + n).alias("o_totalprice"), F.lit(n).alias("seq"))
+    o, t = orders(spark, sf_dir), merge.VersionedTable(spark, f"{home}/table", "y")
+    for n, rows in ((3, o.where("o_orderkey % 3 = 0")), (2, o), (1, o)):
+        changes = part(rows, n)
+        changes.write.mode("append").parquet(f"{home}/landed")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{home}/landed")
+        loads.upsert_stream(stream, t, ["y", "o_orderkey"], [F.col("o_totalprice").desc()], f"{home}/checkpoint", "seq").awaitTermination()
+    return t.read()
+
+
+BEATS = HISTORY + ", l AS (SELECT CAST(run_id AS VARCHAR) AS run_id, last_heartbeat, status FROM h)"
+
+
 @query("t5_stale_stream", HISTORY + ", l AS (SELECT form_name AS run_id, max(last_heartbeat) AS last_heartbeat, arg_max(status, (last_heartbeat, run_id)) AS status FROM h GROUP BY 1) SELECT run_id, status FROM l WHERE status IN ('running', 'stopping') AND last_heartbeat < TIMESTAMP '2030-01-01'")
 def t5_stale_stream(spark, sf_dir):
     """Heartbeats that land as files; forms stand in for runs."""
@@ -1079,9 +1143,73 @@ def t5_stale_stream(spark, sf_dir):
     last_beat = F.max_by("status", F.struct("last_heartbeat", "run_id"))
     rows = h.groupBy(F.col("form_name").alias("run_id")).agg(F.max("last_heartbeat").alias("last_heartbeat"), last_beat.alias("status"))
     rows.write.parquet(f"{home}/landed")
-    put = lambda batch, number: batch.write.mode("append").parquet(f"{home}/out")
-    loads.stale_stream(spark.readStream.schema(rows.schema).parquet(f"{home}/landed"), lambda: datetime(2030, 1, 1, 0, 5), put, f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema("run_id string, last_heartbeat timestamp_ntz, status string").parquet(f"{home}/out").select("run_id", "status")
+    stale = loads.StaleRuns(merge.VersionedTable(spark, f"{home}/runs", "part"), f"{home}/checkpoint")
+    return stale.trigger(spark.readStream.schema(rows.schema).parquet(f"{home}/landed"), datetime(2030, 1, 1, 0, 5)).select("run_id", "status")
+
+
+@query("t5_stale_triggers", BEATS + """
+SELECT 1 AS trigger, run_id FROM l WHERE status = 'running' AND last_heartbeat < TIMESTAMP '2024-01-11' - INTERVAL 5 MINUTE
+UNION ALL SELECT 2, run_id FROM l WHERE status = 'running' AND last_heartbeat >= TIMESTAMP '2024-01-11' - INTERVAL 5 MINUTE AND last_heartbeat < TIMESTAMP '2024-01-21' - INTERVAL 5 MINUTE
+UNION ALL SELECT 3, run_id FROM l WHERE status = 'running' AND last_heartbeat >= TIMESTAMP '2024-01-21' - INTERVAL 5 MINUTE AND last_heartbeat < TIMESTAMP '2024-01-22' - INTERVAL 5 MINUTE""")
+def t5_stale_triggers(spark, sf_dir):
+    """Three triggers: all heartbeats, some of which are still fresh; none at all, ten days later; and late ones, an hour older
+    than those that are known, which change nothing."""
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = history(spark, sf_dir).select(F.col("run_id").cast("string").alias("run_id"), "status", "last_heartbeat")
+    stale = loads.StaleRuns(merge.VersionedTable(spark, f"{home}/runs", "part"), f"{home}/checkpoint")
+    found = []
+    for n, (now, landed) in enumerate(((datetime(2024, 1, 11), rows), (datetime(2024, 1, 21), None), (datetime(2024, 1, 22), rows.withColumns({"last_heartbeat": F.expr("last_heartbeat - INTERVAL 1 HOUR"), "status": F.lit("running")}))), 1):
+        if landed is not None:
+            landed.write.mode("append").parquet(f"{home}/landed")
+        found.append(stale.trigger(spark.readStream.schema(rows.schema).parquet(f"{home}/landed"), now).select(F.lit(n).alias("trigger"), "run_id"))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+WIDE_SPEC = TableSpec("Wide", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey"], {"order_key": "bigint", "status": "string", "price": "decimal(18,4)", "priority": "string", "cust_key": "bigint"}, ["status", "order_key"], {"o_orderkey": "order_key", "o_orderstatus": "status", "o_totalprice": "price", "o_orderpriority": "priority", "o_custkey": "cust_key"})
+
+
+@query("k1_landing_without_field", "SELECT o_orderkey AS order_key, o_orderstatus AS status, CAST(CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS DECIMAL(18,4)) AS price, CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN o_orderpriority END AS priority, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderkey % 5 = 0 THEN o_custkey END AS cust_key FROM orders")
+def k1_landing_without_field(spark, sf_dir):
+    """The first landing has priorities and no customers, the second customers and no priorities: a field that didn't land
+    keeps its values, and is null for new keys; a new one is null where it hasn't landed."""
+    t = new_table(spark, "status")
+    for landed, mode, stamp in ((old_orders(spark, sf_dir).drop("o_custkey"), "reset", STAMP), (changed_orders(spark, sf_dir).drop("o_orderpriority"), "incremental", LATER)):
+        done = sync.load(t, WIDE_SPEC, landed, mode, stamp, last())
+        if done.status != "success" or len(done.absent) != 1:
+            raise RuntimeError(done.reason)
+    return t.read().select("order_key", "status", "price", "priority", "cust_key")
+
+
+@query("k1_schema_log", "SELECT * FROM (VALUES ('order_key', 'bigint'), ('status', 'string'), ('qty', 'decimal(23,4)'), ('note', 'string')) v(\"column\", type), (SELECT TRUE AS nullable), (SELECT count(*) AS n_rows, CAST(sum(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0.25 ELSE 0 END) AS DECIMAL(38,4)) AS qty FROM orders), (SELECT TRUE AS refused)")
+def k1_schema_log(spark, sf_dir):
+    """Types are widened where that loses nothing: whole numbers, then decimals; texts are refused for them."""
+    o, t = orders(spark, sf_dir), new_table(spark, "status")
+    rows = o.select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("int").alias("qty"))
+    t.replace(rows.where("order_key % 3 = 1"))
+    t.merge(rows.where("order_key % 3 = 2").withColumn("qty", F.col("qty").cast("bigint")), ["status", "order_key"])
+    t.merge(rows.where("order_key % 3 = 0").withColumns({"qty": (F.col("qty") + F.lit(0.25).cast("decimal(18,4)")).cast("decimal(18,4)"), "note": F.lit("n")}), ["status", "order_key"])
+    try:
+        t.merge(rows.withColumn("qty", F.lit("many")), ["status", "order_key"])
+        refused = False
+    except ValueError:
+        refused = True
+    sums = t.read().agg(F.count("*").alias("n_rows"), F.sum("qty").cast("decimal(38,4)").alias("qty")).first()
+    return t.columns().select("*", F.lit(sums.n_rows).cast("long").alias("n_rows"), F.lit(sums.qty).alias("qty"), F.lit(refused).alias("refused"))
+
+
+@query("k3_unfit_reset", outcome_sql("failed", "the load dropped rows", fetched="count(*)", filtered="count(*) FILTER (WHERE o_orderkey % 5 = 0)", snapshot="aborted"))
+def k3_unfit_reset(spark, sf_dir):
+    """A reset of which every fifth row doesn't fit isn't published: the target stays."""
+    t = loaded(spark, sf_dir)
+    landed = orders(spark, sf_dir).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, "cheap").otherwise(F.col("o_totalprice").cast("string")))
+    return outcome(spark, sync.load(t, LOAD_SPEC, landed, "reset", LATER, last()), t)
+
+
+@query("k4_fallen_snapshot", outcome_sql("failed", "source fell by more than a tenth", fetched="count(*) FILTER (WHERE o_orderkey % 8 <> 0)", snapshot="aborted"))
+def k4_fallen_snapshot(spark, sf_dir):
+    """A snapshot of an eighth fewer rows than the one before isn't published: the target stays."""
+    t, o = loaded(spark, sf_dir), orders(spark, sf_dir)
+    return outcome(spark, sync.load(t, LOAD_SPEC, o.where("o_orderkey % 8 <> 0"), "snapshot", LATER, last(), previous=o.count()), t)
 
 
 @query("a13_target_schema", "SELECT * FROM (VALUES ('order_key', 'bigint'), ('status', 'string'), ('price', 'decimal(18,4)'), ('sync_time', 'timestamp_ntz')) v(\"column\", type), (SELECT TRUE AS nullable), (SELECT count(*) AS n_filled FROM orders)")

@@ -82,32 +82,62 @@ def scan(rows: DataFrame, spec: TableSpec) -> DataFrame:
     return rows.select(*(quoted(f) for f in spec.fields if f in rows.columns))
 
 
-def whole(text: Column, kind: str) -> Column:
+def whole(value: Column, kind: str) -> Column:
     """A whole number of any size that its type holds, also where it comes as 12.0 or 1.2E1; null where it has a fraction."""
-    exact = text.try_cast("decimal(38,12)")
-    return F.coalesce(text.try_cast(kind), F.when(exact == F.floor(exact), exact.cast("decimal(38,0)")).try_cast(kind))
+    exact = value.try_cast("decimal(38,12)")
+    return F.when(exact == F.floor(exact), exact.cast("decimal(38,0)")).try_cast(kind)
 
 
-def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaults: dict[str, str] | None = None, bad: str | None = None) -> DataFrame:
+WHOLE = ("tinyint", "smallint", "int", "bigint", "long")
+
+
+def numbers(rows: DataFrame, sources: Sequence[Column], kind: str, name: str) -> tuple[dict[str, Column], Column, Column]:
+    """(columns to compute first, value, whether a value that is there and not blank doesn't fit ``kind``).
+
+    Numbers that come as such need no text. Of texts, those that a cast takes as they are need no cleaning; the cleaned text
+    of the others is a column of its own, so that it is computed once."""
+    types = {t for t in (rows.select(s).schema[0].dataType.simpleString() for s in sources)}
+    raw = F.col(f"__raw_{name}")
+    if len(types) == 1 and (types <= {*WHOLE, "double"} or next(iter(types)).startswith("decimal") and int(next(iter(types)).rstrip(")").split(",")[1]) <= 12):
+        direct = raw.try_cast(kind) if kind not in WHOLE or types <= set(WHOLE) else whole(raw, kind)
+        return {f"__raw_{name}": F.coalesce(*sources)}, direct, raw.isNotNull() & direct.isNull()
+    fits, rest = raw.try_cast(kind), F.col(f"__rest_{name}")
+    value = F.coalesce(fits, rest.try_cast(kind), *([whole(rest, kind)] if kind in WHOLE else []))
+    first = {f"__raw_{name}": F.coalesce(*(s.cast("string") for s in sources))}
+    first[f"__rest_{name}"] = F.when(fits.isNull() & raw.isNotNull(), X.trim_all(raw))
+    return first, value, (F.coalesce(rest, F.lit("")) != "") & value.isNull()
+
+
+def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaults: dict[str, str] | None = None, bad: str | None = None, unread: str | None = None) -> DataFrame:
     """Mapped to the target's columns: first source that isn't null, cleaned and typed; then defaults and the load stamp.
 
     ``defaults`` of a manifest give way to the spec's own. ``bad`` names a column that says whether a value that is there,
-    and not blank, isn't a number of its column's type: such a row can't be loaded as it is."""
+    and not blank, isn't a number of its column's type: such a row can't be loaded as it is. ``unread`` names one that says
+    whether a time that is there is no time, and so becomes null. A column of which no field has landed, and that has no
+    default, isn't in the result."""
     every = (defaults or {}) | spec.defaults
-    out, unfit = [], F.lit(False)
+    first: dict[str, Column] = {}
+    second: dict[str, Column] = {}
+    out, unfit, lost = [], F.lit(False), F.lit(False)
     for column, kind in spec.columns.items():
         sources = [quoted(f) for f in spec.sources(column) if f in rows.columns]
         if not sources and column not in every:
             continue
-        value = F.coalesce(*(s.cast("string") for s in sources)) if sources else F.lit(None).cast("string")
-        if kind.startswith("timestamp"):
-            value = X.date_only(value) if column in spec.date_only else X.whole_seconds(value)
+        if not sources:
+            value = F.lit(None).cast(kind)
+        elif kind.startswith("timestamp"):
+            first[f"__raw_{column}"] = F.coalesce(*(s.cast("string") for s in sources))
+            raw = F.col(f"__raw_{column}")
+            value = X.date_only(raw) if column in spec.date_only else X.whole_seconds(raw)
+            lost = lost | (value.isNull() & (F.trim(raw) != ""))
         elif kind == "string":
-            value = X.normalized(value)
+            first[f"__raw_{column}"] = F.coalesce(*(s.cast("string") for s in sources))
+            value = X.normalized(F.col(f"__raw_{column}"))
         else:
-            text = X.blank_to_null(X.trim_all(value))
-            value = whole(text, kind) if kind in ("int", "bigint", "long") else text.try_cast(kind)
-            unfit = unfit | (text.isNotNull() & value.isNull())
+            more, value, off = numbers(rows, sources, kind, column)
+            first |= {k: v for k, v in more.items() if k.startswith("__raw_")}
+            second |= {k: v for k, v in more.items() if k.startswith("__rest_")}
+            unfit = unfit | off
         if column in every:
             value = F.coalesce(value, F.lit(every[column]).cast(kind))
         out.append(value.alias(column))
@@ -115,7 +145,11 @@ def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaul
         out.append(F.lit(stamp).cast("timestamp_ntz").alias("sync_time"))
     if bad is not None:
         out.append(unfit.alias(bad))
-    return rows.select(*out)
+    if unread is not None:
+        out.append(F.coalesce(lost, F.lit(False)).alias(unread))
+    raw = rows.select(*(v.alias(k) for k, v in first.items())) if first else rows
+    cleaned = raw.select("*", *(v.alias(k) for k, v in second.items())) if second else raw
+    return cleaned.select(*out)
 
 
 def increment_field(spec: TableSpec, by_table: dict[str, str], default: str = "FModifyDate") -> str:

@@ -1,7 +1,7 @@
 """Specs, keys, merges, gates, envelopes and whole loads."""
 
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,16 +288,156 @@ def test_rows_that_were_not_written_keep_orphans(spark, monkeypatch):
     assert (got.status, got.reason, got.deleted, got.snapshot) == ("partial", "not all rows were written", 0, "aborted")
 
 
+def new_positions(spark):
+    from millrace.plans import resume
+
+    return resume.Positions(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}")
+
+
 def test_large_table_goes_on_where_its_run_was(spark):
     from millrace.plans import resume
 
     rows = spark.range(100).selectExpr("id", "CAST(id % 4 AS STRING) AS p", "id * 2 AS v")
-    t, positions = new_table(spark, "p"), resume.Positions(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}")
+    t, positions = new_table(spark, "p"), new_positions(spark)
     go = lambda run, ranges=None: resume.load_large(t, "big", rows, ["p", "id"], ["id"], run, positions, 30, ranges)
-    assert go("r1", 2) == "stopped" and positions.get("big") == ("r1", [59], 60) and t.read().count() == 60
-    assert go("r2", 1) == "stopped" and positions.get("big") == ("r2", [29], 30)  # not the owner: from the start
-    assert go("r2") == "done" and positions.get("big") is None and t.read().count() == 100
-    assert t.versions() == list(range(1, 7))
+    assert go("r1", 2).status == "stopped"
+    at = positions.get("big")
+    assert (at.run, at.rows, at.last) == ("r1", t.read().count(), [at.rows - 1]) and 30 < at.rows < 70
+    assert go("r2", 1).status == "stopped" and positions.get("big").run == "r2" and positions.get("big").rows < 40  # not the owner: from the start
+    done = go("r2")
+    assert (done.status, done.rows, done.skipped) == ("done", 100, 0) and positions.get("big") is None and t.read().count() == 100
+    assert len(t.versions()) == 6 and go("r3").rows == 100
+    assert resume.load_large(t, "none", rows.where("false"), ["p", "id"], ["id"], "r", positions, 30).status == "done" and positions.get("none") is None
+
+
+def test_large_table_refuses_repeats_and_counts_missing_keys(spark):
+    from millrace.plans import resume
+
+    rows = spark.range(100).selectExpr("id", "CAST(id % 4 AS STRING) AS p", "CASE WHEN id % 20 = 7 THEN id - 1 ELSE id END AS c", "CASE WHEN id % 20 = 7 THEN NULL WHEN id % 20 = 9 THEN ' ' ELSE lpad(CAST(id AS STRING), 4, '0') END AS d")
+    t, positions = new_table(spark, "p"), new_positions(spark)
+    got = resume.load_large(t, "big", rows, ["p", "id"], ["c"], "r", positions, 9)
+    assert (got.status, got.rows, got.repeated, t.versions()) == ("refused", 0, 5, [])
+    got = resume.load_large(t, "big2", rows, ["p", "id"], ["d"], "r", positions, 30)
+    assert (got.status, got.rows, got.skipped, t.read().count()) == ("partial", 90, 10, 90)
+    pairs = spark.createDataFrame([(1, None), (2, "100"), (3, ""), (4, "200")], "FID int, E string").withColumn("p", F.lit("x"))
+    got = resume.load_large(new_table(spark, "p"), "big3", pairs, ["p", "FID"], ["FID", "E"], "r", positions, 1)
+    assert (got.status, got.rows, got.skipped) == ("partial", 2, 2)
+
+
+def test_recovery_takes_over_and_fences(spark):
+    from millrace.plans import resume
+
+    rows = spark.range(100).selectExpr("id", "CAST(id % 4 AS STRING) AS p", "id * 2 AS v")
+    t, positions = new_table(spark, "p"), new_positions(spark)
+    resume.load_large(t, "big", rows, ["p", "id"], ["id"], "r1", positions, 30, 2)
+    parent = positions.get("big")
+    plan = spark.createDataFrame([("r1", "big", True), ("r9", "small", False)], "run_id string, form_name string, eligible boolean")
+    assert resume.recover(t, plan, "small", rows, ["p", "id"], ["id"], "c", positions, 30) is None
+    with pytest.raises(resume.Fenced):
+        positions.take("big", "c", "someone else")
+    child = positions.take("big", "c", "r1")
+    assert (child.epoch, child.last, child.rows) == (parent.epoch + 1, parent.last, parent.rows)
+    with pytest.raises(resume.Fenced):
+        positions.move("big", parent, [99], 100)
+    # the child fails in its first range: the position stays where the parent left it
+    broken = merge.VersionedTable(spark, t.path, "p", 0)
+    with pytest.raises(Exception):
+        resume.load_large(broken, "big", rows, ["nothing"], ["id"], "c", positions, 30)
+    assert positions.get("big") == child
+    done = resume.load_large(t, "big", rows, ["p", "id"], ["id"], "c", positions, 30)
+    assert (done.status, done.rows) == ("done", 100) and positions.get("big") is None and t.read().count() == 100
+    with pytest.raises(resume.Fenced):
+        positions.move("big", child, [99], 100)
+
+
+def test_position_survives_a_torn_write(spark):
+    positions = new_positions(spark)
+    mine = positions.take("big", "r1")
+    mine = positions.move("big", mine, [5], 6)
+    folder = f"{positions.path}/big".removeprefix("file:").replace("//", "/")
+    open(f"{folder}/.torn", "w").write('{"run": "r')
+    assert positions.get("big") == mine
+    with pytest.raises(ValueError):
+        positions.get("../big")
+
+
+def test_landing_without_a_column(spark):
+    t = new_table(spark, "p")
+    t.replace(spark.createDataFrame([(1, "a", "v1", 1), (2, "b", "v2", 2), (3, "a", "v3", 3)], "id int, p string, v string, n int"))
+    t.merge(spark.createDataFrame([(1, "a", 10), (4, "a", 40)], "ID int, p string, N bigint"), ["p", "id"])
+    assert sorted_rows(t.read()) == [(1, "a", "v1", 10), (2, "b", "v2", 2), (3, "a", "v3", 3), (4, "a", None, 40)]
+    t.merge(spark.createDataFrame([(2, "b", "w", "new")], "id int, p string, w string, v string"), ["p", "id"])
+    assert sorted_rows(t.read()) == [(1, "a", "v1", 10, None), (2, "b", "new", 2, "w"), (3, "a", "v3", 3, None), (4, "a", None, 40, None)]
+    assert [(f.name, f.dataType.simpleString()) for f in t.schema()] == [("id", "int"), ("p", "string"), ("v", "string"), ("n", "bigint"), ("w", "string")] and len(t.version().schemas) == 3
+    assert t.columns().count() == 5 and t.read("id int, other date").columns == ["id", "other"]
+    before = t.versions()
+    with pytest.raises(ValueError, match="column n holds bigint"):
+        t.merge(spark.createDataFrame([(1, "a", "x")], "id int, p string, n string"), ["p", "id"])
+    assert t.versions() == before
+    t.merge(spark.createDataFrame([(1, "a")], "id int, p string").withColumn("v", F.lit(None)), ["p", "id"])
+    assert t.read().where("id = 1").first().v == "v1"
+    # a reset keeps the column that it lacks, empty
+    t.replace(spark.createDataFrame([(9, "z", "n")], "id int, p string, n string"))
+    assert sorted_rows(t.read()) == [(9, "z", "n", None, None)]
+    t.delete(spark.createDataFrame([(9, "z")], "id int, p string"), ["p", "id"])
+    assert t.read().count() == 0 and len(t.read().columns) == 5
+
+
+def test_types_that_hold_both():
+    from pyspark.sql.types import StructType
+
+    kind = lambda a, b: merge.common(*(StructType.fromDDL(f"x {t}").fields[0].dataType for t in (a, b)))
+    assert kind("int", "bigint") == "bigint" and kind("bigint", "smallint") == "bigint" and kind("float", "double") == "double" and kind("date", "timestamp_ntz") == "timestamp_ntz"
+    assert kind("decimal(10,2)", "decimal(8,6)") == "decimal(14,6)" and kind("int", "decimal(5,3)") == "decimal(13,3)" and kind("decimal(38,0)", "decimal(10,2)") is None
+    assert kind("bigint", "double") is None and kind("string", "int") is None and kind("array<int>", "array<int>") == "array<int>"
+
+
+def test_upserts_that_only_replace_older_rows(spark):
+    t = new_table(spark, "p")
+    schema = "id int, p string, v string, seq int"
+    t.merge(spark.createDataFrame([(1, "a", "x", 5), (2, "a", "x", None), (3, "b", "x", 5)], schema), ["p", "id"], newer="seq")
+    t.merge(spark.createDataFrame([(1, "a", "old", 4), (2, "a", "y", 1), (3, "b", "same", 5), (4, "b", "new", None)], schema), ["p", "id"], newer="seq")
+    t.merge(spark.createDataFrame([(2, "a", "none", None), (4, "b", "again", None)], schema), ["p", "id"], newer="seq")
+    assert sorted_rows(t.read().select("id", "v", "seq")) == [(1, "x", 5), (2, "y", 1), (3, "same", 5), (4, "again", None)]
+
+
+def test_reset_is_published_only_if_it_is_whole(spark):
+    args = dict(stamp="2024-01-01 00:00:00", order=[F.col("price").desc()])
+    every = [(str(i), f"d{i % 3}", "1.5") for i in range(100)]
+    for mode in ("reset", "snapshot"):
+        t = new_table(spark, "day")
+        sync.load(t, SPEC, landed(spark, every), mode, **args)
+        for rows, more, why in (([("1", "d1", "1")] + [(str(i), "d1", "cheap") for i in range(99)], {}, "the load dropped rows"), (every[:3], {"previous": 100}, "source fell by more than a tenth")):
+            got = sync.load(t, SPEC, landed(spark, rows), mode, **args, **more)
+            assert (got.status, got.reason, got.snapshot, got.written, t.versions(), t.read().count()) == ("failed", why, "aborted", 0, [1], 100)
+        got = sync.load(t, SPEC, landed(spark, every[:90] + every[:5]), mode, previous=100, **args)
+        assert (got.status, got.snapshot, got.written, t.read().count()) == ("success", "reconciled", 90, 90)
+
+
+def test_staged_rows_that_are_lost_are_not_published(spark, monkeypatch):
+    t = new_table(spark, "day")
+    args = dict(stamp="2024-01-01 00:00:00", order=[F.col("price").desc()])
+    sync.load(t, SPEC, landed(spark, [("1", "d1", "1"), ("2", "d2", "1")]), "reset", **args)
+    put = merge.VersionedTable._write
+    monkeypatch.setattr(merge.VersionedTable, "_write", lambda self, rows, *more: put(self, rows.where("id <> 7"), *more))
+    got = sync.load(t, SPEC, landed(spark, [("7", "d1", "1"), ("8", "d1", "1")]), "reset", **args)
+    assert (got.status, got.reason, t.versions()) == ("failed", "counts differ", [1])
+
+
+def test_times_that_are_none_are_counted(spark):
+    spec = TableSpec("x", ["id", "at"], {"id": "bigint", "at": "timestamp_ntz", "more": "string"}, ["id"])
+    raw = spark.createDataFrame([("1", "2024-01-01"), ("2", "soon"), ("3", " "), ("4", None)], "id string, at string")
+    got = sync.load(new_table(spark, "id"), spec, raw, "reset", "2024-01-01 00:00:00", [F.col("id")])
+    assert (got.status, got.unread, got.absent, got.filtered) == ("success", 1, ("more",), 0)
+
+
+def test_numbers_of_any_source_type(spark):
+    raw = spark.createDataFrame([(1, 2.0, 3.5, "4", " 5.0 "), (2**62, 1e3, -1.0, "\u00a07", "x"), (None, None, None, None, "\t")], "a bigint, b double, c double, d string, e string")
+    spec = TableSpec("x", raw.columns, {"A": "int", "B": "bigint", "C": "bigint", "D": "int", "E": "decimal(18,4)"}, ["A"])
+    got = [tuple(x) for x in normalize(raw, spec, bad="bad").collect()]
+    assert got == [(1, 2, None, 4, 5, True), (None, 1000, -1, 7, None, True), (None, None, None, None, None, False)]
+    plan = normalize(raw.select("d", "e"), TableSpec("x", ["d", "e"], {"D": "int", "E": "decimal(18,4)"}, ["D"]), bad="bad")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
 
 
 def test_deep_assembly(spark):
@@ -310,11 +450,23 @@ def test_stale_stream(spark):
     from millrace.streaming import loads
 
     home = f"{shared_folder(spark)}/s-{uuid.uuid4().hex}"
-    rows = spark.createDataFrame([("r1", "running", datetime(2024, 1, 1, 11, 50)), ("r1", "running", datetime(2024, 1, 1, 11, 54)), ("r2", "running", datetime(2024, 1, 1, 11, 50)), ("r2", "running", datetime(2024, 1, 1, 11, 59)), ("r3", "running", datetime(2024, 1, 1, 11, 40)), ("r3", "success", datetime(2024, 1, 1, 11, 41))], "run_id string, status string, last_heartbeat timestamp_ntz")
-    rows.write.parquet(f"{home}/landed")
-    found = []
-    loads.stale_stream(spark.readStream.schema(rows.schema).parquet(f"{home}/landed"), lambda: datetime(2024, 1, 1, 12), lambda b, n: found.extend(r.run_id for r in b.collect()), f"{home}/checkpoint").awaitTermination()
-    assert found == ["r1"]
+    at = lambda minute, hour=11: datetime(2024, 1, 1, hour, minute)
+    schema = "run_id string, status string, last_heartbeat timestamp_ntz"
+    stale = loads.StaleRuns(merge.VersionedTable(spark, f"{home}/runs", "part"), f"{home}/checkpoint", forget=timedelta(days=7))
+
+    def trigger(rows, now):
+        if rows:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{home}/landed")
+        return sorted(r.run_id for r in stale.trigger(spark.readStream.schema(schema).parquet(f"{home}/landed"), now).collect())
+
+    assert trigger([("r1", "running", at(50)), ("r1", "running", at(54)), ("r2", "running", at(50)), ("r2", "running", at(59)), ("r3", "running", at(40)), ("r3", "success", at(41)), ("r4", "stopping", at(0)), (None, "running", at(0)), ("r5", "running", None)], at(0, 12)) == ["r1", "r4"]
+    # r2 falls silent: an empty trigger finds it, and only once
+    assert trigger([], at(30, 12)) == ["r2"] and trigger([], at(31, 12)) == []
+    # a run beats again, and a late old heartbeat of it comes alone
+    assert trigger([("r1", "running", at(40, 12)), ("r3", "running", at(40))], at(41, 12)) == []
+    assert trigger([("r1", "running", at(35, 12))], at(42, 12)) == [] and trigger([], at(50, 12)) == ["r1"]
+    # what is over for long is forgotten
+    assert stale.table.read().count() == 4 and trigger([("r1", "running", at(0))], datetime(2024, 2, 1)) == [] and stale.table.read().count() == 0
 
 
 def test_batch_that_the_table_holds_is_not_merged_again(spark):
