@@ -7,8 +7,10 @@ element stays, as a quoted passage or a licence that two articles share is part
 differencing leaves, those that elements, roles and class names mark as menus, headers, footers, sidebars, notices,
 adverts, forms or comments go as well, as a page may have its own. Scripts, styles and the like are no lines at all.
 
-What is left outside an article goes if the article has more text. If it has less, the article element is a mere card, and
-its lines are decided by differencing like the others.
+A class name marks a frame by its last word, words for mere boxes aside; layout-with-sidebar and ad-free don't. An element
+that is marked only so, or a form, is no frame if it holds the main element, or more than half of the text of the article
+that it stands in; outside articles, if it holds more than half of the page's text and no article stands outside it.
+Comments are always frames.
 
 Nearest is the neighbour in the order of (host, path) with the longer common path. Pages with equal lines, as when a page
 is crawled twice, are one in that order, so none is compared with its own copy. The order is a range sort with a running
@@ -27,6 +29,7 @@ import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -39,54 +42,81 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import stash
 
 #: Elements whose content isn't text for readers.
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title select option button textarea datalist".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas head title select option button textarea datalist".split())
 #: Elements whose content is a page's frame.
 FRAME = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr math semantics maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover annotation annotation-xml".split())
 #: Elements that end with an open one of their kind, as their end tags may be left out.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Blocks before which an open paragraph ends.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Words of class, id and role attributes that mark a page's frame.
+#: Words of class, id and role attributes that mark a page's frame; those that always do; words for boxes, which may stand behind
+#: them; and words before them that make a name describe something else.
 FRAME_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice newsletter subscribe popup modal share sharing social related comment comments disqus contentinfo complementary search".split())
+FIRM_WORDS = frozenset("comment comments disqus related".split())
+BOX_WORDS = frozenset("area bar block body bottom box button buttons column container content footer form group header holder inner item items left link links list outer panel primary right row secondary section signup top widget widgets wrap wrapper".split())
+NOT_WORDS = frozenset("no not non has with without".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-_RAW_END = {k: re.compile(rf"</{k}\b[^>]*(?:>|$)", re.I) for k in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "canvas", "object")}
+_RAW_END = {k: re.compile(rf"</{k}\b[^>]*(?:>|$)", re.I) for k in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "canvas", "object", "annotation", "annotation-xml")}
 _SPACE = re.compile(r"\s+")
 
-SILENCED, FRAMED, ARTICLE, OPEN = range(4)
+FRAMED, ARTICLE, OPEN = range(3)
 #: Pages of so many numbers in a row are aligned by one task.
 RUN = 256
 #: Alignments of up to so many pairs of lines take one table.
 CELLS = 1_000_000
 
 
-def framing(attributes: str) -> bool:
-    """A class such as has-sidebar or no-comments describes the page, not the element."""
+FIRM, SOFT = 1, 2
+
+
+def framing(attributes: str) -> int:
+    """Whether class, id or role mark a frame: 0, SOFT, or FIRM."""
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            w = _WORD.findall(name)
-            if w and w[0] not in ("no", "has", "with", "without") and not FRAME_WORDS.isdisjoint(w):
-                return True
-    return False
+            words = [w for w in _WORD.findall(name) if len(w) > 1]
+            while len(words) > 1 and words[-1] in BOX_WORDS:
+                words.pop()
+            if words and words[-1] in FRAME_WORDS and NOT_WORDS.isdisjoint(words[:-1]):
+                if words[-1] in FIRM_WORDS:
+                    return FIRM
+                found = SOFT
+    return found
+
+
+@dataclass
+class Part:
+    """A frame or article of a page: ``kind`` FIRM, SOFT or 0 for an article; the innermost frame and article that it stands in;
+    its characters, and those of them that stand in articles."""
+
+    kind: int
+    frame: int
+    article: int
+    main: bool = False
+    chars: int = 0
+    articles: int = 0
 
 
 def lines(html: str) -> list[tuple[str, int]]:
     """(text, verdict) of each line of a page, in page order; the verdict is what markup says: FRAMED, ARTICLE or OPEN."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements, and the verdict that holds inside
+    found: list[tuple[str, int, int]] = []  # text, and the innermost frame and article, -1 for none
+    made: list[Part] = []
+    stack: list[tuple[str, tuple[bool, int, int]]] = []  # open elements, and what holds inside: silence, frame, article
     parts: list[str] = []
-    verdict = OPEN
+    outside = (False, -1, -1)
+    state = outside
 
     def flush() -> None:
-        if parts and verdict != SILENCED:
+        if parts and not state[0]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((text, verdict))
+                found.append((text, state[1], state[2]))
         parts.clear()
 
     at, n = 0, len(html)
@@ -104,14 +134,14 @@ def lines(html: str) -> list[tuple[str, int]]:
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
-                if name not in INLINE or stack[depth][1] != verdict:
+                if name not in INLINE or stack[depth][1] != state:
                     flush()
                 # formatting doesn't end the blocks that were opened in it
                 if name in INLINE and any(x not in INLINE for x, _ in stack[depth + 1 :]):
                     del stack[depth]
                 else:
                     del stack[depth:]
-                verdict = stack[-1][1] if stack else OPEN
+                state = stack[-1][1] if stack else outside
             continue
         if name == "br":
             parts.append("\n")
@@ -128,27 +158,58 @@ def lines(html: str) -> list[tuple[str, int]]:
             if block is not None and stack[block][0] in ending:
                 flush()
                 del stack[block]
-                verdict = stack[-1][1] if stack else OPEN
+                state = stack[-1][1] if stack else outside
         if name not in INLINE:
             flush()
         if name in VOID or m[3].rstrip().endswith("/") and name not in MAIN | FRAME and name in INLINE:
             continue
-        if verdict == SILENCED or name in SILENT:
-            inside = SILENCED
-        elif verdict == FRAMED or name in FRAME or name not in ("html", "body", "article", "main") and framing(m[3]):
-            inside = FRAMED
-        elif name == "header":
-            inside = ARTICLE if verdict == ARTICLE else FRAMED  # an article's own header holds its title
+        silent, frame, article = state
+        inside = state
+        if silent or name in SILENT:
+            inside = (True, frame, article)
         elif name in MAIN:
-            inside = ARTICLE
-        else:
-            inside = verdict
-        if inside != verdict:
+            if name == "main":
+                at_frame = frame
+                while at_frame >= 0:
+                    made[at_frame].main, at_frame = True, made[at_frame].frame
+            made.append(Part(0, frame, article))
+            inside = (False, frame, len(made) - 1)
+        elif name not in ("html", "body"):
+            # an article's own header holds its title
+            firm = name in FRAME and name != "form" or name == "header" and article < 0
+            kind = FIRM if firm else framing(m[3]) or (SOFT if name == "form" else 0)
+            if kind:
+                made.append(Part(kind, frame, article))
+                inside = (False, len(made) - 1, article)
+        if inside != state:
             flush()
         stack.append((name, inside))
-        verdict = inside
+        state = inside
     flush()
-    return out
+    return judged(found, made)
+
+
+def judged(found: list[tuple[str, int, int]], made: list[Part]) -> list[tuple[str, int]]:
+    """Lines with their verdict, once it is known what each frame holds."""
+    total = articles = 0
+    for text, frame, article in found:
+        firm, at = False, frame
+        while at >= 0:
+            firm, at = firm or made[at].kind == FIRM, made[at].frame
+        counted = len(text) if article >= 0 and not firm else 0
+        total, articles = total + len(text), articles + counted
+        for at, above in ((frame, "frame"), (article, "article")):
+            while at >= 0:
+                made[at].chars += len(text)
+                made[at].articles += counted
+                at = getattr(made[at], above)
+    stays: list[bool] = []  # whether a part stands in no frame, itself included; those around it come first
+    for p in made:
+        frame = p.kind == FIRM
+        if p.kind == SOFT and not p.main:
+            frame = 2 * p.chars <= made[p.article].chars if p.article >= 0 else 2 * p.chars <= total or p.articles < articles
+        stays.append(not frame and (p.frame < 0 or stays[p.frame]))
+    return [(t, FRAMED if f >= 0 and not stays[f] else ARTICLE if a >= 0 else OPEN) for t, f, a in found]
 
 
 def common(x: np.ndarray, y: np.ndarray) -> list[int]:
@@ -297,12 +358,8 @@ def differences(rows: DataFrame) -> DataFrame:
 
 def assembled(found: list[tuple[str, str]], gone: set[int]) -> tuple[str, int]:
     """The text of a page's lines, as (letter of verdict, text), and how many lines differencing deleted."""
-    whole = sum(len(t) for v, t in found if v == "a")
-    left = sum(len(t) for i, (v, t) in enumerate(found) if v == "o" and i not in gone)
-    if whole >= left:
-        kept = [t for v, t in found if v == "a"]
-        return " ".join(kept), sum(1 for i in gone if found[i][0] != "a")
-    return " ".join(t for i, (v, t) in enumerate(found) if v and i not in gone), len(gone)
+    deleted = {i for i in gone if found[i][0] != "a"}
+    return " ".join(t for i, (v, t) in enumerate(found) if v and i not in deleted), len(deleted)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash
+from millrace.llm.shared import stash, unused
 
 REACH = 60
 LEAST = 2
@@ -235,11 +235,12 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in angle brackets."""
     names = docs.columns
-    extra = disclosing(docs, stash(found(docs), "pii-found"), doubt, disclosed).select(F.col("mark").alias("_pii_mark"), F.col("extra").alias("_pii_extra"))
+    mark, base, more, all_ = unused(docs, "pii_mark", "pii_base", "pii_extra", "pii_spans")
+    extra = disclosing(docs, stash(found(docs), "pii-found"), doubt, disclosed).select(F.col("mark").alias(mark), F.col("extra").alias(more))
     text = F.col("text").cast("string")
-    marked = docs.withColumns({"_pii_mark": F.md5(F.coalesce(text, F.lit(""))), "_pii_base": base_spans(F.coalesce(text, F.lit("")))})
-    spans = F.when(F.col("_pii_extra").isNull(), F.col("_pii_base")).otherwise(F.sort_array(F.concat("_pii_base", "_pii_extra")))
-    rows = marked.join(extra, "_pii_mark", "left").withColumn("_pii_spans", spans)
+    marked = docs.withColumns({mark: F.md5(F.coalesce(text, F.lit(""))), base: base_spans(F.coalesce(text, F.lit("")))})
+    spans = F.when(F.col(more).isNull(), F.col(base)).otherwise(F.sort_array(F.concat(base, more)))
+    rows = marked.join(extra, mark, "left").withColumn(all_, spans)
     signs = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
     def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
@@ -249,8 +250,8 @@ def sanitised(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSE
         signed = F.transform(v["places"], lambda p: F.concat(cut(v["parts"], p["begin"], p["stop"] - p["begin"]), F.get(signs, p["rank"])))
         return F.concat(F.array_join(signed, ""), cut(v["parts"], v["last"], F.length("text") - v["last"]))
 
-    places = folded(F.col("_pii_spans"), F.lit(0), "struct<begin: int, stop: int, rank: int>", step)
-    last = F.array_max(F.transform("_pii_spans", lambda s: s["stop"]))
+    places = folded(F.col(all_), F.lit(0), "struct<begin: int, stop: int, rank: int>", step)
+    last = F.array_max(F.transform(all_, lambda s: s["stop"]))
     signed = given(F.struct(places.alias("places"), pieces(F.col("text")).alias("parts"), last.alias("last")), put)
-    clean = F.when(F.col("text").isNull() | (F.size("_pii_spans") == 0), F.col("text")).otherwise(signed)
+    clean = F.when(F.col("text").isNull() | (F.size(all_) == 0), F.col("text")).otherwise(signed)
     return rows.withColumn("text", clean).select(*names)

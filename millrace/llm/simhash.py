@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash, text_mark
+from millrace.llm.shared import stash, text_mark, unused
 
 RADIUS = 3
 BITS = 64
@@ -191,11 +191,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays."""
     found = stash(simhash_components(docs, radius, shingle), "simhash-components")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
-    winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_simhash_id"), F.col("w.mark").alias("_simhash_mark")).distinct()
-    names = docs.columns
-    marked = docs.withColumns({"_simhash_row_id": F.col("doc_id").cast("long"), "_simhash_row_mark": text_mark(F.col("text"))})
-    kept = marked.join(winners, F.col("_simhash_row_id").eqNullSafe(F.col("_simhash_id")) & (F.col("_simhash_row_mark") == F.col("_simhash_mark")), "left_semi")
-    return kept.dropDuplicates(["_simhash_row_id", "_simhash_row_mark"]).select(*names)
+    row_id, row_mark, won_id, won_mark = unused(docs, "row_id", "row_mark", "won_id", "won_mark")
+    winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias(won_id), F.col("w.mark").alias(won_mark)).distinct()
+    marked = docs.withColumns({row_id: F.col("doc_id").cast("long"), row_mark: text_mark(F.col("text"))})
+    kept = marked.join(winners, F.col(row_id).eqNullSafe(F.col(won_id)) & (F.col(row_mark) == F.col(won_mark)), "left_semi")
+    return kept.dropDuplicates([row_id, row_mark]).select(*docs.columns)
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:
