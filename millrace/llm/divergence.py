@@ -3,7 +3,7 @@ language as a whole.
 
 Single-pass in-memory indexing: a task reads its texts once and keeps the postings of a block, a count of occurrences and
 documents for each (language, source, term), until they fill ``BLOCK_BYTES``; the block then leaves as a run in the order of
-its terms. Runs are dealt out by the hash of (language, term); each shard's runs are merged by the shuffle's sort, which
+its terms, a row for each. Runs are dealt out by the hash of (language, term); each shard's runs are merged by the shuffle's sort, which
 merges sorted spills by a heap, and a single pass over the merged stream adds neighbours up to frequencies, of which those of
 terms in at least ``LEAST_DOCUMENTS`` documents of their language are kept.
 
@@ -20,12 +20,11 @@ result has a row for every pair.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,91 +33,152 @@ from millrace.llm.shared import stash
 LEAST_DOCUMENTS = 30
 SCALE, SMOOTH = 1_000_000_000, 5
 TOP_TERMS = 50
-#: Postings of a block, about so many bytes; and what a posting takes besides its term.
-BLOCK_BYTES, POSTING = 64 * 2**20, 250
+#: Postings of a block, about so many bytes; and bytes of text that are cut into terms at once.
+BLOCK_BYTES, PIECE_BYTES = 64 * 2**20, 4 * 2**20
 #: Rows of an Arrow batch that a run leaves in.
 BATCH = 20_000
-#: Sources of a language on a side of one matrix of corrections, and matrices that a task holds at once.
-SIDE, MATRICES = 1024, 16
-#: Fixed value: a term is a run of ASCII letters and of whatever isn't ASCII, here as UTF-8 bytes in lower case.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-
-_RUN = "lang string, term string, source string, n long, docs long"
-
-
-def strings(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary()).cast(pa.string(), safe=False)
+#: Sources of a language on a side of one matrix of corrections, matrices that a task holds at once, and pairs of sources
+#: that are corrected at once.
+SIDE, MATRICES, PAIRS = 1024, 16, 1_000_000
+#: Fixed value: what isn't a term, a run of ASCII letters and of whatever isn't ASCII; of UTF-8 bytes.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+_RUN = "lang string, term string, docs long, sources array<string>, counts array<long>"
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and the sums of each one's values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v for v in values))
+
+
+def text(values: pa.Array) -> pa.Array:
+    return values.cast(pa.string(), safe=False)
+
+
+class Block:
+    """Postings in memory: for each term, in dictionary codes, and group its occurrences and documents."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Take in the terms of some texts."""
+        names = zip(*(rows.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "source")))
+        group = np.array([self.groups.setdefault(x, len(self.groups)) for x in names], np.int64)
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(rows.column("text")).cast(pa.binary()), GAP, " "), " ")
+        terms, row = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.greater(pc.binary_length(terms), 0)
+        coded, row = terms.filter(full).dictionary_encode(), row.filter(full).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        if not n:
+            return
+        # once for each document and term, then for each group and term
+        keys, counts = summed(row * n + codes, np.ones(len(codes), np.int64))
+        keys, counts, docs = summed(group[keys // n] * n + keys % n, counts, np.ones(len(keys), np.int64))
+        self.parts.append((pa.DictionaryArray.from_arrays(pa.array((keys % n).astype(np.int32)), coded.dictionary), keys // n, counts, docs))
+        self.held += coded.dictionary.nbytes + 28 * len(keys)
+
+    def run(self) -> Iterator[pa.RecordBatch]:
+        """The block's postings in the order of language, term and source, a row for each language and term."""
+        if self.parts:
+            whole = pa.chunked_array([p[0] for p in self.parts]).unify_dictionaries()
+            terms, n = whole.chunk(0).dictionary, len(whole.chunk(0).dictionary)
+            codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in whole.chunks]).astype(np.int64)
+            group, counts, docs = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2, 3))
+            place, names = np.empty(n, np.int64), sorted(self.groups)
+            place[pc.sort_indices(terms).to_numpy(zero_copy_only=False)] = np.arange(n)
+            langs = sorted({lang for lang, _ in names})
+            at = {x: k for k, x in enumerate(names)}
+            rank = np.array([at[x] for x in self.groups], np.int64)
+            lang = np.array([langs.index(x) for x, _ in names], np.int64)
+            # (language, term, group) as one number: groups are in the order of their languages
+            rank = rank[group]
+            keys, counts, docs = summed((lang[rank] * n + place[codes]) * len(names) + rank, counts, docs)
+            rank, keys = keys % len(names), keys // len(names)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            heads, back = keys[starts], np.empty(n, np.int64)
+            back[place] = np.arange(n)
+            offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
+            columns = [
+                text(pa.array(langs, pa.binary()).take(pa.array(heads // n))), text(terms.take(pa.array(back[heads % n]))), pa.array(np.add.reduceat(docs, starts)),
+                pa.ListArray.from_arrays(offsets, text(pa.array([s for _, s in names], pa.binary()).take(pa.array(rank)))), pa.ListArray.from_arrays(offsets, pa.array(counts)),
+            ]
+            made = pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources", "counts"])
+            for k in range(0, made.num_rows, BATCH):
+                yield made.slice(k, BATCH)
+        self.__init__()
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(lang, term, source, n, docs): the runs of all blocks, each in the order of language, term and source."""
+    """(lang, term, docs, sources, counts): the runs of all blocks, each in the order of language and term: documents of the
+    language, and occurrences in each of its sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        postings: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = {}
-        held = 0
-
-        def spilled() -> Iterator[pa.RecordBatch]:
-            rows = sorted((lang, term, source, n, d) for (lang, source), own in postings.items() for term, (n, d) in own.items())
-            postings.clear()
-            for at in range(0, len(rows), BATCH):
-                lang, term, source, n, d = zip(*rows[at : at + BATCH])
-                yield pa.RecordBatch.from_arrays([*map(strings, (lang, term, source)), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "term", "source", "n", "docs"])
-
+        block = Block()
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "source", "text"))):
-                own = postings.setdefault((lang, source), {})
-                for term, n in Counter(TERM.findall(text.lower())).items():
-                    if term in own:
-                        found = own[term]
-                        found[0] += n
-                        found[1] += 1
-                    else:
-                        own[term] = [n, 1]
-                        held += POSTING + len(term)
-                if held > block_bytes:
-                    yield from spilled()
-                    held = 0
-        yield from spilled()
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                following = max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+                block.add(batch.slice(at, following - at))
+                at = following
+                if block.held > block_bytes:
+                    yield from block.run()
+        yield from block.run()
 
     return docs.mapInArrow(run, _RUN)
 
 
+def merged(rows: pa.Table, least: int) -> tuple[pa.RecordBatch, pa.Table]:
+    """The frequencies of the terms in ``rows`` of runs, merged in their order, and the rows of the last term, which may go on."""
+    rows = rows.combine_chunks()
+    lang, term = (rows.column(c).cast(pa.binary()).combine_chunks() for c in ("lang", "term"))
+    differ = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], 1 + np.flatnonzero(differ)])
+    last, starts = rows.slice(starts[-1]), starts[:-1]
+    done = rows.slice(0, rows.num_rows - last.num_rows)
+    sizes = np.diff(np.append(starts, done.num_rows))
+    docs = done.column("docs").to_numpy().astype(np.int64)
+    stays = np.add.reduceat(docs, starts) >= least if len(starts) else np.zeros(0, bool)
+    some = done.filter(pa.array(np.repeat(stays, sizes))).combine_chunks()
+    group = np.repeat(np.arange(stays.sum()), sizes[stays])
+    sources, counts = (pa.concat_arrays(some.column(c).chunks) if some.num_rows else pa.array([], some.schema.field(c).type) for c in ("sources", "counts"))
+    coded = sources.flatten().dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    owner = group[pc.list_parent_indices(sources).to_numpy(zero_copy_only=False).astype(np.int64)] if len(group) else np.zeros(0, np.int64)
+    keys, sums = summed(owner * n + coded.indices.to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    offsets = np.searchsorted(keys // n, np.arange(stays.sum() + 1))
+    heads, total = pa.array(starts[stays]), np.concatenate([[0], np.cumsum(sums)])
+    columns = [
+        text(lang.take(heads)), text(term.take(heads)), pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64()),
+        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), coded.dictionary.take(pa.array(keys % n))), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sums, pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "n", "sources", "counts"]), last
+
+
 def frequencies(runs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, n, sources, counts) of the kept terms: occurrences in the language, and in each source that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        sources: list[bytes] = []
-        counts: list[int] = []
-        docs, out = 0, []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            lang, term, n, s, c = zip(*rows)
-            return pa.RecordBatch.from_arrays([strings(lang), strings(term), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(c, pa.list_(pa.int64()))], ["lang", "term", "n", "sources", "counts"])
-
+        open_: pa.Table | None = None
         for batch in batches:
-            texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "term", "source"))
-            for lang, term, source, n, d in zip(*texts, batch.column("n").to_pylist(), batch.column("docs").to_pylist()):
-                if (lang, term) != key:
-                    if key and docs >= least:
-                        out.append((*key, sum(counts), sources, counts))
-                    key, sources, counts, docs = (lang, term), [], [], 0
-                docs += d
-                if sources and sources[-1] == source:
-                    counts[-1] += n
-                else:
-                    sources.append(source)
-                    counts.append(n)
-            if len(out) >= BATCH:
-                yield batch_of(out)
-                out = []
-        if key and docs >= least:
-            out.append((*key, sum(counts), sources, counts))
-        if out:
-            yield batch_of(out)
-
-    merged = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return merged.mapInArrow(run, "lang string, term string, n long, sources array<string>, counts array<long>")
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                made, open_ = merged(pa.concat_tables([open_, rows]) if open_ else rows, least)
+                yield made
+        if open_:
+            # a row behind all others closes the last term
+            end = pa.table([pa.array([""], t) if t == pa.string() else pa.array([0 if t == pa.int64() else []], t) for t in open_.schema.types], schema=open_.schema)
+            yield merged(pa.concat_tables([open_, end]), least)[0]
+
+    in_order = runs.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return in_order.mapInArrow(run, "lang string, term string, n long, sources array<string>, counts array<long>")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -181,28 +241,36 @@ def corrections(shares: DataFrame) -> DataFrame:
             sums.clear()
 
         for batch in batches:
-            for lang, own in zip(batch.column("lang").to_pylist(), batch.column("own")):
-                x = own.values
-                at, p, z = (np.asarray(x.field(k)).astype(np.int64) for k in ("at", "p", "z"))
-                known = names.setdefault(lang, {})
-                if any(k not in known for k in at.tolist()):
-                    known.update(zip(at.tolist(), x.field("source").to_pylist()))
-                order = np.argsort(at)
-                at, p, z = at[order], p[order], z[order]
-                cut = np.searchsorted(at, np.arange(0, at[-1] + SIDE + 1, SIDE))
-                sides = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi]
-                for i, one in sides:
-                    for j, two in sides:
-                        if i > j:
-                            continue
-                        gap = lambda u, v, one=one, two=two: np.abs(u[one, None] - v[None, two])
-                        more = gap(p, p) - gap(p, z) - gap(z, p) + gap(z, z)
-                        if i == j:
-                            more = np.triu(more, 1)
-                        m = sums.setdefault((lang, i, j), np.zeros((SIDE, SIDE), np.int64))
-                        m[np.ix_(at[one] - i * SIDE, at[two] - j * SIDE)] += more
-                if len(sums) > MATRICES:
-                    yield from done()
+            lists = batch.column("own")
+            x, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, p, z = (np.asarray(x.field(k)).astype(np.int64) for k in ("at", "p", "z"))
+            coded = batch.column("lang").dictionary_encode()
+            langs = coded.dictionary.to_pylist()
+            term, lang = np.repeat(np.arange(len(sizes)), sizes), np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            for k in np.unique(lang * (at.max() + 1) + at, return_index=True)[1].tolist() if len(at) else ():
+                names.setdefault(langs[lang[k]], {})[int(at[k])] = x.field("source")[k].as_py()
+            order = np.lexsort((at, term))
+            at, p, z = at[order], p[order], z[order]
+            # each of a term's sources meets those behind it
+            behind = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(at)) - 1
+            ends = np.cumsum(behind)
+            begin = 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+                many = behind[begin:end]
+                i = np.repeat(np.arange(begin, end), many)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+                more = np.abs(p[i] - p[j]) - np.abs(p[i] - z[j]) - np.abs(z[i] - p[j]) + np.abs(z[i] - z[j])
+                wide = int(at.max()) // SIDE + 1
+                tile = (lang[i] * wide + at[i] // SIDE) * wide + at[j] // SIDE
+                for t in np.unique(tile).tolist():
+                    here = np.flatnonzero(tile == t)
+                    key = (langs[t // wide // wide], t // wide % wide, t % wide)
+                    m = sums.setdefault(key, np.zeros((SIDE, SIDE), np.int64))
+                    np.add.at(m, (at[i[here]] % SIDE, at[j[here]] % SIDE), more[here])
+                    if len(sums) > MATRICES:
+                        yield from done()
+                begin = end
         yield from done()
 
     return terms.mapInArrow(run, "lang string, a string, b string, value long")

@@ -38,8 +38,10 @@ def plain(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, side, matrices", [(2**26, 1024, 16), (2_000, 3, 2)])
-def test_audit_is_that_of_plain_counting(spark, monkeypatch, block, side, matrices):
+@pytest.mark.parametrize("block, side, matrices, pairs", [(2**26, 1024, 16, 10**6), (2_000, 3, 2, 5)])
+def test_audit_is_that_of_plain_counting(spark, monkeypatch, block, side, matrices, pairs):
+    monkeypatch.setattr(divergence, "PAIRS", pairs)
+    monkeypatch.setattr(divergence, "PIECE_BYTES", 40 * pairs)
     monkeypatch.setattr(divergence, "SIDE", side)
     monkeypatch.setattr(divergence, "MATRICES", matrices)
     monkeypatch.setattr(divergence, "BATCH", 17)
@@ -58,10 +60,11 @@ def test_audit_is_that_of_plain_counting(spark, monkeypatch, block, side, matric
     assert got == want and len({x[2] for x in want}) == 2 and any(x[:3] == ("few", "a", "pair") and x[4] == 0 for x in want)
 
 
-def test_blocks_are_sorted_runs_of_bounded_size(spark):
+def test_blocks_are_sorted_runs_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE_BYTES", 500)
     docs = spark.createDataFrame([("en", "s", " ".join("w%s" % chr(97 + k % 26) * (1 + k // 26) for k in range(i % 50))) for i in range(200)], "lang string, source string, text string").coalesce(1)
-    runs = [tuple(x) for x in divergence.blocks(docs, 5_000).select("lang", "term", "source", "n").collect()]
-    breaks = sum(a[:3] >= b[:3] for a, b in zip(runs, runs[1:]))
+    runs = [tuple(x) for x in divergence.blocks(docs, 5_000).selectExpr("lang", "term", "docs", "aggregate(counts, 0L, (a, b) -> a + b)").collect()]
+    breaks = sum(a[:2] >= b[:2] for a, b in zip(runs, runs[1:]))
     assert 3 < breaks < len(runs) / 10 and sum(x[3] for x in runs) == sum(i % 50 for i in range(200))
 
 
