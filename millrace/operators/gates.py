@@ -63,6 +63,17 @@ def reconcile_counts(source: DataFrame, target: DataFrame, keys: Sequence[str],
     return one_row(s, t, gone, K.fingerprint(source, keys)).select("*", *fixed)
 
 
+def reconcile_by(source: DataFrame, target: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """For each value of ``by``, columns of both: (source, duplicates, target, orphans), counted like a whole table's."""
+    per_key = source.groupBy(*by, *keys).agg(F.count("*").alias("n"))
+    s = per_key.groupBy(*by).agg(F.sum("n").alias("source"), (F.sum("n") - F.count("*")).alias("duplicates"))
+    t = target.groupBy(*by).agg(F.count("*").alias("target"))
+    gone = K.anti(target.select(*by, *keys).distinct(), source, keys).groupBy(*by).agg(F.count("*").alias("orphans"))
+    counts = ["source", "duplicates", "target", "orphans"]
+    every = s.unionByName(t, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    return every.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
+
+
 class Approvals:
     """Approvals of deletes, each good for one use. Using one takes a marker file that only one writer can create, so two
     loads can't use the same approval."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -145,13 +147,16 @@ class Conflict(RuntimeError):
 class Version:
     """``number``: 0 where the table has none yet; ``folders``: partition value to folder; ``batches``: stream to the last of
     its batches that the table holds; ``schemas``: each schema that the table has had, as JSON, the current one last;
-    ``layout``: partition value to the number of the schema that its files were written with."""
+    ``layout``: partition value to the number of the schema that its files were written with; ``deletes``: folders of keys that
+    were deleted, to the columns of the keys; ``masked``: partition value to those of them that hold for its files."""
 
     number: int
     folders: dict[str, str]
     batches: dict[str, int]
     schemas: list[str] = field(default_factory=list)
     layout: dict[str, int] = field(default_factory=dict)
+    deletes: dict[str, list[str]] = field(default_factory=dict)
+    masked: dict[str, list[str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -172,13 +177,31 @@ class VersionedTable:
     under a name that only one writer can take. If another load has taken it meanwhile, nothing is lost: this one reads the
     table again and starts over, some times, or fails. Readers take the last manifest, so a failed load changes nothing, and
     old readers keep theirs. Columns are the manifest's: no file's footer decides them, and a landing that lacks some leaves
-    their values as they are."""
+    their values as they are. Deletes write their keys, which readers leave out until a compaction or a later merge of the
+    partition has folded them in.
+
+    Partitions are the values of a column, or, with ``buckets``, each value's ``buckets`` parts by the hash of the columns
+    ``by``: a merge of few keys then reads and writes their buckets only. A table without a partition column has buckets
+    alone."""
 
     spark: SparkSession
     path: str
-    partition: str
+    partition: str | None
     #: Rows of a file at most.
     file_rows: int = 10_000_000
+    buckets: int = 0
+    by: tuple[str, ...] = ()
+    #: A delete that brings a partition's delete sets to more than this compacts it.
+    most_deletes: int = 16
+
+    def __post_init__(self):
+        if not self.partition and not self.buckets or bool(self.buckets) != bool(self.by):
+            raise ValueError("a table has a partition column, or buckets by some columns, or both")
+
+    def _needed(self, keys: Sequence[str]) -> None:
+        for c in (*([self.partition] if self.partition else []), *self.by):
+            if c not in keys:
+                raise ValueError(f"{c} is not part of the key")
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -187,12 +210,14 @@ class VersionedTable:
     def versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in names(self.spark, f"{self.path}/manifests") if n.endswith(".json"))
 
-    def version(self) -> Version:
-        known = self.versions()
-        if not known:
+    def version(self, number: int | None = None) -> Version:
+        """The last version, or that of ``number``, while it is kept."""
+        if number is None:
+            number = max(self.versions(), default=0)
+        if not number:
             return Version(0, {}, {})
-        text = self.spark.read.text(f"{self.path}/manifests/{known[-1]}.json", wholetext=True).first()[0]
-        return Version(known[-1], **json.loads(text))
+        text = self.spark.read.text(f"{self.path}/manifests/{number}.json", wholetext=True).first()[0]
+        return Version(number, **json.loads(text))
 
     def current(self) -> dict[str, str]:
         """Partition value to folder."""
@@ -210,34 +235,48 @@ class VersionedTable:
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), True) for f in self.schema() or ()], "column string, type string, nullable boolean")
 
     def _rows(self, now: Version, folders: dict[str, str], schema: StructType) -> DataFrame:
-        """Rows of some partitions in the columns of ``schema``, each file read by the schema that it was written with."""
-        by: dict[int, set[str]] = {}
+        """Rows of some partitions in the columns of ``schema``, each file read by the schema that it was written with, without
+        the keys that were deleted since."""
+        by: dict[tuple, set[str]] = {}
         for value, folder in folders.items():
-            by.setdefault(now.layout.get(value, -1), set()).add(folder)
-        parts = []
-        for k, found in sorted(by.items()):
+            by.setdefault((now.layout.get(value, -1), tuple(now.masked.get(value, ()))), set()).add(folder)
+        own, parts = self.schema(now), []
+        for (k, masks), found in sorted(by.items()):
             reader = self.spark.read.schema(StructType.fromJson(json.loads(now.schemas[k]))) if k >= 0 else self.spark.read
-            parts.append(conformed(reader.parquet(*sorted(found)), schema))
+            rows = reader.parquet(*sorted(found))
+            sets: dict[tuple[str, ...], list[str]] = {}
+            for m in masks:
+                sets.setdefault(tuple(now.deletes[m]), []).append(m)
+            for keys, paths in sets.items():
+                kinds = StructType([own[k] for k in keys])
+                rows = K.anti(conformed(rows, own), reduce(DataFrame.unionAll, (conformed(self.spark.read.parquet(p), kinds) for p in paths)), keys)
+            parts.append(conformed(rows, schema))
         return reduce(DataFrame.unionAll, parts)
 
-    def read(self, schema: StructType | str | None = None) -> DataFrame:
-        """The last version, in the table's own columns or in those of ``schema``."""
-        now = self.version()
+    def read(self, schema: StructType | str | None = None, number: int | None = None) -> DataFrame:
+        """The last version, or that of ``number``, in the table's own columns or in those of ``schema``."""
+        now = self.version(number)
         own, wanted = self.schema(now), StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if not now.folders:
             return self.spark.createDataFrame([], wanted or own)
         return self._rows(now, now.folders, wanted or own)
 
-    def commit(self, folders: dict[str, str], read: Version, batch: tuple[str, int] | None = None, schema: StructType | None = None, written: Sequence[str] = ()) -> int:
+    def commit(self, folders: dict[str, str], read: Version, batch: tuple[str, int] | None = None, schema: StructType | None = None, written: Sequence[str] = (), gone: tuple[str, Sequence[str], Sequence[str]] | None = None) -> int:
         """The version after ``read``, if no other load has written it. ``batch``: a stream and the batch that it now holds.
-        ``written``: partitions whose files have ``schema``, which becomes the table's."""
+        ``written``: partitions whose files have ``schema``, which becomes the table's. ``gone``: a folder of deleted keys, their
+        columns, and the partitions that they are in."""
         schemas, layout = list(read.schemas), dict(read.layout)
         if schema is not None:
             if not schemas or schemas[-1] != schema.json():
                 schemas.append(schema.json())
             layout |= dict.fromkeys(written, len(schemas) - 1)
+        masked = {k: v for k, v in read.masked.items() if k in folders and k not in written}
+        if gone:
+            masked |= {k: [*masked.get(k, []), gone[0]] for k in gone[2]}
+        held = {m for v in masked.values() for m in v}
+        deletes = {k: v for k, v in (read.deletes | ({gone[0]: list(gone[1])} if gone else {})).items() if k in held}
         number = read.number + 1
-        manifest = {"folders": folders, "batches": read.batches | dict([batch] if batch else []), "schemas": schemas, "layout": {k: v for k, v in layout.items() if k in folders}}
+        manifest = {"folders": folders, "batches": read.batches | dict([batch] if batch else []), "schemas": schemas, "layout": {k: v for k, v in layout.items() if k in folders}, "deletes": deletes, "masked": masked}
         if not create_once(self.spark, f"{self.path}/manifests", f"{number}.json", json.dumps(manifest, sort_keys=True).encode()):
             raise Conflict(f"version {number} of {self.path} was written by another load")
         return number
@@ -253,7 +292,11 @@ class VersionedTable:
         raise AssertionError
 
     def _value(self) -> Column:
-        return F.coalesce(F.col(self.partition).cast("string"), F.lit("__null__"))
+        parts = [F.coalesce(F.col(self.partition).cast("string"), F.lit("__null__"))] if self.partition else []
+        if self.buckets:
+            # of texts, so that a number's type doesn't matter
+            parts.append(F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in self.by)), F.lit(self.buckets)).cast("string"))
+        return F.concat_ws("#", *parts)
 
     def _write(self, rows: DataFrame, touched: Sequence[str], place: str | None = None) -> dict[str, str]:
         """New folders for ``touched`` partitions."""
@@ -309,8 +352,7 @@ class VersionedTable:
         that loses nothing, else the merge is refused. ``newer``: a column by which a row replaces only one that isn't newer,
         see :func:`upsert_columns`. ``batch``: a stream and the number of its batch; a batch that the table holds already
         isn't merged again. ``stored``: rows are a written table already."""
-        if self.partition not in keys:
-            raise ValueError(f"{self.partition} is not part of the key")
+        self._needed(keys)
         rows = rows.drop(*(f.name for f in rows.schema if f.dataType.simpleString() == "void"))
         rows = rows if stored else reliable(rows)
         touched = self.touched(rows)
@@ -327,10 +369,14 @@ class VersionedTable:
         return self._retried(attempt)
 
     def delete(self, gone: DataFrame, keys: Sequence[str]) -> int:
-        """Rows with the keys of ``gone`` go away. The keys hold the partition, and none may be missing or occur twice."""
-        gone = reliable(gone.select(*keys))
-        if self.partition not in keys:
-            raise ValueError(f"{self.partition} is not part of the key")
+        """Rows with the keys of ``gone`` go away. The keys hold the partition, and none may be missing or occur twice. What is
+        written are the keys; partitions with many such sets are compacted."""
+        self._needed(keys)
+        place, own = f"{self.path}/deletes/{uuid.uuid4().hex}", {f.name.lower(): f.name for f in self.schema() or ()}
+        keys = [own.get(k.lower(), k) for k in keys]
+        rows = gone.select(*keys)
+        rows.write.parquet(place)
+        gone = self.spark.read.schema(rows.schema).parquet(place)
         if not gone.where(~K.complete(keys)).isEmpty():
             raise ValueError("keys to delete are missing")
         if K.counts(gone, keys).first().n_duplicates:
@@ -338,11 +384,54 @@ class VersionedTable:
         asked = self.touched(gone)
 
         def attempt(now: Version) -> int:
-            touched = {x: now.folders[x] for x in asked if x in now.folders}
-            if not touched:
+            touched = [x for x in asked if x in now.folders]
+            return self.commit(now.folders, now, None, self.schema(now), (), (place, keys, touched)) if touched else now.number
+
+        number = self._retried(attempt)
+        full = [k for k, v in self.version().masked.items() if len(v) > self.most_deletes]
+        return self.compact(full) if full else number
+
+    def compact(self, values: Sequence[str] | None = None) -> int:
+        """Fold deleted keys into the files of all partitions that have any, or of ``values``; what readers see doesn't change."""
+
+        def attempt(now: Version) -> int:
+            due = {k: now.folders[k] for k in now.masked if values is None or k in values}
+            if not due:
                 return now.number
             schema = self.schema(now)
-            folders = self._write(delete_keys(self._rows(now, touched, schema), gone, keys), list(touched))
-            return self.commit({k: v for k, v in now.folders.items() if k not in touched} | folders, now, None, schema, list(folders))
+            folders = self._write(self._rows(now, due, schema), list(due))
+            return self.commit({k: v for k, v in now.folders.items() if k not in due} | folders, now, None, schema, list(due))
 
         return self._retried(attempt)
+
+    def drop_partitions(self, gone: Callable[[str], bool]) -> int:
+        """Partitions whose value ``gone`` says so of go away: a new manifest, and no file is read or written."""
+
+        def attempt(now: Version) -> int:
+            left = {k: v for k, v in now.folders.items() if not gone(k.split("#")[0] if self.partition and self.buckets else k)}
+            return now.number if left == now.folders else self.commit(left, now)
+
+        return self._retried(attempt)
+
+    def expire(self, keep: int = 1, grace: timedelta = timedelta(days=7)) -> int:
+        """Forget all but the last ``keep`` versions and those that are younger than ``grace``, and delete the folders that no
+        version left names, unless they are younger too: a load may be about to name them. How many folders went away."""
+        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
+        oldest = (time.time() - grace.total_seconds()) * 1000
+        young = lambda p: fs.getFileStatus(p).getModificationTime() > oldest
+        known = self.versions()
+        for n in known[: max(0, len(known) - max(1, keep))]:
+            if not young(path(f"{self.path}/manifests/{n}.json")):
+                fs.delete(path(f"{self.path}/manifests/{n}.json"), False)
+        named = set()
+        for n in self.versions():
+            v = self.version(n)
+            named |= {*v.folders.values(), *v.deletes}
+        tail = lambda p: "/".join(str(p).rstrip("/").split("/")[-3:])  # noqa: E731  however the store writes a path's beginning
+        kept, count = {tail(x) for x in named}, 0
+        for pattern in ("data/*/__part=*", "deletes/*"):
+            for x in fs.globStatus(path(f"{self.path}/{pattern}")) or ():
+                if tail(x.getPath().toString()) not in kept and not young(x.getPath()):
+                    fs.delete(x.getPath(), True)
+                    count += 1
+        return count

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from millrace.plans.storage import reliable
 from millrace.sources import reads
 from millrace.sources.spec import PRIORITY, TableSpec, increment_field, normalize, scan
 
-MODES = ("incremental", "full", "reset", "snapshot")
+MODES = ("incremental", "full", "reset", "snapshot", "window")
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def load(
 ) -> LoadResult:
     """Load one table. A check that fails changes nothing in front of the write, as versions are committed last.
 
-    incremental: rows changed since the target's watermark are merged; ``changed`` is the column that says so, by default
+    window: all rows are merged, see :func:`reload_window`. incremental: rows changed since the target's watermark are merged; ``changed`` is the column that says so, by default
     that of the spec's change field, and without one all rows are merged. full: all rows are merged and orphans deleted, if
     the checks allow. reset and snapshot: the target becomes the source; their reads ignore the watermark. They are staged,
     counted and then published: rows that don't fit, a source that fell by more than a tenth of ``previous``, or a staged
@@ -74,12 +74,12 @@ def load(
         return LoadResult(spec.name, status, reason, counts.fetched, written, deleted, counts.filtered, snapshot, counts.unread, absent)
 
     if counts.fetched == 0:
-        return result("success", "no changes") if mode == "incremental" else result("failed", "source is empty")
+        return result("success", "no changes") if mode in ("incremental", "window") else result("failed", "source is empty")
     if counts.n_rows == 0:
         return result("failed", "no row fits the table")
     if counts.n_incomplete:
         return result("failed", "keys are missing")
-    if spec.date and mode in ("incremental", "full"):
+    if spec.date and mode in ("incremental", "full", "window"):
         dates = gates.date_gate(rows, target, spec.identity, spec.date).first()
         if dates.status != "passed":
             return result("failed", dates.reason)
@@ -106,7 +106,7 @@ def load(
             return result("failed", checked.reason if checked.status != "passed" else why, snapshot="aborted")
         table.publish(made)
         return result("success", "replaced", written, 0, snapshot)
-    if mode == "incremental":
+    if mode in ("incremental", "window"):
         return result("partial" if counts.filtered else "success", "merged", written, 0, state(False)[0])
     short = written < counts.n_keys
     found = reliable(gates.orphan_decision(gates.reconcile_counts(rows, target, spec.keys, previous, counts.filtered, short)))
@@ -127,6 +127,14 @@ def load(
     return result("success" if done and decision.decision != "blocked" else "partial", reason, written, deleted, state(done and decision.decision != "blocked")[0])
 
 
+def reload_window(table: merge.VersionedTable, spec: TableSpec, landed: DataFrame, window: str, stamp: str, order: Sequence[Column], defaults: dict[str, str] | None = None) -> LoadResult:
+    """Load one window of a table again, by the filter that its manifest has frozen: an SQL predicate over the landed fields,
+    which reaches their scan like the spec's own. The window's rows are merged; others, the watermark and orphans are left
+    alone, and an empty window writes nothing. ``defaults`` of the manifest give way to the spec's."""
+    own = replace(spec, filters=(*spec.filters, window), defaults=(defaults or {}) | spec.defaults)
+    return load(table, own, landed, "window", stamp, order)
+
+
 def run_all(jobs: dict[str, Callable[[], LoadResult]], at_once: int = 8) -> list[LoadResult]:
     """Small tables first, then medium ones, each together; large ones last and one by one. A failure ends one table."""
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1212,6 +1212,99 @@ def k4_fallen_snapshot(spark, sf_dir):
     return outcome(spark, sync.load(t, LOAD_SPEC, o.where("o_orderkey % 8 <> 0"), "snapshot", LATER, last(), previous=o.count()), t)
 
 
+@query("a9_window_reload", "SELECT o_orderkey AS order_key, o_orderstatus AS status, CAST(CASE WHEN o_orderdate >= TIMESTAMP '1998-03-01' AND o_orderdate < TIMESTAMP '1998-04-01' THEN o_totalprice + 1 ELSE o_totalprice END AS DECIMAL(18,4)) AS price FROM orders")
+def a9_window_reload(spark, sf_dir):
+    """One month is loaded again; rows outside it stay as they are, though they have changed at the source too."""
+    t, changed = loaded(spark, sf_dir), orders(spark, sf_dir).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    for window in ("o_orderdate >= TIMESTAMP_NTZ '1998-03-01' AND o_orderdate < TIMESTAMP_NTZ '1998-04-01'", "o_orderdate < TIMESTAMP_NTZ '1900-01-01'"):
+        done = sync.reload_window(t, LOAD_SPEC, changed, window, LATER, last())
+        if done.status != "success":
+            raise RuntimeError(done.reason)
+    return t.read().select("order_key", "status", "price")
+
+
+@query("a15_manifest_files", """
+SELECT lower(c_name) AS "table", fault FROM customer, LATERAL (
+  SELECT 'manifest kind' AS fault WHERE c_custkey % 11 = 3 UNION ALL SELECT 'contract hash' WHERE c_custkey % 7 = 2
+  UNION ALL SELECT 'target table' WHERE c_custkey % 5 = 1 UNION ALL SELECT 'cursor key' WHERE c_custkey % 6 = 4 AND c_custkey % 2 = 0) WHERE c_custkey % 13 <> 5
+UNION ALL SELECT lower(c_name), CASE WHEN c_custkey % 2 = 0 THEN 'not a JSON object' ELSE 'no table mappings' END FROM customer WHERE c_custkey % 13 = 5""")
+def a15_manifest_files(spark, sf_dir):
+    """Manifests of one table each, written as JSON documents and read back; some are cut off, some have no mappings."""
+    path, k = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}", F.col("c_custkey")
+    m = manifest(spark, sf_dir).withColumn("form", F.col("table"))
+    mapping = F.struct("form", "table", "target_table", "primary_key", "storage_key", "cursor_key", "mode", "filters")
+    bodies = m.select("table", F.to_json(F.struct("manifest_kind", "contract_hash", F.array(mapping).alias("table_mappings"))).alias("whole"), F.to_json(F.struct("manifest_kind")).alias("bare"))
+    rows = bodies.join(table(spark, sf_dir, "customer").select(F.lower("c_name").alias("table"), "c_custkey"), "table")
+    body = F.when((k % 13 == 5) & (k % 2 == 0), F.substring("whole", 2, 40)).when(k % 13 == 5, F.col("bare")).otherwise(F.col("whole"))
+    rows.select("table", F.concat_ws("\t", "table", body).alias("value")).select("value").write.text(path)
+    landed = spark.read.text(path).select(F.split("value", "\t", 2)[0].alias("name"), F.split("value", "\t", 2)[1].alias("body"))
+    mappings, broken = reads.manifests(landed, "body")
+    return reads.manifest_faults(mappings.drop("name")).unionAll(broken.select(F.col("name").alias("table"), "fault"))
+
+
+@query("q8_orphans_by_customer", """
+WITH s AS (SELECT o_custkey, count(*) AS source FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1), t AS (SELECT o_custkey, count(*) AS target, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS orphans FROM orders GROUP BY 1),
+c AS (SELECT o_custkey, coalesce(source, 0) AS source, 0 AS duplicates, target, orphans FROM t LEFT JOIN s USING (o_custkey)),
+r AS (SELECT *, CASE WHEN source <= 0 THEN 'nothing in the source' WHEN source * 100 < target * 90 THEN 'source fell by more than a tenth' WHEN orphans = 0 THEN 'no orphans' WHEN orphans <= 1000 AND orphans * 100 <= target THEN 'few enough orphans to delete' ELSE 'too many orphans to delete unasked' END AS reason FROM c)
+SELECT o_custkey, source, duplicates, target, orphans, CASE WHEN reason LIKE 'nothing%' OR reason LIKE 'source%' THEN 'blocked' WHEN reason LIKE 'too%' THEN 'approval_required' ELSE 'auto_approved' END AS decision, reason FROM r""")
+def q8_orphans_by_customer(spark, sf_dir):
+    """What a load of each customer's orders would find, as counted: orders of the source, of the target, and those gone."""
+    target = orders(spark, sf_dir).select("o_custkey", "o_orderkey")
+    found = gates.reconcile_by(target.where("o_orderkey % 7 <> 0"), target, ["o_orderkey"], ["o_custkey"])
+    counts = found.withColumns({"previous": F.col("target"), "filtered": F.lit(0).cast("long"), "partial": F.lit(False)})
+    return gates.orphan_decision(counts).select("o_custkey", "source", "duplicates", "target", "orphans", "decision", "reason")
+
+
+@query("q6_snapshots_by_month", """
+WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS fetched, count(*) FILTER (WHERE month(o_orderdate) % 5 <> 0 AND (o_orderkey % 50 <> 0 OR month(o_orderdate) % 2 = 0)) AS written FROM orders GROUP BY 1)
+SELECT month, fetched, written, CASE WHEN written <= 0 THEN 'nothing was written' WHEN written < fetched THEN 'fewer rows were written than fetched' ELSE 'ok' END AS reason, CASE WHEN written < fetched THEN 'aborted' ELSE 'validated' END AS status FROM c""")
+def q6_snapshots_by_month(spark, sf_dir):
+    """Snapshots of a month each, as counted: what was fetched, and what a written table holds of it, which lacks some."""
+    o = orders(spark, sf_dir).select("o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    t = new_table(spark, "month")
+    t.replace(o.where((F.month("o_orderdate") % 5 != 0) & ((F.col("o_orderkey") % 50 != 0) | (F.month("o_orderdate") % 2 == 0))))
+    counts = gates.reconcile_by(o, t.read(), ["o_orderkey"], ["month"]).select("month", (F.col("source") - F.col("duplicates")).alias("fetched"), F.col("target").alias("written"), F.lit(1).alias("key_columns"))
+    return gates.snapshot_gate(counts).select("month", "fetched", "written", "reason", "status")
+
+
+@query("k5_delete_sets", "SELECT o_orderkey AS order_key, (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) AS n_written, TRUE AS same FROM orders WHERE o_orderkey % 9 <> 0")
+def k5_delete_sets(spark, sf_dir):
+    """Deleted keys are written as keys, and no partition anew; a compaction folds them in, and readers see no difference."""
+    t = loaded(spark, sf_dir)
+    before = t.current()
+    t.delete(t.read().where("order_key % 9 = 0").select("status", "order_key"), ["status", "order_key"])
+    if t.current() != before:
+        raise RuntimeError("partitions were written")
+    n = sum(spark.read.parquet(p).count() for p in t.version().deletes)
+    mark = K.fingerprint(t.read(), ["order_key"]).first()[0]
+    t.compact()
+    same = not t.version().deletes and K.fingerprint(t.read(), ["order_key"]).first()[0] == mark
+    return t.read().select("order_key", F.lit(n).cast("long").alias("n_written"), F.lit(same).alias("same"))
+
+
+@query("k1_bucket_merge", "SELECT o_orderkey AS order_key, CASE WHEN o_orderkey IN (SELECT max(o_orderkey) FROM orders UNION ALL SELECT min(o_orderkey) FROM orders) THEN 'new' ELSE o_orderpriority END AS note, TRUE AS few FROM orders")
+def k1_bucket_merge(spark, sf_dir):
+    """A table in buckets by the hash of its key: a merge of two keys reads and writes two buckets at most."""
+    t = new_table(spark, None, buckets=16, by=("order_key",))
+    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("note"))
+    t.replace(rows)
+    before = t.current()
+    ends = rows.agg(F.array(F.min("order_key"), F.max("order_key")).alias("k")).select(F.explode("k").alias("order_key"), F.lit("new").alias("note"))
+    t.merge(ends, ["order_key"])
+    few = sum(before.get(k) != v for k, v in t.current().items()) <= 2
+    return t.read().withColumn("few", F.lit(few))
+
+
+@query("k11_table_retention", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events WHERE ts < TIMESTAMP '2024-01-15') AS n_folders FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def k11_table_retention(spark, sf_dir):
+    """Days before a date are dropped by the manifest alone; then the files that no version names any more go away."""
+    t = new_table(spark, "day")
+    t.replace(table(spark, sf_dir, "events").select("event_id", F.to_date("ts").cast("string").alias("day")))
+    t.drop_partitions(lambda day: day < "2024-01-15")
+    gone = t.expire(1, timedelta(0))
+    return t.read().withColumn("n_folders", F.lit(gone).cast("long"))
+
+
 @query("a13_target_schema", "SELECT * FROM (VALUES ('order_key', 'bigint'), ('status', 'string'), ('price', 'decimal(18,4)'), ('sync_time', 'timestamp_ntz')) v(\"column\", type), (SELECT TRUE AS nullable), (SELECT count(*) AS n_filled FROM orders)")
 def a13_target_schema(spark, sf_dir):
     """The columns of a stored table, and how many of its rows fill each."""

@@ -82,3 +82,22 @@ def manifest_faults(tables: DataFrame) -> DataFrame:
 def window_mappings(tables: DataFrame, window: str) -> DataFrame:
     """Mappings that can be loaded for a window: of the right mode, with a frozen filter for it."""
     return tables.where("mode = 'window_supported'").withColumn("filter", F.element_at("filters", window)).where("filter IS NOT NULL")
+
+
+#: What a manifest document holds.
+MANIFEST = (
+    "manifest_kind string, contract_hash string, migration_tables array<string>, windows array<struct<id: string, start: string, end: string>>, "
+    "table_mappings array<struct<form: string, table: string, target_table: string, primary_key: array<string>, storage_key: array<string>, cursor_key: array<string>, mode: string, filters: map<string, string>, default_values: map<string, string>>>"
+)
+
+
+def manifests(documents: DataFrame, body: str) -> tuple[DataFrame, DataFrame]:
+    """(mappings, broken) of JSON documents, one manifest in each row's ``body``: a row for each table mapping, with its
+    manifest's kind and hash and the other columns of ``documents``; and the documents that are no manifest, with ``fault``:
+    text that is no JSON object, or one without table mappings."""
+    rest = [c for c in documents.columns if c != body]
+    parsed = documents.withColumn("__m", F.from_json(body, MANIFEST, {"mode": "PERMISSIVE"}))
+    fault = F.when(F.col("__m").isNull() | ~F.coalesce(F.col(body).rlike(r"^\s*\{"), F.lit(False)), "not a JSON object").when(F.coalesce(F.size("__m.table_mappings"), F.lit(0)) <= 0, "no table mappings")
+    judged = parsed.withColumn("fault", fault)
+    good = judged.where("fault IS NULL").select(*rest, F.col("__m.manifest_kind").alias("manifest_kind"), F.col("__m.contract_hash").alias("contract_hash"), F.col("__m.windows").alias("windows"), F.explode("__m.table_mappings").alias("t"))
+    return good.select(*rest, "manifest_kind", "contract_hash", "windows", "t.*"), judged.where("fault IS NOT NULL").select(*documents.columns, "fault")

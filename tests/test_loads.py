@@ -383,6 +383,66 @@ def test_landing_without_a_column(spark):
     assert t.read().count() == 0 and len(t.read().columns) == 5
 
 
+def test_deletes_write_keys_and_are_folded_in(spark):
+    t = new_table(spark, "p")
+    t.replace(spark.range(1000).selectExpr("id", "CAST(id % 3 AS STRING) AS p", "id * 2 AS v"))
+    before = t.current()
+    t.delete(spark.createDataFrame([(i, str(i % 3)) for i in range(10)], "id bigint, p string"), ["p", "id"])
+    t.delete(spark.createDataFrame([(30, "0")], "id int, p string"), ["p", "id"])
+    assert t.current() == before and sorted(len(v) for v in t.version().masked.values()) == [1, 1, 2]
+    written = [spark.read.parquet(x).count() for x in t.version().deletes]
+    assert sorted(written) == [1, 10] and t.read().count() == 989 and t.read("v bigint").count() == 989
+    # a key that comes back is there, its partition is written anew, and others keep their deletes
+    t.merge(spark.createDataFrame([(3, "0", 7)], "id bigint, p string, v bigint"), ["p", "id"])
+    assert t.read().where("id < 10").count() == 1 and sorted(t.version().masked) == ["1", "2"]
+    seen = sorted_rows(t.read())
+    number = t.compact()
+    assert sorted_rows(t.read()) == seen and not t.version().masked and not t.version().deletes and t.compact() == number
+    small = merge.VersionedTable(spark, t.path, "p", most_deletes=1)
+    for i in (40, 43):
+        small.delete(spark.createDataFrame([(i, "1")], "id int, p string"), ["p", "id"])
+    assert not small.version().masked and small.read().count() == len(seen) - 2
+    t.delete(spark.createDataFrame([(777777, "no such part")], "id int, p string"), ["p", "id"])
+    t.replace(spark.createDataFrame([(1, "1", 1)], "id bigint, p string, v bigint"))
+    assert t.read().count() == 1
+
+
+def test_merge_touches_only_the_buckets_of_its_keys(spark):
+    t = merge.VersionedTable(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", None, buckets=8, by=("id",))
+    t.replace(spark.range(500).selectExpr("CAST(id AS INT) AS id", "'old' AS v"))
+    before = t.current()
+    t.merge(spark.createDataFrame([(7, "new"), (5000, "new")], "id bigint, v string"), ["id"])
+    changed = [k for k, v in t.current().items() if before.get(k) != v]
+    assert len(before) == 8 and 1 <= len(changed) <= 2 and t.read().count() == 501 and t.read().where("v = 'new'").count() == 2
+    both = merge.VersionedTable(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", "v", buckets=2, by=("id",))
+    both.replace(t.read())
+    assert len(both.current()) in (3, 4) and both.read().count() == 501
+    both.drop_partitions(lambda x: x == "new")
+    assert sorted_rows(both.read().select("v").distinct()) == [("old",)]
+    with pytest.raises(ValueError):
+        t.merge(spark.createDataFrame([("x",)], "v string"), ["v"])
+    for bad in ({"partition": None}, {"partition": None, "buckets": 3}, {"partition": "p", "by": ("id",)}):
+        with pytest.raises(ValueError):
+            merge.VersionedTable(spark, "x", **bad)
+
+
+def test_retention_of_a_stored_table(spark):
+    t = new_table(spark, "day")
+    t.replace(spark.range(30).selectExpr("id", "CONCAT('2024-01-', LPAD(CAST(id % 10 + 1 AS STRING), 2, '0')) AS day"))
+    t.merge(spark.createDataFrame([(100, "2024-01-10")], "id bigint, day string"), ["day", "id"])
+    t.delete(spark.createDataFrame([(9, "2024-01-10")], "id bigint, day string"), ["day", "id"])
+    old = t.current()
+    t.drop_partitions(lambda day: day < "2024-01-06")
+    assert t.read().count() == 15 and all(t.current()[k] == old[k] for k in t.current()) and t.drop_partitions(lambda day: False) == 4
+    # within the grace period nothing goes; then what only old versions name
+    assert t.expire() == 0 and t.read(number=1).count() == 30
+    seen = sorted_rows(t.read())
+    assert t.expire(2, timedelta(0)) == 1 and t.versions() == [3, 4] and t.read(number=3).count() == 30
+    assert t.expire(1, timedelta(0)) == 5 and t.versions() == [4] and sorted_rows(t.read()) == seen
+    t.compact()
+    assert t.expire(1, timedelta(0)) == 2 and sorted_rows(t.read()) == seen
+
+
 def test_types_that_hold_both():
     from pyspark.sql.types import StructType
 
