@@ -1,8 +1,10 @@
 """Personal data: patterns for e-mail, IP, card and phone, and terms that disclose them.
 
 Base spans come from regular expressions, leftmost and without overlap for each kind, then checked by value. The method
-on top is information-theoretic sanitisation. An entity is a value of a base span; its contexts are the ``REACH``
-characters on either side. The corpus gives the shares of documents that hold the entity, p(e), the term, p(t), and the
+on top is information-theoretic sanitisation. An entity is a value of a base span, or the pool that its value belongs to: the
+domain of an address, the first two numbers of an IP, the first ``POOL`` digits or signs of a card or phone number; so evidence
+also gathers where each value stands in one text only. An entity's contexts are the ``REACH`` characters on either side of its
+spans. The corpus gives the shares of documents that hold the entity, p(e), the term, p(t), and the
 term in a context of the entity, p(e, t). A term discloses an entity when their pointwise mutual information
 log2(p(e, t) / (p(e) p(t))) reaches the share ``DISCLOSED`` of the entity's information -log2 p(e), which it has in full
 when the term only occurs with the entity. That is p(e | t) >= p(e)^(1 - DISCLOSED), and as counts are small, Chernoff's
@@ -35,6 +37,8 @@ REACH = 60
 LEAST = 2
 DOUBT = 0.1
 DISCLOSED = 0.8
+#: Digits at the start of a card or phone number that make its pool, an issuer or an area.
+POOL = 6
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Base patterns. A run that fails is not tried again from its middle: a match starts where its run does, or where the
@@ -144,8 +148,15 @@ def united(spans: Column) -> Column:
     return folded(spans, F.struct(F.lit(-1).alias("number"), F.lit(0).alias("far")), "struct<number: int, first: boolean, start: int, far: int>", step)
 
 
+def entities(s: Column) -> Column:
+    """Marks of what a base span names: its value, and the pool that values of its kind share."""
+    value, rank = F.lower(F.translate(s["value"], " ().-", "")), s["rank"].cast("string")
+    pool = F.when(s["rank"] == 0, F.substring_index(F.lower(s["value"]), "@", -1)).when(s["rank"] == 1, F.substring_index(s["value"], ".", 2)).otherwise(F.substring(value, 1, POOL))
+    return F.array(F.md5(F.concat(rank, value)), F.md5(F.concat(rank, F.lit(" pool "), pool)))
+
+
 def contexts(text: Column, spans: Column) -> Column:
-    """For each base span: its entity, the terms around it, and a mark of the context."""
+    """For each base span: its entities, the terms around it, and a mark of the context."""
 
     def around(s: Column, u: Column, parts: Column, unions: Column) -> Column:
         begin = F.greatest(s["start"] - REACH, F.lit(0))
@@ -157,7 +168,7 @@ def contexts(text: Column, spans: Column) -> Column:
         terms = F.concat(moved(lefts, begin), moved(rights, s["stop"]))
         near = F.slice(unions, F.greatest(u["number"] - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR + 1))
         free = F.filter(terms, lambda t: ~F.exists(near, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-        return F.struct(F.md5(F.concat(s["rank"].cast("string"), F.lower(F.translate(s["value"], " ().-", "")))).alias("entity"), F.md5(F.concat_ws("\x00", left, right)).alias("context"), free.alias("terms"))
+        return F.struct(entities(s).alias("entities"), F.md5(F.concat_ws("\x00", left, right)).alias("context"), free.alias("terms"))
 
     def each(v: Column) -> Column:
         lasts = F.filter(v["of"], lambda x, i: F.coalesce(F.get(v["of"], i + 1)["first"], F.lit(True)))
@@ -185,10 +196,11 @@ def found(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, rows: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED) -> DataFrame:
     """(mark, extra): spans of the terms that disclose any entity, for all texts that hold such terms. ``rows``: what :func:`found` gave."""
-    each = rows.where("contexts IS NOT NULL").select("mark", F.explode("contexts").alias("c")).select("mark", "c.entity", "c.context", "c.terms")
+    each = rows.where("contexts IS NOT NULL").select("mark", F.explode("contexts").alias("c")).select("mark", F.explode("c.entities").alias("entity"), "c.context", "c.terms")
     terms = each.select("mark", "entity", "context", F.explode("terms.value").alias("term"))
     # documents are counted by row: a row's own repeats count once
-    by_row = rows.where("contexts IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["value"].alias("term"))))))).alias("x")).select("x.*")
+    paired = lambda c: F.flatten(F.transform(c["entities"], lambda e: F.transform(c["terms"], lambda t: F.struct(e.alias("entity"), t["value"].alias("term")))))
+    by_row = rows.where("contexts IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", paired)))).alias("x")).select("x.*")
     both = by_row.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     seen = terms.groupBy("entity", "term", "context").agg(F.min("mark").alias("mark")).groupBy("entity", "term").agg(F.count_distinct("mark").alias("contexts")).where(F.col("contexts") >= LEAST)
     pairs = stash(seen.join(both, ["entity", "term"]), "pii-pairs")
@@ -199,7 +211,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, doubt: float = DOUBT, disclosed
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(F.md5(whole).alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))).alias("term"))
     held = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    entities = rows.where("contexts IS NOT NULL").select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = rows.where("contexts IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: c["entities"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = rows.count()
     counts = pairs.join(held, "term").join(entities, "entity").where(F.col("n_entity") < n)
     together = F.col("contexts")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -127,3 +128,68 @@ def test_few_contexts_and_all_occurrences(spark):
     assert not any("term" in s for i, s in got.items() if i not in (4000, 4001))
     clean = {x.doc_id: x.text for x in pii.sanitised(docs).collect()}
     assert clean[4001].count("<TERM>") == 2 and "eyerling" not in clean[4001]
+
+
+def flagged_by_counting(rows):
+    """Terms that disclose a value or its pool, by plain counting over all texts."""
+    context, contexts_of, by_row, holds, entity_rows = 60, {}, {}, {}, {}
+    for at, (_, t) in enumerate(rows):
+        t = t or ""
+        spans = plain(t)
+        for m in set(re.findall(r"[^\W\d_]{4,}", t.lower())):
+            holds.setdefault(m, set()).add(at)
+        for a, _, b, kind in spans:
+            low = max(0, a - context)
+            left, right = t[low:a], t[b : b + context]
+            found = [(low + m.start(), low + m.end()) for m in re.finditer(r"[^\W\d_]{4,}", left) if m.start() > 0 or low == 0]
+            found += [(b + m.start(), b + m.end()) for m in re.finditer(r"[^\W\d_]{4,}", right) if m.end() < context]
+            terms = {t[p:q].lower() for p, q in found if not any(u < q and p < v for u, _, v, _ in spans)}
+            bare = re.sub(r"[ ().-]", "", t[a:b]).lower()
+            pool = {"email": t[a:b].lower().rsplit("@", 1)[-1], "ip": ".".join(t[a:b].split(".")[:2])}.get(kind, bare[: pii.POOL])
+            for e in ((kind, bare), (kind, "pool", pool)):
+                entity_rows.setdefault(e, set()).add(at)
+                for x in terms:
+                    by_row.setdefault((e, x), set()).add(at)
+                    contexts_of.setdefault((e, x), {}).setdefault((left, right), t)
+    out, n = set(), len(rows)
+    for (e, x), seen in contexts_of.items():
+        # a context that several texts share counts for one of them
+        texts = len(set(seen.values()))
+        if texts < pii.LEAST or len(entity_rows[e]) >= n:
+            continue
+        share = texts / (texts + max(0, len(holds[x]) - len(by_row[e, x])))
+        floor = (len(entity_rows[e]) / n) ** (1 - pii.DISCLOSED)
+        if share > floor:
+            apart = share * math.log(share / floor) + ((1 - share) * math.log((1 - share) / (1 - floor)) if share < 1 else 0)
+            if texts / share * apart >= -math.log(pii.DOUBT):
+                out.add(x)
+    return out
+
+
+def test_terms_are_those_of_plain_counting(spark):
+    r = random.Random(12)
+    words = ["word%s%s" % (a, b) for a in "abcdefghij" for b in "abcdefghij"]
+    firms = {"acme": "Zaphod", "globex": "Trillian", "initech": "Marvin"}
+    rows = []
+    for i in range(1500):
+        body = [r.choice(words) for _ in range(40)]
+        if i % 50 == 0:
+            firm = r.choice(list(firms))
+            # each address is new, so only their domain repeats
+            body[20:20] = [firms[firm] if r.random() < 0.9 else "nobody", f"user{i}@{firm}.com"] + (["alsonear%s" % "xyz"[i % 3]] if i % 100 == 0 else [])
+        if i % 70 == 0:
+            body[5:5] = ["nobody", r.choice([f"10.{i % 3}.3.{i % 250}", "+49 171 55%05d" % i])]
+        rows.append((i, " ".join(body)))
+    rows += [(2000 + i, rows[7 * i][1]) for i in range(40)]
+    want = flagged_by_counting(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = set()
+    for x in pii.report(docs).collect():
+        t = dict(rows)[x.doc_id]
+        got |= {t[int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in x.spans.split(",") if s.startswith("term")}
+    assert got == want and {"zaphod", "trillian", "marvin"} <= want and "nobody" not in want, (got, want)
+
+
+def test_other_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.de", "x", 1, "y", 2.0)], "doc_id long, text string, pii_mark string, PII_BASE int, pii_extra string, pii_spans double")
+    assert tuple(pii.sanitised(docs).first()) == (1, "mail <EMAIL>", "x", 1, "y", 2.0)
