@@ -75,6 +75,34 @@ def fingerprint(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return middle.agg(digest.alias("fingerprint"))
 
 
+#: Leaves that a key set's digests are kept in.
+LEAVES = 4096
+
+
+def leaf(keys: Sequence[str], leaves: int = LEAVES) -> Column:
+    """The leaf that a key belongs to."""
+    return F.pmod(F.xxhash64(F.lit(2), encoded(keys)), F.lit(leaves)).cast("int")
+
+
+def leaf_digests(rows: DataFrame, keys: Sequence[str], *by: Column) -> DataFrame:
+    """(*by, leaf, n, sum, xor): for each leaf the number of its keys and two sums of their hashes, whatever their order.
+    Digests of disjoint sets add up. Keys of ``rows`` are unique."""
+    total = F.sum(F.xxhash64(F.lit(0), encoded(keys)).cast("decimal(38,0)"))
+    return rows.groupBy(*by, leaf(keys).alias("leaf")).agg(F.count("*").alias("n"), total.alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), encoded(keys))).alias("xor"))
+
+
+def added_digests(parts: DataFrame) -> DataFrame:
+    """Digests of a whole from those of its disjoint parts."""
+    return parts.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("sum").cast("decimal(38,0)").alias("sum"), F.bit_xor("xor").alias("xor"))
+
+
+def different_leaves(one: DataFrame, other: DataFrame) -> list[int]:
+    """The leaves in which two sets differ, by their digests: as many numbers as there are leaves, at most."""
+    both = one.unionAll(other.select("leaf", "n", (-F.col("sum")).alias("sum"), "xor").withColumn("n", -F.col("n")).select(*one.columns))
+    left = both.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
+    return sorted(r["leaf"] for r in left.where("n <> 0 OR sum <> 0 OR xor <> 0").select("leaf").collect())
+
+
 def out_of_order(rows: DataFrame, keys: Sequence[str], page: str, position: str) -> DataFrame:
     """Rows whose key isn't greater than that of the row before, in the order of pages and positions.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -435,3 +436,32 @@ class VersionedTable:
                     fs.delete(x.getPath(), True)
                     count += 1
         return count
+
+    def digests(self, keys: Sequence[str]) -> DataFrame:
+        """:func:`millrace.operators.keys.leaf_digests` of the last version's keys, kept for each partition's files: only
+        partitions that were written since the last call are read."""
+        now = self.version()
+        token = {k: hashlib.sha256(json.dumps([v, now.masked.get(k, []), list(keys)]).encode()).hexdigest() for k, v in now.folders.items()}
+        kept = set(names(self.spark, f"{self.path}/digests/marks"))
+        fresh = {k: v for k, v in now.folders.items() if token[k] not in kept}
+        if fresh:
+            place = f"{self.path}/digests/{uuid.uuid4().hex}"
+            rows = self._rows(now, fresh, self.schema(now)).withColumn("__part", self._value())
+            K.leaf_digests(rows, keys, F.col("__part")).write.parquet(place)
+            for k in fresh:
+                create_once(self.spark, f"{self.path}/digests/marks", token[k], json.dumps({"place": place, "part": k}).encode())
+        if not token:
+            return self.spark.createDataFrame([], "leaf int, n long, sum decimal(38,0), xor long")
+        marks = [json.loads(r[0]) for r in self.spark.read.text([f"{self.path}/digests/marks/{t}" for t in token.values()], wholetext=True).collect()]
+        known = self.spark.createDataFrame([(m["place"].split("/")[-1], m["part"]) for m in marks], "__place string, __part string")
+        stored = self.spark.read.parquet(*sorted({m["place"] for m in marks})).withColumn("__place", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        return K.added_digests(stored.join(known, ["__place", "__part"], "left_semi").select("leaf", "n", "sum", "xor"))
+
+    def orphans(self, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Keys of the last version that ``source`` doesn't have. Both sides' digests are compared, and only leaves in which
+        they differ are read and anti-joined: none, if the key sets are equal."""
+        leaves = K.different_leaves(self.digests(keys), K.leaf_digests(source.select(*keys).distinct(), keys).select("leaf", "n", "sum", "xor"))
+        if not leaves:
+            return self.spark.createDataFrame([], StructType([f for k in keys for f in (self.schema() or source.schema) if f.name.lower() == k.lower()]))
+        here = K.leaf(keys).isin(leaves)
+        return K.anti(self.read().select(*keys).where(here), source.select(*keys).where(here), keys)

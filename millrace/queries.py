@@ -1295,6 +1295,15 @@ def k1_bucket_merge(spark, sf_dir):
     return t.read().withColumn("few", F.lit(few))
 
 
+@query("j1_orphans_by_leaf", "SELECT o_orderstatus AS status, o_orderkey AS order_key, 0 AS n_read FROM orders WHERE o_orderkey % 499 = 0")
+def j1_orphans_by_leaf(spark, sf_dir):
+    """Orphans of a table by kept digests of its keys: equal sets differ in no leaf, and others are compared in theirs only."""
+    t, keys = loaded(spark, sf_dir), ["status", "order_key"]
+    source = t.read().select(*keys)
+    same = t.orphans(source, keys).count()
+    return t.orphans(source.where("order_key % 499 <> 0"), keys).withColumn("n_read", F.lit(same).cast("int"))
+
+
 @query("k11_table_retention", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events WHERE ts < TIMESTAMP '2024-01-15') AS n_folders FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def k11_table_retention(spark, sf_dir):
     """Days before a date are dropped by the manifest alone; then the files that no version names any more go away."""

@@ -407,6 +407,28 @@ def test_deletes_write_keys_and_are_folded_in(spark):
     assert t.read().count() == 1
 
 
+def test_digests_are_kept_and_find_orphans(spark):
+    t = new_table(spark, "p")
+    rows = spark.range(2000).selectExpr("id", "CAST(id % 5 AS STRING) AS p", "id * 2 AS v")
+    t.replace(rows)
+    keys = ["p", "id"]
+    whole = sorted_rows(K.leaf_digests(rows, keys))
+    assert sorted_rows(t.digests(keys)) == whole == sorted_rows(t.digests(keys)) and t.orphans(rows, keys).count() == 0
+    places = lambda: {x for x in merge.names(spark, f"{t.path}/digests") if x != "marks"}
+    assert len(places()) == 1
+    gone = rows.where("id % 500 <> 3")
+    assert sorted(r.id for r in t.orphans(gone, keys).collect()) == [3, 503, 1003, 1503] and len(places()) == 1
+    assert len(K.different_leaves(t.digests(keys), K.leaf_digests(gone, keys))) <= 4
+    # only what was written or deleted since is digested again; values of other columns don't matter
+    t.merge(spark.createDataFrame([(3, "3", 0), (5000, "0", 0)], "id bigint, p string, v bigint"), keys)
+    t.delete(spark.createDataFrame([(4, "4")], "id bigint, p string"), keys)
+    now = rows.where("id <> 4").select(*keys).unionAll(spark.createDataFrame([("0", 5000)], "p string, id bigint"))
+    assert sorted_rows(t.digests(keys)) == sorted_rows(K.leaf_digests(now, keys)) and len(places()) == 2
+    assert sorted(r.id for r in t.orphans(rows, keys).collect()) == [5000]
+    empty = new_table(spark, "p")
+    assert empty.digests(keys).count() == 0 and empty.orphans(rows, keys).count() == 0
+
+
 def test_merge_touches_only_the_buckets_of_its_keys(spark):
     t = merge.VersionedTable(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", None, buckets=8, by=("id",))
     t.replace(spark.range(500).selectExpr("CAST(id AS INT) AS id", "'old' AS v"))
