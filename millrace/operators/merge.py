@@ -460,7 +460,7 @@ class VersionedTable:
     def orphans(self, source: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Keys of the last version that ``source`` doesn't have. Both sides' digests are compared, and only leaves in which
         they differ are read and anti-joined: none, if the key sets are equal."""
-        leaves = K.different_leaves(self.digests(keys), K.leaf_digests(source.select(*keys).distinct(), keys).select("leaf", "n", "sum", "xor"))
+        leaves = K.different_leaves(self.digests(keys), K.leaf_digests(source.select(*keys).distinct(), keys)) if self.current() else []
         if not leaves:
             return self.spark.createDataFrame([], StructType([f for k in keys for f in (self.schema() or source.schema) if f.name.lower() == k.lower()]))
         here = K.leaf(keys).isin(leaves)
