@@ -9,8 +9,9 @@ pair at exactly the similarity falls short of that once in some millions. All li
 Copies are one text throughout. Buckets aren't compared pairwise. First each member meets its bucket's leader, the text that
 meets the most others: in a group of copies that is the one least changed, so most of the group is linked to it. Of its
 buckets' leaders each text is checked against the one with the highest estimate. Then buckets of which all members are in one
-component are closed; in the others the largest component is set aside, and a leader of the rest is elected in the same way,
-as long as that halves what is open. What is left outside its bucket's largest component meets all others of the bucket by
+component are closed; in the others the largest component is set aside. While that rest is so large in some buckets that its
+blocks, see below, would take more than twice the buckets' members, a leader of the rest is elected in the same way, as long
+as that halves what is open. What is left outside its bucket's largest component meets all others of the bucket by
 sketches, in blocks, so that no task holds a bucket, and only what is alike is checked; for each text its most alike partner
 first, and the others only if that leaves them apart. The blocks' work is that rest times its buckets.
 
@@ -41,6 +42,8 @@ VALUES = 2 * BANDS * ROWS
 BITS, DOUBT = 1024, 5.0
 #: Texts of a block that meet those of another, at most about so many.
 BLOCK, OTHERS = 512, 4096
+#: Bits of the bitmap that spares texts from being shuffled.
+FILTER = 2**24
 #: A task keeps about so many shingles of texts met before.
 CACHED = 2_000_000
 _FACTORS = np.random.default_rng(42).integers(0, 2**64, (2, VALUES), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -156,9 +159,16 @@ def estimated(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def wanted_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, text) of the texts of ``marks``, those that are alike to others."""
+    """(mark, text) of the texts of ``marks``, those that are alike to others.
+
+    Texts of other marks needn't be shuffled to find that out: nearly all of them miss a bitmap of the marks, which has at
+    most ``FILTER`` bits, as many rows as words of 64, however many marks there are."""
+    word, bit = F.shiftright(F.col("mark").bitwiseAND(F.lit(FILTER - 1)), 6), F.col("mark").bitwiseAND(F.lit(63)).cast("int")
+    bits = stash(marks.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")), "minhash-bits")
     marked = docs.select(text_mark(F.col("text")).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return marked.join(marks.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.min("text").alias("text"))
+    likely = marked.withColumn("word", word).join(F.broadcast(bits), "word").where(F.call_function("getbit", F.col("bits"), bit) == 1).select("mark", "text")
+    # an inner join with different marks: the optimizer would move a semi-join in front of the bitmap
+    return likely.join(marks.select("mark").distinct(), "mark").groupBy("mark").agg(F.min("text").alias("text"))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -192,7 +202,7 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """(mark, root) of all texts that have links, from those before and new ones."""
     if links.isEmpty():
         return found
-    roots = components(found.select(F.col("mark").alias("src"), F.col("root").alias("dst")).unionAll(links))
+    roots = components(found.select(F.col("mark").alias("src"), F.col("root").alias("dst")).unionAll(links), test=True)
     return stash(roots.select(F.col("node").alias("mark"), "root").unionAll(roots.select(F.col("root").alias("mark"), "root").distinct()), "minhash-roots")
 
 
@@ -230,10 +240,11 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: in
         tried = tried.unionAll(chosen)
         found = joined(found, confirmed(docs, chosen, shingle, percent))
         open_ = still_open(members, found)
-        rest = open_.where("rest").count()
+        per_band = open_.groupBy("band").agg(F.count_if("rest").alias("rest"), F.count("*").alias("held"))
+        rest, held, copies = per_band.agg(F.sum("rest"), F.sum("held"), F.sum(F.ceil(F.col("rest") / BLOCK) * F.col("held"))).first()
         if not rest:
             return found
-        if before is not None and 2 * rest > before:
+        if copies <= 2 * held or before is not None and 2 * rest > before:
             break
         before = rest
     left = stash(alike(open_, rows, percent).join(tried, ["src", "dst"], "left_anti"), "minhash-left")
