@@ -9,9 +9,8 @@ pair at exactly the similarity falls short of that once in some millions. All li
 Copies are one text throughout. Buckets aren't compared pairwise. First each member meets its bucket's leader, the text that
 meets the most others: in a group of copies that is the one least changed, so most of the group is linked to it. Of its
 buckets' leaders each text is checked against the one with the highest estimate. Then buckets of which all members are in one
-component are closed; in the others the largest component is set aside. While that rest is so large in some buckets that its
-blocks, see below, would take more than twice the buckets' members, a leader of the rest is elected in the same way, as long
-as that halves what is open. What is left outside its bucket's largest component meets all others of the bucket by
+component are closed; in the others the largest component is set aside, and a leader of the rest is elected in the same way,
+as long as that halves what is open. What is left outside its bucket's largest component meets all others of the bucket by
 sketches, in blocks, so that no task holds a bucket, and only what is alike is checked; for each text its most alike partner
 first, and the others only if that leaves them apart. The blocks' work is that rest times its buckets.
 
@@ -173,7 +172,7 @@ def wanted_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(src, dst): those of ``pairs`` whose whole texts are near copies. ``pairs`` is a written table."""
-    texts = stash(wanted_texts(docs, pairs.select(F.explode(F.array("src", "dst")).alias("mark"))), "minhash-texts")
+    texts = stash(wanted_texts(docs, pairs.select(F.col("src").alias("mark")).unionAll(pairs.select("dst"))), "minhash-texts")
     both = pairs.select("src", "dst").join(texts.select(F.col("mark").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("mark").alias("dst"), F.col("text").alias("b")), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,18 +239,17 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: in
         tried = tried.unionAll(chosen)
         found = joined(found, confirmed(docs, chosen, shingle, percent))
         open_ = still_open(members, found)
-        per_band = open_.groupBy("band").agg(F.count_if("rest").alias("rest"), F.count("*").alias("held"))
-        rest, held, copies = per_band.agg(F.sum("rest"), F.sum("held"), F.sum(F.ceil(F.col("rest") / BLOCK) * F.col("held"))).first()
+        rest = open_.where("rest").count()
         if not rest:
             return found
-        if copies <= 2 * held or before is not None and 2 * rest > before:
+        if before is not None and 2 * rest > before:
             break
         before = rest
     left = stash(alike(open_, rows, percent).join(tried, ["src", "dst"], "left_anti"), "minhash-left")
     if left.isEmpty():
         return found
-    sides = left.select(F.explode(F.array("src", "dst")).alias("mark"), F.struct("alike", "src", "dst").alias("x"))
-    chosen = stash(sides.groupBy("mark").agg(F.max("x").alias("x")).select("x.src", "x.dst").distinct(), "minhash-chosen")
+    best = [left.groupBy(c).agg(F.max(F.struct("alike", "src", "dst")).alias("x")).select(F.col(c).alias("mark"), "x") for c in ("src", "dst")]
+    chosen = stash(best[0].unionAll(best[1]).groupBy("mark").agg(F.max("x").alias("x")).select("x.src", "x.dst").distinct(), "minhash-chosen")
     found = joined(found, confirmed(docs, chosen, shingle, percent))
     root = lambda c: found.select(F.col("mark").alias(c), F.col("root").alias(f"{c}_root"))
     apart = ~F.coalesce(F.col("src_root"), F.col("src")).eqNullSafe(F.coalesce(F.col("dst_root"), F.col("dst")))
