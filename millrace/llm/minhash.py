@@ -43,6 +43,8 @@ BITS, DOUBT = 1024, 5.0
 BLOCK, OTHERS = 512, 4096
 #: Bits of the bitmap that spares texts from being shuffled.
 FILTER = 2**24
+#: Texts whose sets are held at once.
+TEXTS = 256
 #: A task keeps about so many shingles of texts met before.
 CACHED = 2_000_000
 _FACTORS = np.random.default_rng(42).integers(0, 2**64, (2, VALUES), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -128,11 +130,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     and its odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x, shingle) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            least = [signature(x) for x in sets]
-            columns = [batch.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, least), pa.list_(pa.int64())), pa.array(map(odd_sketch, sets, least), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "bands", "odd"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                sets = [shingles(x.as_py(), shingle) for x in batch.column("text").cast(pa.binary())]
+                least = [signature(x) for x in sets]
+                columns = [batch.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, least), pa.list_(pa.int64())), pa.array(map(odd_sketch, sets, least), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "bands", "odd"])
 
     texts = docs.select(text_mark(F.col("text")).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "mark long, size long, bands array<long>, odd binary").dropDuplicates(["mark"])
