@@ -100,15 +100,15 @@ def prefix_sums(names: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 
     Two equi-joins on prefixes instead of comparing all pairs: each customer's prefixes meet whole row names, and each
     row's proper prefixes meet whole customer names, so no pair is met twice. Only prefixes of the lengths that the
-    other side has are made."""
+    other side has are made. Both sides grow with the customers, so neither is broadcast."""
     r = rows.groupBy(F.col("customer").alias("other")).agg(F.sum(value).alias(value))
 
     def prefixes(frame: DataFrame, column: str, proper: bool) -> DataFrame:
         most = F.length(column) - (1 if proper else 0)
         return frame.where(most >= 1).withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.substring(F.col(column), F.lit(1), n))))
 
-    down = prefixes(names.select("customer"), "customer", False).join(r, F.col("prefix") == F.col("other")).select("customer", value)
-    up = prefixes(r, "other", True).join(names.select("customer"), F.col("prefix") == F.col("customer")).select("customer", value)
+    down = prefixes(names.select("customer"), "customer", False).join(r.hint("merge"), F.col("prefix") == F.col("other")).select("customer", value)
+    up = prefixes(r, "other", True).join(names.select("customer").hint("merge"), F.col("prefix") == F.col("customer")).select("customer", value)
     return down.unionByName(up).groupBy("customer").agg(F.sum(value).alias(value))
 
 
@@ -132,7 +132,7 @@ def returned(returns: DataFrame, materials: DataFrame, months: Range = Range(),
     """(customer, v): quantities that came back, at the material's price; without a price they count nothing."""
     back = returns.where((name("customer_name") != "") & months.days("bill_date") & wanted(name("customer_name")))
     prices = materials.select(F.col("number").alias("material_number"), number("price").alias("price"))
-    return back.join(prices, "material_number", "left").select(name("customer_name").alias("customer"), (number("quantity") * F.coalesce("price", F.lit(0).cast(MONEY))).alias("v"))
+    return back.join(prices.hint("merge"), "material_number", "left").select(name("customer_name").alias("customer"), (number("quantity") * F.coalesce("price", F.lit(0).cast(MONEY))).alias("v"))
 
 
 def cent_sums(rows: DataFrame, measure: str) -> DataFrame:
@@ -146,7 +146,10 @@ def profitability(receivable: DataFrame, payable: DataFrame, balance: DataFrame,
     receivable: bill_date, customer_name, material_name, account_type, excluded, quantity; payable: bill_date, customer,
     material_name, account_type, amount; balance: year, period, account, detail_name, debit, credit; customers: name,
     number, seller, type; returns: bill_date, customer_name, material_number, quantity; materials: number, price; costs:
-    customer, biz_date, amount. ``customer``: only this one; in the balance, names that contain it."""
+    customer, biz_date, amount. ``customer``: only this one; in the balance, names that contain it.
+
+    Materials, customers and their sums grow with the business, and a file of them is far smaller than its rows in the
+    driver's memory: they are joined by merge, whatever their files' size."""
     exact = (lambda c: c == customer) if customer else anyone
     like = (lambda c: c.contains(customer)) if customer else anyone
     entries = balance.where(months.periods("year", "period") & (F.trim("detail_name") != "") & like(name("detail_name")))
@@ -167,7 +170,7 @@ def profitability(receivable: DataFrame, payable: DataFrame, balance: DataFrame,
         every = tagged if every is None else every.unionByName(tagged)
     per = reliable(every.groupBy("customer").agg(*(F.sum(F.when(F.col("measure") == m, F.col("v"))).alias(m) for m in parts)))
     fined = per.where("own_fine IS NOT NULL").select("customer", F.col("own_fine").alias("fine"))
-    out = per.join(dimension(customers), "customer", "left").join(prefix_sums(per, fined, "fine"), "customer", "left")
+    out = per.join(dimension(customers).hint("merge"), "customer", "left").join(prefix_sums(per, fined, "fine").hint("merge"), "customer", "left")
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
     cents = lambda c: F.round(F.coalesce(c, F.lit(0)), 4).cast("decimal(18,2)").alias(c)
     rounded = [F.round(F.coalesce(c, F.lit(0)), 2).alias(c) for c in ("freight", "returned")]
