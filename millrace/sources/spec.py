@@ -82,10 +82,16 @@ def scan(rows: DataFrame, spec: TableSpec) -> DataFrame:
     return rows.select(*(quoted(f) for f in spec.fields if f in rows.columns))
 
 
-def whole(value: Column, kind: str) -> Column:
-    """A whole number of any size that its type holds, also where it comes as 12.0 or 1.2E1; null where it has a fraction."""
+def whole(value: Column, kind: str, double: bool = False) -> Column:
+    """A whole number of any size that its type holds, also where it comes as 12.0 or 1.2E1; null where it has a fraction.
+
+    ``double``: of doubles, those that are whole and small enough to be exact need no decimal."""
     exact = value.try_cast("decimal(38,12)")
-    return F.when(exact == F.floor(exact), exact.cast("decimal(38,0)")).try_cast(kind)
+    slow = F.when(exact == F.floor(exact), exact.cast("decimal(38,0)")).try_cast(kind)
+    if not double:
+        return slow
+    small = (F.abs(value) < 2.0**53) & (F.rint(value) == value)
+    return F.when(small, F.when(small, value).cast("bigint").try_cast(kind)).otherwise(slow)
 
 
 WHOLE = ("tinyint", "smallint", "int", "bigint", "long")
@@ -94,16 +100,18 @@ WHOLE = ("tinyint", "smallint", "int", "bigint", "long")
 def numbers(rows: DataFrame, sources: Sequence[Column], kind: str, name: str) -> tuple[dict[str, Column], Column, Column]:
     """(columns to compute first, value, whether a value that is there and not blank doesn't fit ``kind``).
 
-    Numbers that come as such need no text. Of texts, those that a cast takes as they are need no cleaning; the cleaned text
-    of the others is a column of its own, so that it is computed once."""
+    Numbers that come as such need no text. Of texts, those that a cast takes as they are need no cleaning; what the cast
+    makes of a text, and the cleaned text of the others, are columns of their own, so that each is computed once. A cast that
+    fails costs an exception, far more than one that doesn't: texts with a point go to decimals at once."""
     types = {t for t in (rows.select(s).schema[0].dataType.simpleString() for s in sources)}
     raw = F.col(f"__raw_{name}")
     if len(types) == 1 and (types <= {*WHOLE, "double"} or next(iter(types)).startswith("decimal") and int(next(iter(types)).rstrip(")").split(",")[1]) <= 12):
-        direct = raw.try_cast(kind) if kind not in WHOLE or types <= set(WHOLE) else whole(raw, kind)
+        direct = raw.try_cast(kind) if kind not in WHOLE or types <= set(WHOLE) else whole(raw, kind, types == {"double"})
         return {f"__raw_{name}": F.coalesce(*sources)}, direct, raw.isNotNull() & direct.isNull()
-    fits, rest = raw.try_cast(kind), F.col(f"__rest_{name}")
+    fits, rest = F.col(f"__fits_{name}"), F.col(f"__rest_{name}")
     value = F.coalesce(fits, rest.try_cast(kind), *([whole(rest, kind)] if kind in WHOLE else []))
     first = {f"__raw_{name}": F.coalesce(*(s.cast("string") for s in sources))}
+    first[f"__fits_{name}"] = F.when(raw.contains("."), whole(raw, kind)).otherwise(raw.try_cast(kind)) if kind in WHOLE else raw.try_cast(kind)
     first[f"__rest_{name}"] = F.when(fits.isNull() & raw.isNotNull(), X.trim_all(raw))
     return first, value, (F.coalesce(rest, F.lit("")) != "") & value.isNull()
 
@@ -118,6 +126,7 @@ def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaul
     every = (defaults or {}) | spec.defaults
     first: dict[str, Column] = {}
     second: dict[str, Column] = {}
+    third: dict[str, Column] = {}
     out, unfit, lost = [], F.lit(False), F.lit(False)
     for column, kind in spec.columns.items():
         sources = [quoted(f) for f in spec.sources(column) if f in rows.columns]
@@ -136,7 +145,8 @@ def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaul
         else:
             more, value, off = numbers(rows, sources, kind, column)
             first |= {k: v for k, v in more.items() if k.startswith("__raw_")}
-            second |= {k: v for k, v in more.items() if k.startswith("__rest_")}
+            second |= {k: v for k, v in more.items() if k.startswith("__fits_")}
+            third |= {k: v for k, v in more.items() if k.startswith("__rest_")}
             unfit = unfit | off
         if column in every:
             value = F.coalesce(value, F.lit(every[column]).cast(kind))
@@ -148,8 +158,9 @@ def normalize(rows: DataFrame, spec: TableSpec, stamp: str | None = None, defaul
     if unread is not None:
         out.append(F.coalesce(lost, F.lit(False)).alias(unread))
     raw = rows.select(*(v.alias(k) for k, v in first.items())) if first else rows
-    cleaned = raw.select("*", *(v.alias(k) for k, v in second.items())) if second else raw
-    return cleaned.select(*out)
+    for step in (second, third):
+        raw = raw.select("*", *(v.alias(k) for k, v in step.items())) if step else raw
+    return raw.select(*out)
 
 
 def increment_field(spec: TableSpec, by_table: dict[str, str], default: str = "FModifyDate") -> str:
