@@ -26,9 +26,11 @@ def is_identifier(name: Column) -> Column:
     return F.coalesce(name.rlike(rf"\A{_NAME.pattern}\z"), F.lit(False))
 
 
-def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` whose key ``right`` doesn't have; null keys equal each other. Planned as an equi-join."""
-    r = right.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+def anti(left: DataFrame, right: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
+    """Rows of ``left`` whose key ``right`` doesn't have; null keys equal each other. Planned as an equi-join. ``unique``: no
+    key of ``right`` repeats, so that its keys needn't be grouped first."""
+    r = right.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    r = r if unique else r.distinct()
     return left.join(r, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti")
 
 
@@ -86,7 +88,7 @@ def leaf(keys: Sequence[str], leaves: int = LEAVES) -> Column:
 
 def leaf_digests(rows: DataFrame, keys: Sequence[str], *by: Column) -> DataFrame:
     """(*by, leaf, n, sum, xor): for each leaf the number of its keys and two sums of their hashes, whatever their order.
-    Digests of disjoint sets add up. Keys of ``rows`` are unique."""
+    Digests of disjoint sets add up. A key that repeats counts each time."""
     total = F.sum(F.xxhash64(F.lit(0), encoded(keys)).cast("decimal(38,0)"))
     return rows.groupBy(*by, leaf(keys).alias("leaf")).agg(F.count("*").alias("n"), total.alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), encoded(keys))).alias("xor"))
 

@@ -26,12 +26,18 @@ def last_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows replace target rows of their key; ``source`` has one row for each key."""
-    return K.anti(target, source, keys).unionByName(source, allowMissingColumns=True)
+    return K.anti(target, source, keys, unique=True).unionByName(source, allowMissingColumns=True)
 
 
 def orphans(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of the target that the source doesn't have."""
-    return K.anti(target.select(*keys).distinct(), source, keys)
+    """Keys of the target that the source doesn't have, each once; null keys equal each other.
+
+    Both sides' keys are grouped together: one shuffle, in which repeated keys are combined first, and no sort."""
+    t, s = target.select(*keys), source.select(*keys)
+    if [f.dataType for f in t.schema] != [f.dataType for f in s.schema]:
+        return K.anti(t.distinct(), s, keys)
+    both = t.withColumn("__held", F.lit(False)).unionAll(s.withColumn("__held", F.lit(True)))
+    return both.groupBy(*keys).agg(F.bool_or("__held").alias("__held")).where("NOT __held").drop("__held")
 
 
 def delete_keys(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -459,9 +465,10 @@ class VersionedTable:
 
     def orphans(self, source: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Keys of the last version that ``source`` doesn't have. Both sides' digests are compared, and only leaves in which
-        they differ are read and anti-joined: none, if the key sets are equal."""
-        leaves = K.different_leaves(self.digests(keys), K.leaf_digests(source.select(*keys).distinct(), keys)) if self.current() else []
+        they differ are read and compared: none, if the key sets are equal. Keys that the source repeats make their leaves
+        differ, which reads more and finds the same."""
+        leaves = K.different_leaves(self.digests(keys), K.leaf_digests(source.select(*keys), keys)) if self.current() else []
         if not leaves:
             return self.spark.createDataFrame([], StructType([f for k in keys for f in (self.schema() or source.schema) if f.name.lower() == k.lower()]))
-        here = K.leaf(keys).isin(leaves)
-        return K.anti(self.read().select(*keys).where(here), source.select(*keys).where(here), keys)
+        here = K.leaf(keys).isin(leaves) if len(leaves) < K.LEAVES else F.lit(True)
+        return orphans(self.read().select(*keys).where(here), source.select(*keys).where(here), keys)

@@ -85,13 +85,14 @@ def load(
             return result("failed", dates.reason)
     if dry_run:
         return result("dry_run", "nothing was written")
-    single = reliable(merge.last_of_key(rows, spec.keys, order))
+    # ``every`` is written already: where no key repeats, its rows needn't be ordered and written again
+    single = reliable(merge.last_of_key(rows, spec.keys, order)) if counts.n_duplicates else rows
     replaces = mode in ("reset", "snapshot")
     made = table.stage(single, stored=True) if replaces else None
     if not replaces:
         table.merge(single, spec.keys, stored=True)
     now = table.staged(made) if made else table.read(single.schema)
-    written = K.semi(now, single, spec.keys).count()
+    written = counts.n_keys - merge.orphans(single, now, spec.keys).count()
 
     def state(reconciled: bool) -> tuple[str, str]:
         row = gates.states(now.sparkSession.createDataFrame([(counts.n_keys, written, len(spec.keys), reconciled)], "fetched long, written long, key_columns int, reconciled boolean")).first()
@@ -109,14 +110,18 @@ def load(
     if mode in ("incremental", "window"):
         return result("partial" if counts.filtered else "success", "merged", written, 0, state(False)[0])
     short = written < counts.n_keys
-    found = reliable(gates.orphan_decision(gates.reconcile_counts(rows, target, spec.keys, previous, counts.filtered, short)))
-    decision = found.first()
+    gone = reliable(merge.orphans(target, rows, spec.keys))
+    held = (counts.n_rows, counts.n_duplicates, target.count(), gone.count(), previous, counts.filtered, short)
+    known = now.sparkSession.createDataFrame([held], "source long, duplicates long, target long, orphans long, previous long, filtered long, partial boolean")
+    decision = gates.orphan_decision(known).first()
     wanted = allow_delete and decision.orphans > 0 and decision.decision != "blocked"
     if wanted and decision.decision == "approval_required":
-        wanted = approvals is not None and approvals.use(found.withColumns({"snapshot_id": F.lit(stamp), "table": F.lit(spec.table_name)}))
+        # only an approval needs the source's fingerprint
+        asked = gates.one_row(known, K.fingerprint(rows, spec.keys)).withColumns({"snapshot_id": F.lit(stamp), "table": F.lit(spec.table_name)})
+        wanted = approvals is not None and approvals.use(asked)
     deleted = 0
     if wanted:
-        table.delete(merge.orphans(target, rows, spec.keys), spec.keys)
+        table.delete(gone, spec.keys)
         now, before = table.read(single.schema), now.count()
         deleted = before - now.count()
         left = merge.orphans(now, rows, spec.keys).count()

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from millrace import queries
-from millrace.operators import gates
+from millrace.operators import gates, merge
 from millrace.plans import reports
 from millrace.sources.spec import TableSpec, normalize
 
@@ -61,3 +61,13 @@ def test_whole_numbers_of_texts_and_doubles(spark):
         landed = spark.createDataFrame(list(enumerate(known)), f"ID int, QTY {kind}")
         got = {r.ID: (r.QTY, r.bad) for r in normalize(landed, spec, bad="bad").collect()}
         assert [got[i] for i in range(len(known))] == [(v, v is None and k != " ") for k, v in known.items()]
+
+
+def test_orphans_shuffle_keys_once_and_need_no_window(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", None), ("c", 3)], "s string, k long")
+    source = spark.createDataFrame([("a", 1), ("b", None), ("b", None)], "s string, k long")
+    found = merge.orphans(rows, source, ["s", "k"])
+    assert sorted(map(tuple, found.collect()), key=str) == [("c", 3), (None, 2)]
+    assert "Join" not in plan(found)
+    monkeypatch.setattr(merge, "last_of_key", None)
+    assert queries.j1_orphans_by_leaf(spark, SF).count() == queries.orders(spark, SF).where("o_orderkey % 499 = 0").count()
