@@ -28,7 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup: one document of each group of near duplicates stays, that with the least id; five-word shingles, a Jaccard
-    similarity of 0.8 or more. Candidates are found by MinHash, as SimHash can't find those pairs (see the README).
+    similarity of 0.8 or more. SimHash's components are linked first; MinHash finds the pairs at 0.8 that lie beyond SimHash's
+    radius (see the README). All links are confirmed on whole texts.
 
     Null and empty texts are copies of each other. Of two groups that tie for an id each keeps its own document."""
     return near.keep_one(docs)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stash, text_mark
-from millrace.llm.simhash import components
+from millrace.llm.simhash import components, majority
 
 SHINGLE = 2
 #: Least similarity in percent.
@@ -125,9 +125,10 @@ def alike_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * held >= percent * (len(x) + len(y) - held)
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(mark, size, bands, odd) of each different text that has words: the number of its shingles, the keys of its buckets
-    and its odd sketch."""
+def sketches(docs: DataFrame, shingle: int, prints: bool = False) -> DataFrame:
+    """(mark, size, bands, odd) of each different text: the number of its shingles, the keys of its buckets and its odd
+    sketch. ``prints``: also fp, the SimHash of its shingles."""
+    schema = "mark long, size long, bands array<long>, odd binary" + ", fp long" * prints
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,10 +137,12 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = [shingles(x.as_py(), shingle) for x in batch.column("text").cast(pa.binary())]
                 least = [signature(x) for x in sets]
                 columns = [batch.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, least), pa.list_(pa.int64())), pa.array(map(odd_sketch, sets, least), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "bands", "odd"])
+                if prints:
+                    columns.append(pa.array(map(majority, sets), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "bands", "odd", "fp"][: len(columns)])
 
     texts = docs.select(text_mark(F.col("text")).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "mark long, size long, bands array<long>, odd binary").dropDuplicates(["mark"])
+    return texts.mapInArrow(run, schema).dropDuplicates(["mark"])
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -223,8 +226,9 @@ def led(open_: DataFrame) -> DataFrame:
     return both.select(*pair("mark", "lead.mark"), "mark").distinct()
 
 
-def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
-    """(mark, root): of each text that has near copies, the least mark of its component. ``rows``: the written sketches."""
+def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: int = SIMILAR, first: DataFrame | None = None) -> DataFrame:
+    """(mark, root): of each text that has near copies, the least mark of its component. ``rows``: the written sketches.
+    ``first``: a written table of pairs (src, dst) that are checked, and linked, before texts meet in buckets."""
     keyed = rows.where("size > 0").select("mark", F.explode("bands").alias("band"))
     shared = stash(keyed.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "minhash-shared")
     members = stash(keyed.join(shared, "band"), "minhash-members")
@@ -233,6 +237,10 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: in
     open_, before = members.withColumns({"root": F.col("mark"), "rest": F.lit(True)}), None
     tried = docs.sparkSession.createDataFrame([], "src long, dst long")
     found = tried.select(F.col("src").alias("mark"), F.col("dst").alias("root"))
+    if first is not None and not first.isEmpty():
+        tried = tried.unionAll(first)
+        found = joined(found, confirmed(docs, first, shingle, percent))
+        open_ = still_open(members, found).withColumn("rest", F.lit(True))
     while True:
         pairs = stash(led(open_), "minhash-led")
         likely = estimated(pairs.select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti"), rows, percent)

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import minhash, near
@@ -57,3 +59,38 @@ def test_all_near_copies_go(spark, monkeypatch, block):
 def test_other_columns_keep_their_values(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 10, 20, "x"), (2, "a b c d e f", 11, 21, "y"), (3, "quite another text than these", 12, 22, "z")], "doc_id long, text string, row_id long, ROW_MARK long, won_id string")
     assert sorted(map(tuple, near.keep_one(docs).collect())) == [(1, "a b c d e f", 10, 20, "x"), (3, "quite another text than these", 12, 22, "z")]
+
+
+def plain_print(text):
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode()) for s in sets(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_links_texts_that_share_no_bucket(spark, monkeypatch):
+    """With all MinHash buckets taken away, what SimHash's components hold is linked, and only that."""
+    whole = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda *a, **k: whole(*a, **k).withColumn("bands", F.transform("bands", lambda x: F.xxhash64("mark", x))))
+    r = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = ["w%d" % r.randrange(5000) for _ in range(1500)]
+        for j in range(6):
+            words = list(base)
+            for _ in range(r.choice([0, 1, 1, 100])):
+                words[r.randrange(len(words))] = "new%d" % r.randrange(10**6)
+            rows.append((10 * g + j, " ".join(words)))
+    prints = {i: plain_print(t) for i, t in rows}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in prints:
+        for j in range(i):
+            if j in prints and (prints[i] ^ prints[j]).bit_count() <= 3:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in prints})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 12 < len(want) < 60 and sorted(x.doc_id for x in near.keep_one(docs).collect()) == want
