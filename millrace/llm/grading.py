@@ -38,6 +38,8 @@ HASH_BITS = 20
 GRADES = 3
 #: A document is kept if it is more likely than this to have the best grade.
 TAIL = 0.3
+#: Texts that are held as Python strings at once.
+TEXTS = 256
 
 #: Bytes of a lower-cased text: ASCII other than letters and digits separates words.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -184,13 +186,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit((np.frombuffer(r["slots"], np.int32), r["grade"]) for r in found)
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, ``TEXTS`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def scored(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
     """(doc_id, score, expected_grade, p_1, p_2, ..., kept) of every row: p_k is the probability of grade k or better."""
     grades = len(model.thresholds) + 1
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [x.as_py() or "" for x in batch.column("text")]
             scores = np.array([held.value.score(t) for t in texts], float)
             tails = held.value.tails(scores)
@@ -207,7 +216,7 @@ def keep_good(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text"))]
             tails = held.value.tails(np.array([held.value.score(t) for t in texts], float))
             yield batch.filter(pa.array([bool(p >= tail) and bool(t) and not t.isspace() for p, t in zip(tails[:, -1], texts)], pa.bool_()))

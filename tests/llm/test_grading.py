@@ -103,3 +103,12 @@ def test_very_long_text(spark):
     model = grading.Model(np.zeros(2**grading.HASH_BITS, np.int32), np.array([-1.0, 0.0]))
     docs = spark.createDataFrame([(1, "word " * 500_000)], "doc_id long, text string")
     assert [r.kept for r in grading.scored(docs, model).collect()] == [True]
+
+
+def test_texts_are_taken_in_small_parts():
+    """No more than ``TEXTS`` texts of an Arrow batch are held as strings at once."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(n))}) for n in (0, 700, 1)]
+    cut = list(grading.parts(batches))
+    assert max(x.num_rows for x in cut) == grading.TEXTS and [i for x in cut for i in x.column("doc_id").to_pylist()] == [*range(700), 0]
