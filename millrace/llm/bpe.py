@@ -35,12 +35,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import in_arrow
+
 LEAF = 4_096
 WINDOW = 64
 AGREE = 32
 CHUNK = 32_768
 OVERLAP = 1_024
-CACHED = 400_000
+#: Pieces that a worker keeps: the newest half, and the half before it, of which those that are met again move on.
+CACHED = 200_000
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: A piece that stays one between any others of its kind; special strings are left to the library one by one.
@@ -58,6 +61,7 @@ class Encoder:
         self.lib.no_padding()
         self.leaf, self.window, self.chunk, self.overlap = leaf, window, chunk, overlap
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         added = {t.content for t in self.lib.get_added_tokens_decoder().values()}
         # a run that is longer than any special string isn't inside one
         self.agree = max(agree, 1 + max((len(t.encode()) for t in added), default=0))
@@ -81,15 +85,16 @@ class Encoder:
     def pieced(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, put together from its pieces."""
         cut = [SAFE.split(t) for t in texts]
-        cache = self.cache
-        new = {p for pieces in cut for p in pieces if p not in cache}
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
+        new = {p for pieces in cut for p in pieces if p not in self.cache}
+        if len(self.cache) + len(new) > CACHED // 2:
+            self.cache, self.older = {}, self.cache
             new = {p for pieces in cut for p in pieces}
-        fresh = self.together([p for p in new if len(p) <= 64 and SAFE_PIECE.fullmatch(p)])
+        cache, older = self.cache, self.older
+        fresh = {p: older[p] for p in new if p in older}
+        fresh |= self.together([p for p in new if p not in older and len(p) <= 64 and SAFE_PIECE.fullmatch(p)])
         other = [p for p in new if p not in fresh]
         fresh |= zip(other, (np.array(x, "<u4").tobytes() for x in self.plain(other)))
-        if len(fresh) <= CACHED:
+        if len(fresh) <= CACHED // 2:
             cache |= {p: x for p, x in fresh.items() if len(p) <= 64}
         return [b"".join([cache[p] if p in cache else fresh[p] for p in pieces]) for pieces in cut]
 
@@ -264,7 +269,7 @@ def per_text(docs: DataFrame, schema: str, rows: Callable[[list[str]], Iterable[
                 got = list(rows([x or "" for x in part.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

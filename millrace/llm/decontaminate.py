@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash, text_mark
+from millrace.llm.shared import in_arrow, stash, text_mark
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -173,7 +173,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
                     out.append((item, b" ".join(part).decode(), len(part)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["item_id", "text", "n"])
 
-    pieces = stash(items.mapInArrow(cut, "item_id string, text string, n long").distinct(), "benchmark-pieces")
+    pieces = stash(in_arrow(items, cut, "item_id string, text string, n long").distinct(), "benchmark-pieces")
     n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words) or 1
     for i in range(n):
         yield [(r.item_id, r.text) for r in pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text").collect()]
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: in
             columns = [pa.array(n, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *columns], ["doc_id", "mark", "n_words", "starts", "ends", "items"])
 
-    return docs.mapInArrow(run, f"doc_id long, mark long, {HITS}")
+    return in_arrow(docs, run, f"doc_id long, mark long, {HITS}")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -237,7 +237,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     # rows that repeat id and text are one group, dealt out again by its count; spans of a group are those of one text
     grouped = every.groupBy("doc_id", "mark", "n_words").agg(F.sum("times").alias("times"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.collect_set(F.struct("starts", "ends")).alias("s"))
     flat = grouped.where("times > 0").select("doc_id", "mark", "n_words", F.flatten("s.starts").alias("starts"), F.flatten("s.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    return flat.mapInArrow(join_spans, f"doc_id long, mark long, {HITS}")
+    return in_arrow(flat, join_spans, f"doc_id long, mark long, {HITS}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -262,7 +262,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 at = batch.schema.get_field_index("text")
                 yield batch.filter(pa.array([not any(next(t.search(w), None) for t in tables) for w in (words(x.as_py()) for x in batch.column(at))], pa.bool_()))
 
-        return docs.mapInArrow(clean, docs.schema)
+        return in_arrow(docs, clean, docs.schema)
 
     parts = blocks(benchmark, window, block_words)
     docs, following = cleaned(docs, next(parts)), next(parts, None)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import text_mark
+from millrace.llm.shared import in_arrow, text_mark
 
 SAMPLE = 6_000
 HASH_BITS = 20
@@ -40,6 +40,8 @@ GRADES = 3
 TAIL = 0.3
 #: Texts that are held as Python strings at once.
 TEXTS = 256
+#: A worker keeps the weights of about so many words.
+KNOWN = 100_000
 
 #: Bytes of a lower-cased text: ASCII other than letters and digits separates words.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -96,7 +98,7 @@ class Model:
     def score(self, text: str) -> float:
         known, weights = self.known, self.weights
         words, shape = split(text)
-        if len(known) > 300_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in words.difference(known):
             known[w] = sum(weights.item(s) for s in word_slots(w))
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             made = [slots(x or "").astype(np.int32).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), batch.column("grade"), pa.array(made, pa.binary())], ["id", "mark", "grade", "slots"])
 
-    found = chosen.mapInArrow(run, "id long, mark long, grade int, slots binary").toArrow().to_pylist()
+    found = in_arrow(chosen, run, "id long, mark long, grade int, slots binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], r["mark"]))
     return fit((np.frombuffer(r["slots"], np.int32), r["grade"]) for r in found)
 
@@ -208,7 +210,7 @@ def scored(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "score", "expected_grade", *(f"p_{k}" for k in range(1, grades)), "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, score double, expected_grade double, {', '.join(f'p_{k} double' for k in range(1, grades))}, kept boolean")
+    return in_arrow(rows, run, f"doc_id long, score double, expected_grade double, {', '.join(f'p_{k} double' for k in range(1, grades))}, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
@@ -221,4 +223,4 @@ def keep_good(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
             tails = held.value.tails(np.array([held.value.score(t) for t in texts], float))
             yield batch.filter(pa.array([bool(p >= tail) and bool(t) and not t.isspace() for p, t in zip(tails[:, -1], texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

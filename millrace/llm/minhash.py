@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash, text_mark
+from millrace.llm.shared import in_arrow, stash, text_mark
 from millrace.llm.simhash import components, majority
 
 SHINGLE = 2
@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, shingle: int, prints: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "bands", "odd", "fp"][: len(columns)])
 
     texts = docs.select(text_mark(F.col("text")).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, schema).dropDuplicates(["mark"])
+    return in_arrow(texts, run, schema).dropDuplicates(["mark"])
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -161,7 +161,7 @@ def estimated(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             like, may = estimates(np.asarray(batch.column("sizes")).astype(np.float64), *differing(x, y), percent)
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(like)], ["src", "dst", "alike"]).filter(pa.array(may))
 
-    return both.select("src", "dst", (F.col("n") + F.col("m")).alias("sizes"), "x", "y").mapInArrow(run, "src long, dst long, alike double")
+    return in_arrow(both.select("src", "dst", (F.col("n") + F.col("m")).alias("sizes"), "x", "y"), run, "src long, dst long, alike double")
 
 
 def wanted_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
             close = [alike_enough(cached(src, a), cached(dst, b), percent) for src, dst, a, b in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(close, pa.bool_()))
 
-    return stash(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"), "minhash-links")
+    return stash(in_arrow(both.select("src", "dst", "a", "b"), run, "src long, dst long"), "minhash-links")
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def alike(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.float64))], ["src", "dst", "alike"])
 
-    return together.mapInArrow(run, "src long, dst long, alike double").groupBy("src", "dst").agg(F.max("alike").alias("alike"))
+    return in_arrow(together, run, "src long, dst long, alike double").groupBy("src", "dst").agg(F.max("alike").alias("alike"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +73,20 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if files < cores and size <= files * ROW_GROUP else rows
 
 
+#: Spark's setting for the size of an Arrow batch, 64 MiB by default, and what the operators set it to.
+ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 * 2**20
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``rows.mapInArrow``, in batches of about ``ARROW_BYTES`` bytes, or one row where that has more.
+
+    Of each task both the JVM and the Python worker hold a batch or two outside of Spark's memory, and both keep for good
+    what the largest took. The setting is the session's, as Spark reads it when the plan runs; one that is already made stands."""
+    if rows.sparkSession.conf.get(ARROW_BATCH, None) is None:
+        rows.sparkSession.conf.set(ARROW_BATCH, ARROW_BYTES)
+    return rows.mapInArrow(run, schema)
+
+
 def text_mark(text: Column) -> Column:
     """With the id, it tells apart rows that repeat an id with other texts."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash, text_mark, unused
+from millrace.llm.shared import in_arrow, stash, text_mark, unused
 
 RADIUS = 3
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), fps], ["doc_id", "mark", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    return in_arrow(rows, run, "doc_id long, mark long, fp long")
 
 
 def covering_masks(positions: list[int], radius: int, seed: int) -> list[int]:
@@ -114,7 +114,7 @@ def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
                         out.append((int(x[max(a, b)]), int(x[min(a, b)])))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["src", "dst"])
 
-    return buckets.select("fps").mapInArrow(run, "src long, dst long")
+    return in_arrow(buckets.select("fps"), run, "src long, dst long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

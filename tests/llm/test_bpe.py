@@ -82,3 +82,17 @@ def test_frames(spark, lib):
     assert counts[3] == (20_000, want[-1][1], True) and counts[None] == (0, 0, False)
     assert bpe.token_counts(docs.limit(0), PATH).count() == 0
     assert {bytes(r.ids)[:4] for r in bpe.encode(docs.where("doc_id = 1"), PATH).collect()} == {np.array([lib.encode("the").ids[0]], "<u4").tobytes()}
+
+
+def test_pieces_kept_are_bounded_and_those_met_again_stay(lib, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 400)
+    r = random.Random(8)
+    e, most = bpe.Encoder(PATH), 0
+    for _ in range(60):
+        cases = ["always here " + " ".join("w%d" % r.randrange(10**6) for _ in range(12)) for _ in range(5)]
+        assert [x for x, _ in e.ids(cases)] == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in cases]
+        most = max(most, len(e.cache) + len(e.older))
+        assert " here" in e.cache
+    assert 200 < most <= 400
+    large = " ".join("v%d" % i for i in range(1_000))
+    assert e.ids([large])[0][0] == np.array(lib.encode(large, add_special_tokens=False).ids, "<u4").tobytes() and len(e.cache) + len(e.older) <= 400
