@@ -96,3 +96,55 @@ def test_pieces_kept_are_bounded_and_those_met_again_stay(lib, monkeypatch):
     assert 200 < most <= 400
     large = " ".join("v%d" % i for i in range(1_000))
     assert e.ids([large])[0][0] == np.array(lib.encode(large, add_special_tokens=False).ids, "<u4").tobytes() and len(e.cache) + len(e.older) <= 400
+
+
+class Seen:
+    """A tokenizer or model, and the characters that it was given."""
+
+    def __init__(self, of):
+        self.of, self.chars = of, 0
+
+    def encode(self, text, **more):
+        self.chars += len(text)
+        return self.of.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.chars += sum(map(len, texts))
+        return self.of.encode_batch_fast(texts, **more)
+
+    def tokenize(self, text):
+        self.chars += len(text)
+        return self.of.tokenize(text)
+
+
+def test_words_are_counted_once_whatever_sign_follows_and_in_long_texts_too(spark, lib, monkeypatch):
+    r = random.Random(9)
+    known = ["".join(r.choice("etaoinshrdluéß") for _ in range(r.randrange(3, 12))) for _ in range(400)]
+    cases = [" ".join(r.choice(known) + r.choice(["", "", ",", ".", ".\nSo", "!!", "***", "'s"]) for _ in range(n)) for n in (50, 3_000, 3_000, 15_000)]
+    assert len(cases[-1]) > 3 * bpe.CHUNK
+    e = bpe.Encoder(PATH)
+    monkeypatch.setitem(bpe._made, PATH, e)
+    e.lib, e.model = Seen(e.lib), Seen(lib.model)
+    monkeypatch.setattr(bpe, "in_arrow", lambda rows, run, schema: [x for b in run(iter(rows.toArrow().to_batches())) for x in b.to_pylist()])
+    got = bpe.token_counts(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), PATH)
+    want = [len(lib.encode(t, add_special_tokens=False)) for t in cases]
+    assert [(x["doc_id"], x["n_bytes"], x["n_tokens"]) for x in got] == [(i, len(t.encode()), n) for i, (t, n) in enumerate(zip(cases, want))]
+    # each word, alone and with 's and what follows it up to a space, but nothing twice
+    assert e.lib.chars + e.model.chars < 30_000 < sum(map(len, cases)) / 5
+
+
+def test_counts_of_words_equal_the_library(lib, monkeypatch):
+    monkeypatch.setattr(bpe, "COUNTED", 600)
+    r = random.Random(10)
+    parts = ["a", "Word", "don't", "'s", "'re", "é", "ª", "×", "漢", "ǅ", "é", "\U0001f600", "7", "²", "_", ".", ",", "!?", "***", "#", "&", "<", "|>", "<|endoftext|>", "<|endoftext", "\0", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", " ", "　"]
+    e, least = bpe.Encoder(PATH), small()
+    for _ in range(1_500):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(60)))
+        n, words = len(lib.encode(t, add_special_tokens=False)), e.words(t)
+        assert "".join(words) == t and sum(e.counted([words])[0]) == n == least.count(t), t
+        assert len(e.counts) + len(e.older_counts) <= 600
+    other = bpe.Encoder(PATH)
+    other.fine = False  # as with special strings that hold signs
+    assert other.words("a, b.") == ["a,", " b."] and sum(other.counted([other.words("a, b.")])[0]) == 4
+    monkeypatch.setattr(bpe, "COUNTED", 20)
+    assert sum(map(sum, e.counted([e.words("so %s" % " ".join(map(chr, range(97, 123))))]))) == 27 and len(e.counts) <= 10
